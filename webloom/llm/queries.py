@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import encoding, leaks, packing, repeats
+from webloom.llm import blocks, encoding, leaks, packing, reading, repeats, residue, stuffing
 from webloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.find_bands(table(spark, d, "crawled_data"))
+
+
+def p1_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "crawled_data"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "crawled_data")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.find_repeated_lines(table(spark, d, "crawled_data"))
 
@@ -19,6 +31,18 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeats.remove_repeated_lines(pages).selectExpr("page_id", "removed_lines", "sha2(markdown, 256) AS text_hash")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.find_boilerplate(table(spark, d, "crawled_data")).distinct()
+
+
+def p5_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.main_text(table(spark, d, "crawled_data"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.find_stuffed(table(spark, d, "crawled_data")).select("page_id").distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     packed = packing.pack(table(spark, d, "documents"), table(spark, d, "context_windows"))
     return packed.where("pieces > 1").select("window_name", "doc_id").distinct()
@@ -46,7 +70,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_cleaned, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_levels, p2_found, p3_found, p3_cleaned, p5_found, p5_main_text, p7_found, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_restored)
 }
 
 _P3_LINES = r"""

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.blocks import Line, classifier, labelled
+from webloom.session import materialize
 
 #: A message has at most this many tokens; longer lines are text. Depth of the tree below the token count.
 MESSAGE, DEPTH = 30, 8
@@ -127,20 +128,26 @@ def examine(lines: list[Line]) -> tuple[bool, int, int, list[tuple[str, int, boo
     return slots, text, filler, messages
 
 
+FIELDS = (("row", pa.int64()), ("sure", pa.bool_()), ("template", pa.string()), ("sample", pa.string()), ("n", pa.int32()), ("heading", pa.bool_()), ("text", pa.int32()))
+SCHEMA = "row long, sure boolean, template string, sample string, n int, heading boolean, text int"
+
+
+def page_rows(row: int, lines: list[Line]) -> list[tuple]:
+    """Rows (see FIELDS) of a page: one if it is a sure case, none if it can't be one, else one and one a message."""
+    slots, text, filler, messages = examine(lines)
+    if slots or (filler and filler >= text + sum(n for _, n, h in messages if not h)):
+        return [(row, True, None, None, 0, False, 0)]
+    if messages and text <= filler + sum(n for _, n, _ in messages):
+        return [(row, False, None, None, 0, False, text - filler)] + [(row, False, template(t), t[:400], n, h, 0) for t, n, h in messages]
+    return []
+
+
 def _messages(tree):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, all_lines in labelled(batches, tree):
-            rows = []
-            for i, lines in zip(b.column(3).to_pylist(), all_lines, strict=True):
-                slots, text, filler, messages = examine(lines)
-                if slots or (filler and filler >= text + sum(n for _, n, h in messages if not h)):
-                    rows.append((i, True, None, None, 0, False, 0))
-                elif messages and text <= filler + sum(n for _, n, _ in messages):
-                    rows.append((i, False, None, None, 0, False, text - filler))
-                    rows += [(i, False, template(t), t[:400], n, h, 0) for t, n, h in messages]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            types = (pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "sure", "template", "sample", "n", "heading", "text"])
+            rows = [x for i, lines in zip(b.column(0).to_pylist(), all_lines, strict=True) for x in page_rows(i, lines)]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True)], names=[n for n, _ in FIELDS])
 
     return run
 
@@ -156,13 +163,13 @@ def find_residue(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     Null markdown is no case, nor is an empty main body; null html leaves the markdown's own features; repeated
     rows with one id count together; empty tables give an empty result; other columns are ignored.
     """
-    from webloom.session import materialize
+    src = pages.where(f"`{markdown}` is not null").select(F.col(page_id).cast("long"), html, markdown)
+    rows = materialize(src.mapInArrow(_messages(classifier()), SCHEMA), "messages")
+    return decide(rows).select(F.col("row").cast(pages.schema[page_id].dataType).alias(page_id))
+
 
-    tree = classifier()
-    src = pages.where(f"`{markdown}` is not null").select(F.col(page_id).alias("_id"), html, markdown, F.col(page_id).cast("long").alias("_row"))
-    schema = "row long, sure boolean, template string, sample string, n int, heading boolean, text int"
-    rows = materialize(src.mapInArrow(_messages(tree), schema), "messages")
-    sure = rows.where("sure").select("row")
+def decide(rows: DataFrame) -> DataFrame:
+    """(row) of the cases among page_rows: templates are classified once each and their verdicts go back to the pages."""
     templates = rows.where("template is not null").groupBy("template").agg(F.min("sample").alias("sample"))
     verdicts = templates.mapInArrow(_verdicts, "template string, kind string").where("kind is not null")
     lines = rows.where("not sure").join(verdicts, "template", "left")
@@ -171,5 +178,4 @@ def find_residue(pages: DataFrame, page_id: str = "page_id", html: str = "html",
         F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("template").isNull(), F.col("text")).when(F.coalesce(bad | helper, F.lit(False)) | F.col("heading"), 0).otherwise(F.col("n"))).alias("other"),
     )
-    found = sure.unionByName(per.where("bad > 0 and bad >= other").select("row")).distinct()
-    return found.select(F.col("row").cast(pages.schema[page_id].dataType).alias(page_id))
+    return rows.where("sure").select("row").unionByName(per.where("bad > 0 and bad >= other").select("row")).distinct()

@@ -12,12 +12,13 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.blocks import LINK, Line, classifier, labelled
-from webloom.llm.language import guess, scores
+from webloom.llm.language import FUNCTION_WORDS, guess, scores
 from webloom.session import materialize
 
 #: A body of fewer words is too short to judge. Redundancy that alone is proof, redundancy that is proof where
@@ -67,26 +68,55 @@ def measure(kind: str, lines: list[Line]) -> tuple[int, int, float, float, float
     return words, len(raw), ratio, len(END.findall(text)) / words, links, max(hits.values(), default=0) / max(1, n)
 
 
-def _blocks(tree):  # noqa: ANN001, ANN202
-    types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float32(), pa.float32(), pa.float32(), pa.float32())
+FIELDS = (("row", pa.int64()), ("lang", pa.string()), ("size", pa.int32()), ("words", pa.int32()), ("ratio", pa.float32()), ("ends", pa.float32()), ("links", pa.float32()), ("function", pa.float32()))
+SCHEMA = "row long, lang string, size int, words int, ratio float, ends float, links float, function float"
+
+
+def page_rows(row: int, lines: list[Line]) -> list[tuple]:
+    """Rows (see FIELDS) of a page's blocks; none where the body is too short."""
+    blocks = body_blocks(lines)
+    if sum(x.words for _, part in blocks for x in part) < MIN_WORDS:
+        return []
+    lang, out = guess(" ".join(x.text for _, part in blocks for x in part if x.kind == "plain")), []
+    for kind, part in blocks:
+        words, chars, ratio, ends, links, function = measure(kind, part)
+        out.append((row, lang, chars.bit_length() * 2 + (chars >> max(0, chars.bit_length() - 2) & 1), words, ratio, ends, links, function))
+    return out
 
+
+def _blocks(tree):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, all_lines in labelled(batches, tree):
-            rows = []
-            for i, lines in zip(b.column(0).to_pylist(), all_lines, strict=True):
-                blocks = body_blocks(lines)
-                if sum(x.words for _, part in blocks for x in part) < MIN_WORDS:
-                    continue
-                lang = guess(" ".join(x.text for _, part in blocks for x in part if x.kind == "plain"))
-                for kind, part in blocks:
-                    words, chars, ratio, ends, links, function = measure(kind, part)
-                    rows.append((i, lang, chars.bit_length() * 2 + (chars >> max(0, chars.bit_length() - 2) & 1), words, ratio, ends, links, function))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "lang", "size", "words", "ratio", "ends", "links", "function"])
+            rows = [x for i, lines in zip(b.column(0).to_pylist(), all_lines, strict=True) for x in page_rows(i, lines)]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True)], names=[n for n, _ in FIELDS])
 
     return run
 
 
+def usual_ratios(seen: list[tuple[str, int, float, int]]) -> list[tuple[str, int, float]]:
+    """(language, size, usual ratio) for all sizes: a line through the observed log-ratios of (language, size, ratio, n).
+
+    The line keeps a length at which spam prevails from becoming its own yardstick. Languages and half octaves of
+    length are few, so this is small whatever the corpus. Languages seldom seen take the line of all.
+    """
+    sizes = range(0, 64)
+
+    def line(rows: list[tuple[str, int, float, int]]) -> np.ndarray:
+        if len({r[1] for r in rows}) < 3:
+            return np.full(len(sizes), 0.55)
+        x, y, n = (np.array([float(r[k]) for r in rows]) for k in (1, 2, 3))
+        return np.exp(np.polyval(np.polyfit(x, np.log(np.maximum(y, 1e-3)), 1, w=np.sqrt(n)), np.array(sizes)))
+
+    everything = line([r for r in seen if r[0]])
+    out = []
+    for lang in {r[0] for r in seen} | {""} | set(FUNCTION_WORDS):
+        own = [r for r in seen if r[0] == lang]
+        use = line(own) if lang and sum(r[3] for r in own) >= 100 else everything
+        out += [(lang, k, float(v)) for k, v in zip(sizes, use, strict=True)]
+    return out
+
+
 def find_stuffed(pages: DataFrame, page_id: str = "page_id", html: str = "html", markdown: str = "markdown") -> DataFrame:
     """(page_id, stuffed, words) of each page the greater part of whose main body is keywords, goods, places or links.
 
@@ -94,15 +124,19 @@ def find_stuffed(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     give an empty result; other columns are ignored.
     """
     src = pages.where(f"`{markdown}` is not null").select(F.col(page_id).cast("long"), html, markdown)
-    blocks = materialize(src.mapInArrow(_blocks(classifier()), "row long, lang string, size int, words int, ratio float, ends float, links float, function float"), "blocks")
-    # languages and half octaves of length are few, so this table is small whatever the corpus
+    blocks = materialize(src.mapInArrow(_blocks(classifier()), SCHEMA), "blocks")
+    return decide(blocks).select(F.col("row").cast(pages.schema[page_id].dataType).alias(page_id), "stuffed", "words")
+
+
+def decide(blocks: DataFrame) -> DataFrame:
+    """(row, stuffed, words) of the cases among page_rows."""
     sentences = (F.col("ratio") > 0) & (F.col("function") >= FUNCTION) & (F.col("links") < 0.2)
-    usual = blocks.where(sentences & (F.col("lang") != "")).groupBy("lang", "size").agg(F.percentile_approx("ratio", 0.7, 1000).alias("usual"), F.count(F.lit(1)).alias("n"))
-    of_size = blocks.where(sentences).groupBy("size").agg(F.percentile_approx("ratio", 0.7, 1000).alias("any"))
-    known = blocks.join(F.broadcast(usual.where("n >= 20").drop("n")), ["lang", "size"], "left").join(F.broadcast(of_size), "size", "left")
-    expect = F.coalesce("usual", "any", F.lit(0.5))
+    seen = blocks.where(sentences).groupBy("lang", "size").agg(F.percentile_approx("ratio", 0.7, 1000).alias("usual"), F.count(F.lit(1)).alias("n"))
+    spark = blocks.sparkSession
+    expected = spark.createDataFrame(usual_ratios([tuple(r) for r in seen.collect()]), "lang string, size int, expect double")
+    known = blocks.join(F.broadcast(expected), ["lang", "size"])
+    expect = F.col("expect")
     relative = F.col("ratio") / expect
-    stuffed = (F.col("links") >= LINKED) | ((F.col("ratio") > 0) & ((relative < EXTREME) | ((relative < USUAL) & (F.col("function") < FUNCTION) & ((F.col("ends") < FEW_ENDS) | (relative < 0.85)))))
+    stuffed = (F.col("links") >= LINKED) | ((F.col("ratio") > 0) & ((relative < EXTREME) | ((relative < USUAL) & (F.col("function") < FUNCTION) & (F.col("ends") < FEW_ENDS))))
     per = known.groupBy("row").agg(F.sum(F.when(stuffed, F.col("words")).otherwise(0)).alias("stuffed"), F.sum("words").alias("words"))
-    found = per.where((F.col("words") >= MIN_WORDS) & (F.col("stuffed") > F.col("words") * SHARE))
-    return found.select(F.col("row").cast(pages.schema[page_id].dataType).alias(page_id), "stuffed", "words")
+    return per.where((F.col("words") >= MIN_WORDS) & (F.col("stuffed") > F.col("words") * SHARE))
