@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import blocks, encoding, leaks, packing, reading, repeats, residue, stuffing
+from webloom.llm import blocks, encoding, leaks, markup, packing, reading, repeats, residue, stuffing
 from webloom.session import table
 
 
@@ -39,6 +39,18 @@ def p5_main_text(spark: SparkSession, d: str) -> DataFrame:
     return blocks.main_text(table(spark, d, "crawled_data"))
 
 
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    return markup.find_in_plain_text(table(spark, d, "scraping_result")).unionByName(markup.find_in_markdown(table(spark, d, "crawled_data")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d).select("page_id", "field_name", "markup").distinct()
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, d, "crawled_data")).select("page_id").distinct()
 
@@ -70,7 +82,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_levels, p2_found, p3_found, p3_cleaned, p5_found, p5_main_text, p7_found, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_levels, p2_found, p3_found, p3_cleaned, p5_found, p5_main_text, p6_found, p6_clean, p7_found, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_restored)
 }
 
 _P3_LINES = r"""
