@@ -192,7 +192,7 @@ def parse_markdown(markdown: str) -> list[Line]:
 
 
 def match(lines: list[Line], blocks: list[Block]) -> None:
-    """Give each line the html block it came from: the same letters and digits, in order."""
+    """Give each line the html block it came from: the same letters and digits, in order; a block may hold several lines."""
     where: dict[str, list[int]] = {}
     for k, b in enumerate(blocks):
         where.setdefault(b.key, []).append(k)
@@ -202,6 +202,8 @@ def match(lines: list[Line], blocks: list[Block]) -> None:
         if found:
             k = next((x for x in found if x >= at), found[-1])
             line.block, at = blocks[k], max(at, k + 1)
+        elif len(line.key) >= 4:
+            line.block = next((b for b in blocks[max(0, at - 1) : at + 3] if line.key in b.key), None)
 
 
 KINDS = {"heading": 1, "list": 2, "table": 3, "quote": 4, "code": 5, "fence": 5, "plain": 6}
