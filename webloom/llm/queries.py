@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import blocks, encoding, leaks, markup, packing, reading, repeats, residue, stuffing
+from webloom.llm import blocks, encoding, leaks, markup, neardup, packing, reading, repeats, residue, stuffing
 from webloom.session import table
 
 
@@ -31,6 +31,14 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeats.remove_repeated_lines(pages).selectExpr("page_id", "removed_lines", "sha2(markdown, 256) AS text_hash")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.find_pairs(neardup.classes(table(spark, d, "crawled_data"), table(spark, d, "crawl_cache")))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(neardup.classes(table(spark, d, "crawled_data"), table(spark, d, "crawl_cache")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return blocks.find_boilerplate(table(spark, d, "crawled_data")).distinct()
 
@@ -82,7 +90,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_levels, p2_found, p3_found, p3_cleaned, p5_found, p5_main_text, p6_found, p6_clean, p7_found, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_levels, p2_found, p3_found, p3_cleaned, p4_found, p4_groups, p5_found, p5_main_text, p6_found, p6_clean, p7_found, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_restored)
 }
 
 _P3_LINES = r"""
