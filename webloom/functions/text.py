@@ -1,13 +1,132 @@
-"""Text functions over columns."""
+"""Text functions over columns: all built-in expressions, so they stay in generated code.
+
+White space is space, tab, newline, carriage return, vertical tab and form feed. Null in gives null out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WS = r"[\t\n\x0B\f\r ]"
+EDGE = r".,;:!?\"'()\[\]{}"
+EDGE_WIDE = EDGE + r"<>\-_/\\@#$%^&*+=~`"
+
+#: English stop words.
+STOP_WORDS = "a an the and or but in on at to for of is it be as was with by that this from are were been have has had not no do does did will would can could should may might i you he she we they me him her us them my your his its our their".split()
+
+#: The twenty commonest function words of each Latin-script language, in order of precedence.
+LANGUAGE_WORDS = {
+    "en": "the be to of and a in that have i it for not on with he as you do at",
+    "es": "de la que el en y a los se del las un por con no una su para es al",
+    "fr": "de la le et les des en un du une que est dans qui au ce il pas plus sur",
+    "de": "der die und in den von zu das mit sich des auf ist ein dem nicht eine als auch es",
+    "pt": "de a o que e do da em um para com uma os no se na por mais as dos",
+    "it": "di e il la in che un per del una dei le della con si da al lo sono gli",
+    "nl": "de het een van en in is dat op te voor zijn met die niet aan er maar ook als",
+    "ro": "de in la si cu din pe un ce mai care este nu se o pentru sau lui sunt dar",
+    "sv": "och i att en det som har med av den till var inte ett om jag han hade vid kan",
+    "da": "og i at en det er til den af som med har han var jeg ikke et hun blev kan",
+    "no": "og i det er en til som har med av den at ikke han var jeg et hun ble kan",
+    "pl": "i w na nie to jest sie z do jak ale ze co tak za od po ich ten tego",
+}
+#: Unicode ranges by script, in order of precedence, and the language a script stands for.
+SCRIPTS = {"latin": r"[\x{41}-\x{24F}&&\p{L}]", "cyrillic": r"[\x{400}-\x{4FF}&&\p{L}]", "cjk": r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}&&\p{L}]", "arabic": r"[\x{600}-\x{6FF}&&\p{L}]", "devanagari": r"[\x{900}-\x{97F}&&\p{L}]", "hangul": r"[\x{AC00}-\x{D7AF}&&\p{L}]"}
+SCRIPT_LANGUAGE = {"cyrillic": ("ru", 0.75), "arabic": ("ar", 0.75), "devanagari": ("hi", 0.75), "hangul": ("ko", 0.85)}
+
+
+def literals(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
 
 def html_to_text(html: Column) -> Column:
     """Visible text: script, style and noscript blocks and all tags become a space, white space runs one space."""
     for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<noscript[^>]*>.*?</noscript>", r"<[^>]*>"):
         html = F.regexp_replace(html, pattern, " ")
     return F.btrim(F.regexp_replace(html, r"[\t\n\f\r ]+", " "), F.lit(" "))
+
+
+def fields(text: Column) -> Column:
+    """Runs without white space."""
+    return F.filter(F.split(text, WS + "+"), lambda w: w != "")
+
+
+def words(text: Column, edge: str = EDGE_WIDE) -> Column:
+    """Lower-case runs without white space, without punctuation at their edges; what is then empty is out."""
+    cut = F.transform(fields(F.lower(text)), lambda w: F.regexp_replace(w, f"^[{edge}]+|[{edge}]+$", ""))
+    return F.filter(cut, lambda w: w != "")
+
+
+def content_words(tokens: Column, least: int = 3) -> Column:
+    """Tokens of at least so many bytes that are no stop words."""
+    return F.filter(tokens, lambda w: (F.octet_length(w) >= least) & ~F.array_contains(literals(STOP_WORDS), w))
+
+
+def sentence_marks(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[.!?]"))
+
+
+def paragraphs(text: Column) -> Column:
+    """Blocks of lines with more than white space."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.regexp_replace(x, WS, "") == "", F.lit("0")).otherwise(F.lit("1")))
+    return F.regexp_count(F.array_join(lines, ""), F.lit("1+"))
+
+
+def syllables(word: Column) -> Column:
+    """Vowel groups of a lower-case word, less silent endings, at least one."""
+    n = F.regexp_count(word, F.lit("[aeiouy]+"))
+    n = n - F.when(word.endswith("e") & ~word.endswith("le"), 1).otherwise(0)
+    n = n - F.when(word.rlike(r"[^td]ed$") & (F.octet_length(word) > 3), 1).otherwise(0)
+    return F.when(F.octet_length(word) <= 2, 1).otherwise(F.greatest(n, F.lit(1)))
+
+
+def readability(text: Column) -> Column:
+    """Struct of counts, the three classic scores (two decimals) and the reading level; zeros and '' without words."""
+    w = F.transform(fields(text), lambda x: F.lower(F.regexp_replace(x, f"^[{EDGE}]+|[{EDGE}]+$", "")))
+    syl = F.transform(w, syllables)
+    n, s = F.size(w), F.greatest(sentence_marks(text), F.lit(1))
+    total = F.aggregate(syl, F.lit(0), lambda a, b: a + b)
+    hard = F.size(F.filter(syl, lambda x: x >= 3))
+    per_sentence, per_word = n / s, total / n
+    kincaid = F.round(0.39 * per_sentence + 11.8 * per_word - 15.59, 2)
+    level = F.when(kincaid < 1, "kindergarten").when(kincaid < 6, "elementary").when(kincaid < 9, "middle_school").when(kincaid < 13, "high_school").when(kincaid < 17, "college").otherwise("graduate")
+    none = n == 0
+    return F.struct(
+        n.cast("int").alias("word_count"), F.when(none, 0).otherwise(s).cast("int").alias("sentence_count"), total.cast("int").alias("syllable_count"),
+        F.when(none, 0.0).otherwise(F.round(206.835 - 1.015 * per_sentence - 84.6 * per_word, 2)).alias("flesch_reading_ease"),
+        F.when(none, 0.0).otherwise(kincaid).alias("flesch_kincaid"), F.when(none, 0.0).otherwise(F.round(0.4 * (per_sentence + 100 * hard / n), 2)).alias("gunning_fog"),
+        F.when(none, "").otherwise(level).alias("reading_level"),
+    )
+
+
+def token_estimate(text: Column) -> Column:
+    """Words / 0.75, rounded up."""
+    return F.floor((F.size(fields(text)).cast("long") * 4 + 2) / 3).cast("long")
+
+
+def language(text: Column) -> Column:
+    """Struct language, confidence, script, by the script of the letters and, for Latin, by common words."""
+    counts = F.array(*[F.regexp_count(text, F.lit(pattern)) for pattern in SCRIPTS.values()])
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    top = F.array_max(counts)
+    # the first place of the greatest count decides ties
+    script = F.element_at(literals(list(SCRIPTS)), F.array_position(counts, top).cast("int"))
+    script = F.when(letters == 0, "unknown").when(top < 0.3 * letters, "latin").otherwise(script)
+    seen = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\-\x{AD}\x{2010}]+"))
+    hits = F.array(*[F.size(F.array_intersect(seen, literals(ws.split()))) for ws in LANGUAGE_WORDS.values()])
+    best = F.array_max(hits)
+    latin = F.when(best == 0, "unknown").otherwise(F.element_at(literals(list(LANGUAGE_WORDS)), F.array_position(hits, best).cast("int")))
+    lang = F.when(script == "cjk", F.when(text.rlike(r"[\x{3040}-\x{30FF}]"), "ja").otherwise("zh"))
+    confidence = F.when(script == "cjk", 0.8)
+    for name, (code, value) in SCRIPT_LANGUAGE.items():
+        lang, confidence = lang.when(script == name, code), confidence.when(script == name, value)
+    empty = F.regexp_replace(text, WS, "") == ""
+    return F.struct(
+        F.when(empty, "unknown").otherwise(lang.otherwise(latin)).alias("language"),
+        F.when(empty, 0.0).otherwise(confidence.otherwise(best / 20.0)).alias("confidence"),
+        F.when(empty, "unknown").otherwise(F.when(script == "unknown", "latin").otherwise(script)).alias("script"),
+    )
+
+
+def content_hash(text: Column) -> Column:
+    return F.sha2(text, 256)

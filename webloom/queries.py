@@ -1,23 +1,447 @@
-"""Queries of the engine's own operators and their SQL."""
+"""Queries of the engine's own operators, each over its whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.text import html_to_text
+from webloom.functions import patterns, text, urls
+from webloom.operators import chunks, diff, graph, rank, stats, vectors
 from webloom.session import table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_WS = r"[\t\n\v\f\r ]"
+_WIDE = r"""^[.,;:!?"''()\[\]{}<>\-_/\\@#$%^&*+=~`]+|[.,;:!?"''()\[\]{}<>\-_/\\@#$%^&*+=~`]+$"""
+_EDGE = r"""^[.,;:!?"''()\[\]{}]+|[.,;:!?"''()\[\]{}]+$"""
+_PART = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
+
+
+def _part(n: int, url: str = "url") -> str:
+    return f"regexp_extract({url}, {_PART}, {n})"
+
+
+def _host(url: str = "url") -> str:
+    return f"lower(regexp_replace(regexp_replace({_part(2, url)}, '^[^@]*@', ''), ':\\d*$', ''))"
+
+
+def _words(column: str, edge: str = _WIDE) -> str:
+    return f"list_filter(list_transform(list_filter(regexp_split_to_array(lower({column}), '{_WS}+'), lambda x: x <> ''), lambda x: regexp_replace(x, '{edge}', '', 'g')), lambda x: x <> '')"
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawled_data")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null")
+
+
+# ---- text ---------------------------------------------------------------------------------------------------
+
+
+_HTML_TEXT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\\t\\n\\f\\r ]+', ' ', 'g'), ' ')"
 
+
+@query(f"SELECT page_id, {_HTML_TEXT} AS text FROM crawled_data")
+def d1_html_to_text(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, {_words('text')} AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(len(w) AS INTEGER) AS word_count, CAST(len(list_distinct(list_filter(w, lambda x: strlen(x) >= 3 AND x NOT IN ({_STOP})))) AS INTEGER) AS unique_words, CAST(strlen(text) AS INTEGER) AS char_count,
+CAST(len(regexp_extract_all(text, '[.!?]')) AS INTEGER) AS sentence_count,
+CAST(len(regexp_extract_all(array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_replace(x, '{_WS}', '', 'g') = '' THEN '0' ELSE '1' END), ''), '1+')) AS INTEGER) AS paragraph_count FROM w""")
+def a1_word_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.word_stats(_docs(spark, d), "doc_id", "text")
+
+
+_TOP = "SELECT doc_id, term, count, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, term) AS rank FROM c) WHERE rank <= 10"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_words('text')}) AS term FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, term, count(*) AS count FROM w WHERE strlen(term) >= 3 AND term NOT IN ({_STOP}) GROUP BY ALL) {_TOP}""")
 def a1_top_words(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "crawled_data").where("html is not null").select("page_id", html_to_text(F.col("html")).alias("t"))
-    words = pages.select("page_id", F.explode(F.split(F.lower("t"), "[^a-z]+")).alias("word")).where("length(word) >= 3")
-    n = words.groupBy("page_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "word"))
-    return n.withColumn("rank", rank).where("rank <= 10")
+    return stats.top_terms(_docs(spark, d), "doc_id", "text", 10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"a1_top_words": a1_top_words}
-SQL: dict[str, str] = {}
+@query(f"""WITH w AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(list_zip(w[1:len(w)-1], w[2:])) AS p FROM w WHERE len(w) > 1),
+c AS (SELECT doc_id, p[1] || ' ' || p[2] AS term, count(*) AS count FROM p WHERE strlen(p[1]) >= 2 AND strlen(p[2]) >= 2 AND p[1] NOT IN ({_STOP}) AND p[2] NOT IN ({_STOP}) GROUP BY ALL) {_TOP}""")
+def a1_top_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return stats.top_terms(_docs(spark, d), "doc_id", "text", 10, bigrams=True)
+
+
+_SYL = "CASE WHEN strlen(x) <= 2 THEN 1 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN x LIKE '%e' AND x NOT LIKE '%le' THEN 1 ELSE 0 END - CASE WHEN regexp_matches(x, '[^td]ed$') AND strlen(x) > 3 THEN 1 ELSE 0 END) END"
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_transform(list_transform(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '{_EDGE}', '', 'g'))), lambda x: {_SYL}) AS s, greatest(1, len(regexp_extract_all(text, '[.!?]'))) AS sents FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, len(s) AS n, sents, CAST(coalesce(list_sum(s), 0) AS BIGINT) AS syl, len(list_filter(s, lambda x: x >= 3)) AS hard FROM w),
+r AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE round(0.39 * (n::DOUBLE / sents) + 11.8 * (syl::DOUBLE / n) - 15.59, 2) END AS fk FROM v)
+SELECT doc_id, CAST(n AS INTEGER) AS word_count, CAST(CASE WHEN n = 0 THEN 0 ELSE sents END AS INTEGER) AS sentence_count, CAST(syl AS INTEGER) AS syllable_count, fk AS flesch_kincaid,
+CASE WHEN n = 0 THEN 0.0 ELSE round(206.835 - 1.015 * (n::DOUBLE / sents) - 84.6 * (syl::DOUBLE / n), 2) END AS flesch_reading_ease, CASE WHEN n = 0 THEN 0.0 ELSE round(0.4 * (n::DOUBLE / sents + 100.0 * hard / n), 2) END AS gunning_fog,
+CASE WHEN n = 0 THEN '' WHEN fk < 1 THEN 'kindergarten' WHEN fk < 6 THEN 'elementary' WHEN fk < 9 THEN 'middle_school' WHEN fk < 13 THEN 'high_school' WHEN fk < 17 THEN 'college' ELSE 'graduate' END AS reading_level FROM r""")
+def a2_readability(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+def _language_sql() -> str:
+    hits = ", ".join(f"len(list_intersect(seen, [{', '.join(repr(w) for w in ws.split())}])) AS h_{k}" for k, ws in text.LANGUAGE_WORDS.items())
+    names = {"latin": "[A-Za-z\\x{AA}\\x{B5}\\x{BA}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]", "cyrillic": "[\\x{400}-\\x{481}\\x{48A}-\\x{4FF}]", "cjk": "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3041}-\\x{3096}\\x{309D}-\\x{309F}\\x{30A1}-\\x{30FA}\\x{30FC}-\\x{30FF}]"}
+    counts = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS n_{k}" for k, p in names.items())
+    best = f"greatest({', '.join(f'h_{k}' for k in text.LANGUAGE_WORDS)})"
+    latin = " ".join(f"WHEN h_{k} = {best} THEN '{k}'" for k in text.LANGUAGE_WORDS)
+    return f"""WITH a AS (SELECT doc_id, text, list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}\\-\\x{{AD}}\\x{{2010}}]+')) AS seen, len(regexp_extract_all(text, '\\p{{L}}')) AS letters, {counts} FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, {hits} FROM a), c AS (SELECT *, greatest(n_latin, n_cyrillic, n_cjk) AS top, {best} AS best FROM b),
+s AS (SELECT *, CASE WHEN regexp_replace(text, '{_WS}', '', 'g') = '' THEN 'unknown' WHEN letters = 0 OR top < 0.3 * letters OR n_latin = top THEN 'latin' WHEN n_cyrillic = top THEN 'cyrillic' ELSE 'cjk' END AS script FROM c)
+SELECT doc_id, CASE script WHEN 'unknown' THEN 'unknown' WHEN 'cjk' THEN CASE WHEN regexp_matches(text, '[\\x{{3040}}-\\x{{30FF}}]') THEN 'ja' ELSE 'zh' END WHEN 'cyrillic' THEN 'ru' ELSE CASE WHEN best = 0 THEN 'unknown' {latin} END END AS language,
+CASE script WHEN 'unknown' THEN 0.0 WHEN 'cjk' THEN 0.8 WHEN 'cyrillic' THEN 0.75 ELSE best / 20.0 END AS confidence, script FROM s"""
+
+
+@query(_language_sql())
+def c12_language(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.language(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+@query(f"SELECT doc_id, CAST(ceil(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) / 0.75) AS BIGINT) AS tokens, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
+def c15_tokens_and_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), text.content_hash(F.col("text")).alias("hash"))
+
+
+# ---- urls ---------------------------------------------------------------------------------------------------
+
+
+def _normal_sql(crawl: bool) -> str:
+    drop = ", ".join(f"'{p}'" for p in (urls.TRACKING_CRAWL if crawl else urls.TRACKING))
+    scheme = f"lower({_part(1)})" if crawl else _part(1)
+    place = f"CASE {scheme} WHEN 'http' THEN regexp_replace(lower({_part(2)}), ':80$', '') WHEN 'https' THEN regexp_replace(lower({_part(2)}), ':443$', '') ELSE lower({_part(2)}) END" if crawl else f"lower({_part(2)})"
+    chosen = "q" if crawl else "CASE WHEN len(kept) = len(pairs) THEN raw ELSE q END"
+    return f"""WITH a AS (SELECT DISTINCT url FROM crawled_data WHERE url IS NOT NULL UNION SELECT DISTINCT dst_url FROM site_links WHERE dst_url IS NOT NULL),
+p AS (SELECT url, {scheme} AS scheme, {place} AS place, regexp_replace({_part(3)}, '/+$', '') AS path, {_part(4)} AS raw, list_filter(string_split({_part(4)}, '&'), lambda x: x <> '') AS pairs FROM a),
+k AS (SELECT *, list_filter(pairs, lambda x: lower(split_part(x, '=', 1)) NOT IN ({drop})) AS kept FROM p),
+s AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(kept, lambda x: {{'k': split_part(x, '=', 1), 'v': CASE WHEN contains(x, '=') THEN x ELSE x || '=' END}})), lambda x: x.v), '&') AS q FROM k)
+SELECT url, scheme || '://' || place || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN {chosen} = '' THEN '' ELSE '?' || {chosen} END AS normal FROM s"""
+
+
+def _all_urls(spark: SparkSession, d: str) -> DataFrame:
+    one, two = _pages(spark, d).select("url"), table(spark, d, "site_links").select(F.col("dst_url").alias("url"))
+    return one.unionByName(two).where("url is not null").distinct()
+
+
+@query(_normal_sql(False))
+def c1_normalize_content(spark: SparkSession, d: str) -> DataFrame:
+    return _all_urls(spark, d).select("url", urls.normalize(F.col("url")).alias("normal"))
+
+
+@query(_normal_sql(True))
+def c2_normalize_crawl(spark: SparkSession, d: str) -> DataFrame:
+    return _all_urls(spark, d).select("url", urls.normalize(F.col("url"), "crawl").alias("normal"))
+
+
+_BASE = "regexp_replace({0}, '^www\\.', '')"
+
+
+@query(f"""SELECT DISTINCT src_url, dst_url, {_BASE.format(_host('src_url'))} AS base, NOT ({_BASE.format(_host('dst_url'))} = {_BASE.format(_host('src_url'))} OR {_BASE.format(_host('dst_url'))} LIKE '%.' || {_BASE.format(_host('src_url'))}) AS external FROM site_links WHERE src_url IS NOT NULL AND dst_url IS NOT NULL""")
+def c5_external_links(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "site_links").where("src_url is not null and dst_url is not null").select("src_url", "dst_url", urls.base_domain(F.col("src_url")).alias("base"))
+    return links.withColumn("external", urls.is_external(F.col("dst_url"), F.col("base"))).distinct()
+
+
+_EXT = f"lower(regexp_extract({_part(3)}, '\\.[^./]*$', 0))"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT url FROM crawled_data WHERE url IS NOT NULL UNION SELECT DISTINCT dst_url FROM site_links WHERE dst_url IS NOT NULL)
+SELECT url FROM a WHERE regexp_matches(url, '(?i).*/news/.*|2024.11') AND NOT ({_host()} = 'lanternquay-gazette.example' OR {_host()} LIKE '%.lanternquay-gazette.example') AND {_EXT} IN ('', '.html')""")
+def f1_filter_chain(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return _all_urls(spark, d).where(urls.matches_globs(u, ["*/news/*", "2024?11"]) & urls.domain_allowed(u, blocked=["lanternquay-gazette.example"]) & urls.extension_allowed(u, ["", ".html"]))
+
+
+def _scores_sql() -> str:
+    low = "lower(url)"
+    kw = f"(CAST(contains({low}, 'museum') AS INTEGER) + CAST(contains({low}, 'garden') AS INTEGER) + CAST(contains({low}, 'news') AS INTEGER)) / 3.0"
+    path = f"trim({_part(3)}, '/')"
+    depth = f"1.0 / (1.0 + abs(CASE WHEN {path} = '' THEN 0 ELSE len(string_split({path}, '/')) END - 2))"
+    ext = "CASE " + " ".join(f"WHEN {_EXT} = '{e}' THEN {v}" for e, v in urls.EXTENSION_SCORES.items()) + " ELSE 0.5 END"
+    year = f"try_cast(regexp_extract({_part(3)}, '(?:^|/)(\\d{{4}})[-/](\\d{{1,2}})(?:[-/](\\d{{1,2}}))?(?:/|$)', 1) AS INTEGER)"
+    fresh = "CASE WHEN y IS NULL OR y < 1990 OR y > 2026 THEN 0.5 WHEN 2025 - y = 0 THEN 1.0 WHEN 2025 - y = 1 THEN 0.8 WHEN 2025 - y = 2 THEN 0.6 WHEN 2025 - y <= 4 THEN 0.4 ELSE 0.2 END"
+    return f"""WITH a AS (SELECT DISTINCT url FROM crawled_data WHERE url IS NOT NULL UNION SELECT DISTINCT dst_url FROM site_links WHERE dst_url IS NOT NULL),
+s AS (SELECT url, round({kw}, 6) AS keyword, round({depth}, 6) AS depth, CAST({ext} AS DOUBLE) AS kind, {year} AS y FROM a), t AS (SELECT *, CAST({fresh} AS DOUBLE) AS freshness FROM s)
+SELECT url, CAST(keyword AS DOUBLE) AS keyword, CAST(depth AS DOUBLE) AS depth, kind, freshness, round((0.5 * keyword + 0.3 * depth + 0.2 * freshness) / 1.0, 6) AS score FROM t"""
+
+
+@query(_scores_sql())
+def r12_url_scores(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    one = _all_urls(spark, d).select("url", F.round(urls.keyword_score(u, ["museum", "garden", "news"]), 6).alias("keyword"), F.round(urls.depth_score(u), 6).alias("depth"), urls.content_type_score(u).alias("kind"), urls.freshness_score(u, 2025).alias("freshness"))
+    return one.withColumn("score", F.round(urls.composite_score([(F.col("keyword"), 0.5), (F.col("depth"), 0.3), (F.col("freshness"), 0.2)]), 6))
+
+
+# ---- patterns and block pages -------------------------------------------------------------------------------
+
+
+def _patterns_sql(names: list[str]) -> str:
+    parts = []
+    for n in names:
+        pattern, low, high = patterns.CATALOG[n]
+        parts.append(f"SELECT doc_id, '{n}' AS pattern, list_filter(regexp_extract_all(text, '{pattern}'), lambda v: strlen(v) BETWEEN {low} AND {high}) AS m FROM documents WHERE text IS NOT NULL")
+    return f"WITH a AS ({' UNION ALL '.join(parts)}) SELECT doc_id, pattern, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS value FROM a"
+
+
+@query(_patterns_sql(["email", "phone", "ipv4", "date_iso", "price"]))
+def x6_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.extract_patterns(_docs(spark, d).select("doc_id", "text"), "text", ["email", "phone", "ipv4", "date_iso", "price"]).drop("text")
+
+
+def _blocked_sql() -> str:
+    code = "html"
+    for p in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?is)<noscript[^>]*>.*?</noscript>"):
+        code = f"regexp_replace({code}, '{p}', ' ', 'g')"
+    head = "\n".join(f"WHEN regexp_matches(substr(html, 1, 15000), '{p}') THEN '{n}'" for p, n in patterns.BLOCK_ANY)
+    small = "\n".join(f"WHEN size < 10000 AND regexp_matches(html, '{p}') THEN '{n}'" for p, n in patterns.BLOCK_SMALL)
+    return f"""WITH c AS (SELECT url, max(status_code) AS status FROM crawl_cache GROUP BY url),
+p AS (SELECT page_id, coalesce(status, 0) AS status, coalesce(html, '') AS html FROM crawled_data LEFT JOIN c USING (url)),
+f AS (SELECT *, strlen(html) AS size, {code} AS code, NOT regexp_matches(html, '{patterns.CONTENT_TAGS}') AS bare FROM p),
+g AS (SELECT *, strlen(trim(regexp_replace(regexp_replace(code, '<[^>]*>', '', 'g'), '[\\t\\n\\f\\r ]+', ' ', 'g'), ' ')) AS visible FROM f),
+s AS (SELECT *, CAST(NOT regexp_matches(html, '(?i)<body') AS INTEGER) + CAST(visible < 50 AS INTEGER) + CAST(bare AS INTEGER) + CAST(regexp_matches(html, '(?i)<script[\\s>]') AND bare AND visible < 100 AS INTEGER) AS signals FROM g)
+SELECT page_id, CASE WHEN status = 429 THEN 'rate limited (429)' WHEN status IN (403, 503) AND NOT regexp_matches(html, '^[\\t\\n\\f\\r ]*(\\{{|\\[|<\\?xml)') THEN 'blocked (' || status || ')'
+{head} {small} WHEN status = 200 AND size < 100 THEN 'near-empty response' WHEN size < 50000 AND signals >= 2 THEN 'structural integrity failure' WHEN size < 50000 AND signals >= 1 AND size < 5000 THEN 'structural integrity failure (small page)' END AS reason FROM s"""
+
+
+@query(_blocked_sql())
+def f17_blocked(spark: SparkSession, d: str) -> DataFrame:
+    status = table(spark, d, "crawl_cache").groupBy("url").agg(F.max("status_code").alias("status"))
+    pages = _pages(spark, d).select("page_id", "url", "html").join(status, "url", "left")
+    return pages.select("page_id", patterns.blocked_reason(F.col("status"), F.col("html")).alias("reason"))
+
+
+# ---- chunks -------------------------------------------------------------------------------------------------
+
+
+_TRIM = f"list_filter(list_transform({{0}}, lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"
+_CHUNKS = "SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, unnest(c) AS chunk FROM a"
+
+
+@query(f"WITH a AS (SELECT doc_id, {_TRIM.format('list_transform(range(0, CAST(greatest(0, ceil((length(text) - 400) / 300)) AS BIGINT) + 1), lambda i: substr(text, i * 300 + 1, 400))')} AS c FROM documents WHERE text <> '') {_CHUNKS}")
+def h3_windows(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.explode_chunks(_docs(spark, d).select("doc_id", "text"), chunks.overlapping_windows(F.col("text"), 400, 100)).drop("text")
+
+
+_PARAS = _TRIM.format("regexp_split_to_array(text, '\\n')")
+
+
+@query(f"WITH b AS (SELECT doc_id, text, {_PARAS} AS p FROM documents WHERE text <> ''), a AS (SELECT doc_id, CASE WHEN len(p) = 0 THEN [text] ELSE p END AS c FROM b) {_CHUNKS}")
+def h6_regex_split(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.explode_chunks(_docs(spark, d).select("doc_id", "text"), chunks.regex_split(F.col("text"), "\n")).drop("text")
+
+
+_SENT = _TRIM.format(f"string_split(regexp_replace(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), '\\n', chr(1), 'g'), chr(1))")
+
+
+@query(f"WITH a AS (SELECT doc_id, {_SENT} AS c FROM documents WHERE text <> '') {_CHUNKS}")
+def h8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.explode_chunks(_docs(spark, d).select("doc_id", "text"), chunks.sentences(F.col("text"))).drop("text")
+
+
+_FIELDS = f"list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')"
+
+
+@query(f"WITH w AS (SELECT doc_id, {_FIELDS} AS w FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, list_transform(range(0, CAST(ceil(len(w) / 100) AS BIGINT)), lambda i: array_to_string(w[i * 100 + 1:i * 100 + 100], ' ')) AS c FROM w) {_CHUNKS}")
+def h10_fixed_words(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.explode_chunks(_docs(spark, d).select("doc_id", "text"), chunks.word_windows(F.col("text"), 100)).drop("text")
+
+
+@query(f"WITH w AS (SELECT doc_id, {_FIELDS} AS w FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, list_transform(range(0, CAST(ceil(len(w) / 50) AS BIGINT)), lambda i: array_to_string(w[i * 50 + 1:i * 50 + 50], ' ')) AS c FROM w) {_CHUNKS}")
+def h12_sections(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.explode_chunks(_docs(spark, d).select("doc_id", "text"), chunks.word_windows(F.col("text"), 50)).drop("text")
+
+
+@query()
+def h2_fixed_size(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.greedy_chunks(_docs(spark, d).select("doc_id", "text"), "text", "fixed_size", size=500, overlap=50).drop("text")
+
+
+@query()
+def h1_token_aware(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d).where("markdown is not null").select("page_id", "markdown")
+    return chunks.greedy_chunks(pages, "markdown", "token_aware", max_tokens=256, overlap=32).drop("markdown")
+
+
+@query()
+def h5_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.greedy_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), "markdown", "markdown", max_chars=1500).drop("markdown")
+
+
+@query()
+def h9_topics(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.explode_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), chunks.topics(F.col("markdown"))).drop("markdown")
+
+
+# ---- joins, differences, cache ------------------------------------------------------------------------------
+
+
+_LATEST = "SELECT url, markdown FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {0}) AS r FROM {1}) WHERE r = 1 AND markdown IS NOT NULL"
+_LINES = f"SELECT url, line, count(*) AS n FROM (SELECT url, regexp_replace(unnest(string_split(markdown, chr(10))), '^{_WS}+|{_WS}+$', '', 'g') AS line FROM {{0}}) WHERE line <> '' GROUP BY ALL"
+
+
+def _latest(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """The newest row of each url, without a window: the greatest of (order, columns) structs, combined before the shuffle."""
+    newest = df.groupBy("url").agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("m"))
+    return newest.select("url", *[f"m.{c}" for c in columns])
+
+
+@query(f"""WITH o AS ({_LATEST.format('cache_id DESC', 'crawl_cache')}), n AS ({_LATEST.format('page_id DESC', 'crawled_data')}),
+a AS ({_LINES.format('o')}), b AS ({_LINES.format('n')}), k AS (SELECT url FROM o JOIN n USING (url)),
+j AS (SELECT coalesce(a.url, b.url) AS url, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b ON a.url = b.url AND a.line = b.line),
+s AS (SELECT url, sum(greatest(y - x, 0)) AS added, sum(greatest(x - y, 0)) AS removed, sum(least(x, y)) AS unchanged, sum(CAST(x > 0 AS INTEGER) + CAST(y > 0 AS INTEGER)) AS kinds FROM j GROUP BY url)
+SELECT url, CAST(coalesce(added, 0) AS BIGINT) AS added, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(unchanged, 0) AS BIGINT) AS unchanged, CASE WHEN coalesce(kinds, 0) > 0 THEN round(2.0 * unchanged / kinds, 6) ELSE 0.0 END AS similarity FROM k LEFT JOIN s USING (url)""")
+def u2_line_diff(spark: SparkSession, d: str) -> DataFrame:
+    old = _latest(table(spark, d, "crawl_cache"), ["cache_id"], ["cache_id", "markdown"])
+    new = _latest(_pages(spark, d), ["page_id"], ["page_id", "markdown"])
+    return diff.line_diff(old, new, "url", "markdown")
+
+
+@query("SELECT DISTINCT dst_url AS url FROM site_links WHERE dst_url IS NOT NULL AND dst_url NOT IN (SELECT url FROM crawled_data WHERE url IS NOT NULL)")
+def j1_undiscovered(spark: SparkSession, d: str) -> DataFrame:
+    return graph.discover(table(spark, d, "site_links"), _pages(spark, d).select("url").distinct())
+
+
+@query("SELECT c.cache_id, c.url, p.page_id, p.success FROM crawl_cache c LEFT JOIN (SELECT url, max(page_id) AS page_id, max_by(success, page_id) AS success FROM crawled_data GROUP BY url) p ON c.url = p.url")
+def j8_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    pages = _latest(_pages(spark, d).where("url is not null"), ["page_id"], ["page_id", "success"])
+    return table(spark, d, "crawl_cache").select("cache_id", "url").join(pages, "url", "left").select("cache_id", "url", "page_id", "success")
+
+
+@query("SELECT url, max_by(cache_id, (fetched_at, cache_id)) AS cache_id, max(fetched_at) AS fetched_at, count(*) AS versions FROM crawl_cache WHERE url IS NOT NULL AND fetched_at IS NOT NULL GROUP BY url")
+def s15_cache_upsert(spark: SparkSession, d: str) -> DataFrame:
+    cache = table(spark, d, "crawl_cache").where("url is not null and fetched_at is not null")
+    return cache.groupBy("url").agg(F.max(F.struct("fetched_at", "cache_id")).alias("m"), F.count(F.lit(1)).alias("versions")).select("url", "m.cache_id", "m.fetched_at", "versions")
+
+
+# ---- aggregates ---------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {_host()} AS host, count(*) AS pages, count(*) FILTER (WHERE NOT success) AS failed, count(DISTINCT url) AS urls, CAST(sum(strlen(html)) AS BIGINT) AS bytes, max(cached_at) AS last FROM crawled_data WHERE url IS NOT NULL GROUP BY ALL")
+def a3_crawl_stats(spark: SparkSession, d: str) -> DataFrame:
+    p = _pages(spark, d).where("url is not null").select(urls.host(F.col("url")).alias("host"), "url", "success", F.octet_length("html").alias("b"), "cached_at")
+    # two steps, so that a host with a large share of all rows is counted in parts
+    per_url = p.groupBy("host", "url").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("f"), F.sum("b").alias("b"), F.max("cached_at").alias("t"))
+    return per_url.groupBy("host").agg(F.sum("n").alias("pages"), F.sum("f").alias("failed"), F.count("url").alias("urls"), F.sum("b").alias("bytes"), F.max("t").alias("last"))
+
+
+@query(f"WITH a AS (SELECT {_BASE.format(_host())} AS domain, CASE WHEN success THEN 1.0 ELSE 0.2 END AS q FROM crawled_data WHERE url IS NOT NULL) SELECT domain, count(q) AS pages, round(avg(q), 6) AS mean, round(avg(q) * (1 + 0.1 * log2(count(q) + 1)), 6) AS score FROM a GROUP BY ALL")
+def a5_domain_authority(spark: SparkSession, d: str) -> DataFrame:
+    p = _pages(spark, d).where("url is not null").select(urls.base_domain(F.col("url")).alias("domain"), F.when(F.col("success"), 1.0).otherwise(0.2).alias("q"))
+    return stats.domain_authority(p, "domain", "q")
+
+
+@query("SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value), 4) AS total, max(ts) AS last FROM events GROUP BY user_id")
+def a6_monitor(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("total"), F.max("ts").alias("last"))
+
+
+_TERMS = f"SELECT doc_id, unnest({_words('text')}) AS term FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"WITH w AS ({_TERMS}) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w WHERE strlen(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term")
+def a7_term_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return stats.term_statistics(_docs(spark, d), "doc_id", "text")
+
+
+@query(f"WITH w AS ({_TERMS}), n AS (SELECT count(*) AS docs FROM documents WHERE text IS NOT NULL), t AS (SELECT term, count(*) / max(docs) AS r FROM w, n WHERE strlen(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term) SELECT round(1 / (1 + stddev_pop(r) / avg(r)), 6) AS consistency FROM t")
+def a9_consistency(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return stats.consistency(stats.term_statistics(docs, "doc_id", "text"), docs.count())
+
+
+@query(f"WITH w AS ({_TERMS}), f AS (SELECT term, min(doc_id) AS doc_id FROM w WHERE strlen(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term) SELECT doc_id, count(*) AS terms FROM f GROUP BY doc_id")
+def a13_new_terms(spark: SparkSession, d: str) -> DataFrame:
+    return stats.new_terms(_docs(spark, d), "doc_id", "text", "doc_id")
+
+
+# ---- relevance, vectors, traversal --------------------------------------------------------------------------
+
+
+_QUERY = "river museum winter schedule"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM t), q AS (SELECT unnest(['{"', '".join(sorted(_QUERY.split()))}']) AS term),
+h AS (SELECT doc_id, len(t) AS l, term, len(list_filter(t, lambda x: x = term)) AS tf FROM t, q), d AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY term)
+SELECT doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * l / mean))), 6) AS score FROM h JOIN d USING (term), n WHERE tf > 0 GROUP BY doc_id""")
+def r1_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return rank.bm25(_docs(spark, d), "doc_id", "text", _QUERY)
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL),
+q AS (SELECT unnest(['{"', '".join(_QUERY.split())}']) AS term), h AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = term)) AS tf FROM t, q)
+SELECT doc_id, round(sum(CASE WHEN tf > 0 THEN ln(2.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / 100.0)) ELSE 0 END), 6) AS score FROM h GROUP BY doc_id""")
+def f24_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", rank.relevance(F.col("text"), _QUERY).alias("score"))
+
+
+@query()
+def r19_nearest(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return vectors.nearest(v, v.where("vec_id % 50 = 0"), 5)
+
+
+@query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM e GROUP BY ALL""")
+def a18_shape(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.shape(table(spark, d, "embeddings"), "label")
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.label, 1 - list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id),
+n AS (SELECT label, count(*) AS vectors FROM e GROUP BY label) SELECT n.label, vectors, round(coalesce(avg(s), 0), 6) AS spread FROM n LEFT JOIN p ON n.label = p.label GROUP BY ALL""")
+def a14_spread(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.spread(table(spark, d, "embeddings"), "label")
+
+
+_SEED = "SELECT min(url) AS url FROM crawled_data WHERE url LIKE 'https://lanternquay-gazette.example/%'"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src_url, dst_url FROM site_links WHERE src_url IS NOT NULL AND dst_url IS NOT NULL),
+b(url, depth) AS (SELECT url, 0 FROM ({_SEED}) WHERE url IS NOT NULL UNION SELECT e.dst_url, b.depth + 1 FROM b JOIN e ON b.url = e.src_url WHERE b.depth < 4)
+SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY url""")
+def t2_breadth_first(spark: SparkSession, d: str) -> DataFrame:
+    seeds = _pages(spark, d).where("url like 'https://lanternquay-gazette.example/%'").agg(F.min("url").alias("url"))
+    return graph.breadth_first(table(spark, d, "site_links"), seeds, 4)
+
+
+@query()
+def t4_best_first(spark: SparkSession, d: str) -> DataFrame:
+    seeds = _pages(spark, d).where("url like 'https://lanternquay-gazette.example/%'").agg(F.min("url").alias("url"))
+    u = F.col("url")
+    score = urls.composite_score([(urls.keyword_score(u, ["museum", "garden"]), 0.6), (urls.depth_score(u), 0.4)])
+    return graph.best_first(table(spark, d, "site_links"), seeds, score, max_pages=30)
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' THEN 429 WHEN value < 20 THEN 404 ELSE 200 END AS s FROM events) SELECT user_id, count(*) AS responses, count(*) FILTER (WHERE s = 429) AS limited FROM e GROUP BY user_id""")
+def w2_rate_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _responses(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("responses"), F.count_if(F.col("status") == 429).alias("limited"))
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("value") < 20, 404).otherwise(200)
+    return table(spark, d, "events").select("user_id", "ts", "event_id", status.alias("status"))
+
+
+@query()
+def w2_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    return stats.delay_after(_responses(spark, d).withColumn("o", F.struct("ts", "event_id")), "user_id", "o", "status")
