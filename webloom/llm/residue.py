@@ -33,7 +33,7 @@ ERROR = _pattern(
     r"""\b[45]\d\d\b.{0,12}\b(error|not found|no such|something|forbidden|unavailable|bad gateway)|\b(http|error|fehler|erreur|erro|błąd|ошибка)\W{0,3}(error|code|fehler|status)?\W{0,3}\d{3,6}$|^\W*[45]\d\d\W*$
     |\b(page|file|document|address|resource|url|link|content)\b.{0,50}\b(not found|could not be found|cannot be found|can ?not be displayed|no longer exists?|does ?n[o’']t exist|was not found|is broken|leads nowhere|has moved|moved or)\b|not found\W*$|no such page|link is broken|not available in your (area|region|country)
     |access( to .{1,30})?( is| was)? denied|permission denied|forbidden|unauthori[sz]ed|session has (expired|timed out)|log in again|(account|site) has been suspended|down for maintenance|under maintenance|something went wrong|internal server error|bad gateway|gateway time-?out|service (is )?(temporarily )?unavailable|temporarily unable|too many requests|database connection|connection (timed out|refused|was reset)|try again (in|later)
-    |introuvable|n[’']existe (pas|plus)|accès (refusé|interdit)|indisponible|erreur (interne|du serveur)|session a expiré|maintenance en cours
+    |ne mène nulle part|introuvable|n[’']existe (pas|plus)|accès (refusé|interdit)|indisponible|erreur (interne|du serveur)|session a expiré|maintenance en cours
     |nicht gefunden|nicht (mehr )?(erreichbar|verfügbar|vorhanden)|gibt es (leider )?nicht|zugriff (verweigert|gesperrt)|sitzung ist abgelaufen|wartungsarbeiten|serverfehler
     |no (se )?(encontrad|encuentra|existe)|página no|no existe|acceso denegado|no está disponible|sesión ha (caducado|expirado)|error (interno|del servidor)|en mantenimiento
     |não (foi )?(encontrad|existe)|acesso negado|indisponível|sessão expirou|nie (znaleziono|istnieje|została znaleziona)|brak dostępu|odmowa dostępu|niedostępn|sesja wygasła|не найден|не существует|доступ (запрещ|закрыт)|недоступ|сессия истекла
@@ -48,7 +48,7 @@ SCRIPT = _pattern(
     re.I,
 )
 FILLER = _pattern(
-    r"""\b(text|heading|headline|title|content|copy|description|image|name|headings?|caption|subtitle)\b.{0,25}\b(goes|go) here\b|\b(sample|dummy|placeholder|example|demo|filler) (text|copy|paragraph|page|content|heading|title)\b|please replace|\b(type|write|add|enter|insert|put) (your|some) (own )?(headline|text|title|content|name|copy|heading)|description of the (image|product|item)|^\W*(tbd|tba|todo|coming soon|untitled( document)?|lorem ipsum)\b\W*$|\b(asdf|qwerty?|jkl)\b.*\b(asdf|jkl|qwer\w*)\b|^\W*(xxx+\W*)+$|^\W*(test\W+){2,}[\d\W]*$|for layout only
+    r"""\b(text|heading|headline|title|content|copy|description|image|name|headings?|caption|subtitle)\b.{0,25}\b(goes|go) here\b|\b(sample|dummy|placeholder|example|demo|filler) (text|copy|paragraph|page|content|heading|title)\b|please replace|\b(type|write|add|enter|insert|put) (your|some) (own )?(headline|text|title|content|name|copy|heading)|description of the (image|product|item)|^\W*(tbd|tba|todo|coming soon|untitled( document)?|lorem ipsum)\b\W*$|\b(asdf|qwerty?|jkl)\b.*\b(asdf|jkl|qwer\w*)\b|\b(xxx+\W+){2,}|^\W*(xxx+\W*)+$|\b(test\W+){2,}\d|^\W*(test\W*){2,}$|for layout only
     |texte? (provisoire|d[’']exemple|factice)|à remplacer|(hier|an dieser stelle) (steht|kommt|folgt).{0,20}text|beispieltext|platzhalter|blindtext|texto de (ejemplo|prueba|relleno|exemplo)|aquí va|aqui vai|przykładowy tekst|tekst zastępczy|здесь будет текст|пример текста""",
     re.I,
 )
