@@ -5,6 +5,8 @@ White space is space, tab, newline, carriage return, vertical tab and form feed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,29 +106,37 @@ def token_estimate(text: Column) -> Column:
     return F.floor((F.size(fields(text)).cast("long") * 4 + 2) / 3).cast("long")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def language(text: Column) -> Column:
     """Struct language, confidence, script, by the script of the letters and, for Latin, by common words."""
-    counts = F.array(*[F.regexp_count(text, F.lit(pattern)) for pattern in SCRIPTS.values()])
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    top = F.array_max(counts)
-    # the first place of the greatest count decides ties
-    script = F.element_at(literals(list(SCRIPTS)), F.array_position(counts, top).cast("int"))
-    script = F.when(letters == 0, "unknown").when(top < 0.3 * letters, "latin").otherwise(script)
     seen = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\-\x{AD}\x{2010}]+"))
-    hits = F.array(*[F.size(F.array_intersect(seen, literals(ws.split()))) for ws in LANGUAGE_WORDS.values()])
-    best = F.array_max(hits)
-    latin = F.when(best == 0, "unknown").otherwise(F.element_at(literals(list(LANGUAGE_WORDS)), F.array_position(hits, best).cast("int")))
-    lang = F.when(script == "cjk", F.when(text.rlike(r"[\x{3040}-\x{30FF}]"), "ja").otherwise("zh"))
-    confidence = F.when(script == "cjk", 0.8)
-    for name, (code, value) in SCRIPT_LANGUAGE.items():
-        lang, confidence = lang.when(script == name, code), confidence.when(script == name, value)
-    empty = F.regexp_replace(text, WS, "") == ""
-    return F.struct(
-        F.when(empty, "unknown").otherwise(lang.otherwise(latin)).alias("language"),
-        F.when(empty, 0.0).otherwise(confidence.otherwise(best / 20.0)).alias("confidence"),
-        F.when(empty, "unknown").otherwise(F.when(script == "unknown", "latin").otherwise(script)).alias("script"),
+    facts = F.struct(
+        F.array(*[F.regexp_count(text, F.lit(pattern)) for pattern in SCRIPTS.values()]).alias("counts"), F.regexp_count(text, F.lit(r"\p{L}")).alias("letters"),
+        let(seen, lambda x: F.array(*[F.size(F.array_intersect(x, literals(ws.split()))) for ws in LANGUAGE_WORDS.values()])).alias("hits"),
+        text.rlike(r"[\x{3040}-\x{30FF}]").alias("kana"), (F.regexp_replace(text, WS, "") == "").alias("empty"),
     )
 
+    def decide(f: Column) -> Column:
+        top, best = F.array_max(f["counts"]), F.array_max(f["hits"])
+        # the first place of the greatest count decides ties
+        named = F.element_at(literals(list(SCRIPTS)), F.array_position(f["counts"], top).cast("int"))
+        script = F.when(f["empty"], "unknown").when((f["letters"] == 0) | (top < 0.3 * f["letters"]), "latin").otherwise(named)
+        latin = F.when(best == 0, "unknown").otherwise(F.element_at(literals(list(LANGUAGE_WORDS)), F.array_position(f["hits"], best).cast("int")))
+        return F.struct(script.alias("script"), latin.alias("latin"), (best / 20.0).alias("share"), f["kana"].alias("kana"))
+
+    def name(r: Column) -> Column:
+        lang = F.when(r["script"] == "unknown", "unknown").when(r["script"] == "cjk", F.when(r["kana"], "ja").otherwise("zh"))
+        confidence = F.when(r["script"] == "unknown", 0.0).when(r["script"] == "cjk", 0.8)
+        for script, (code, value) in SCRIPT_LANGUAGE.items():
+            lang, confidence = lang.when(r["script"] == script, code), confidence.when(r["script"] == script, value)
+        return F.struct(lang.otherwise(r["latin"]).alias("language"), confidence.otherwise(r["share"]).alias("confidence"), r["script"].alias("script"))
+
+    return let(let(facts, decide), name)
+
 
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)

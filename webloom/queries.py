@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import patterns, text, urls
-from webloom.operators import chunks, diff, graph, rank, stats, vectors
+from webloom.operators import chunks, diff, graph, pages, rank, stats, vectors
 from webloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,8 +227,8 @@ SELECT page_id, CASE WHEN status = 429 THEN 'rate limited (429)' WHEN status IN
 @query(_blocked_sql())
 def f17_blocked(spark: SparkSession, d: str) -> DataFrame:
     status = table(spark, d, "crawl_cache").groupBy("url").agg(F.max("status_code").alias("status"))
-    pages = _pages(spark, d).select("page_id", "url", "html").join(status, "url", "left")
-    return pages.select("page_id", patterns.blocked_reason(F.col("status"), F.col("html")).alias("reason"))
+    src = _pages(spark, d).select("page_id", "url", "html").join(status, "url", "left")
+    return src.select("page_id", patterns.blocked_reason(F.col("status"), F.col("html")).alias("reason"))
 
 
 # ---- chunks -------------------------------------------------------------------------------------------------
@@ -279,8 +279,8 @@ def h2_fixed_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def h1_token_aware(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d).where("markdown is not null").select("page_id", "markdown")
-    return chunks.greedy_chunks(pages, "markdown", "token_aware", max_tokens=256, overlap=32).drop("markdown")
+    src = _pages(spark, d).where("markdown is not null").select("page_id", "markdown")
+    return chunks.greedy_chunks(src, "markdown", "token_aware", max_tokens=256, overlap=32).drop("markdown")
 
 
 @query()
@@ -324,8 +324,8 @@ def j1_undiscovered(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c.cache_id, c.url, p.page_id, p.success FROM crawl_cache c LEFT JOIN (SELECT url, max(page_id) AS page_id, max_by(success, page_id) AS success FROM crawled_data GROUP BY url) p ON c.url = p.url")
 def j8_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
-    pages = _latest(_pages(spark, d).where("url is not null"), ["page_id"], ["page_id", "success"])
-    return table(spark, d, "crawl_cache").select("cache_id", "url").join(pages, "url", "left").select("cache_id", "url", "page_id", "success")
+    newest = _latest(_pages(spark, d).where("url is not null"), ["page_id"], ["page_id", "success"])
+    return table(spark, d, "crawl_cache").select("cache_id", "url").join(newest, "url", "left").select("cache_id", "url", "page_id", "success")
 
 
 @query("SELECT url, max_by(cache_id, (fetched_at, cache_id)) AS cache_id, max(fetched_at) AS fetched_at, count(*) AS versions FROM crawl_cache WHERE url IS NOT NULL AND fetched_at IS NOT NULL GROUP BY url")
@@ -445,3 +445,54 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def w2_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return stats.delay_after(_responses(spark, d).withColumn("o", F.struct("ts", "event_id")), "user_id", "o", "status")
+
+
+# ---- pages --------------------------------------------------------------------------------------------------
+
+
+def _parsed(spark: SparkSession, d: str, *parts: str) -> DataFrame:
+    return pages.crawl_pages(_pages(spark, d), list(parts))
+
+
+@query()
+def d8_links(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d, "links").select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "l.href", "l.text", "l.is_external")
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM crawled_data WHERE html NOT LIKE '%&%' OR regexp_extract(html, '(?s)<title>(.*?)</title>', 1) NOT LIKE '%&%'")
+def d10_metadata(spark: SparkSession, d: str) -> DataFrame:
+    plain = _pages(spark, d).where(~F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).contains("&"))
+    return pages.crawl_pages(plain, ["metadata"]).select("page_id", "metadata.title", "metadata.language")
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a[ >]')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '<script[ >]')) AS INTEGER) AS scripts, CAST(len(regexp_extract_all(html, '<nav[ >]')) AS INTEGER) AS navs, html LIKE '%<main>%' AS has_main, html LIKE '%<article>%' AS has_article FROM crawled_data WHERE html NOT LIKE '%<pre>%'")
+def d21_structure(spark: SparkSession, d: str) -> DataFrame:
+    plain = _pages(spark, d).where("html not like '%<pre>%'")
+    return pages.crawl_pages(plain, ["structure"]).select("page_id", "structure.links", "structure.scripts", "structure.navs", "structure.has_main", "structure.has_article")
+
+
+@query()
+def d12_tables(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d, "tables").select("page_id", F.posexplode("tables").alias("pos", "t")).select("page_id", "pos", F.size("t.headers").alias("columns"), F.size("t.rows").alias("rows"), "t.score", "t.is_data_table")
+
+
+@query()
+def d3_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d, "markdown")
+
+
+@query()
+def f19_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d, "fit_html")
+
+
+@query()
+def x2_css_records(spark: SparkSession, d: str) -> DataFrame:
+    schema = {"base": "ul > li", "fields": [{"name": "label", "selector": "a", "type": "text"}, {"name": "target", "selector": "a", "type": "attribute", "attribute": "href"}]}
+    return pages.extract_records(_pages(spark, d), schema)
+
+
+@query()
+def x4_xpath_records(spark: SparkSession, d: str) -> DataFrame:
+    schema = {"base": "//table//tr", "fields": [{"name": "first", "selector": "td[1]", "type": "text"}, {"name": "last", "selector": "td[last()]", "type": "text"}]}
+    return pages.extract_records(_pages(spark, d), schema, "xpath")
