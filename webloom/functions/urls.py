@@ -150,3 +150,17 @@ def composite_score(parts: list[tuple[Column, float]]) -> Column:
 def is_fetchable(url: Column) -> Column:
     """http or https, and a host with a dot."""
     return F.lower(part(url, 1)).isin("http", "https") & part(url, 2).contains(".")
+
+
+#: Files and paths that hold no content.
+UTILITY_FILES = "ads.txt humans.txt security.txt .well-known/security.txt crossdomain.xml browserconfig.xml manifest.json apple-app-site-association .well-known/apple-app-site-association favicon.ico apple-touch-icon.png android-chrome-192x192.png".split()
+UTILITY_PATHS = "/wp-admin /wp-includes /wp-content/uploads /admin /login /signin /signup /register /checkout /cart /account /profile /search /404 /error /.git /.svn /.hg /cgi-bin /scripts /includes".split()
+
+
+def is_nonsense(url: Column) -> Column:
+    """A url that can't lead to content: robots and sitemap files, utility files and paths, print versions, stubs."""
+    path, low = F.lower(part(url, 3)), F.lower(url)
+    out = path.rlike(r"/(robots\.txt|sitemap\.xml|sitemap_index\.xml)$") | (path.contains("/sitemap") & path.rlike(r"(\.xml|\.xml\.gz|\.txt)$"))
+    out = out | path.rlike("/(" + "|".join(re.escape(f) for f in UTILITY_FILES) + ")$") | path.rlike(r"/\.")
+    out = out | path.rlike("|".join(re.escape(p) for p in UTILITY_PATHS)) | low.rlike(r"[?&]print=|/print/|_print\.")
+    return out | ((F.char_length(F.btrim(path, F.lit("/"))) < 3) & ~path.isin("/", "/en", "/de", "/fr", "/es", "/it"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import patterns, text, urls
 from webloom.operators import chunks, diff, graph, pages, rank, stats, vectors
+from webloom.plans import pipelines
 from webloom.session import table
+from webloom.sources import crawl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -496,3 +498,105 @@ def x2_css_records(spark: SparkSession, d: str) -> DataFrame:
 def x4_xpath_records(spark: SparkSession, d: str) -> DataFrame:
     schema = {"base": "//table//tr", "fields": [{"name": "first", "selector": "td[1]", "type": "text"}, {"name": "last", "selector": "td[last()]", "type": "text"}]}
     return pages.extract_records(_pages(spark, d), schema, "xpath")
+
+
+# ---- more of the crawl --------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CAST(len(p) AS INTEGER) AS kept, sha256(array_to_string(p, chr(10) || chr(10))) AS hash FROM (SELECT page_id, list_filter(string_split(markdown, chr(10) || chr(10)), lambda p: trim(p, ' ' || chr(9) || chr(10)) <> '' AND (trim(p, ' ' || chr(9) || chr(10)) LIKE '#%' OR (CAST(contains(lower(p), 'river') AS INTEGER) + CAST(contains(lower(p), 'garden') AS INTEGER)) / 2.0 >= 0.5)) AS p FROM crawled_data WHERE markdown IS NOT NULL)")
+def d7_fit_markdown(spark: SparkSession, d: str) -> DataFrame:
+    blank = lambda p: F.btrim(p, F.lit(" \t\n"))
+    good = lambda p: (blank(p) != "") & (blank(p).startswith("#") | ((F.lower(p).contains("river").cast("int") + F.lower(p).contains("garden").cast("int")) / 2.0 >= 0.5))
+    one = _pages(spark, d).where("markdown is not null").select("page_id", F.filter(F.split("markdown", "\n\n"), good).alias("p"))
+    return one.select("page_id", F.size("p").alias("kept"), text.content_hash(F.array_join("p", "\n\n")).alias("hash"))
+
+
+@query(r"WITH m AS (SELECT page_id, regexp_extract_all(markdown, '\]\(([^()\s#][^()\s]*)\)', 1) AS l FROM crawled_data WHERE markdown IS NOT NULL), e AS (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) AS pos FROM m), f AS (SELECT page_id, url, min(pos) AS pos FROM e GROUP BY ALL) SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS ref FROM f")
+def d4_references(spark: SparkSession, d: str) -> DataFrame:
+    found = F.array_distinct(F.regexp_extract_all("markdown", F.lit(r"\]\(([^()\s#][^()\s]*)\)"), F.lit(1)))
+    return _pages(spark, d).where("markdown is not null").select("page_id", F.posexplode(found).alias("pos", "url")).select("page_id", "url", (F.col("pos") + 1).alias("ref"))
+
+
+def _nonsense_sql() -> str:
+    import re
+
+    path = f"lower({_part(3)})"
+    files, paths = "|".join(re.escape(f) for f in urls.UTILITY_FILES), "|".join(re.escape(p) for p in urls.UTILITY_PATHS)
+    return f"""SELECT DISTINCT dst_url AS url, regexp_matches(p, '/(robots\\.txt|sitemap\\.xml|sitemap_index\\.xml)$') OR (contains(p, '/sitemap') AND regexp_matches(p, '(\\.xml|\\.xml\\.gz|\\.txt)$')) OR regexp_matches(p, '/({files})$') OR regexp_matches(p, '/\\.') OR regexp_matches(p, '{paths}')
+OR regexp_matches(lower(dst_url), '[?&]print=|/print/|_print\\.') OR (length(trim(p, '/')) < 3 AND p NOT IN ('/', '/en', '/de', '/fr', '/es', '/it')) AS nonsense FROM (SELECT dst_url, {path.replace('url,', 'dst_url,')} AS p FROM site_links WHERE dst_url IS NOT NULL)"""
+
+
+@query(_nonsense_sql())
+def f12_nonsense(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "site_links").where("dst_url is not null").select(F.col("dst_url").alias("url")).distinct().withColumn("nonsense", urls.is_nonsense(F.col("url")))
+
+
+_CONFIGS = [("https://lanternquay-gazette.example/news", "front"), ("lanternquay-gazette.example", "gazette"), ("https://*/guide/*", "guides")]
+
+
+@query(f"WITH a AS (SELECT DISTINCT url FROM crawled_data WHERE url IS NOT NULL) SELECT url, CASE WHEN url LIKE 'https://lanternquay-gazette.example/news%' THEN 'front' WHEN {_host()} = 'lanternquay-gazette.example' OR {_host()} LIKE '%.lanternquay-gazette.example' THEN 'gazette' WHEN regexp_matches(lower(url), '^https://[^/]*/guide/[^/]*$') THEN 'guides' END AS config FROM a")
+def f14_run_config(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.first_config(_pages(spark, d).where("url is not null").select("url").distinct(), _CONFIGS)
+
+
+@query(f"WITH a AS (SELECT DISTINCT url, {_part(3)} AS p, {_host()} AS h FROM crawled_data WHERE url IS NOT NULL) SELECT url, NOT (h = 'lanternquay-gazette.example' AND p LIKE '/a/%') OR p = '/a/x' AS allowed FROM a")
+def f15_robots(spark: SparkSession, d: str) -> DataFrame:
+    body = "User-agent: *\nDisallow: /\n\nUser-agent: loom\nDisallow: /a/*\nAllow: /a/x$\n"
+    rules = crawl.robots_rules(spark.createDataFrame([("lanternquay-gazette.example", body)], "host string, body string"))
+    return crawl.allowed_by_robots(_pages(spark, d).where("url is not null").select("url").distinct(), rules, "Loom/1.0")
+
+
+@query("WITH r AS (SELECT page_id, url, head_fingerprint AS f, lag(head_fingerprint) OVER (PARTITION BY url ORDER BY page_id) AS before, count(*) OVER (PARTITION BY url ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM crawled_data WHERE url IS NOT NULL) SELECT page_id, CASE WHEN k = 1 THEN 'unknown' WHEN f IS NULL OR before IS NULL THEN 'unknown' WHEN f = before THEN 'fresh' ELSE 'stale' END AS state FROM r")
+def c10_freshness(spark: SparkSession, d: str) -> DataFrame:
+    versions = Window.partitionBy("url").orderBy("page_id")
+    one = _pages(spark, d).where("url is not null").select("page_id", F.col("head_fingerprint").alias("f"), F.lag("head_fingerprint").over(versions).alias("b"))
+    return one.select("page_id", F.when(F.col("f").isNull() | F.col("b").isNull(), "unknown").when(F.col("f") == F.col("b"), "fresh").otherwise("stale").alias("state"))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE cached_at < 1700000000) AS expired, count(*) FILTER (WHERE cached_at >= 1700000000) AS live FROM crawled_data WHERE cached_at IS NOT NULL")
+def w3_time_to_live(spark: SparkSession, d: str) -> DataFrame:
+    old = F.col("cached_at") < 1700000000
+    return _pages(spark, d).where("cached_at is not null").agg(F.count(F.lit(1)).alias("rows"), F.count_if(old).alias("expired"), F.count_if(~old).alias("live"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, source, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM t), q AS (SELECT unnest(['{"', '".join(sorted(_QUERY.split()))}']) AS term),
+h AS (SELECT doc_id, source, len(t) AS l, term, len(list_filter(t, lambda x: x = term)) AS tf FROM t, q), d AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY term),
+s AS (SELECT doc_id, source, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * l / mean))), 6) AS score FROM h JOIN d USING (term), n WHERE tf > 0 GROUP BY ALL),
+g AS (SELECT * FROM s WHERE score > (SELECT avg(score) + 0.25 * stddev_pop(score) FROM s)), p AS (SELECT source, count(*) AS matches, round(sum(score), 4) AS score FROM g GROUP BY source)
+SELECT * FROM p ORDER BY matches * 1.5 + score DESC, source NULLS LAST LIMIT 10""")
+def r23_search_sources(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.search_sources(_docs(spark, d), _QUERY)
+
+
+@query(f"WITH w AS (SELECT doc_id, list_distinct(list_filter({_words('text')}, lambda x: strlen(x) >= 2)) AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(list_intersect(w, ['river', 'museum', 'winter', 'schedule'])) AS INTEGER) AS shared FROM w ORDER BY shared DESC, doc_id LIMIT 20")
+def r18_most_relevant(spark: SparkSession, d: str) -> DataFrame:
+    shared = F.size(F.array_intersect(F.array_distinct(text.words(F.col("text"))), text.literals(_QUERY.split())))
+    return _docs(spark, d).select("doc_id", shared.alias("shared")).orderBy(F.desc("shared"), "doc_id").limit(20)
+
+
+@query(f"WITH w AS ({_TERMS}), t AS (SELECT DISTINCT term FROM w) SELECT round(count(*) / 5.0, 6) AS coverage FROM t WHERE term IN ('river', 'museum', 'winter', 'schedule', 'zeppelin')")
+def a8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return stats.coverage(stats.term_statistics(_docs(spark, d), "doc_id", "text"), [*_QUERY.split(), "zeppelin"])
+
+
+@query("SELECT CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN 'http' WHEN url LIKE 'file://%' THEN 'file' WHEN url LIKE 'raw:%' THEN 'raw' ELSE 'other' END AS kind, count(*) AS n FROM crawled_data WHERE url IS NOT NULL GROUP BY ALL")
+def s3_source_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).where("url is not null").groupBy(crawl.source_kind(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, max(event_id) AS last_id, count(DISTINCT event_type) AS types FROM events GROUP BY user_id")
+def a25_task_summary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.countDistinct("event_type").alias("types"))
+
+
+@query("SELECT DISTINCT url FROM (SELECT url FROM crawled_data UNION ALL SELECT url FROM crawl_cache UNION ALL SELECT dst_url FROM site_links) WHERE url IS NOT NULL AND regexp_matches(url, '^https?://[^/?#]*\\.')")
+def u1_seeds(spark: SparkSession, d: str) -> DataFrame:
+    every = _pages(spark, d).select("url").unionByName(table(spark, d, "crawl_cache").select("url")).unionByName(table(spark, d, "site_links").select(F.col("dst_url").alias("url")))
+    return every.where(urls.is_fetchable(F.col("url"))).distinct()
+
+
+@query()
+def plan_analyse(spark: SparkSession, d: str) -> DataFrame:
+    status = table(spark, d, "crawl_cache").groupBy("url").agg(F.max("status_code").alias("status"))
+    return pipelines.analyse_pages(_pages(spark, d), status)
