@@ -86,7 +86,7 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of class pairs, and of lower-cased letters and letter pairs of Cyrillic, one row each a task."""
+    """Documents with each class pair, and of lower-cased letters and letter pairs of Cyrillic, one row each a task."""
     pairs, letters, digrams = np.zeros(CLASSES * CLASSES, np.int64), Counter(), Counter()
     for b in batches:
         for t in b.column(0).to_pylist():
@@ -94,7 +94,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             codes = codes_of(t)
             c = class_of(codes)
-            pairs += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+            # once a document, so that one long garbled text has no more weight than another
+            pairs[np.unique(c[:-1] * CLASSES + c[1:])] += 1
             letters.update(set("".join(STRETCH.findall(t))))
             cyr = [w for w in STRETCH.findall(t) if "Ѐ" <= w[0] <= "ӿ"]
             if cyr:

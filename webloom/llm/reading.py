@@ -87,7 +87,7 @@ def syllables(word: str) -> int:
     if w.endswith("e") and not re.search(r"[^aeiouy]le$", w):
         w = w[:-1]
     n = len(re.findall(r"[aeiouy]+", w))
-    n += len(re.findall(r"i[ao](?!u)|eo(?!p)|eate|ience|ua(?!r)|io(?!n|u)|[aeiouy]ing$|uou|ea(?=tion|te)|(?<=[^aeiouq])ua", w))
+    n += len(re.findall(r"i[ao](?!u)|eo(?!p)|(?<=cr)eat|ience|ua(?!r)|io(?!n|u)|[aeiouy]ing$|uou|ea(?=tion|te)|(?<=[^aeiouq])ua", w))
     n -= len(re.findall(r"(?<=[csgtxl])i(?=[ao][nlur])|(?<=[sct])io(?=us)", w))
     return max(1, n)
 

@@ -114,17 +114,19 @@ def examine(lines: list[Line]) -> tuple[bool, int, int, list[tuple[str, int, boo
         slots = slots or has_slot(line)
         if line.block is not None and line.block.tag == 8 and title is not None and k > title:
             continue  # the author or date line
+        # what a text quotes it only speaks of
+        own = line.text if line.kind == "code" else QUOTED.sub(" ", CODE_SPAN.sub(" ", line.text)).strip() or line.text
         if is_lorem(line.text):
             filler += line.words
         elif len(line.text.split()) > MESSAGE:
             # a paragraph may string messages together: then each sentence is one
-            parts = re.split(r"(?<=[.!?])\s+", line.text)
+            parts = re.split(r"(?<=[.!?])\s+", own)
             if len(line.text.split()) <= 12 * len(parts) and classify(parts[0]) and sum(classify(p) is not None for p in parts) > len(parts) / 2:
                 messages += [(p, len(p.split()), False) for p in parts]
             else:
                 text += line.words
         else:
-            messages.append((line.text, max(1, line.words), line.kind == "heading"))
+            messages.append((own, max(1, line.words), line.kind == "heading"))
     return slots, text, filler, messages
 
 

@@ -103,8 +103,10 @@ def usual_ratios(seen: list[tuple[str, int, float, int]]) -> list[tuple[str, int
     sizes = range(0, 64)
 
     def line(rows: list[tuple[str, int, float, int]]) -> np.ndarray:
-        if len({r[1] for r in rows}) < 3:
+        if not rows:
             return np.full(len(sizes), 0.55)
+        if len({r[1] for r in rows}) < 3:
+            return np.full(len(sizes), sum(r[2] * r[3] for r in rows) / sum(r[3] for r in rows))
         x, y, n = (np.array([float(r[k]) for r in rows]) for k in (1, 2, 3))
         return np.exp(np.polyval(np.polyfit(x, np.log(np.maximum(y, 1e-3)), 1, w=np.sqrt(n)), np.array(sizes)))
 
