@@ -11,8 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\t\n\x0B\f\r ]"
-EDGE = r".,;:!?\"'()\[\]{}"
-EDGE_WIDE = EDGE + r"<>\-_/\\@#$%^&*+=~`"
+#: Characters cut from the ends of words.
+EDGE = ".,;:!?\"'()[]{}"
+EDGE_WIDE = EDGE + "<>-_/\\@#$%^&*+=~`"
 
 #: English stop words.
 STOP_WORDS = "a an the and or but in on at to for of is it be as was with by that this from are were been have has had not no do does did will would can could should may might i you he she we they me him her us them my your his its our their".split()
@@ -37,6 +38,11 @@ SCRIPTS = {"latin": r"[\x{41}-\x{24F}&&\p{L}]", "cyrillic": r"[\x{400}-\x{4FF}&&
 SCRIPT_LANGUAGE = {"cyrillic": ("ru", 0.75), "arabic": ("ar", 0.75), "devanagari": ("hi", 0.75), "hangul": ("ko", 0.85)}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -55,13 +61,13 @@ def fields(text: Column) -> Column:
 
 def words(text: Column, edge: str = EDGE_WIDE) -> Column:
     """Lower-case runs without white space, without punctuation at their edges; what is then empty is out."""
-    cut = F.transform(fields(F.lower(text)), lambda w: F.regexp_replace(w, f"^[{edge}]+|[{edge}]+$", ""))
+    cut = F.transform(fields(F.lower(text)), lambda w: F.btrim(w, F.lit(edge)))
     return F.filter(cut, lambda w: w != "")
 
 
 def content_words(tokens: Column, least: int = 3) -> Column:
     """Tokens of at least so many bytes that are no stop words."""
-    return F.filter(tokens, lambda w: (F.octet_length(w) >= least) & ~F.array_contains(literals(STOP_WORDS), w))
+    return F.filter(tokens, lambda w: (F.octet_length(w) >= least) & ~w.isin(STOP_WORDS))
 
 
 def sentence_marks(text: Column) -> Column:
@@ -83,22 +89,29 @@ def syllables(word: Column) -> Column:
 
 
 def readability(text: Column) -> Column:
-    """Struct of counts, the three classic scores (two decimals) and the reading level; zeros and '' without words."""
-    w = F.transform(fields(text), lambda x: F.lower(F.regexp_replace(x, f"^[{EDGE}]+|[{EDGE}]+$", "")))
-    syl = F.transform(w, syllables)
-    n, s = F.size(w), F.greatest(sentence_marks(text), F.lit(1))
-    total = F.aggregate(syl, F.lit(0), lambda a, b: a + b)
-    hard = F.size(F.filter(syl, lambda x: x >= 3))
-    per_sentence, per_word = n / s, total / n
-    kincaid = F.round(0.39 * per_sentence + 11.8 * per_word - 15.59, 2)
-    level = F.when(kincaid < 1, "kindergarten").when(kincaid < 6, "elementary").when(kincaid < 9, "middle_school").when(kincaid < 13, "high_school").when(kincaid < 17, "college").otherwise("graduate")
-    none = n == 0
-    return F.struct(
-        n.cast("int").alias("word_count"), F.when(none, 0).otherwise(s).cast("int").alias("sentence_count"), total.cast("int").alias("syllable_count"),
-        F.when(none, 0.0).otherwise(F.round(206.835 - 1.015 * per_sentence - 84.6 * per_word, 2)).alias("flesch_reading_ease"),
-        F.when(none, 0.0).otherwise(kincaid).alias("flesch_kincaid"), F.when(none, 0.0).otherwise(F.round(0.4 * (per_sentence + 100 * hard / n), 2)).alias("gunning_fog"),
-        F.when(none, "").otherwise(level).alias("reading_level"),
-    )
+    """Struct of counts, the three classic scores (two decimals, half up) and the reading level; zeros and '' without words."""
+    # syllables of each word, counted once and used three times
+    syl = F.transform(fields(text), lambda x: let(F.lower(F.btrim(x, F.lit(EDGE))), syllables))
+    facts = let(syl, lambda x: F.struct(F.size(x).alias("n"), F.aggregate(x, F.lit(0), lambda a, b: a + b).alias("total"), F.size(F.filter(x, lambda k: k >= 3)).alias("hard"), F.greatest(sentence_marks(text), F.lit(1)).alias("s")))
+
+    def scores(f: Column) -> Column:
+        per_sentence, per_word = f["n"] / f["s"], f["total"] / f["n"]
+        return F.struct(
+            f["n"].alias("n"), F.when(f["n"] == 0, 0).otherwise(f["s"]).alias("s"), f["total"].alias("total"),
+            F.when(f["n"] == 0, 0.0).otherwise(F.floor((206.835 - 1.015 * per_sentence - 84.6 * per_word) * 100 + 0.5) / 100.0).alias("ease"),
+            F.when(f["n"] == 0, 0.0).otherwise(F.floor((0.39 * per_sentence + 11.8 * per_word - 15.59) * 100 + 0.5) / 100.0).alias("grade"),
+            F.when(f["n"] == 0, 0.0).otherwise(F.floor((0.4 * (per_sentence + 100 * f["hard"] / f["n"])) * 100 + 0.5) / 100.0).alias("fog"),
+        )
+
+    def named(r: Column) -> Column:
+        g = r["grade"]
+        level = F.when(r["n"] == 0, "").when(g < 1, "kindergarten").when(g < 6, "elementary").when(g < 9, "middle_school").when(g < 13, "high_school").when(g < 17, "college").otherwise("graduate")
+        return F.struct(
+            r["n"].cast("int").alias("word_count"), r["s"].cast("int").alias("sentence_count"), r["total"].cast("int").alias("syllable_count"),
+            r["ease"].alias("flesch_reading_ease"), g.alias("flesch_kincaid"), r["fog"].alias("gunning_fog"), level.alias("reading_level"),
+        )
+
+    return let(let(facts, scores), named)
 
 
 def token_estimate(text: Column) -> Column:
@@ -106,11 +119,6 @@ def token_estimate(text: Column) -> Column:
     return F.floor((F.size(fields(text)).cast("long") * 4 + 2) / 3).cast("long")
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def language(text: Column) -> Column:
     """Struct language, confidence, script, by the script of the letters and, for Latin, by common words."""
     seen = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\-\x{AD}\x{2010}]+"))

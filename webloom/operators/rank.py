@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.text import EDGE, STOP_WORDS, content_words, words
+from webloom.functions.text import EDGE, STOP_WORDS, content_words, let, words
+from webloom.session import materialize
 
 #: Weight of the element a chunk stands in.
 TAG_WEIGHTS = {"h1": 5.0, "h2": 4.0, "h3": 3.0, "h4": 2.5, "h5": 2.0, "h6": 2.0, "title": 4.0, "strong": 2.0, "b": 1.5, "em": 1.5, "code": 2.0, "pre": 1.5, "th": 1.5, "blockquote": 2.0}
@@ -32,9 +33,14 @@ def bm25(df: DataFrame, key: str, text: str, query: str, k1: float = 2.0, b: flo
     terms = sorted(set(query_tokens(query)))
     if not terms:
         return df.select(F.col(key), F.lit(0.0).alias("score"))
-    per = df.where(F.col(text).isNotNull()).select(F.col(key), tokens(F.col(text)).alias("t"))
-    hits = F.transform(F.array(*[F.lit(t) for t in terms]), lambda q: F.struct(q.alias("term"), F.size(F.filter(F.col("t"), lambda x: x == q)).alias("tf")))
-    per = per.select(key, F.size("t").alias("len"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits"))
+    wanted = F.array(*[F.lit(t) for t in terms])
+
+    def count(t: Column) -> Column:
+        hits = F.transform(wanted, lambda q: F.struct(q.alias("term"), F.size(F.filter(t, lambda x: x == q)).alias("tf")))
+        return F.struct(F.size(t).alias("len"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits"))
+
+    per = df.where(F.col(text).isNotNull()).select(F.col(key), let(tokens(F.col(text)), count).alias("c")).select(key, "c.len", "c.hits")
+    per = materialize(per, "hits")  # texts are read and cut once; three small passes follow
     totals = per.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     rows = per.select(key, "len", F.explode("hits").alias("h")).select(key, "len", "h.term", "h.tf")
     df_of = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -47,12 +53,14 @@ def bm25(df: DataFrame, key: str, text: str, query: str, k1: float = 2.0, b: flo
 
 def relevance(text: Column, query: str, k1: float = 1.5, b: float = 0.75, mean: float = 100.0) -> Column:
     """BM25 of one text by itself: every query word counts as standing in half of all texts."""
-    t = tokens(text)
     wanted = F.array(*[F.lit(q) for q in query_tokens(query)]).cast("array<string>")
 
-    def part(q: Column) -> Column:
-        tf = F.size(F.filter(t, lambda x: x == q))
-        return math.log(2.0) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size(t) / mean))
+    def score(t: Column) -> Column:
+        def part(q: Column) -> Column:
+            tf = F.size(F.filter(t, lambda x: x == q))
+            return math.log(2.0) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size(t) / mean))
+
+        total = F.aggregate(F.transform(wanted, part), F.lit(0.0), lambda s, v: s + v)
+        return F.when(F.size(t) == 0, 0.0).otherwise(F.round(total, 6))
 
-    total = F.aggregate(F.transform(wanted, part), F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.size(t) == 0, 0.0).otherwise(F.round(total, 6))
+    return let(tokens(text), score)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.text import STOP_WORDS, content_words, paragraphs, sentence_marks, words
+from webloom.functions.text import STOP_WORDS, content_words, let, paragraphs, sentence_marks, words
 
 
 def word_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word_count, unique_words, char_count in bytes, sentence_count, paragraph_count) of each text that is not null."""
-    w = df.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_t"), words(F.col(text)).alias("_w"))
-    return w.select(key, F.size("_w").alias("word_count"), F.size(F.array_distinct(content_words(F.col("_w")))).alias("unique_words"), F.octet_length("_t").alias("char_count"), sentence_marks(F.col("_t")).alias("sentence_count"), paragraphs(F.col("_t")).alias("paragraph_count"))
+    t = F.col(text)
+    counts = let(words(t), lambda w: F.struct(F.size(w).alias("word_count"), F.size(F.array_distinct(content_words(w))).alias("unique_words")))
+    one = df.where(t.isNotNull()).select(F.col(key), counts.alias("c"), F.octet_length(t).alias("char_count"), sentence_marks(t).alias("sentence_count"), paragraphs(t).alias("paragraph_count"))
+    return one.select(key, "c.word_count", "c.unique_words", "char_count", "sentence_count", "paragraph_count")
 
 
 def top_terms(df: DataFrame, key: str, text: str, n: int = 20, bigrams: bool = False) -> DataFrame:

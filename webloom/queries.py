@@ -95,9 +95,9 @@ _SYL = "CASE WHEN strlen(x) <= 2 THEN 1 ELSE greatest(1, len(regexp_extract_all(
 
 @query(f"""WITH w AS (SELECT doc_id, list_transform(list_transform(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '{_EDGE}', '', 'g'))), lambda x: {_SYL}) AS s, greatest(1, len(regexp_extract_all(text, '[.!?]'))) AS sents FROM documents WHERE text IS NOT NULL),
 v AS (SELECT doc_id, len(s) AS n, sents, CAST(coalesce(list_sum(s), 0) AS BIGINT) AS syl, len(list_filter(s, lambda x: x >= 3)) AS hard FROM w),
-r AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE round(0.39 * (n::DOUBLE / sents) + 11.8 * (syl::DOUBLE / n) - 15.59, 2) END AS fk FROM v)
+r AS (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE floor((0.39::DOUBLE * (n::DOUBLE / sents) + 11.8::DOUBLE * (syl::DOUBLE / n) - 15.59::DOUBLE) * 100 + 0.5) / 100.0 END AS fk FROM v)
 SELECT doc_id, CAST(n AS INTEGER) AS word_count, CAST(CASE WHEN n = 0 THEN 0 ELSE sents END AS INTEGER) AS sentence_count, CAST(syl AS INTEGER) AS syllable_count, fk AS flesch_kincaid,
-CASE WHEN n = 0 THEN 0.0 ELSE round(206.835 - 1.015 * (n::DOUBLE / sents) - 84.6 * (syl::DOUBLE / n), 2) END AS flesch_reading_ease, CASE WHEN n = 0 THEN 0.0 ELSE round(0.4 * (n::DOUBLE / sents + 100.0 * hard / n), 2) END AS gunning_fog,
+CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE floor((206.835::DOUBLE - 1.015::DOUBLE * (n::DOUBLE / sents) - 84.6::DOUBLE * (syl::DOUBLE / n)) * 100 + 0.5) / 100.0 END AS flesch_reading_ease, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE floor((0.4::DOUBLE * (n::DOUBLE / sents + 100::DOUBLE * hard / n)) * 100 + 0.5) / 100.0 END AS gunning_fog,
 CASE WHEN n = 0 THEN '' WHEN fk < 1 THEN 'kindergarten' WHEN fk < 6 THEN 'elementary' WHEN fk < 9 THEN 'middle_school' WHEN fk < 13 THEN 'high_school' WHEN fk < 17 THEN 'college' ELSE 'graduate' END AS reading_level FROM r""")
 def a2_readability(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", text.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
