@@ -70,3 +70,14 @@ def test_markdown_and_pruning() -> None:
     long = "Real text of the page that goes on for a while and says something. " * 5
     html = extract.prune(parse(f"<nav><a href=/>Home</a></nav><div><p>{long}</p></div><footer>legal</footer>"))
     assert "Real text" in html and "legal" not in html and "Home" not in html
+
+
+def test_page_relevance() -> None:
+    from webloom.dom import relevance
+
+    doc = parse("<title>River museum</title><body><nav>skip all this</nav><h1>The museum</h1><p>The river museum is open again.</p><p>Nothing of the kind here.</p><script>var a b c</script></body>")
+    chunks = relevance.text_chunks(doc)
+    assert chunks == [("title", "River museum"), ("h1", "The museum"), ("p", "The river museum is open again."), ("p", "Nothing of the kind here.")]
+    assert relevance.page_query(doc) == "River museum"
+    assert [i for i, *_ in relevance.relevant(chunks, "museum", 0.01)] == [0, 1, 2]
+    assert len(relevance.relevant(chunks, "the of")) == 4

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.functions import patterns, text, urls
+from webloom.functions import patterns, scoring, text, urls
 from webloom.operators import chunks, diff, graph, stats, vectors
 from webloom.sources import crawl
 from webloom.streaming import crawl as streaming
@@ -133,3 +133,53 @@ def test_streams(spark, tmp_path) -> None:  # noqa: ANN001
 def test_state_survives_a_round_trip(spark) -> None:  # noqa: ANN001
     df = spark.createDataFrame([("a", 1)], "url string, depth int")
     assert crawl.save_state(df).collect() == df.collect()
+
+
+@pytest.mark.parametrize(
+    ("w", "h", "alt", "url", "want"),
+    [("800", "600", "a b c", "https://x.example/p.jpg", 1.0), ("40", "40", "", "https://x.example/p.jpg", 0.45), ("", None, "one", "https://x.example/logo.png", 0.3), ("900", "100", None, "https://x.example/p.jpg", 0.6), ("800", "600", "a", "https://track.example/p.jpg", 0.0)],
+)
+def test_image_scores(spark, w, h, alt, url, want) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(url, alt, w, h)], "u string, a string, w string, h string")
+    assert round(df.select(scoring.image_score(F.col("u"), F.col("a"), F.col("w"), F.col("h"), ["track."]).alias("s")).first().s, 6) == want
+
+
+def test_url_relevance_and_domains(spark) -> None:  # noqa: ANN001
+    best, some, none = (one(spark, lambda c: scoring.url_relevance(c, "python guide"), u) for u in ("https://x.example/python guide", "https://x.example/python-tips/a", "https://q.zz/"))
+    assert best > some > none and none < 0.2
+    for url, want in (("https://www.a.b.co.uk:8080/x", "b.co.uk"), ("https://m.site.example", "site.example"), ("https://localhost/", "localhost")):
+        assert one(spark, scoring.registrable_domain, url) == want
+
+
+def test_classic_patterns(spark) -> None:  # noqa: ANN001
+    for pattern, url, want in (("*.pdf", "https://x.example/a/b.pdf", True), ("*.pdf", "https://x.example/a.pdf.html", False), ("/blog/*", "https://x.example/blog/1", True), ("/blog/*", "https://x.example/blogs/1", False), ("https://x.example/{a,b}/**", "https://x.example/b/c/d", True), (r"^https://x\.", "https://x.example", True)):
+        assert one(spark, lambda c, p=pattern: scoring.matches_patterns(c, [p]), url) is want, pattern
+
+
+def test_backoff_and_retry(spark) -> None:  # noqa: ANN001
+    assert [one(spark, scoring.backoff, k, "int") for k in (0, 1, 3, 9)] == [1000, 2000, 8000, 30000]
+    assert [one(spark, scoring.is_retryable, s, "int") for s in (200, 404, 429, 503)] == [False, False, True, True]
+
+
+def test_pdf_text(spark) -> None:  # noqa: ANN001
+    import zlib
+
+    from webloom.sources import pdf
+
+    body = b"BT (Hello \\(big\\)) Tj T* [(wor) -20 (ld of PDF files, long enough to count as text)] TJ ET"
+    raw = b"%PDF-1.4\n1 0 obj\nstream\n" + zlib.compress(body) + b"\nendstream\n"
+    df = spark.createDataFrame([("a", raw), ("b", b"no pdf"), ("c", None)], "path string, content binary")
+    assert {r.path: r.text for r in pdf.read_pdfs(df).collect()} == {"a": "Hello (big)\nworld of PDF files, long enough to count as text", "b": None, "c": None}
+
+
+def test_model_output_helpers(spark) -> None:  # noqa: ANN001
+    assert one(spark, text.strip_fences, '```json\n{"a": 1}\n```') == '{"a": 1}' and one(spark, text.strip_fences, "x") == "x"
+    assert one(spark, lambda c: text.tag_contents(c, "q"), "<q> a </q> and <q>b</q>") == ["a", "b"]
+
+
+def test_dispatch_and_convergence(spark) -> None:  # noqa: ANN001
+    log = spark.createDataFrame([("d", 1, True, 100), ("d", 2, True, 200), ("d", 3, False, 900), ("d", 4, False, 900)], "domain string, o int, ok boolean, l int")
+    assert tuple(stats.dispatch_stats(log, "domain", "o", "ok", "l").first()) == ("d", 2, 2, 2, 125)
+    assert stats.converged(1.0, 0.9, 0.9, 5) and not stats.converged(1.0, 0.9, 0.9, 4) and not stats.converged(0.5, 0.9, 0.9, 9)
+    texts = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha beta"), (4, "alpha")], "o int, t string")
+    assert stats.saturation(texts, "t", "o").first().saturation == round(1 - 1.5 / 2.75, 6)

@@ -148,3 +148,33 @@ def language(text: Column) -> Column:
 
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def head_facts(html: Column) -> Column:
+    """Struct title, description, keywords, og_title, canonical, language of a page's head, without parsing it."""
+    head = F.substring_index(html, "</head>", 1)
+
+    def meta(name: str) -> Column:
+        before = F.regexp_extract(head, rf'(?i)<meta\s[^>]*(?:name|property)="{name}"[^>]*content="([^"]*)"', 1)
+        after = F.regexp_extract(head, rf'(?i)<meta\s[^>]*content="([^"]*)"[^>]*(?:name|property)="{name}"', 1)
+        return F.when(before != "", before).otherwise(after)
+
+    return F.struct(
+        F.btrim(F.regexp_extract(head, r"(?i)<title[^>]*>([^<]*)</title>", 1)).alias("title"), meta("description").alias("description"), meta("keywords").alias("keywords"), meta("og:title").alias("og_title"),
+        F.regexp_extract(head, r'(?i)<link\s[^>]*rel="canonical"[^>]*href="([^"]*)"', 1).alias("canonical"), F.regexp_extract(head, r'(?i)<html[^>]*\slang="([^"]*)"', 1).alias("language"),
+    )
+
+
+def head_fingerprint(facts: Column) -> Column:
+    """SHA-256 of the signals by which a page's head is known again."""
+    return F.sha2(F.concat_ws("|", facts["title"], facts["description"], facts["og_title"], facts["canonical"]), 256)
+
+
+def strip_fences(text: Column) -> Column:
+    """Text without the Markdown fence around it."""
+    return F.btrim(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"^```[A-Za-z0-9_-]*[ \t]*\r?\n|\r?\n?```$", ""), F.lit(" \t\r\n"))
+
+
+def tag_contents(text: Column, tag: str) -> Column:
+    """What stands between each <tag> and </tag>, trimmed."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), lambda x: F.btrim(x, F.lit(" \t\r\n")))

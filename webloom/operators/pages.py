@@ -81,3 +81,23 @@ def link_table(pages: DataFrame) -> DataFrame:
     """(src_url, dst_url, text, is_external, pos): one row a link."""
     with_links = crawl_pages(pages.where("html is not null"), ["links"]).join(pages.select("page_id", F.col("url").alias("src_url")), "page_id")
     return with_links.select("page_id", "src_url", F.posexplode("links").alias("pos", "l")).select("page_id", "src_url", F.col("l.href").alias("dst_url"), F.col("l.text").alias("text"), F.col("l.is_external").alias("is_external"), "pos")
+
+
+def relevant_chunks(pages: DataFrame, query: str | None = None, threshold: float = 1.0, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, chunk_index, tag, text, score) of each page's chunks that fit the query, by default the page's own."""
+    from webloom.dom import relevance
+
+    id_type = to_arrow_type(pages.schema[key].dataType)
+    types = (id_type, pa.int32(), pa.string(), pa.string(), pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if h:
+                    doc = parse(h)
+                    rows += [(i, k, t, x, round(s, 6)) for k, t, x, s in relevance.relevant(relevance.text_chunks(doc), query if query is not None else relevance.page_query(doc), threshold)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[key, "chunk_index", "tag", "text", "score"])
+
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, chunk_index int, tag string, text string, score double")

@@ -82,3 +82,38 @@ def delay_after(seq: DataFrame, domain: str, order: str, status: str, base: floa
 
     state = F.aggregate("r", start, step)
     return per.select(domain, F.round(state["d"], 6).alias("delay_ms"), state["f"].alias("fails"))
+
+
+def dispatch_stats(log: DataFrame, domain: str, order: str, ok: str, latency: str) -> DataFrame:
+    """(domain, crawled, failed, failing, latency_ms): counts, failures since the last success, and a running mean.
+
+    The mean takes a quarter of each new latency above 0, in whole milliseconds, starting with the first. It depends
+    on the order, so a domain's responses are folded in one row: bound them by a time window where one is large.
+    """
+    rows = log.select(F.col(domain), F.struct(F.col(order).alias("o"), F.col(ok).alias("k"), F.col(latency).cast("long").alias("l")).alias("x"))
+    per = rows.groupBy(domain).agg(F.array_sort(F.collect_list("x")).alias("r"), F.count_if(F.col("x.k")).alias("crawled"), F.count_if(~F.col("x.k")).alias("failed"))
+    start = F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).alias("f"))
+
+    def step(acc, x):  # noqa: ANN001, ANN202
+        mean = F.when(~x["k"] | (x["l"] <= 0), acc["m"]).when(acc["m"] == 0, x["l"]).otherwise(F.floor((acc["m"] * 3 + x["l"]) / 4).cast("long"))
+        return F.struct(mean.alias("m"), F.when(x["k"], 0).otherwise(acc["f"] + 1).alias("f"))
+
+    state = F.aggregate("r", start, step)
+    return per.select(domain, "crawled", "failed", state["f"].alias("failing"), state["m"].alias("latency_ms"))
+
+
+def saturation(df: DataFrame, text: str, order: str) -> DataFrame:
+    """(saturation): 1 less the mean number of different terms of the later half of the texts over that of all, at least 0.
+
+    The halves are told apart by the middle of the order's distinct values, an exact percentile, not by numbering all
+    rows in one place.
+    """
+    per = df.where(F.col(text).isNotNull()).select(F.col(order).alias("o"), let(words(F.col(text)), lambda w: F.size(F.array_distinct(content_words(w, 2)))).alias("n"))
+    middle = per.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o)").alias("m"))
+    both = per.join(F.broadcast(middle)).agg(F.avg(F.when(F.col("o") > F.col("m"), F.col("n"))).alias("late"), F.avg("n").alias("all"))
+    return both.select(F.coalesce(F.round(F.greatest(F.lit(0.0), 1 - F.col("late") / F.col("all")), 6), F.lit(0.0)).alias("saturation"))
+
+
+def converged(covered: float, steady: float, saturated: float, docs: int, bound: float = 0.85, least: int = 5) -> bool:
+    """Whether a crawl knows enough: weighted coverage, consistency and saturation beyond the bound after enough texts."""
+    return docs >= least and 0.4 * covered + 0.3 * steady + 0.3 * saturated > bound

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.functions import patterns, text, urls
+from webloom.functions import patterns, scoring, text, urls
 from webloom.operators import chunks, diff, graph, pages, rank, stats, vectors
 from webloom.plans import pipelines
 from webloom.session import table
@@ -600,3 +600,125 @@ def u1_seeds(spark: SparkSession, d: str) -> DataFrame:
 def plan_analyse(spark: SparkSession, d: str) -> DataFrame:
     status = table(spark, d, "crawl_cache").groupBy("url").agg(F.max("status_code").alias("status"))
     return pipelines.analyse_pages(_pages(spark, d), status)
+
+
+# ---- scores -------------------------------------------------------------------------------------------------
+
+
+def _link_sql() -> str:
+    ext = "CASE " + " ".join(f"WHEN {_EXT} = '{e}' THEN {v}" for e, v in scoring.LINK_EXTENSIONS.items()) + " ELSE 0.5 END"
+    path = f"trim({_part(3)}, '/')"
+    depth = f"1.0 / (1.0 + abs(CASE WHEN {path} = '' THEN 0 ELSE len(string_split({path}, '/')) END - 2))"
+    params = f"len(list_distinct(list_transform(list_filter(string_split({_part(4)}, '&'), lambda x: x <> ''), lambda x: split_part(x, '=', 1))))"
+    stop = ", ".join(f"'{w}'" for w in scoring.ANCHOR_STOP)
+    return f"""WITH a AS (SELECT src_url, pos, dst_url AS url, coalesce(text, '') AS t FROM site_links WHERE src_url IS NOT NULL AND dst_url IS NOT NULL),
+s AS (SELECT src_url, pos, url, ({depth} + 1.0 / (1.0 + {params} * 0.1) + {ext}) / 3.0 AS i, list_filter({_words('t', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({stop})) AS w FROM a)
+SELECT src_url, pos, url, round(i, 6) AS intrinsic, round(ln(1.5) * (len(list_filter(w, lambda x: x = 'museum')) * 3.0 / (len(list_filter(w, lambda x: x = 'museum')) + 2.0) + len(list_filter(w, lambda x: x = 'garden')) * 3.0 / (len(list_filter(w, lambda x: x = 'garden')) + 2.0)), 6) AS contextual FROM s"""
+
+
+@query(_link_sql())
+def r13_link_scores(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "site_links").where("src_url is not null and dst_url is not null").select("src_url", "pos", F.col("dst_url").alias("url"), F.coalesce("text", F.lit("")).alias("t"))
+    return links.select("src_url", "pos", "url", F.round(scoring.intrinsic_link_score(F.col("url")), 6).alias("intrinsic"), F.round(scoring.contextual_link_score(F.col("t"), "museum garden"), 6).alias("contextual"))
+
+
+def _classic_link_sql() -> str:
+    generic = ", ".join(f"'{g}'" for g in scoring.GENERIC)
+    n = f"len(list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> ''))"
+    return f"""WITH a AS (SELECT src_url, pos, dst_url AS url, trim(coalesce(text, ''), ' ') AS t FROM site_links WHERE src_url IS NOT NULL AND dst_url IS NOT NULL)
+SELECT src_url, pos, url, least(10.0, greatest(0.0, CAST(CASE WHEN regexp_matches(lower(url), '{scoring.HIGH_PATH}') THEN 2.0 WHEN regexp_matches(lower(url), '{scoring.MEDIUM_PATH}') THEN 1.0 ELSE 0.0 END - CASE WHEN regexp_matches(lower(url), '{scoring.BAD_PATH}') THEN 1.5 ELSE 0.0 END
++ CASE WHEN len(regexp_extract_all(url, '/')) - 2 <= 2 THEN 1.0 WHEN len(regexp_extract_all(url, '/')) - 2 > 5 THEN -0.5 ELSE 0.0 END + CASE WHEN url LIKE 'https://%' THEN 0.5 ELSE 0.0 END + CASE WHEN length(t) > 3 THEN 1.0 ELSE 0.0 END
++ CASE WHEN {n} >= 2 THEN 0.5 ELSE 0.0 END + CASE WHEN {n} >= 4 THEN 0.5 ELSE 0.0 END - CASE WHEN lower(t) IN ({generic}) THEN 1.0 ELSE 0.0 END AS DOUBLE))) AS score FROM a"""
+
+
+@query(_classic_link_sql())
+def r14_classic_link_scores(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "site_links").where("src_url is not null and dst_url is not null")
+    none = F.lit(None).cast("string")
+    return links.select("src_url", "pos", F.col("dst_url").alias("url"), scoring.classic_link_score(F.col("dst_url"), F.col("text"), none, none, none).alias("score"))
+
+
+@query()
+def r6_url_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return _all_urls(spark, d).select("url", F.round(scoring.url_relevance(F.col("url"), "museum garden"), 6).alias("score"))
+
+
+@query(f"WITH a AS (SELECT DISTINCT url FROM crawled_data WHERE url IS NOT NULL), l AS (SELECT url, string_split({_BASE.format(_host())}, '.') AS p FROM a) SELECT url, array_to_string(CASE WHEN len(p) > 2 AND p[len(p) - 1] IN ('co', 'com', 'org', 'gov', 'edu', 'net', 'mil', 'int', 'ac', 'ad', 'ae', 'af', 'ag') THEN p[len(p) - 2:] ELSE p[greatest(1, len(p) - 1):] END, '.') AS domain FROM l")
+def c6_registrable_domain(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).where("url is not null").select("url").distinct().withColumn("domain", scoring.registrable_domain(F.col("url")))
+
+
+@query(f"WITH a AS (SELECT DISTINCT url, {_part(3)} AS p FROM crawled_data WHERE url IS NOT NULL) SELECT url FROM a WHERE split_part(string_split(p, '/')[-1], '.', -1) = 'html' OR regexp_matches(p, '^/news(?:[/?#]|$)') OR regexp_matches(url, '^https://[^.]*-(?:blog|wiki).*\\.example/.*$')")
+def f6_classic_patterns(spark: SparkSession, d: str) -> DataFrame:
+    one = _pages(spark, d).where("url is not null").select("url").distinct()
+    return one.where(scoring.matches_patterns(F.col("url"), ["*.html", "/news/*", r"^https://[^.]*-(?:blog|wiki).*\.example/.*$"]))
+
+
+@query()
+def f11_seo_scores(spark: SparkSession, d: str) -> DataFrame:
+    one = _parsed(spark, d, "metadata", "structure", "text")
+    score = scoring.page_seo_score(F.col("metadata.title"), F.col("metadata.description"), F.size("structure.h1"), F.size("structure.h2"), F.col("text"))
+    return one.select("page_id", F.round(score, 6).alias("score"))
+
+
+@query(f"WITH b AS (SELECT page_id, unnest(string_split(markdown, chr(10) || chr(10))) AS t, generate_subscripts(string_split(markdown, chr(10) || chr(10)), 1) - 1 AS pos FROM crawled_data WHERE markdown IS NOT NULL), n AS (SELECT *, strlen(t) AS size, len(list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '')) AS n, {' + '.join(f'CAST(contains(lower(t), {p!r}) AS INTEGER)' for p in scoring.BOILERPLATE)} AS hits FROM b) SELECT page_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN size < 25 OR n < 3 THEN 0.0 ELSE greatest(0.0, least(0.3, ln(size + 1.0) / 20.0) + least(0.2, n / 100.0) + 0.3 - hits * 0.15) END, 6) AS score FROM n")
+def f21_block_scores(spark: SparkSession, d: str) -> DataFrame:
+    one = _pages(spark, d).where("markdown is not null").select("page_id", F.posexplode(F.split("markdown", "\n\n")).alias("pos", "t"))
+    return one.select("page_id", "pos", F.round(scoring.block_score(F.col("t"), F.lit(0)), 6).alias("score"))
+
+
+# ---- heads, batches, adaptive measures ----------------------------------------------------------------------
+
+
+_HEAD = "split_part(html, '</head>', 1)"
+
+
+def _meta_sql(name: str) -> str:
+    before = f"regexp_extract({_HEAD}, '(?i)<meta\\s[^>]*(?:name|property)=\"{name}\"[^>]*content=\"([^\"]*)\"', 1)"
+    after = f"regexp_extract({_HEAD}, '(?i)<meta\\s[^>]*content=\"([^\"]*)\"[^>]*(?:name|property)=\"{name}\"', 1)"
+    return f"CASE WHEN {before} <> '' THEN {before} ELSE {after} END"
+
+
+@query(f"""WITH h AS (SELECT page_id, trim(regexp_extract({_HEAD}, '(?i)<title[^>]*>([^<]*)</title>', 1), ' ') AS title, {_meta_sql('description')} AS description, {_meta_sql('og:title')} AS og_title, regexp_extract({_HEAD}, '(?i)<link\\s[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) AS canonical, regexp_extract({_HEAD}, '(?i)<html[^>]*\\slang="([^"]*)"', 1) AS language FROM crawled_data WHERE html IS NOT NULL)
+SELECT page_id, title, description, canonical, language, sha256(title || '|' || description || '|' || og_title || '|' || canonical) AS fingerprint FROM h""")
+def c9_head_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    one = _pages(spark, d).where("html is not null").select("page_id", text.head_facts(F.col("html")).alias("h"))
+    return one.select("page_id", "h.title", "h.description", "h.canonical", "h.language", text.head_fingerprint(F.col("h")).alias("fingerprint"))
+
+
+@query("SELECT u.url, p.page_id, CASE WHEN p.page_id IS NULL THEN 'not found' WHEN NOT p.success THEN 'failed' END AS error FROM (SELECT DISTINCT url FROM crawl_cache WHERE url IS NOT NULL) u LEFT JOIN (SELECT url, max(page_id) AS page_id, max_by(success, page_id) AS success FROM crawled_data GROUP BY url) p ON u.url = p.url")
+def s4_batch_crawl(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "crawl_cache").where("url is not null").select("url").distinct()
+    newest = _latest(_pages(spark, d).where("url is not null"), ["page_id"], ["page_id", "success"])
+    return wanted.join(newest, "url", "left").select("url", "page_id", F.when(F.col("page_id").isNull(), "not found").when(~F.col("success"), "failed").alias("error"))
+
+
+_TEXTS = f"SELECT doc_id, len(list_distinct(list_filter({_words('text')}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})))) AS n FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"WITH t AS ({_TEXTS}), m AS (SELECT quantile_disc(doc_id, 0.5) AS m FROM t) SELECT coalesce(round(greatest(0.0, 1 - avg(n) FILTER (WHERE doc_id > m) / avg(n)), 6), 0.0) AS saturation FROM t, m")
+def a10_saturation(spark: SparkSession, d: str) -> DataFrame:
+    return stats.saturation(_docs(spark, d), "text", "doc_id")
+
+
+@query()
+def a4_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("o"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("l"))
+    return stats.dispatch_stats(log, "user_id", "o", "ok", "l")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, max(list_cosine_similarity(q.v, e.v)) AS best FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT count(*) AS queries, round(avg(best), 5) AS confidence, round(min(best), 5) AS weakest FROM p""")
+def a16_confidence(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    best = vectors.nearest(v, v.where("vec_id % 50 = 0"), 1)
+    return best.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("similarity"), 5).alias("confidence"), F.round(F.min("similarity"), 5).alias("weakest"))
+
+
+@query()
+def r1_page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return pages.relevant_chunks(_pages(spark, d))
+
+
+SQL["r19_nearest"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, list_cosine_similarity(q.v, e.v) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, neighbour_id) AS rank FROM p) SELECT query_id, neighbour_id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
