@@ -41,13 +41,12 @@ def bm25(df: DataFrame, key: str, text: str, query: str, k1: float = 2.0, b: flo
 
     per = df.where(F.col(text).isNotNull()).select(F.col(key), let(tokens(F.col(text)), count).alias("c")).select(key, "c.len", "c.hits")
     per = materialize(per, "hits")  # texts are read and cut once; three small passes follow
-    totals = per.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
+    totals = per.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean")).first()
     rows = per.select(key, "len", F.explode("hits").alias("h")).select(key, "len", "h.term", "h.tf")
     df_of = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row of totals, and one row a query word
-    scored = rows.join(F.broadcast(df_of), "term").join(F.broadcast(totals))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    scored = rows.join(F.broadcast(df_of), "term")  # one row a query word
+    idf = F.log((F.lit(totals.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(totals.mean or 1.0)))
     return scored.groupBy(key).agg(F.round(F.sum(idf * norm), 6).alias("score")).where(F.col("score") >= threshold)
 
 

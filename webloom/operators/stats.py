@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.text import STOP_WORDS, content_words, let, paragraphs, sentence_marks, words
+from webloom.session import materialize
 
 
 def word_stats(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -109,8 +110,9 @@ def saturation(df: DataFrame, text: str, order: str) -> DataFrame:
     rows in one place.
     """
     per = df.where(F.col(text).isNotNull()).select(F.col(order).alias("o"), let(words(F.col(text)), lambda w: F.size(F.array_distinct(content_words(w, 2)))).alias("n"))
-    middle = per.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o)").alias("m"))
-    both = per.join(F.broadcast(middle)).agg(F.avg(F.when(F.col("o") > F.col("m"), F.col("n"))).alias("late"), F.avg("n").alias("all"))
+    per = materialize(per, "counts")
+    middle = per.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o)").alias("m")).first().m
+    both = per.agg(F.avg(F.when(F.col("o") > F.lit(middle), F.col("n"))).alias("late"), F.avg("n").alias("all"))
     return both.select(F.coalesce(F.round(F.greatest(F.lit(0.0), 1 - F.col("late") / F.col("all")), 6), F.lit(0.0)).alias("saturation"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import patterns, text, urls
 from webloom.operators import rank
+from webloom.session import materialize
 
 
 def analyse_pages(pages: DataFrame, status: DataFrame) -> DataFrame:
@@ -18,9 +19,9 @@ def analyse_pages(pages: DataFrame, status: DataFrame) -> DataFrame:
 
 def search_sources(documents: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(source, matches, score) of the k best sources: documents well above the mean score, counted and summed."""
-    scored = rank.bm25(documents, "doc_id", "text", query)
-    bound = scored.agg((F.avg("score") + 0.25 * F.stddev_pop("score")).alias("bound"))
-    good = scored.join(F.broadcast(bound)).where("score > bound").join(documents.select("doc_id", "source"), "doc_id")
+    scored = materialize(rank.bm25(documents, "doc_id", "text", query), "scores")
+    bound = scored.agg((F.avg("score") + 0.25 * F.stddev_pop("score")).alias("bound")).first().bound
+    good = scored.where(F.col("score") > F.lit(bound)).join(documents.select("doc_id", "source"), "doc_id")
     per = good.groupBy("source").agg(F.count(F.lit(1)).alias("matches"), F.round(F.sum("score"), 4).alias("score"))
     # the k best are the feature: a report
     return per.orderBy(F.desc(F.col("matches") * 1.5 + F.col("score")), F.asc_nulls_last("source")).limit(k)
