@@ -183,3 +183,36 @@ def test_dispatch_and_convergence(spark) -> None:  # noqa: ANN001
     assert stats.converged(1.0, 0.9, 0.9, 5) and not stats.converged(1.0, 0.9, 0.9, 4) and not stats.converged(0.5, 0.9, 0.9, 9)
     texts = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha beta"), (4, "alpha")], "o int, t string")
     assert stats.saturation(texts, "t", "o").first().saturation == round(1 - 1.5 / 2.75, 6)
+
+
+def test_depth_first_and_adaptive(spark) -> None:  # noqa: ANN001
+    links = spark.createDataFrame([("r", "a", 0), ("r", "b", 1), ("a", "c", 0), ("c", "r", 0), ("b", "d", 0)], "src_url string, dst_url string, pos int")
+    seeds = spark.createDataFrame([("r",)], "url string")
+    got = graph.depth_first(links, seeds, 10, 5).orderBy("step").collect()
+    assert [(r.url, r.depth) for r in got] == [("r", 0), ("a", 1), ("c", 2), ("b", 1), ("d", 2)]
+    assert [r.url for r in graph.depth_first(links, seeds, 2, 5).orderBy("step").collect()] == ["r", "a"]
+    texts = spark.createDataFrame([(u, "garden museum words " + u) for u in "rabcd"], "url string, text string")
+    got = graph.adaptive(links, texts, seeds, "garden", 5, 2).orderBy("step").collect()
+    assert [r.url for r in got] == ["r", "a", "b", "c", "d"] and got[-1].coverage == 1.0
+
+
+def test_components_and_clusters(spark) -> None:  # noqa: ANN001
+    edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 9)] + [(7, 7)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 31)} | {100 + i: 100 for i in range(1, 9)}
+
+
+def test_similar_vectors_recall_against_brute_force(spark) -> None:  # noqa: ANN001
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((12, 32))
+    x = (centres[rng.integers(0, 12, 240)] + 0.8 * rng.standard_normal((240, 32))).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    want = {(i, j) for i in range(240) for j in range(i + 1, 240) if s[i, j] >= 0.6}
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)], "vec_id long, embedding array<float>")
+    got = {(r.a, r.b) for r in vectors.similar(df).collect()}
+    assert want and len(got & want) / len(want) >= 0.95 and got <= {(i, j) for i in range(240) for j in range(i + 1, 240) if s[i, j] >= 0.6 - 1e-5}
+    c = {r.vec_id: (r.cluster, r.links) for r in vectors.clusters(df).collect()}
+    assert len(c) == 241 and c[999] == (999, 0)

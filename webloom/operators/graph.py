@@ -43,13 +43,95 @@ def best_first(links: DataFrame, seeds: DataFrame, score: Column, max_pages: int
     edges = links.select("src_url", "dst_url") if keep is None else links.where(keep).select("src_url", "dst_url")
     edges = materialize(edges.where("src_url is not null and dst_url is not null").distinct(), "links")
     waiting = materialize(seeds.select("url").where("url is not null").distinct().withColumn("score", score.cast("double")), "waiting")
-    done = None
-    for step in range(-(-max_pages // batch)):
-        left = max_pages - step * batch
+    done, left, step = None, max_pages, -1
+    while left > 0:
+        step += 1
         chosen = materialize(waiting.orderBy(F.desc("score"), "url").limit(min(batch, left)).withColumn("step", F.lit(step)), "chosen")
-        if chosen.isEmpty():
+        n = chosen.count()
+        if not n:
             break
+        left -= n
         done = chosen if done is None else done.unionByName(chosen)
         new = edges.join(chosen.select(F.col("url").alias("src_url")), "src_url", "left_semi").select(F.col("dst_url").alias("url")).distinct().withColumn("score", score.cast("double"))
         waiting = materialize(waiting.unionByName(new).dropDuplicates(["url"]).join(done.select("url"), "url", "left_anti"), "waiting")
+    if done is None:
+        return links.sparkSession.createDataFrame([], "url string, step int, score double")
     return done.select("url", "step", F.round("score", 6).alias("score"))
+
+
+def depth_first(links: DataFrame, seeds: DataFrame, max_pages: int = 50, max_depth: int = 3) -> DataFrame:
+    """(url, step, depth) in depth-first order: a page's links wait in their order (pos), the first is followed first.
+
+    The order is sequential by nature, so each step is one small look-up in the written link table, at most max_pages
+    of them; what is held on the driver is the stack of those pages' links. Urls are met once, at discovery.
+    """
+    spark = links.sparkSession
+    edges = materialize(links.where("src_url is not null and dst_url is not null").groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")), "links")
+    start = [r.url for r in seeds.select("url").where("url is not null").distinct().orderBy("url").limit(max_pages).collect()]
+    stack, seen, out = [(u, 0) for u in reversed(start)], set(start), []
+    while stack and len(out) < max_pages:
+        url, depth = stack.pop()
+        out.append((url, len(out), depth))
+        if depth < max_depth:
+            new = [r.dst_url for r in edges.where(F.col("src_url") == url).orderBy("pos", "dst_url").select("dst_url").collect() if r.dst_url not in seen]
+            seen.update(new)
+            stack += [(u, depth + 1) for u in reversed(new)]
+    return spark.createDataFrame(out, "url string, step int, depth int")
+
+
+def adaptive(links: DataFrame, texts: DataFrame, seeds: DataFrame, query: str, max_pages: int = 100, batch: int = 10, bound: float = 0.85) -> DataFrame:
+    """(url, step, coverage, consistency, saturation): the best waiting urls for a query, until what is read suffices.
+
+    texts: (url, text). A waiting url scores by the query words in it. After each batch the terms of all texts read
+    so far are counted anew from the written pages; the crawl stops when they have converged.
+    """
+    from webloom.functions.urls import keyword_score
+    from webloom.operators import stats
+    from webloom.operators.rank import query_tokens
+
+    words = sorted(set(query_tokens(query)))
+    edges = materialize(links.where("src_url is not null and dst_url is not null").select("src_url", "dst_url").distinct(), "links")
+    score = keyword_score(F.col("url"), words)
+    waiting = materialize(seeds.select("url").where("url is not null").distinct().withColumn("score", score), "waiting")
+    read, rows, spark = [], [], links.sparkSession
+    step = -1
+    while len(read) < max_pages:
+        step += 1
+        chosen = materialize(waiting.orderBy(F.desc("score"), "url").limit(min(batch, max_pages - len(read))), "chosen")
+        urls = [r.url for r in chosen.orderBy(F.desc("score"), "url").select("url").collect()]  # at most a batch
+        if not urls:
+            break
+        read += urls
+        done = spark.createDataFrame(list(zip(read, range(len(read)), strict=True)), "url string, seq int")  # at most max_pages
+        known = materialize(texts.join(done, "url").groupBy("url", "seq").agg(F.max("text").alias("text")), "known")
+        terms, n = materialize(stats.term_statistics(known, "url", "text"), "terms"), known.count()
+        facts = [stats.coverage(terms, words).first()[0], stats.consistency(terms, n).first()[0], stats.saturation(known, "text", "seq").first()[0]]
+        rows += [(u, step, *facts) for u in urls]
+        if stats.converged(*facts, n, bound):
+            break
+        new = edges.join(chosen.select(F.col("url").alias("src_url")), "src_url", "left_semi").select(F.col("dst_url").alias("url")).distinct().withColumn("score", score)
+        waiting = materialize(waiting.unionByName(new).dropDuplicates(["url"]).join(done, "url", "left_anti"), "waiting")
+    return spark.createDataFrame(rows, "url string, step int, coverage double, consistency double, saturation double")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node each node of (a, b) edges is connected to, by alternating large and small stars.
+
+    A root has no row of its own. Rounds grow with the logarithm of the longest path; each is written, so lineage
+    stays short.
+    """
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    before = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        e = materialize(e, "stars")
+        state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state

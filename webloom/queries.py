@@ -722,3 +722,20 @@ def r1_page_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["r19_nearest"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, list_cosine_similarity(q.v, e.v) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, neighbour_id) AS rank FROM p) SELECT query_id, neighbour_id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
+
+
+@query()
+def t3_depth_first(spark: SparkSession, d: str) -> DataFrame:
+    seeds = _pages(spark, d).where("url like 'https://lanternquay-gazette.example/%'").agg(F.min("url").alias("url"))
+    return graph.depth_first(table(spark, d, "site_links"), seeds, 20, 4)
+
+
+@query()
+def t5_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    seeds = _pages(spark, d).where("url like 'https://lanternquay-gazette.example/%'").agg(F.min("url").alias("url"))
+    return graph.adaptive(table(spark, d, "site_links"), _pages(spark, d).where("url is not null").select("url", F.col("markdown").alias("text")), seeds, "museum garden", 20, 10)
+
+
+@query()
+def r20_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.clusters(table(spark, d, "embeddings"), 0.6)
