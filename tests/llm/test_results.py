@@ -77,12 +77,6 @@ def test_shingle_bytes_round_trip_and_bit_vectors_never_reject_similar_sets() ->
             assert neardup.may_be_similar(neardup.bit_vector(s), len(s), neardup.bit_vector(t), len(t), 0.6)
 
 
-def test_components_of_long_paths_and_stars(spark) -> None:  # noqa: ANN001
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(200, 201), (7, 7)]
-    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 20)} | {201: 200}
-
-
 def test_boundaries_minimise_padding() -> None:
     rng = np.random.default_rng(5)
     for _ in range(20):

@@ -171,7 +171,7 @@ class Model:
     def known(self, ch: str) -> bool:
         """A character that stands in the corpus, one of a script or sign range in common use, or a control that itself needs undoing."""
         c = ord(ch)
-        return 0xA1 <= c < 0x180 or 0x410 <= c < 0x450 or c in (0x401, 0x451) or 0x2010 <= c < 0x2027 or 0x3000 <= c < 0x3100 or 0x4E00 <= c < 0xA000 or 0xFF00 <= c < 0xFF66 or c in (0xA0, 0x20AC, 0x2122, 0x2212, 0x2116) or 0x80 <= c < 0xA0 or (c < 0xFFFD and self.chars.get(ch, 0) >= 3)
+        return 0xA1 <= c < 0x180 or 0x410 <= c < 0x450 or c in (0x401, 0x451) or 0x2010 <= c < 0x2040 or 0x3000 <= c < 0x3100 or 0x4E00 <= c < 0xA000 or 0xFF00 <= c < 0xFF66 or c in (0xA0, 0x20AC, 0x2122, 0x2212, 0x2116) or 0x80 <= c < 0xA0 or (c < 0xFFFD and self.chars.get(ch, 0) >= 3)
 
     def cyrillic(self, s: str) -> float:
         """Mean log-probability, in bits, of the adjacent Cyrillic letters; low where there are none."""
