@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +30,24 @@ def get_session(app: str = "webloom", master: str | None = None, cores: int = 8)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package's source to the executors, once a context, unless their Python finds it anyway."""
+    home = Path(__file__).resolve().parents[1]
+    found = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    context = spark.sparkContext
+    if home in found or "site-packages" in home.parts or getattr(context, "_webloom_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="webloom-")) / "webloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((home / "webloom").rglob("*.py")):
+            z.write(f, f.relative_to(home))
+    context.addPyFile(str(path))  # the driver serves it to the executors
+    context._webloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
