@@ -81,3 +81,14 @@ def test_page_relevance() -> None:
     assert relevance.page_query(doc) == "River museum"
     assert [i for i, *_ in relevance.relevant(chunks, "museum", 0.01)] == [0, 1, 2]
     assert len(relevance.relevant(chunks, "the of")) == 4
+
+
+def test_classic_variants() -> None:
+    from webloom.dom import classic
+
+    rows = "".join(f"<tr><td>name number {k} of the list</td><td colspan=2>{k}</td></tr>" for k in range(3))
+    (t,) = classic.data_tables(f"<table><caption>C</caption><thead><tr><th>A</th><th>B</th><th>C</th></tr></thead><tbody>{rows}</tbody></table>")
+    assert t["headers"] == ["A", "B", "C"] and t["rows"][0] == ["name number 0 of the list", "0", "0"] and t["caption"] == "C"
+    assert classic.data_tables("<table role=presentation><tr><td><table><tr><td>x</td></tr></table></td></tr></table>") == []
+    kept = classic.prune("<nav><a href=/>Home</a></nav><p>" + "A real sentence of the page. " * 9 + "</p><footer>legal</footer>")
+    assert len(kept) == 1 and "real sentence" in kept[0]

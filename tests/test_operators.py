@@ -216,3 +216,12 @@ def test_similar_vectors_recall_against_brute_force(spark) -> None:  # noqa: ANN
     assert want and len(got & want) / len(want) >= 0.95 and got <= {(i, j) for i in range(240) for j in range(i + 1, 240) if s[i, j] >= 0.6 - 1e-5}
     c = {r.vec_id: (r.cluster, r.links) for r in vectors.clusters(df).collect()}
     assert len(c) == 241 and c[999] == (999, 0)
+
+
+def test_semantic_chunks(spark) -> None:  # noqa: ANN001
+    sample = "# One\n\nFirst paragraph here.\n\nSecond paragraph here.\n\nTwo\n\nA longer paragraph that follows the short line above it."
+    assert chunks.semantic(sample, 60) == [("One", "# One\n\nFirst paragraph here.\n\nSecond paragraph here."), ("Two", "Two"), ("Two", "A longer paragraph that follows the short line above it.")]
+    df = spark.createDataFrame([(1, sample), (2, None)], "k int, t string")
+    assert chunks.greedy_chunks(df.where("k = 2"), "t", "fixed_size", size=9).count() == 0
+    got = chunks.semantic_chunks(df, "t", 200).collect()
+    assert {r.k for r in got} == {1} and [r.heading for r in got] == ["One", "Two"]

@@ -165,9 +165,52 @@ def greedy_chunks(df: DataFrame, text: str, how: str = "fixed_size", **options:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             parts = [chunker(t, **options) if isinstance(t, str) else [] for t in f[text]]
+            if not any(parts):
+                continue
             rows = f.loc[f.index.repeat([len(p) for p in parts])].reset_index(drop=True)
             rows["chunk_index"] = [i for p in parts for i in range(len(p))]
             rows["chunk"] = [c for p in parts for c in p]
             yield rows
 
     return df.mapInPandas(run, schema)
+
+
+def _heading(paragraph: str, following: str) -> str:
+    """A paragraph's text if it is a heading: marked as one, or a short line without a stop before a longer one."""
+    if paragraph.startswith("#"):
+        return paragraph.lstrip("#").split("\n", 1)[0].strip()
+    first, _, rest = paragraph.partition("\n")
+    longer = rest or following
+    return first.strip() if 0 < len(first) <= 80 and len(first) < len(longer) and not first.rstrip().endswith((".", "!", "?", ",", ";", ":")) else ""
+
+
+def semantic(text: str, max_chars: int = 1000) -> list[tuple[str, str]]:
+    """(heading, chunk): paragraphs of one heading, merged up to max_chars; a paragraph longer than that stands alone."""
+    paragraphs = [p.strip() for p in text.split("\n\n") if p.strip()]
+    out: list[tuple[str, str]] = []
+    heading = ""
+    for k, p in enumerate(paragraphs):
+        own = _heading(p, paragraphs[k + 1] if k + 1 < len(paragraphs) else "")
+        heading = own or heading
+        if out and not own and out[-1][0] == heading and len(out[-1][1]) + 2 + len(p) <= max_chars:
+            out[-1] = (heading, out[-1][1] + "\n\n" + p)
+        else:
+            out.append((heading, p))
+    return out
+
+
+def semantic_chunks(df: DataFrame, text: str, max_chars: int = 1000) -> DataFrame:
+    """df with (chunk_index, heading, chunk); null texts have no chunks."""
+    schema = T.StructType([*df.schema.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("heading", T.StringType()), T.StructField("chunk", T.StringType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            parts = [semantic(t, max_chars) if isinstance(t, str) else [] for t in f[text]]
+            if not any(parts):
+                continue
+            rows = f.loc[f.index.repeat([len(p) for p in parts])].reset_index(drop=True)
+            rows["chunk_index"] = [i for p in parts for i in range(len(p))]
+            rows["heading"], rows["chunk"] = [h for p in parts for h, _ in p], [c for p in parts for _, c in p]
+            yield rows
+
+    return df.mapInPandas(run, schema)

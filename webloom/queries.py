@@ -739,3 +739,8 @@ def t5_adaptive(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r20_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.clusters(table(spark, d, "embeddings"), 0.6)
+
+
+@query()
+def h4_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.semantic_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), "markdown", 1000).drop("markdown")
