@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from webloom.llm.blocks import Line, classifier, labelled
 from webloom.session import materialize
 
-#: A message has at most this many tokens; longer lines are text. Depth of the tree below the token count.
-MESSAGE, DEPTH = 30, 8
+#: A message has at most this many tokens, which is the depth of the tree; longer lines are text.
+MESSAGE = 30
 
 
 
@@ -70,7 +70,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def template(text: str) -> str:
-    """Path of a message in the prefix tree: token count, then its tokens, variable parts and what lies deeper masked."""
+    """Path of a message in the prefix tree: its token count, then its tokens, variable ones masked."""
     tokens = text.split()
     out = []
     for k, t in enumerate(tokens):
