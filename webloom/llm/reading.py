@@ -32,6 +32,7 @@ ENGLISH = 0.15
 #: Short forms whose dot ends no sentence.
 SHORT = set("mr mrs ms dr prof st sr jr vs etc e.g i.e eg ie cf fig figs no nos vol pp p ed eds al approx dept est inc ltd co corp gen col capt lt sgt rev hon gov sen rep jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun ave blvd rd u.s u.k a.m p.m am pm ca sec min max art ch".split())
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+TOKEN = re.compile(r"\S*[^\W_]\S*")  # numbers are words of the text, though not of the formulas
 TAG = re.compile(r"<[^<>\n]{1,200}>")
 MARK = re.compile(r"(\*\*|__|~~|'''|'')|\{\{[^{}\n]*\}\}|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]|!\[[^\]\n]*\]\([^)\n]*\)|\\(?:emph|textbf|textit|texttt|underline)\{([^{}\n]*)\}|\\(?:cite|ref|label|footnote)\w*\{[^{}\n]*\}|\$[^$\n]{1,80}\$|\\\(.{1,80}?\\\)|`[^`\n]*`")
 BREAK = re.compile(r"([.!?…]+)([\"”’')\]]*)(\s+|$)")
@@ -151,11 +152,10 @@ def band(grade: float) -> str:
 def page_reading(lines: list[Line]) -> tuple[int, float] | None:
     """(words, grade) of a page with enough English prose, else None."""
     paragraphs = prose(lines)
-    if sum(len(p.split()) for p in paragraphs) >= MIN_WORDS * 0.8:
-        n, grade = measure(paragraphs)
-        if n >= MIN_WORDS:
-            return n, grade
-    return None
+    n = sum(len(TOKEN.findall(p)) for p in paragraphs)
+    if n < MIN_WORDS:
+        return None
+    return n, measure(paragraphs)[1]
 
 
 def reading_levels(pages: DataFrame, page_id: str = "page_id", html: str = "html", markdown: str = "markdown") -> DataFrame:
