@@ -27,6 +27,19 @@ def test_query_runs(spark, name) -> None:  # noqa: ANN001
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_page_queries_take_every_page(spark, tmp_path) -> None:  # noqa: ANN001
+    rows = [
+        (1, "https://a.example/1", '<html lang="en"><head><title>Salt &amp; Pepper &eacute; &#8211; 5 &lt; 6</title></head><body><nav><a href="/">x</a></nav><main>t</main></body></html>'),
+        (2, "https://a.example/2", '<html lang="de"><head><title>Code</title><script>var a = "<nav>";</script></head><body><article><pre>&lt;a href="x"&gt; &lt;nav&gt; &lt;main&gt;</pre><a href="/y">y</a><pre><code>z</code></pre></article></body></html>'),
+        (3, None, None), (4, "https://a.example/4", ""),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/crawled_data.parquet")
+    meta = {tuple(r) for r in QUERIES["d10_metadata_all"](spark, str(tmp_path)).collect()}
+    assert meta == {(1, "Salt & Pepper é – 5 < 6", "en"), (2, "Code", "de"), (3, "", ""), (4, "", "")}
+    parts = {tuple(r) for r in QUERIES["d21_structure_all"](spark, str(tmp_path)).collect()}
+    assert parts == {(1, 1, 0, 1, True, False), (2, 1, 1, 0, False, True), (3, 0, 0, 0, False, False), (4, 0, 0, 0, False, False)}
+
+
 def test_entry_has_columns(spark) -> None:  # noqa: ANN001
     import __spark_entry__ as e
 

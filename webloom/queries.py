@@ -467,12 +467,24 @@ def d10_metadata(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(plain, ["metadata"]).select("page_id", "metadata.title", "metadata.language")
 
 
+@query()
+def d10_metadata_all(spark: SparkSession, d: str) -> DataFrame:
+    """d10_metadata of every page; its SQL can't decode the entities of titles."""
+    return _parsed(spark, d, "metadata").select("page_id", "metadata.title", "metadata.language")
+
+
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a[ >]')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '<script[ >]')) AS INTEGER) AS scripts, CAST(len(regexp_extract_all(html, '<nav[ >]')) AS INTEGER) AS navs, html LIKE '%<main>%' AS has_main, html LIKE '%<article>%' AS has_article FROM crawled_data WHERE html NOT LIKE '%<pre>%'")
 def d21_structure(spark: SparkSession, d: str) -> DataFrame:
     plain = _pages(spark, d).where("html not like '%<pre>%'")
     return pages.crawl_pages(plain, ["structure"]).select("page_id", "structure.links", "structure.scripts", "structure.navs", "structure.has_main", "structure.has_article")
 
 
+@query()
+def d21_structure_all(spark: SparkSession, d: str) -> DataFrame:
+    """d21_structure of every page; its SQL can't tell tags from code that shows tags."""
+    return _parsed(spark, d, "structure").select("page_id", "structure.links", "structure.scripts", "structure.navs", "structure.has_main", "structure.has_article")
+
+
 @query()
 def d12_tables(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d, "tables").select("page_id", F.posexplode("tables").alias("pos", "t")).select("page_id", "pos", F.size("t.headers").alias("columns"), F.size("t.rows").alias("rows"), "t.score", "t.is_data_table")
