@@ -63,6 +63,26 @@ def test_large_classes_are_linked_to_their_representative(spark, monkeypatch) ->
     assert {(r.group_id, r.links) for r in neardup.groups(found).collect()} == {(0, 1)}
 
 
+def test_large_classes_keep_links_of_shared_urls(spark, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(neardup, "EXPAND", 3)
+    text, other = (" ".join(f"{w}{i}" for i in range(100)) for w in ("word", "term"))
+    rows = [(0, "u0", text), (1, "u0", text), (2, "u2", text), (3, "u3", text), (4, "u4", text)]
+    rows += [(20 + i, u, other) for i, u in enumerate(("v", "w", "v", "w"))] + [(30 + i, u, other + " tail") for i, u in enumerate(("v", "x", "y", "z"))]
+    rows += [(40 + i, "same", other + " end of it") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, markdown string")
+    cache = spark.createDataFrame([(10, "u0", text + " tail"), (11, "u9", text + " tail")], "cache_id long, url string, markdown string")
+    found = neardup.classes(pages, cache)
+    whole = {tuple(r) for r in neardup.find_pairs(found, whole=True).collect()}
+    near = lambda t: text if t.startswith(text) else other
+    all_rows = [*rows, (10, "u0", text + " tail"), (11, "u9", text + " tail")]
+    assert whole == {(a, b) for a, u, t in all_rows for b, v, s in all_rows if a < b and u != v and near(t) == near(s)}
+    got = {tuple(r) for r in neardup.find_pairs(found).collect()}
+    assert got <= whole and {(0, 2), (0, 3), (0, 4), (1, 2), (2, 10), (0, 11)} <= got
+    # large classes whose ends share urls stay linked, and no record with a pair is without one
+    assert any(20 <= a < 30 <= b < 40 for a, b in got) and any(a < 30 and 40 <= b for a, b in got)
+    assert {i for p in got for i in p} == {i for p in whole for i in p}
+
+
 def test_packing_odd_rows(spark) -> None:  # noqa: ANN001
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b c", 0), (3, "a b c", 0), (4, "w " * 40000, 0), (None, "x", 0)], "doc_id long, text string, bucket int")
     windows = spark.createDataFrame([("w", 512), ("none", None), (None, 5), ("zero", 0)], "window_name string, capacity_tokens long")

@@ -32,7 +32,7 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.find_pairs(neardup.classes(table(spark, d, "crawled_data"), table(spark, d, "crawl_cache")))
+    return neardup.find_pairs(neardup.classes(table(spark, d, "crawled_data"), table(spark, d, "crawl_cache")), whole=True)
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
