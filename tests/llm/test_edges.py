@@ -83,6 +83,22 @@ def test_large_classes_keep_links_of_shared_urls(spark, monkeypatch) -> None:  #
     assert {i for p in got for i in p} == {i for p in whole for i in p}
 
 
+def test_residue_verdicts_do_not_hang_on_other_pages(spark) -> None:  # noqa: ANN001
+    pad = "x" * 400
+    bodies = [
+        "at pkg.Main.call(Main.java:12)\n\nat pkg.Main.run(Main.java:30)\n\nat pkg.Main.main(Main.java:7)", "At 10:30\n\nAt 11:45\n\nAt 12:15",
+        "java.lang.NullPointerException", "[291](http://a.example/35)", f"{pad} page not found", f"{pad} garden of roses",
+    ]
+    rows = [r for i, b in enumerate(bodies) for r in residue.page_rows(i, blocks.parse_markdown(b))]
+    assert {r.row for r in residue.decide(spark.createDataFrame(rows, residue.SCHEMA)).collect()} == {0, 2, 4}
+
+
+def test_residue_patterns_take_long_messages() -> None:
+    for text in ("a." * 50_000 + "b", "x" * 50_000 + "y", "id " + "1" * 50_000 + " y", "-" * 50_000 + "y"):
+        assert residue.classify(text) is None
+    assert [residue.classify(t) for t in ("a.b.Error: x", "xxx xxxx", "ID: a-1.2", "-- 12 --", ".error: x")] == ["error", "filler", "helper", "helper", None]
+
+
 def test_packing_odd_rows(spark) -> None:  # noqa: ANN001
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b c", 0), (3, "a b c", 0), (4, "w " * 40000, 0), (None, "x", 0)], "doc_id long, text string, bucket int")
     windows = spark.createDataFrame([("w", 512), ("none", None), (None, 5), ("zero", 0)], "window_name string, capacity_tokens long")

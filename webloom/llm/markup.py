@@ -215,7 +215,7 @@ def find_in_markdown(pages: DataFrame, page_id: str = "page_id", html: str = "ht
                 rows = []
                 for k, lines, got in zip(maybe, all_lines, kinds_of(bodies, forest, allowed), strict=True):
                     if got:
-                        rows.append((ids[k], *[None] * 6, sorted(got), clean("\n".join(x.text for x in lines if x.main), got)))
+                        rows.append((ids[k], *[None] * (len(residue.FIELDS) - 1), sorted(got), clean("\n".join(x.text for x in lines if x.main), got)))
                         rows += [(*r, None, None) for r in residue.page_rows(ids[k], lines)]
                 cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])

@@ -1,9 +1,9 @@
 """Template residue and error-page text (problem 2).
 
-Short lines of main bodies are messages: each gets a template by walking a prefix tree of fixed depth (number of
-tokens, then the tokens with variable parts masked). Distinct templates are classified once, and the verdict goes
-back to all pages that hold them. Pages whose main body is for the greater part error message, script notice or
-filler are found that way; unresolved slots are looked for separately, in the running text of every page.
+Short lines of main bodies are messages. Each is classified by itself and as a whole: its numbers, names and links
+are signs of its kind, so a template that masks them can't tell a trace line from a line of a timetable. Pages whose
+main body is for the greater part error message, script notice or filler are found that way; unresolved slots are
+looked for separately, in the running text of every page.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from webloom.llm.blocks import Line, classifier, labelled
 from webloom.session import materialize
 
-#: A message has at most this many tokens, which is the depth of the tree; longer lines are text.
+#: A message has at most this many tokens; longer lines are text.
 MESSAGE = 30
 
 
@@ -40,7 +40,7 @@ ERROR = _pattern(
     |non trovat|accesso negato|niet gevonden|toegang geweigerd""",
     re.I,
 )
-TRACE = re.compile(r"^traceback \(most recent|^\s*file \"[^\"]+\", line \d+|\b[\w.]+(error|exception)\b\s*(:|$|\()|^\s*at [\w.$<>]+\([\w.]+:\d+\)|^\s*(fatal|parse) error\b|^\s*warning: \w+\(|\bsqlstate\[|^#\d+ [/\\\w]|\bundefined (function|variable|index|method)|stack trace|call to (undefined|a member)|segmentation fault|^\s*caused by:|failed to open stream|core dumped", re.I)
+TRACE = re.compile(r"^traceback \(most recent|^\s*file \"[^\"]+\", line \d+|(?<![\w.])\.*\w[\w.]*(error|exception)\b\s*(:|$|\()|^\s*at [\w.$<>]+\([\w.]+:\d+\)|^\s*(fatal|parse) error\b|^\s*warning: \w+\(|\bsqlstate\[|^#\d+ [/\\\w]|\bundefined (function|variable|index|method)|stack trace|call to (undefined|a member)|segmentation fault|^\s*caused by:|failed to open stream|core dumped", re.I)
 SCRIPT = _pattern(
     r"""(java)?scripts?\b.{0,60}\b(enable|enabled|allow|allowed|turn(ed)? on|switched (on|off)|required|must be on|disabled|turned off|bloqu|nécessaires|hacen falta|aktivieren|deaktiviert|benötigt)
     |\b(enable|allow|activate|activer|activez|aktivieren|active|activa|activar|ative|habilite|habilita|włącz\w*|включите|turn on|does not run|doesn[’']t (run|support)|blocks?|bloque|permite|ohne|sans|sin|sem|bez|без)\b.{0,40}\b(javascript|scripts?|skripte?\w*|skrypt\w*|скрипт\w*)\b
@@ -48,12 +48,12 @@ SCRIPT = _pattern(
     re.I,
 )
 FILLER = _pattern(
-    r"""\b(text|heading|headline|title|content|copy|description|image|name|headings?|caption|subtitle)\b.{0,25}\b(goes|go) here\b|\b(sample|dummy|placeholder|example|demo|filler) (text|copy|paragraph|page|content|heading|title)\b|please replace|\b(type|write|add|enter|insert|put) (your|some) (own )?(headline|text|title|content|name|copy|heading)|description of the (image|product|item)|^\W*(tbd|tba|todo|coming soon|untitled( document)?|lorem ipsum)\b\W*$|\b(asdf|qwerty?|jkl)\b.*\b(asdf|jkl|qwer\w*)\b|\b(xxx+\W+){2,}|^\W*(xxx+\W*)+$|\b(test\W+){2,}\d|^\W*(test\W*){2,}$|for layout only
+    r"""\b(text|heading|headline|title|content|copy|description|image|name|headings?|caption|subtitle)\b.{0,25}\b(goes|go) here\b|\b(sample|dummy|placeholder|example|demo|filler) (text|copy|paragraph|page|content|heading|title)\b|please replace|\b(type|write|add|enter|insert|put) (your|some) (own )?(headline|text|title|content|name|copy|heading)|description of the (image|product|item)|^\W*(tbd|tba|todo|coming soon|untitled( document)?|lorem ipsum)\b\W*$|\b(asdf|qwerty?|jkl)\b.*\b(asdf|jkl|qwer\w*)\b|\b(xxx+\W+){2,}|^\W*xxx+(\W+xxx+)*\W*$|\b(test\W+){2,}\d|^\W*(test\W*){2,}$|for layout only
     |texte? (provisoire|d[’']exemple|factice)|à remplacer|(hier|an dieser stelle) (steht|kommt|folgt).{0,20}text|beispieltext|platzhalter|blindtext|texto de (ejemplo|prueba|relleno|exemplo)|aquí va|aqui vai|przykładowy tekst|tekst zastępczy|здесь будет текст|пример текста""",
     re.I,
 )
 HELPER = _pattern(
-    r"""^\W*(time|date|request id|reference|ref|ticket|code|error code|ray id|incident|id)\W{0,3}[\w\-.:]*\d[\w\-.:]*\W*$|^\W*(try|use) (our|the) search|(go |back )?to the (start|home) ?page|webmaster|check the (spelling|address)|spelling of|mistake, tell|^\W*(title|sample page|untitled( document)?|home|page|document|new page)\W*$|retour à l[’']accueil|zurück zur startseite|volver al inicio|ir al inicio|voltar|powrót do strony|на главную|contact (us|support)|^\W*[\d\W]+$""",
+    r"""^\W*(time|date|request id|reference|ref|ticket|code|error code|ray id|incident|id)\W{0,3}(?=[\w\-.:]*\d)[\w\-.:]*\W*$|^\W*(try|use) (our|the) search|(go |back )?to the (start|home) ?page|webmaster|check the (spelling|address)|spelling of|mistake, tell|^\W*(title|sample page|untitled( document)?|home|page|document|new page)\W*$|retour à l[’']accueil|zurück zur startseite|volver al inicio|ir al inicio|voltar|powrót do strony|на главную|contact (us|support)|^[\d\W]+$""",
     re.I,
 )
 #: First four letters of the words of the public filler text "lorem ipsum".
@@ -69,16 +69,6 @@ QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def template(text: str) -> str:
-    """Path of a message in the prefix tree: its token count, then its tokens, variable ones masked."""
-    tokens = text.split()
-    out = []
-    for k, t in enumerate(tokens):
-        bare = t.strip("*_#>\"'“”()[],;:!?…")
-        out.append("*" if not bare or (k and any(c.isdigit() for c in bare) and not re.fullmatch(r"[45]\d\d", bare)) or len(bare) > 24 else bare.lower())
-    return f"{len(tokens)} " + " ".join(out)
-
-
 def classify(text: str) -> str | None:
     """error, filler, helper or None for a message."""
     if TRACE.search(text) or SCRIPT.search(text) or ERROR.search(text):
@@ -130,17 +120,20 @@ def examine(lines: list[Line]) -> tuple[bool, int, int, list[tuple[str, int, boo
     return slots, text, filler, messages
 
 
-FIELDS = (("row", pa.int64()), ("sure", pa.bool_()), ("template", pa.string()), ("sample", pa.string()), ("n", pa.int32()), ("heading", pa.bool_()), ("text", pa.int32()))
-SCHEMA = "row long, sure boolean, template string, sample string, n int, heading boolean, text int"
+FIELDS = (("row", pa.int64()), ("sure", pa.bool_()), ("bad", pa.int32()), ("other", pa.int32()))
+SCHEMA = "row long, sure boolean, bad int, other int"
 
 
 def page_rows(row: int, lines: list[Line]) -> list[tuple]:
-    """Rows (see FIELDS) of a page: one if it is a sure case, none if it can't be one, else one and one a message."""
+    """Rows (see FIELDS) of a page: one if it is or can be a case, with its words of residue and of other text, else none."""
     slots, text, filler, messages = examine(lines)
     if slots or (filler and filler >= text + sum(n for _, n, h in messages if not h)):
-        return [(row, True, None, None, 0, False, 0)]
+        return [(row, True, 0, 0)]
+    kinds = [(classify(t), n, h) for t, n, h in messages]
+    bad = sum(n for k, n, _ in kinds if k in ("error", "filler"))
+    # a page without bad messages is no case by itself, but counts together with a repeated row
     if messages and text <= filler + sum(n for _, n, _ in messages):
-        return [(row, False, None, None, 0, False, text - filler)] + [(row, False, template(t), t[:400], n, h, 0) for t, n, h in messages]
+        return [(row, False, bad, text - filler + sum(n for k, n, h in kinds if k is None and not h))]
     return []
 
 
@@ -154,11 +147,6 @@ def _messages(tree):  # noqa: ANN001, ANN202
     return run
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([classify(t) for t in b.column(1).to_pylist()], pa.string())], names=["template", "kind"])
-
-
 def find_residue(pages: DataFrame, page_id: str = "page_id", html: str = "html", markdown: str = "markdown") -> DataFrame:
     """(page_id) of each page whose main body is an error message, a script notice or filler, or holds open slots.
 
@@ -171,13 +159,6 @@ def find_residue(pages: DataFrame, page_id: str = "page_id", html: str = "html",
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """(row) of the cases among page_rows: templates are classified once each and their verdicts go back to the pages."""
-    templates = rows.where("template is not null").groupBy("template").agg(F.min("sample").alias("sample"))
-    verdicts = templates.mapInArrow(_verdicts, "template string, kind string").where("kind is not null")
-    lines = rows.where("not sure").join(verdicts, "template", "left")
-    bad, helper = F.col("kind").isin("error", "filler"), F.col("kind") == "helper"
-    per = lines.groupBy("row").agg(
-        F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("template").isNull(), F.col("text")).when(F.coalesce(bad | helper, F.lit(False)) | F.col("heading"), 0).otherwise(F.col("n"))).alias("other"),
-    )
-    return rows.where("sure").select("row").unionByName(per.where("bad > 0 and bad >= other").select("row")).distinct()
+    """(row) of the cases among page_rows; rows of one id count together."""
+    per = rows.groupBy("row").agg(F.max("sure").alias("sure"), F.sum("bad").alias("bad"), F.sum("other").alias("other"))
+    return per.where("sure or (bad > 0 and bad >= other)").select("row")
