@@ -127,6 +127,20 @@ def test_leaks_need_order_names_and_one_stretch() -> None:
     assert not index.search((" pad" * 40).join(words))  # in order, but in no one stretch
 
 
+def test_leaks_may_leave_out_a_sentence_and_stand_beside_a_look_alike() -> None:
+    item = [f"w{c}{d}" for c in "abcd" for d in "qrstuvwxyz"]  # 40 words
+    index = leaks.Index([(1, " ".join(item)), (2, "Something else of the tide mill and the glass floats.")])
+    assert index.search("x " + " ".join(item[:15] + item[26:]) + " y")
+    assert not index.search("x " + " ".join(item[:15] + ["pad"] * 12 + item[34:]) + " y")
+    names = ["Ulra", "Morby", "Fennock", "Nelvon", "Linnock", "Tamock"]
+    text = [w for k, w in enumerate(item[:24]) for w in ([w, names[k // 4]] if k % 4 == 3 else [w])]
+    index = leaks.Index([(1, " ".join(text)), *[(k, f"Other words number {k} of the mill.") for k in range(2, 60)]])
+    alike = ["Zelvon" if w in names else w for w in text]
+    assert not index.search(" ".join(alike))
+    for both in (alike + ["pad"] * 30 + text[:20], text[:20] + ["pad"] * 30 + alike):
+        assert index.search(" ".join(both))
+
+
 def test_encodings_are_restored() -> None:
     corpus = ["Le caf\u00e9 d\u00e9j\u00e0 vu \u2013 l\u2019\u00e9t\u00e9 \u00e0 No\u00ebl", "Stra\u00dfe und \u00dcbung sch\u00f6n gr\u00fcn", "\u041d\u043e\u0432\u0430\u044f \u0441\u0442\u0430\u043d\u0446\u0438\u044f \u043e\u0442\u043a\u0440\u044b\u043b\u0430 \u0430\u0440\u0445\u0438\u0432 \u043f\u0438\u0441\u0435\u043c \u0432 \u0434\u043e\u043b\u0438\u043d\u0435", "ma\u00f1ana ni\u00f1o \u00bfqui\u00e9n?"] * 30
     import pyarrow as pa

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: Share of an item's words that must stand in order in one stretch (more than this), share of the names and numbers
-#: between the first and the last of them that must be among them, and the widest gap between two of them, in words.
+#: between the first and the last of them that must be among them, and the document's widest gap between two of them, in words.
 MIN_WORDS, MIN_NAMES, GAP = 0.5, 0.5, 8
 ITEMS_PER_BLOCK = 16
 #: Items indexed at once; more items are taken in rounds, each against all documents.
@@ -114,21 +114,21 @@ class Index:
         n, need = len(ws), math.floor(MIN_WORDS * len(ws)) + 1
         if sum(x in have for x in ws) < need:
             return None
-        places, size, best = [p for p, w in enumerate(seq) if w in mask], stretch(n), (0, 0)
+        places, size, best, able = [p for p, w in enumerate(seq) if w in mask], stretch(n), 0, []
         step = max(1, n // 10)
         last = -step
         for a, p in enumerate(places):
             if a + need > len(places) or places[a + need - 1] - p >= size:
                 continue  # too few of the item's words in this stretch
-            if p - last < step and best[0] < need:
+            if p - last < step and best < need:
                 continue
             last = p
             got = in_order(mask, n, seq[p : p + size])
-            if got > best[0]:
-                best = (got, p)
-        if best[0] < need:
-            return None
-        return self.aligned(k, seq, best[1], size, need)
+            best = max(best, got)
+            if got >= need:
+                able.append((-got, p))
+        # the best stretch may lack names or hold a gap where another doesn't
+        return next((x for _, p in sorted(able) if (x := self.aligned(k, seq, p, size, need))), None)
 
     def aligned(self, k: int, seq: list[str], start: int, size: int, need: int) -> tuple[int, int] | None:
         """The longest chain of matches without a wide gap, if it has enough words and the names that belong in it."""
@@ -154,7 +154,7 @@ class Index:
         pairs.reverse()
         chains, chain = [], pairs[:1]
         for a, b in zip(pairs, pairs[1:]):  # noqa: B905
-            if b[0] - a[0] > GAP or b[1] - a[1] > GAP:
+            if b[1] - a[1] > GAP:  # what the document leaves out of the item is no gap
                 chains.append(chain)
                 chain = []
             chain.append(b)
