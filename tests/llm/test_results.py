@@ -141,6 +141,23 @@ def test_leaks_may_leave_out_a_sentence_and_stand_beside_a_look_alike() -> None:
         assert index.search(" ".join(both))
 
 
+def test_cyrillic_mixups_of_a_part_of_a_line_are_restored() -> None:
+    import pyarrow as pa
+
+    words = "Новая станция открыла архив писем в долине у старой реки и город собрал книги".split()
+    corpus = [" ".join(words), "Le café déjà vu – l’été à Noël"] * 40
+    rows = [tuple(x) for b in encoding._count([pa.RecordBatch.from_arrays([pa.array(corpus)], names=["t"])]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    model = encoding.Model(rows)
+    for right, wrong in (("cp1251", "latin-1"), ("koi8-r", "latin-1"), ("koi8-r", "cp1251")):
+        for a, b in ((2, 5), (0, 4), (9, 14), (2, 14)):
+            bad = [w.encode(right).decode(wrong) if a <= k < b else w for k, w in enumerate(words)]
+            assert encoding.repair(" ".join(bad), model) == (True, True, " ".join(words)), (right, wrong, a, b)
+        # a sign the wrong table lacks
+        assert encoding.repair(" ".join(words).encode(right).decode(wrong) + " → ✓", model) == (True, True, " ".join(words) + " → ✓")
+    for fine in corpus[:2]:
+        assert not encoding.repair(fine, model)[0]
+
+
 def test_encodings_are_restored() -> None:
     corpus = ["Le caf\u00e9 d\u00e9j\u00e0 vu \u2013 l\u2019\u00e9t\u00e9 \u00e0 No\u00ebl", "Stra\u00dfe und \u00dcbung sch\u00f6n gr\u00fcn", "\u041d\u043e\u0432\u0430\u044f \u0441\u0442\u0430\u043d\u0446\u0438\u044f \u043e\u0442\u043a\u0440\u044b\u043b\u0430 \u0430\u0440\u0445\u0438\u0432 \u043f\u0438\u0441\u0435\u043c \u0432 \u0434\u043e\u043b\u0438\u043d\u0435", "ma\u00f1ana ni\u00f1o \u00bfqui\u00e9n?"] * 30
     import pyarrow as pa

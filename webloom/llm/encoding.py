@@ -9,6 +9,7 @@ Cyrillic encodings mixed up with one another. A mapping counts only if what it r
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -31,6 +32,8 @@ RARE = 0.02
 CLASSES = 64
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}")
 STRETCH = re.compile(r"[^\x00-\x7f]+")
+#: Words between ASCII white space, what a Cyrillic mix-up may have made, and bits by which a run of words may sink below its peak.
+TOKEN, MIXED, SINK = re.compile(r"[^ \t\r\n]+"), re.compile(r"[À-ÿ]{4}|[Ѐ-ӿ]{2}"), 20.0
 
 
 @lru_cache(1)
@@ -112,6 +115,7 @@ class Model:
         n = np.zeros((CLASSES, CLASSES))
         self.chars: dict[str, int] = {}
         self.digrams: dict[str, int] = {}
+        self.readings: dict[tuple[str, str, str], tuple[str, float, int]] = {}
         for kind, key, v in rows:
             if kind == "p":
                 n[divmod(int(key), CLASSES)] = v
@@ -173,6 +177,21 @@ class Model:
         c = ord(ch)
         return 0xA1 <= c < 0x180 or 0x410 <= c < 0x450 or c in (0x401, 0x451) or 0x2010 <= c < 0x2040 or 0x3000 <= c < 0x3100 or 0x4E00 <= c < 0xA000 or 0xFF00 <= c < 0xFF66 or c in (0xA0, 0x20AC, 0x2122, 0x2212, 0x2116) or 0x80 <= c < 0xA0 or (c < 0xFFFD and self.chars.get(ch, 0) >= 3)
 
+    def reading(self, word: str, right: str, wrong: str) -> tuple[str, float, int]:
+        """(word with the mix-up undone, bits by which it is more probable, pairs of letters changed)."""
+        if word.isascii():
+            return word, 0.0, 0
+        known = self.readings.get((word, right, wrong))
+        if known is None:
+            if len(self.readings) >= 200_000:
+                self.readings.clear()
+            table = to_bytes(wrong)
+            fixed = "".join(c if c < "\x80" or ord(c) not in table else bytes([table[ord(c)]]).decode(right, "ignore") or c for c in word)
+            pairs = [(word[i : i + 2], fixed[i : i + 2]) for i in range(len(word) - 1) if word[i] > "\x7f" and word[i + 1] > "\x7f" and word[i : i + 2] != fixed[i : i + 2]]
+            gain = sum(math.log2((self.digrams.get(y.lower(), 0) + 0.1) / (self.digrams.get(x.lower(), 0) + 0.1)) for x, y in pairs)
+            known = self.readings[word, right, wrong] = (fixed, gain, len(pairs))
+        return known
+
     def cyrillic(self, s: str) -> float:
         """Mean log-probability, in bits, of the adjacent Cyrillic letters; low where there are none."""
         got = [self.digrams.get(s[i : i + 2].lower(), 0) for i in range(len(s) - 1) if "Ѐ" <= s[i] <= "ӿ" and "Ѐ" <= s[i + 1] <= "ӿ"]
@@ -227,7 +246,7 @@ def repair(text: str, model: Model) -> tuple[bool, bool, str]:
     """(garbled, whole again, text). Null or ASCII text is never garbled."""
     garbled = lost = False
     for _ in range(ROUNDS):
-        whole = _cyrillic(text, model)
+        whole = _cyrillic_words(_cyrillic(text, model), model)
         changed, text, out, at = whole != text, whole, [], 0
         for a, b in model.runs(text):
             part = text[a:b]
@@ -274,12 +293,57 @@ def _cyrillic(text: str, model: Model) -> str:
             except (KeyError, UnicodeDecodeError):
                 continue
             gain = model.cyrillic(fixed) - max(now, -20.0)
-            if gain > best:
+            # sound words in the line are left to _cyrillic_words
+            if gain > best and not any(v < -2 * GAIN * n and n >= LETTERS - 1 for _, v, n in (model.reading(t, right, wrong) for t in TOKEN.findall(line))):
                 best, chosen = gain, fixed
         lines[k] = chosen
     return "\n".join(lines)
 
 
+def _cyrillic_words(text: str, model: Model) -> str:
+    """Maximum-scoring runs of words that become clearly more probable Cyrillic by a mix-up are read that way, the rest stays."""
+    if not MIXED.search(text):
+        return text
+    words, runs = list(TOKEN.finditer(text)), []
+    for right, wrong in CYRILLIC_READ_AS:
+        got = [model.reading(w[0], right, wrong) for w in words]
+        latin = wrong in ("latin-1", "cp1252")
+        k = 0
+        while k < len(got):
+            if got[k][1] <= 0:
+                k += 1
+                continue
+            a, b, peak, score, n, pairs = k, k + 1, 0.0, 0.0, 0, 0
+            while k < len(got):
+                score += got[k][1]
+                pairs += got[k][2]
+                if score <= 0 or score < peak - SINK:
+                    break
+                if score > peak:
+                    b, peak, n = k + 1, score, pairs
+                k += 1
+            k = b
+            if latin:
+                if not any(sum("À" <= c <= "ÿ" for c in x) >= LETTERS for w in words[a:b] for x in STRETCH.findall(w[0])):
+                    continue
+                # single Latin letters beside garbled words belong to them
+                while a and got[a - 1][2] == 0 and got[a - 1][0] != words[a - 1][0]:
+                    a -= 1
+                while b < len(got) and got[b][2] == 0 and got[b][0] != words[b][0]:
+                    b += 1
+            if n >= LETTERS - 1 and peak > GAIN * n:
+                runs.append((-peak, a, b, [x for x, _, _ in got[a:b]]))
+    fixed: dict[int, str] = {}
+    for _, a, b, new in sorted(runs):
+        if not any(k in fixed for k in range(a, b)):
+            fixed.update(zip(range(a, b), new, strict=True))
+    out, at = [], 0
+    for k in sorted(fixed):
+        out += [text[at : words[k].start()], fixed[k]]
+        at = words[k].end()
+    return "".join([*out, text[at:]])
+
+
 def train(documents: DataFrame, text: str = "text") -> Model:
     """Counts over all documents; what comes back is bounded by the alphabet of the corpus."""
     counts = documents.select(text).mapInArrow(_count, "kind string, key string, n long")
