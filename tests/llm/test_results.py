@@ -158,6 +158,19 @@ def test_cyrillic_mixups_of_a_part_of_a_line_are_restored() -> None:
         assert not encoding.repair(fine, model)[0]
 
 
+def test_usual_ratios_have_no_switch_by_size() -> None:
+    all_rows = [("en", k, 0.9 - 0.02 * k, 400) for k in range(14, 26)]
+    before = None
+    for n in (0, 1, 98, 99, 100, 101, 5000):
+        got = {(lang, k): v for lang, k, v in stuffing.usual_ratios(all_rows + [("de", k, 0.8, n / 4) for k in (16, 18, 20, 22) if n])}
+        if before and n < 5000:
+            assert abs(got["de", 20] - before["de", 20]) < (0.01 if n != 98 else 1)
+        before = got
+    assert abs(got["de", 20] - 0.8) < 0.02 and abs(got["en", 20] - 0.5) < 0.02
+    one = dict(((lang, k), v) for lang, k, v in stuffing.usual_ratios([("en", 18, 0.5, 1)]))  # noqa: C402
+    assert abs(one["en", 18] - dict(((lang, k), v) for lang, k, v in stuffing.usual_ratios([]))["en", 18]) < 0.05  # noqa: C402
+
+
 def test_encodings_are_restored() -> None:
     corpus = ["Le caf\u00e9 d\u00e9j\u00e0 vu \u2013 l\u2019\u00e9t\u00e9 \u00e0 No\u00ebl", "Stra\u00dfe und \u00dcbung sch\u00f6n gr\u00fcn", "\u041d\u043e\u0432\u0430\u044f \u0441\u0442\u0430\u043d\u0446\u0438\u044f \u043e\u0442\u043a\u0440\u044b\u043b\u0430 \u0430\u0440\u0445\u0438\u0432 \u043f\u0438\u0441\u0435\u043c \u0432 \u0434\u043e\u043b\u0438\u043d\u0435", "ma\u00f1ana ni\u00f1o \u00bfqui\u00e9n?"] * 30
     import pyarrow as pa

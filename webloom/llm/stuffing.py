@@ -8,6 +8,7 @@ made of links; a page is spam if stuffed blocks are the greater part of its main
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,9 @@ from webloom.session import materialize
 #: A body of fewer words is too short to judge. Redundancy that alone is proof, redundancy that is proof where
 #: sentences are missing (both as ratio to the usual one), sentence ends a word below which they are missing.
 MIN_WORDS, EXTREME, USUAL, FEW_ENDS, LINKED, SHARE = 25, 0.7, 1.0, 0.025, 0.5, 0.5
+#: Usual ratio before anything is seen, blocks that count for it and for the line of all languages, and their sizes
+#: (half octaves of length, 32 to 16,384 characters).
+START, PRIOR_ALL, PRIOR, SPREAD = 0.55, 1, 100, range(12, 30)
 #: Share of function words from which a block reads as language.
 FUNCTION = 0.2
 END = re.compile(r"[.!?…。](?=[\s\"”»)]|$)")
@@ -98,24 +102,23 @@ def usual_ratios(seen: list[tuple[str, int, float, int]]) -> list[tuple[str, int
     """(language, size, usual ratio) for all sizes: a line through the observed log-ratios of (language, size, ratio, n).
 
     The line keeps a length at which spam prevails from becoming its own yardstick. Languages and half octaves of
-    length are few, so this is small whatever the corpus. Languages seldom seen take the line of all.
+    length are few, so this is small whatever the corpus. A language's line is fitted to its own blocks and PRIOR
+    blocks on the line of all, which is fitted to all blocks and PRIOR_ALL blocks of the ratio START, so that no
+    number of blocks switches from one line to another.
     """
-    sizes = range(0, 64)
+    sizes = np.arange(64)
 
-    def line(rows: list[tuple[str, int, float, int]]) -> np.ndarray:
-        if not rows:
-            return np.full(len(sizes), 0.55)
-        if len({r[1] for r in rows}) < 3:
-            return np.full(len(sizes), sum(r[2] * r[3] for r in rows) / sum(r[3] for r in rows))
-        x, y, n = (np.array([float(r[k]) for r in rows]) for k in (1, 2, 3))
-        return np.exp(np.polyval(np.polyfit(x, np.log(np.maximum(y, 1e-3)), 1, w=np.sqrt(n)), np.array(sizes)))
+    def line(rows: list[tuple[str, int, float, int]], prior: np.ndarray, weight: float) -> np.ndarray:
+        x = np.array([r[1] for r in rows] + list(SPREAD), float)
+        y = np.array([math.log(max(r[2], 1e-3)) for r in rows] + [prior[k] for k in SPREAD])
+        n = np.array([r[3] for r in rows] + [weight / len(SPREAD)] * len(SPREAD))
+        return np.polyval(np.polyfit(x, y, 1, w=np.sqrt(n)), sizes)
 
-    everything = line([r for r in seen if r[0]])
+    everything = line([r for r in seen if r[0]], np.full(64, math.log(START)), PRIOR_ALL)
     out = []
     for lang in {r[0] for r in seen} | {""} | set(FUNCTION_WORDS):
-        own = [r for r in seen if r[0] == lang]
-        use = line(own) if lang and sum(r[3] for r in own) >= 100 else everything
-        out += [(lang, k, float(v)) for k, v in zip(sizes, use, strict=True)]
+        use = np.exp(line([r for r in seen if r[0] == lang], everything, PRIOR) if lang else everything)
+        out += [(lang, int(k), float(v)) for k, v in zip(sizes, use, strict=True)]
     return out
 
 
