@@ -171,6 +171,25 @@ def test_usual_ratios_have_no_switch_by_size() -> None:
     assert abs(one["en", 18] - dict(((lang, k), v) for lang, k, v in stuffing.usual_ratios([]))["en", 18]) < 0.05  # noqa: C402
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("The bridge " + "<!-- " + "a note on the mill " * 20 + "-->" + " was open.", "html"), ("The bridge <!-- a note\n\nof the mill --> was open.", "html"), ("The bridge <span\nclass=x1> was open.", "html"),
+        ("So \\( a + b = " + "c + d + " * 40 + "e \\) holds.", "latex"), ("So \\[ a + b\n= c \\] holds.", "latex"), ("So $a + \\alpha\n= c$ holds.", "latex"),
+        ("The river was calm. " * 15 + "Then {{cite|title=A river. " + "The mill. " * 12 + "The bridge}} came.", "wiki"), ("It was {{cite|\ntitle=A. B\n}} here.", "wiki"),
+    ],
+)
+def test_signs_have_no_bounds(text, kind) -> None:  # noqa: ANN001
+    assert markup.kinds_of([text], markup.trees()) == [{kind}]
+    if kind != "latex":
+        assert not any(x in markup.clean(text, {kind}) for x in ("<", "{{", "note", "cite"))
+
+
+def test_open_signs_far_apart_are_none() -> None:
+    for text in ("Cost \\( one.\n\nAnd so \\) two.", "From $5 to\nabout $7 now.", "5 <!-- 6 crates.\nNo more."):
+        assert markup.kinds_of([text], markup.trees()) == [set()]
+
+
 def test_encodings_are_restored() -> None:
     corpus = ["Le caf\u00e9 d\u00e9j\u00e0 vu \u2013 l\u2019\u00e9t\u00e9 \u00e0 No\u00ebl", "Stra\u00dfe und \u00dcbung sch\u00f6n gr\u00fcn", "\u041d\u043e\u0432\u0430\u044f \u0441\u0442\u0430\u043d\u0446\u0438\u044f \u043e\u0442\u043a\u0440\u044b\u043b\u0430 \u0430\u0440\u0445\u0438\u0432 \u043f\u0438\u0441\u0435\u043c \u0432 \u0434\u043e\u043b\u0438\u043d\u0435", "ma\u00f1ana ni\u00f1o \u00bfqui\u00e9n?"] * 30
     import pyarrow as pa

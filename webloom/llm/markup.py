@@ -9,6 +9,7 @@ lists, code and formulas.
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import html.entities
 import random
@@ -59,26 +60,75 @@ NAMES = tuple(SIGNS)
 HINT = re.compile(r"[<&\\$*#`>|\[{'=~]|__")
 CUT = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_])")
 LONG = 400
+#: Signs that go over a line end, which SIGNS leaves out, by name; a formula ends at an empty line.
+_WIDE_TAG = re.compile(r"<(?:" + ELEMENTS.replace(" ", "|") + r")(?=\s[^<>]*>)(?=[^<>]*\n)[^<>]*>", re.I)
+_WIDE_TEMPLATE = re.compile(r"\{\{(?=[^{}]*\n)[^{}|]+\|[^{}]*\}\}")
+_WIDE_MATH = re.compile(r"(?<![\\\w$])(\$\$?)(?=[^$]*\\[a-zA-Z])(?=[^$\n]*\n)(?:[^$\n]|\n(?![ \t]*\n))+\1(?!\$)")
+#: Signs of one line inside which it isn't cut.
+_WHOLE = re.compile(r"\{\{[^{}\n]*\}\}|\[\[[^\[\]\n]*\]\]|\[https?://[^\]\n]*\]|'{2,5}[^'\n]+'{2,5}|<[^<>\n]*>|\*\*[^*\n]+\*\*|~~[^~\n]+~~|\$(?=[^$\n]*\\[a-zA-Z])[^$\n]*\$")
+
+
+def enclosed(text: str, start: str, end: str, over: bool) -> list[tuple[int, int]]:
+    """Spans from each start sign to the next end sign, in one scan; not over empty lines unless `over`."""
+    out, i = [], text.find(start)
+    while i >= 0:
+        j = text.find(end, i + len(start))
+        if j < 0:
+            break
+        if not over:
+            i = text.rfind(start, i, j)  # the last start sign before the end
+        if over or not re.search(r"\n[ \t]*\n", text[i:j]):
+            out.append((i, j + len(end)))
+        i = text.find(start, j + len(end))
+    return out
+
+
+def wide_signs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the signs that go over a line end or are longer than SIGNS takes."""
+    out = [(a, b, "h tag") for a, b in enclosed(text, "<!--", "-->", True) if b - a > 207 or "\n" in text[a:b]]
+    for start, end, longest in (("\\(", "\\)", 204), ("\\[", "\\]", 404)):
+        out += [(a, b, "l math") for a, b in enclosed(text, start, end, False) if b - a > longest or "\n" in text[a:b]]
+    if "\n" in text:
+        for name, pattern, sign in (("h tag", _WIDE_TAG, "<"), ("w template", _WIDE_TEMPLATE, "{{"), ("l math", _WIDE_MATH, "$")):
+            if sign in text:
+                out += [(*m.span(), name) for m in pattern.finditer(text)]
+    return out
 
 
-def text_blocks(text: str) -> list[str]:
-    """Lines with more than white space; long ones are cut at sentence ends."""
-    out = []
+def placed_blocks(text: str, wide: list[tuple[int, int, str]]) -> list[tuple[int, str]]:
+    """(place, block): lines with more than white space; long ones are cut at sentence ends outside of signs."""
+    out, at = [], 0
     for line in text.split("\n"):
-        if not line or line.isspace():
-            continue
-        if len(line) <= LONG:
-            out.append(line)
-            continue
-        start = 0
-        for m in CUT.finditer(line):
-            if m.start() - start >= LONG // 2:
-                out.append(line[start : m.start()])
-                start = m.end()
-        out.append(line[start:])
+        if line and not line.isspace():
+            if len(line) <= LONG:
+                out.append((at, line))
+            else:
+                inside = sorted([m.span() for m in _WHOLE.finditer(line)] + [(a - at, b - at) for a, b, _ in wide if a < at + len(line) and b > at])
+                start = k = reach = 0
+                for m in CUT.finditer(line):
+                    while k < len(inside) and inside[k][0] < m.end():
+                        reach = max(reach, inside[k][1])
+                        k += 1
+                    if m.start() - start >= LONG // 2 and reach <= m.start():
+                        out.append((at + start, line[start : m.start()]))
+                        start = m.end()
+                out.append((at + start, line[start:]))
+        at += len(line) + 1
     return out
 
 
+def text_features(text: str) -> np.ndarray:
+    """Features of a text's blocks; a sign that no block holds whole counts for the one it begins in."""
+    wide = wide_signs(text)
+    placed = placed_blocks(text, wide)
+    x = features([b for _, b in placed])
+    starts = [a for a, _ in placed]
+    for a, _, name in wide:
+        k, j = max(0, bisect.bisect_right(starts, a) - 1), NAMES.index(name)
+        x[k, j] = min(x[k, j] + 1, 9)
+    return x
+
+
 def features(blocks: list[str]) -> np.ndarray:
     """A row a block: signs of each kind, words and link density, and these two of the blocks before and after."""
     n, k = len(blocks), len(NAMES)
@@ -138,8 +188,8 @@ def kinds_of(texts: list[str], forest: dict[str, Tree], allowed: tuple[str, ...]
     owner, blocks, out = [], [], [set() for _ in texts]
     for k, t in enumerate(texts):
         if t and HINT.search(t):
-            own = text_blocks(t)
-            blocks.append(features(own))
+            own = text_features(t)
+            blocks.append(own)
             owner += [k] * len(own)
     if owner:
         x, own = np.vstack(blocks), np.array(owner)
@@ -174,12 +224,12 @@ def clean(text: str, kinds: set[str]) -> str:
         text = re.sub(r"<li\b[^<>]*>\s*", "\n* ", re.sub(r"<pre\b[^<>]*>(.*?)</pre\s*>", r"\n```\n\1\n```\n", text, flags=re.S | re.I), flags=re.I)
         text = re.sub(r"<code\b[^<>]*>(.*?)</code\s*>", r"`\1`", text, flags=re.S | re.I)
         text = re.sub(r"</?(?:p|div|br|tr|ul|ol|table|blockquote|hr)\b[^<>]*>", "\n", text, flags=re.I)
-        text = html_lib.unescape(_TAG.sub("", text)).replace("\xa0", " ")
+        text = html_lib.unescape(_TAG.sub("", _WIDE_TAG.sub("", text))).replace("\xa0", " ")
     if "wiki" in kinds:
         text = re.sub(r"(?:^|(?<=\s))(={2,6}) ([^=\n]+) \1(?=\s|$)", lambda m: f"\n{'#' * len(m[1])} {m[2]}\n", text)
         text = re.sub(r"\[\[(?:Category|File|Image|Kategorie|Catégorie|Categoría):[^\[\]\n]*\]\]", "", text, flags=re.I)
         text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]", r"\1", text)
-        text = re.sub(r"\{\{[^{}|\n]+\|[^{}\n]*\}\}", "", text)
+        text = re.sub(r"\{\{[^{}|]+\|[^{}]*\}\}", "", text)
         text = re.sub(r"\[https?://[^\s\]]+ ([^\]\n]+)\]", r"\1", text)
         text = re.sub(r"'{2,5}", "", text)
     if "markdown" in kinds:
