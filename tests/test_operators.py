@@ -68,6 +68,16 @@ def test_chunkers(spark) -> None:  # noqa: ANN001
     assert chunks.markdown_sections("# A\n" + "x" * 50 + "\n# B\n```\n# no\n```", 40) == ["# A\n" + "x" * 50, "# B\n```\n# no\n```"]
 
 
+def test_long_sections_are_split_but_fences_are_not() -> None:
+    fence = "```\n" + "code. " * 15 + "\n```"
+    text = "# A\n\n" + "One two three. " * 9 + "\n\n" + "y" * 130 + "\n" + fence + "\nAfter.\n# B\nshort"
+    got = chunks.markdown_sections(text, 60, split=True)
+    assert all(len(c) <= 60 or c == fence for c in got) and fence in got and got[-1] == "# B\nshort"
+    assert "".join("".join(got).split()) == "".join(text.split())
+    assert chunks.hard_split("One two. Three four five", 12) == ["One two.", "Three four", "five"]
+    assert chunks.hard_split("abcdefgh", 3) == ["abc", "def", "gh"]
+
+
 @pytest.mark.parametrize(("old", "new", "want"), [("a\nb", "a\nb", (0, 0, 2, 1.0)), ("alpha\nbeta", "gamma\ndelta", (2, 2, 0, 0.0)), ("a\nb\nc", "a\nb\nd", (1, 1, 2, 0.666667)), ("", "", (0, 0, 0, 0.0)), ("a\na", "a", (0, 1, 1, 1.0))])
 def test_line_diff(spark, old, new, want) -> None:  # noqa: ANN001
     a, b = (spark.createDataFrame([(1, t)], "k int, t string") for t in (old, new))

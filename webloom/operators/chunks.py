@@ -136,8 +136,49 @@ def token_aware(text: str, max_tokens: int = 512, overlap: int = 0, separator: s
     return [*out, separator.join(held)] if held else out
 
 
-def markdown_sections(text: str, max_chars: int = 2000) -> list[str]:
-    """Sections by heading; fences are never cut, short neighbours are merged up to max_chars."""
+def hard_split(text: str, size: int) -> list[str]:
+    """At most `size` characters each, ended after the last paragraph break, else sentence end, else space, that fits."""
+    out, at = [], 0
+    while len(text) - at > size:
+        end = at + size
+        cut = text.rfind("\n\n", at, end) + 2
+        if cut <= at + 2:
+            cut = max(text.rfind(x, at, end) for x in ".!?") + 1
+        if cut <= at + 1:
+            cut = text.rfind(" ", at, end) + 1
+        if cut <= at + 1:
+            cut = end
+        out.append(text[at:cut].strip())
+        at = cut
+    return [x for x in (*out, text[at:].strip()) if x]
+
+
+def split_section(section: str, size: int) -> list[str]:
+    """Parts of a section of at most `size` characters; a fence stays whole, even if it is longer."""
+    units: list[list[str]] = [[]]
+    fence = False
+    for line in section.split("\n"):
+        mark = line.lstrip().startswith("```")
+        if mark and not fence:
+            units.append([])
+        units[-1].append(line)
+        if mark and fence:
+            units.append([])
+        fence = fence != mark
+    out: list[str] = []
+    for unit in ("\n".join(u).strip("\n") for u in units):
+        if unit.strip():
+            first, *rest = [unit] if unit.lstrip().startswith("```") else hard_split(unit, size)
+            if out and len(out[-1]) + 2 + len(first) <= size:
+                out[-1] += "\n\n" + first
+            else:
+                out.append(first)
+            out += rest
+    return out
+
+
+def markdown_sections(text: str, max_chars: int = 2000, split: bool = False) -> list[str]:
+    """Sections by heading; fences are never cut, short neighbours are merged up to max_chars, longer sections split if asked."""
     sections: list[list[str]] = [[]]
     fence = False
     for line in text.split("\n"):
@@ -147,13 +188,16 @@ def markdown_sections(text: str, max_chars: int = 2000) -> list[str]:
             sections.append([])
         sections[-1].append(line)
     out: list[str] = []
+    joins = False
     for s in ("\n".join(x).strip() for x in sections):
         if not s:
             continue
-        if out and len(out[-1]) + 2 + len(s) <= max_chars:
+        if joins and len(out[-1]) + 2 + len(s) <= max_chars:
             out[-1] += "\n\n" + s
-        else:
-            out.append(s)
+            continue
+        # nothing joins the rest of a split section
+        joins = not split or len(s) <= max_chars
+        out += [s] if joins else split_section(s, max_chars)
     return out
 
 

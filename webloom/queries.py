@@ -287,7 +287,7 @@ def h1_token_aware(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def h5_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.greedy_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), "markdown", "markdown", max_chars=1500).drop("markdown")
+    return chunks.greedy_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), "markdown", "markdown", max_chars=1500, split=True).drop("markdown")
 
 
 @query()
