@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from webloom.llm import blocks, encoding, leaks, markup, neardup, packing, reading, repeats, residue, stuffing
+from webloom.llm import blocks, encoding, leaks, markup, neardup, notices, packing, reading, repeats, residue, stuffing
 
 LONG = "The river was calm and the old bridge stood near the mill. " * 4000
 CLASH = "row long, _id string, _text string, line_no int, key string, rep long, n int, words string, kind string, part int, size int, w string"
@@ -89,14 +89,14 @@ def test_residue_verdicts_do_not_hang_on_other_pages(spark) -> None:  # noqa: AN
         "at pkg.Main.call(Main.java:12)\n\nat pkg.Main.run(Main.java:30)\n\nat pkg.Main.main(Main.java:7)", "At 10:30\n\nAt 11:45\n\nAt 12:15",
         "java.lang.NullPointerException", "[291](http://a.example/35)", f"{pad} page not found", f"{pad} garden of roses",
     ]
-    rows = [r for i, b in enumerate(bodies) for r in residue.page_rows(i, blocks.parse_markdown(b))]
+    rows = [r for i, b in enumerate(bodies) for r in residue.page_rows(i, blocks.parse_markdown(b), notices.notices())]
     assert {r.row for r in residue.decide(spark.createDataFrame(rows, residue.SCHEMA)).collect()} == {0, 2, 4}
 
 
-def test_residue_patterns_take_long_messages() -> None:
-    for text in ("a." * 50_000 + "b", "x" * 50_000 + "y", "id " + "1" * 50_000 + " y", "-" * 50_000 + "y"):
-        assert residue.classify(text) is None
-    assert [residue.classify(t) for t in ("a.b.Error: x", "xxx xxxx", "ID: a-1.2", "-- 12 --", ".error: x")] == ["error", "filler", "helper", "helper", None]
+def test_long_tokens_are_masked_at_once() -> None:
+    for text in ("a." * 50_000 + "b", "x" * 50_000 + "y", "-" * 50_000 + "y"):
+        assert notices.tokens(text) == ["<long>"]
+    assert notices.tokens("At Main.run(Main.java:30) a.b.Error: 404 12:30 /var/x 7 ID-7f3a xxx www.a.example") == ["at", "<trace>", "<exception>", "<code>", "<time>", "<path>", "<num>", "<id>", "<mash>", "<url>"]
 
 
 def test_packing_odd_rows(spark) -> None:  # noqa: ANN001

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import residue
 from webloom.llm.blocks import LINK, classifier, label_pages, parse_markdown
+from webloom.llm.notices import notices
 from webloom.llm.residue import CODE_SPAN, SLOT
 from webloom.llm.tree import Tree
 from webloom.session import materialize
@@ -250,7 +251,7 @@ def find_in_plain_text(scraped: DataFrame, page_id: str = "page_id", text: str =
 
 def find_in_markdown(pages: DataFrame, page_id: str = "page_id", html: str = "html", markdown: str = "markdown") -> DataFrame:
     """The same for the main body of a page's markdown and the kinds foreign to it; code and residue pages are no cases."""
-    forest, tree = trees(), classifier()
+    forest, tree, model = trees(), classifier(), notices()
     allowed = ("html", "latex", "wiki")
     fields = (*residue.FIELDS, ("markup", pa.list_(pa.string())), ("clean_text", pa.string()))
 
@@ -266,13 +267,13 @@ def find_in_markdown(pages: DataFrame, page_id: str = "page_id", html: str = "ht
                 for k, lines, got in zip(maybe, all_lines, kinds_of(bodies, forest, allowed), strict=True):
                     if got:
                         rows.append((ids[k], *[None] * (len(residue.FIELDS) - 1), sorted(got), clean("\n".join(x.text for x in lines if x.main), got)))
-                        rows += [(*r, None, None) for r in residue.page_rows(ids[k], lines)]
+                        rows += [(*r, None, None) for r in residue.page_rows(ids[k], lines, model)]
                 cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
     src = pages.where(f"`{markdown}` is not null").select(F.col(page_id).cast("long"), html, markdown)
     rows = materialize(src.mapInArrow(run, residue.SCHEMA + ", markup array<string>, clean_text string"), "markup")
-    bad = residue.decide(rows.where("markup is null").select(*[n for n, _ in residue.FIELDS]))
+    bad = residue.decide(rows.where("markup is null").select(*residue.NAMES))
     found = rows.where("markup is not null").join(bad, "row", "left_anti")
     return found.select(F.col("row").cast(pages.schema[page_id].dataType).alias(page_id), F.lit("markdown").alias("field_name"), F.explode("markup").alias("markup"), "clean_text")
 

@@ -22,6 +22,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "crawled_data")).distinct()
 
 
+def p2_templates(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_templates(table(spark, d, "crawled_data"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.find_repeated_lines(table(spark, d, "crawled_data"))
 
@@ -90,7 +94,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_levels, p2_found, p3_found, p3_cleaned, p4_found, p4_groups, p5_found, p5_main_text, p6_found, p6_clean, p7_found, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_levels, p2_found, p2_templates, p3_found, p3_cleaned, p4_found, p4_groups, p5_found, p5_main_text, p6_found, p6_clean, p7_found, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_restored)
 }
 
 _P3_LINES = r"""

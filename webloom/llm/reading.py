@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from webloom.llm import residue, stuffing
 from webloom.llm.blocks import LINK, Line, classifier, labelled
 from webloom.llm.language import scores
+from webloom.llm.notices import notices
 from webloom.session import materialize
 
 #: Words of prose a page must have, and the grades below and above which it is easy and hard.
@@ -173,7 +174,7 @@ FIELDS = (*residue.FIELDS, *stuffing.FIELDS[1:], ("kind", pa.string()), ("grade"
 
 def _one_pass(pages: DataFrame, page_id: str, html: str, markdown: str, spam: bool) -> DataFrame:
     """Reading rows ('r') and, if spam, the rows by which residue ('m') and stuffing ('b') decide, from one parse of each page."""
-    tree = classifier()
+    tree, model = classifier(), notices()
     n_m, n_b = len(residue.FIELDS), len(stuffing.FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +185,7 @@ def _one_pass(pages: DataFrame, page_id: str, html: str, markdown: str, spam: bo
                 if got:
                     rows.append((i, *[None] * (n_m + 1), got[0], *[None] * (n_b - 4), "r", got[1], band(got[1])))
                     if spam:
-                        rows += [(*x, *[None] * (n_b - 1), "m", None, None) for x in residue.page_rows(i, lines)]
+                        rows += [(*x, *[None] * (n_b - 1), "m", None, None) for x in residue.page_rows(i, lines, model)]
                 if spam:
                     rows += [(x[0], *[None] * (n_m - 1), *x[1:], "b", None, None) for x in stuffing.page_rows(i, lines)]
             cols = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
@@ -198,7 +199,7 @@ def _one_pass(pages: DataFrame, page_id: str, html: str, markdown: str, spam: bo
 def find_bands(pages: DataFrame, page_id: str = "page_id", html: str = "html", markdown: str = "markdown") -> DataFrame:
     """(page_id, band) as reading_levels, without the cases of template residue and keyword stuffing. Same edge cases."""
     rows = materialize(_one_pass(pages, page_id, html, markdown, spam=True), "profile")
-    bad = residue.decide(rows.where("kind = 'm'").select(*[n for n, _ in residue.FIELDS]))
+    bad = residue.decide(rows.where("kind = 'm'").select(*residue.NAMES))
     bad = bad.unionByName(stuffing.decide(rows.where("kind = 'b'").select(*[n for n, _ in stuffing.FIELDS])).select("row"))
     levels = rows.where("kind = 'r'").select("row", "band").distinct()
     return levels.join(bad, "row", "left_anti").select(F.col("row").cast(pages.schema[page_id].dataType).alias(page_id), "band")
