@@ -96,7 +96,7 @@ def test_residue_verdicts_do_not_hang_on_other_pages(spark) -> None:  # noqa: AN
 def test_long_tokens_are_masked_at_once() -> None:
     for text in ("a." * 50_000 + "b", "x" * 50_000 + "y", "-" * 50_000 + "y"):
         assert notices.tokens(text) == ["<long>"]
-    assert notices.tokens("At Main.run(Main.java:30) a.b.Error: 404 12:30 /var/x 7 ID-7f3a xxx www.a.example") == ["at", "<trace>", "<exception>", "<code>", "<time>", "<path>", "<num>", "<id>", "<mash>", "<url>"]
+    assert notices.tokens("At Main.run(Main.java:30) a.b.KeyError: 404 12:30 /var/x 7 ID-7f3a xxx www.a.example") == ["at", "<trace>", "<exception>", "<code>", "<time>", "<path>", "<num>", "<id>", "<mash>", "<url>"]
 
 
 def test_packing_odd_rows(spark) -> None:  # noqa: ANN001
