@@ -1,10 +1,11 @@
 """Garbled text from wrong character encoding (problem 10).
 
-Adjacent characters are scored by mutual information over the whole corpus, on classes of characters (script,
-case, kind of sign), so the table has a fixed size and a minority of garbled documents can't make garbling look
-normal. Maximum-scoring segments of improbable pairs isolate the suspicious runs, and inverse mappings are tried
-only inside them: bytes of a single-byte encoding that are valid UTF-8, Windows punctuation read as Latin-1, and
-Cyrillic encodings mixed up with one another. A mapping counts only if what it restores is more probable.
+Adjacent characters are scored by their mutual information over the whole corpus; the table tells every letter of
+Latin-1 and Cyrillic and every sign in common use apart and takes other characters by class, so its size is fixed.
+Pairs that few documents hold count as improbable however well they go together, as garbled characters always do.
+Maximum-scoring segments of improbable pairs isolate the suspicious runs, and inverse mappings are tried only inside
+them: bytes of a single-byte encoding that are valid UTF-8, Windows punctuation read as Latin-1, and Cyrillic
+encodings mixed up with one another. A mapping counts only if what it restores is more probable.
 """
 
 from __future__ import annotations
@@ -28,112 +29,130 @@ CYRILLIC_READ_AS = (("cp1251", "latin-1"), ("cp1251", "cp1252"), ("koi8-r", "cp1
 MIN_SCORE, OFFSET, ROUNDS = 1.0, 0.3, 3
 #: Bits a letter by which a Cyrillic reading must be more probable than the text as it stands, and letters needed.
 GAIN, LETTERS = 1.5, 4
-RARE = 0.02
-CLASSES = 64
+#: Share of the documents outside ASCII below which a pair counts as improbable by the bits it lies below.
+RARE = 0.1
+CLASSES = 256
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}")
-STRETCH = re.compile(r"[^\x00-\x7f]+")
+STRETCH, PIECES = re.compile(r"[^\x00-\x7f]+"), re.compile(r"[^\x00-\x7f]+|[\x00-\x7f]+")
+#: A word of one letter before and after a place.
+BEFORE, AFTER = re.compile(r"(?:^|\s)(\S)\s\Z"), re.compile(r"\s(\S)(?!\S)")
 #: Words between ASCII white space, what a Cyrillic mix-up may have made, and bits by which a run of words may sink below its peak.
 TOKEN, MIXED, SINK = re.compile(r"[^ \t\r\n]+"), re.compile(r"[À-ÿ]{4}|[Ѐ-ӿ]{2}"), 20.0
 
 
 @lru_cache(1)
 def class_table() -> np.ndarray:
-    """Class of each code point below 0x3000, by script and kind; the rest is one of few classes (see class_of)."""
-    out = np.zeros(0x3000, np.uint8)
+    """Class of each code point below 0x10000: one each for Latin-1, Cyrillic and common signs, else by script and kind."""
+    out = np.full(0x10000, 1, np.uint8)
     for c in range(0x3000):
         ch = chr(c)
         kind = unicodedata.category(ch)
         if c < 0x80:
-            out[c] = {"Lu": 1, "Ll": 2, "Nd": 3}.get(kind, 4 if ch in " \t\r\n" else 5)
+            out[c] = {"Lu": 2, "Ll": 3, "Nd": 4}.get(kind, 5 if ch in " \t\r\n" else 6)
         elif c < 0xA0:
-            out[c] = 6
+            out[c] = 7
         elif c < 0x250:
-            out[c] = {"Lu": 7 + (c > 0xFF), "Ll": 9 + (c > 0xFF), "Lo": 11, "Sc": 12, "Sm": 13, "No": 14, "Pi": 15, "Pf": 15, "Sk": 16, "Cf": 17, "Zs": 18}.get(kind, 19)
-            if c == 0xB5:
-                out[c] = 13
+            out[c] = 8 if kind == "Lu" else 9
         elif 0x370 <= c < 0x400:
-            out[c] = 20 if kind == "Lu" else 21
-        elif 0x410 <= c < 0x450 or c in (0x401, 0x451):
-            out[c] = 22 if kind == "Lu" else 23
+            out[c] = 10 if kind == "Lu" else 11
         elif 0x400 <= c < 0x530:
-            out[c] = 24 if kind == "Lu" else 25
-        elif 0x2010 <= c < 0x2016:
-            out[c] = 26
-        elif 0x2018 <= c < 0x2020:
-            out[c] = 27 + (ch in "‚„‛‟")
+            out[c] = 12 if kind == "Lu" else 13
         elif 0x2000 <= c < 0x2070:
-            out[c] = 29 if ch == "…" else 30
+            out[c] = 14
         elif 0x20A0 <= c < 0x2100:
-            out[c] = 31
+            out[c] = 15
         elif 0x2100 <= c < 0x2200:
-            out[c] = 32
+            out[c] = 16
         elif 0x2200 <= c < 0x2300:
-            out[c] = 33 if ch == "−" else 34
+            out[c] = 17
         elif 0x2500 <= c < 0x2600:
-            out[c] = 35
+            out[c] = 18
         elif c >= 0x2000:
-            out[c] = 36
-        else:
-            out[c] = 37
+            out[c] = 19
+    for first, last, cls in ((0x3000, 0x3040, 20), (0x3040, 0x30A0, 21), (0x30A0, 0x3100, 22), (0x3400, 0xA000, 23), (0xAC00, 0xD7B0, 24), (0xFF00, 0xFFF0, 25), (0xFFFD, 0xFFFE, 26)):
+        out[first:last] = cls
+    alone = [*range(0xA0, 0x100), *range(0x410, 0x450), 0x401, 0x451, *map(ord, "ŒœŠšŽžŸƒĄąĆćĘęŁłŃńŚśŹźŻżĂăŐőŰűĞğİıŞş"), *map(ord, "–—‘’‚“”„†‡•…‰‹›€™−№")]
+    out[alone] = np.arange(32, 32 + len(alone))
     return out
 
 
 def class_of(codes: np.ndarray) -> np.ndarray:
-    low = class_table()[np.minimum(codes, 0x2FFF)]
-    high = np.select([codes == 0xFFFD, codes < 0x3040, codes < 0x3100, codes < 0x3400, codes < 0xA000, (codes >= 0xFF00) & (codes < 0xFFF0)], [38, 39, 40, 41, 42, 43], 44)
-    return np.where(codes < 0x3000, low, high).astype(np.int64)
+    return class_table()[np.minimum(codes, 0xFFFF)]
 
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all texts, each followed by a line end; places of pairs that are not both ASCII; the text of each such pair)."""
+    codes = codes_of("\n".join(texts) + "\n")
+    strange = codes > 0x7F
+    hot = np.flatnonzero(strange[:-1] | strange[1:])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return codes, hot, np.searchsorted(ends, hot, "right")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each class pair, and of lower-cased letters and letter pairs of Cyrillic, one row each a task."""
-    pairs, letters, digrams = np.zeros(CLASSES * CLASSES, np.int64), Counter(), Counter()
+    """Documents with each pair of classes, each sign and each pair of lower-cased Cyrillic letters, one row each a task."""
+    pairs, letters, digrams, seen = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(0x10000, np.int64), np.zeros(256 * 256, np.int64), 0
+    low = np.arange(256)
+    low[0x10:0x30] += 0x20
+    low[0x00:0x10] += 0x50
     for b in batches:
-        for t in b.column(0).to_pylist():
-            if not t or t.isascii():
+        for start in range(0, b.num_rows, 512):
+            texts = [t for t in b.column(0).slice(start, 512).to_pylist() if t and not t.isascii()]
+            if not texts:
                 continue
-            codes = codes_of(t)
-            c = class_of(codes)
+            seen += len(texts)
+            codes, hot, doc = _joined(texts)
+            c, doc = class_of(codes).astype(np.int64), doc.astype(np.int64)
             # once a document, so that one long garbled text has no more weight than another
-            pairs[np.unique(c[:-1] * CLASSES + c[1:])] += 1
-            letters.update(set("".join(STRETCH.findall(t))))
-            cyr = [w for w in STRETCH.findall(t) if "Ѐ" <= w[0] <= "ӿ"]
-            if cyr:
-                digrams.update({x for w in cyr for w in (w.lower(),) for x in zip(w, w[1:])})  # noqa: B905
-    rows = [("p", str(k), int(v)) for k, v in enumerate(pairs) if v] + [("c", k, v) for k, v in letters.items()] + [("d", "".join(k), v) for k, v in digrams.items()]
+            pairs += np.bincount(np.unique(doc << 16 | c[hot] << 8 | c[hot + 1]) & 0xFFFF, minlength=CLASSES * CLASSES)
+            at = codes[hot]
+            pick = at > 0x7F
+            letters += np.bincount(np.unique(doc[pick] << 16 | np.minimum(at[pick], 0xFFFF).astype(np.int64)) & 0xFFFF, minlength=0x10000)
+            x, y = codes[hot].astype(np.int64) - 0x400, codes[hot + 1].astype(np.int64) - 0x400
+            pick = (x >= 0) & (x < 256) & (y >= 0) & (y < 256)
+            digrams += np.bincount(np.unique(doc[pick] << 16 | low[x[pick]] << 8 | low[y[pick]]) & 0xFFFF, minlength=256 * 256)
+    rows = [(kind, k, int(table[k])) for kind, table in (("p", pairs), ("c", letters), ("d", digrams)) for k in np.flatnonzero(table).tolist()]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 2 else pa.int64()) for i in range(3)], names=["kind", "key", "n"])
+        rows.append(("n", 0, seen))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], (pa.string(), pa.int32(), pa.int64())[i]) for i in range(3)], names=["kind", "key", "n"])
 
 
 class Model:
     """Scores of the corpus; its size is bounded by the alphabet, not by the number of documents."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, rows: list[tuple[str, int, int]]):
         n = np.zeros((CLASSES, CLASSES))
         self.chars: dict[str, int] = {}
         self.digrams: dict[str, int] = {}
         self.readings: dict[tuple[str, str, str], tuple[str, float, int]] = {}
+        docs = 1
         for kind, key, v in rows:
             if kind == "p":
-                n[divmod(int(key), CLASSES)] = v
+                n[key >> 8, key & 255] = v
             elif kind == "c":
-                self.chars[key] = v
+                self.chars[chr(key)] = v
+            elif kind == "d":
+                self.digrams[chr(0x400 + (key >> 8)) + chr(0x400 + (key & 255))] = v
             else:
-                self.digrams[key] = v
+                docs = max(1, v)
         total = max(1.0, n.sum())
         left, right = n.sum(1) / total, n.sum(0) / total
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mi = np.log2(((n + 0.5) / total) / np.maximum(np.outer(left, right), 0.5 / total))
+        mi = np.log2(((n + 0.5) / total) / np.maximum(np.outer(left, right), 0.5 / total))
         # garbled characters go together all the time, so their information alone would make them look normal: a pair
-        # below RARE of all pairs outside ASCII counts as improbable by as many bits as it lies below
-        outside = np.ones((CLASSES, CLASSES), bool)
-        outside[:6, :6] = False
-        share = (n + 0.5) / max(1.0, n[outside].sum())
-        self.improbable = np.clip(np.where(share < RARE, np.maximum(-mi, np.log2(RARE / share)), -mi), -4, 8)
-        self.digram_total = max(1, sum(self.digrams.values()))
+        # that fewer than RARE of the documents hold counts as improbable by as many bits as it lies below
+        share = (n + 0.5) / docs
+        self.improbable = np.clip(np.where(share < RARE, np.maximum(-mi, np.log2(RARE / share)), np.minimum(-mi, 0)), -4, 8)
+
+    def suspicious(self, texts: list[str]) -> np.ndarray:
+        """Whether each text holds an improbable pair, a control or a replacement sign, without which it has no run."""
+        codes, hot, doc = _joined(texts)
+        c = class_of(codes)
+        bad = (self.improbable[c[hot], c[hot + 1]] > OFFSET) | np.isin(c[hot], (7, 26))
+        return np.bincount(doc[bad], minlength=len(texts)) > 0
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Maximum-scoring segments of improbable adjacent characters, widened to whole stretches outside ASCII."""
@@ -141,25 +160,29 @@ class Model:
         strange = codes > 0x7F
         c = class_of(codes)
         out: list[tuple[int, int]] = []
-        score = np.where(strange[:-1] | strange[1:], self.improbable[c[:-1], c[1:]] - OFFSET, -2.0)
-        cum, top, begin, end = 0.0, 0.0, 0, 0
         hot = np.flatnonzero(strange[:-1] | strange[1:])
-        last = -2
-        for k in hot.tolist():
-            gap = k - last - 1
-            cum -= 2.0 * gap
-            if cum <= 0 or cum < top - 6:
-                if top >= MIN_SCORE:
-                    out.append((begin, end))
-                cum, top, begin = 0.0, 0.0, k
-            cum += float(score[k])
-            if cum > top:
-                top, end = cum, k + 2
-            last = k
-        if top >= MIN_SCORE:
-            out.append((begin, end))
-        for a, b in [(x, x + 1) for x in np.flatnonzero((codes >= 0x80) & (codes < 0xA0) | (codes == 0xFFFD)).tolist()]:
-            out.append((a, b))
+        score = self.improbable[c[hot], c[hot + 1]] - OFFSET
+        k, n, places, scores = 0, len(hot), hot.tolist(), score.tolist()
+        starts = np.flatnonzero(score > 0).tolist()
+        for first in starts:
+            if first < k:
+                continue
+            # a segment begins at an improbable pair and ends where its sum falls to nothing or far below its peak
+            cum = top = 0.0
+            k, end, last = first, first, places[first] - 1
+            while k < n:
+                cum += scores[k] - 2.0 * (places[k] - last - 1)
+                if cum <= 0 or cum < top - 6:
+                    break
+                if cum > top:
+                    top, end = cum, k
+                last = places[k]
+                k += 1
+            k = end + 1
+            if top >= MIN_SCORE:
+                out.append((places[first], places[end] + 2))
+        for a in np.flatnonzero((codes >= 0x80) & (codes < 0xA0) | (codes == 0xFFFD)).tolist():
+            out.append((a, a + 1))
         wide: list[tuple[int, int]] = []
         for a, b in sorted(out):
             while a > 0 and strange[a - 1]:
@@ -192,13 +215,6 @@ class Model:
             known = self.readings[word, right, wrong] = (fixed, gain, len(pairs))
         return known
 
-    def cyrillic(self, s: str) -> float:
-        """Mean log-probability, in bits, of the adjacent Cyrillic letters; low where there are none."""
-        got = [self.digrams.get(s[i : i + 2].lower(), 0) for i in range(len(s) - 1) if "Ѐ" <= s[i] <= "ӿ" and "Ѐ" <= s[i + 1] <= "ӿ"]
-        if not got:
-            return -20.0
-        return float(np.mean(np.log2((np.array(got) + 0.1) / self.digram_total)))
-
 
 @lru_cache(16)
 def to_bytes(encoding: str) -> dict[int, int]:
@@ -246,13 +262,12 @@ def repair(text: str, model: Model) -> tuple[bool, bool, str]:
     """(garbled, whole again, text). Null or ASCII text is never garbled."""
     garbled = lost = False
     for _ in range(ROUNDS):
-        whole = _cyrillic_words(_cyrillic(text, model), model)
-        changed, text, out, at = whole != text, whole, [], 0
-        for a, b in model.runs(text):
+        changed, out, at = False, [], 0
+        for a, b in _spans(text, model.runs(text)):
             part = text[a:b]
-            fixed = undo(part, model)
+            fixed = _cyrillic_words(part, model)
             if fixed == part:
-                fixed = _controls(part)
+                fixed = "".join(_undone(x, model) if x[0] > "\x7f" else x for x in PIECES.findall(part))
             out += [text[at:a], fixed]
             changed |= fixed != part
             at = b
@@ -261,10 +276,34 @@ def repair(text: str, model: Model) -> tuple[bool, bool, str]:
         garbled |= changed
         if not changed:
             break
-    lost = "�" in text or any(0x80 <= ord(c) < 0xA0 for c in text)
+    lost = "\ufffd" in text or any(0x80 <= ord(c) < 0xA0 for c in text)
     return garbled or lost, garbled and not lost, text
 
 
+def _spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs widened to whole words and to the single letters beside them; runs with nothing between are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in runs:
+        while a > 0 and text[a - 1] not in " \t\r\n":
+            a -= 1
+        while b < len(text) and text[b] not in " \t\r\n":
+            b += 1
+        while (m := BEFORE.search(text, max(0, a - 4), a)) and m[1] > "\x7f":
+            a = m.start(1)
+        while (m := AFTER.match(text, b)) and m[1] > "\x7f":
+            b = m.end(1)
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _undone(part: str, model: Model) -> str:
+    fixed = undo(part, model)
+    return _controls(part) if fixed == part else fixed
+
+
 def _controls(part: str) -> str:
     """C1 controls are Windows punctuation read as Latin-1, unless the byte has no meaning there."""
     if not any("\x80" <= c <= "\x9f" for c in part):
@@ -272,34 +311,6 @@ def _controls(part: str) -> str:
     return "".join(bytes([ord(c)]).decode("cp1252", "ignore") or c if "\x80" <= c <= "\x9f" else c for c in part)
 
 
-def _cyrillic(text: str, model: Model) -> str:
-    """Lines whose words become clearly more probable Cyrillic by one of the known mix-ups are read that way."""
-    if text.isascii():
-        return text
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
-        strange = [c for c in line if c > "\x7f"]
-        if len(strange) < LETTERS:
-            continue
-        now, best, chosen = model.cyrillic(line), GAIN, line
-        latin = now <= -20.0
-        if latin and sum("À" <= c <= "ÿ" for c in strange) < 0.7 * len(strange):
-            continue
-        if latin and not any(sum("À" <= c <= "ÿ" for c in w) >= LETTERS for w in STRETCH.findall(line)):
-            continue
-        for right, wrong in CYRILLIC_READ_AS:
-            try:
-                fixed = "".join(c if c < "\x80" else bytes([to_bytes(wrong)[ord(c)]]).decode(right) for c in line)
-            except (KeyError, UnicodeDecodeError):
-                continue
-            gain = model.cyrillic(fixed) - max(now, -20.0)
-            # sound words in the line are left to _cyrillic_words
-            if gain > best and not any(v < -2 * GAIN * n and n >= LETTERS - 1 for _, v, n in (model.reading(t, right, wrong) for t in TOKEN.findall(line))):
-                best, chosen = gain, fixed
-        lines[k] = chosen
-    return "\n".join(lines)
-
-
 def _cyrillic_words(text: str, model: Model) -> str:
     """Maximum-scoring runs of words that become clearly more probable Cyrillic by a mix-up are read that way, the rest stays."""
     if not MIXED.search(text):
@@ -346,7 +357,7 @@ def _cyrillic_words(text: str, model: Model) -> str:
 
 def train(documents: DataFrame, text: str = "text") -> Model:
     """Counts over all documents; what comes back is bounded by the alphabet of the corpus."""
-    counts = documents.select(text).mapInArrow(_count, "kind string, key string, n long")
+    counts = documents.select(text).mapInArrow(_count, "kind string, key int, n long")
     return Model([tuple(r) for r in counts.groupBy("kind", "key").agg(F.sum("n")).collect()])
 
 
@@ -367,13 +378,16 @@ def find_garbled(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         m = model.value
         for b in batches:
             ids, ok, out = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t and not t.isascii():
-                    garbled, whole, fixed = repair(t, m)
-                    if garbled:
-                        ids.append(d)
-                        ok.append(whole)
-                        out.append(fixed if whole else None)
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                some = [(d, t) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t and not t.isascii()]
+                for (d, t), odd in zip(some, m.suspicious([t for _, t in some]) if some else (), strict=True):
+                    if odd:
+                        garbled, whole, fixed = repair(t, m)
+                        if garbled:
+                            ids.append(d)
+                            ok.append(whole)
+                            out.append(fixed if whole else None)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(ok, pa.bool_()), pa.array(out, pa.string())], names=[doc_id, "restorable", "restored"])
 
