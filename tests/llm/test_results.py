@@ -127,6 +127,18 @@ def test_leaks_need_order_names_and_one_stretch() -> None:
     assert not index.search((" pad" * 40).join(words))  # in order, but in no one stretch
 
 
+def test_leaks_do_not_hang_on_rounds(spark, monkeypatch) -> None:  # noqa: ANN001
+    d = DATA.replace("sf0.001", "sf0.01")
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    more = docs.limit(3).selectExpr("doc_id + 1000000 AS doc_id", "'Only xylophonist here' AS text").unionByName(docs.select("doc_id", "text"))
+    items = items.select("item_id", "text").unionByName(spark.createDataFrame([(999999, "xylophonist")], "item_id long, text string"))
+    got = []
+    for n in (40, 161):
+        monkeypatch.setattr(leaks, "ITEMS_PER_ROUND", n)
+        got.append(sorted(tuple(r) for r in leaks.find_leaks(more, items).collect()))
+    assert got[0] == got[1] and {d for d, i, *_ in got[0] if i == 999999} == {r.doc_id for r in more.where("doc_id >= 1000000").collect()}
+
+
 def test_leaks_may_leave_out_a_sentence_and_stand_beside_a_look_alike() -> None:
     item = [f"w{c}{d}" for c in "abcd" for d in "qrstuvwxyz"]  # 40 words
     index = leaks.Index([(1, " ".join(item)), (2, "Something else of the tide mill and the glass floats.")])

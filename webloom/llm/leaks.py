@@ -58,16 +58,38 @@ def masks(seq: list[str]) -> dict[str, int]:
     return out
 
 
+class Words:
+    """Number of items, their mean length and the items of each word, over all items whatever round they fall in."""
+
+    def __init__(self) -> None:
+        self.items, self.total, self.df = 0, 0, Counter()
+
+    def add(self, text: str | None) -> None:
+        w = words(text) if text else []
+        self.items += bool(w)
+        self.total += len(w)
+        self.df.update(set(w))
+
+    @property
+    def mean(self) -> float:
+        return self.total / max(1, self.items)
+
+
 class Index:
-    """Inverted index over the items, with impacts divided by each item's threshold, so that all share threshold 1."""
+    """Inverted index over the items of a round, with impacts divided by each item's threshold, so that all share threshold 1."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], known: Words | None = None):
         own = [(i, t, words(t)) for i, t in items if t]
         own = [(i, t, w) for i, t, w in own if w]
+        if known is None:
+            known = Words()
+            for _, t, _ in own:
+                known.add(t)
+        n_items, df, mean = known.items, known.df, known.mean
+        # items that share a rare word stand in one block, so that a block's maxima come from few kinds of items
+        own.sort(key=lambda x: (min(((df[w], w) for w in set(x[2]) if df[w] > 1), default=(0, "")), len(x[2])))
         self.ids = [i for i, _, _ in own]
-        n_items = len(own)
-        df = Counter(x for _, _, w in own for x in set(w))
-        mean = sum(len(w) for _, _, w in own) / max(1, n_items)
+        df = {w: df[w] for _, _, ws in own for w in ws}
         self.vocab = {w: k for k, w in enumerate(sorted(df))}
         rare = max(1, int(0.02 * n_items))
         self.words, self.is_name, self.masks = [], [], []
@@ -86,7 +108,7 @@ class Index:
             self.masks.append(masks(ws))
         self.post_items = [np.array([k for k, _ in p], np.int32) for p in posts]
         self.post_impact = [np.array([v for _, v in p]) for p in posts]
-        self.n_blocks = -(-n_items // ITEMS_PER_BLOCK)
+        self.n_blocks = -(-len(own) // ITEMS_PER_BLOCK)
         self.block_ids, self.block_max = [], []
         for its, imp in zip(self.post_items, self.post_impact, strict=True):
             blocks, first = np.unique(its // ITEMS_PER_BLOCK, return_index=True)
@@ -114,18 +136,15 @@ class Index:
         n, need = len(ws), math.floor(MIN_WORDS * len(ws)) + 1
         if sum(x in have for x in ws) < need:
             return None
-        places, size, best, able = [p for p, w in enumerate(seq) if w in mask], stretch(n), 0, []
-        step = max(1, n // 10)
-        last = -step
+        places, size, able = [p for p, w in enumerate(seq) if w in mask], stretch(n), []
+        step, last, reach = max(1, n // 10), -1, False
         for a, p in enumerate(places):
             if a + need > len(places) or places[a + need - 1] - p >= size:
                 continue  # too few of the item's words in this stretch
-            if p - last < step and best < need:
-                continue
-            last = p
-            got = in_order(mask, n, seq[p : p + size])
-            best = max(best, got)
-            if got >= need:
+            if last < 0 or p - last >= step:
+                # no stretch that begins in the next `step` words holds more than this wider one
+                last, reach = p, in_order(mask, n, seq[p : p + size + step]) >= need
+            if reach and (got := in_order(mask, n, seq[p : p + size])) >= need:
                 able.append((-got, p))
         # the best stretch may lack names or hold a gap where another doesn't
         return next((x for _, p in sorted(able) if (x := self.aligned(k, seq, p, size, need))), None)
@@ -174,9 +193,7 @@ class Index:
         ids = [vocab.get(w, -1) for w in seq]
         for start in range(0, max(1, len(seq) - self.step), self.step):
             terms = list({t for t in ids[start : start + 2 * self.step] if t >= 0})
-            if len(terms) < 2:
-                continue
-            hits = self.retrieve(terms)
+            hits = self.retrieve(terms) if terms else []
             if hits:
                 part = seq[start : start + 2 * self.step]
                 have = set(part)
@@ -191,17 +208,20 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     """(doc_id, item_id, words_in_order, item_words, first_word) for each document that holds a test item.
 
     Null or wordless texts on either side match nothing; no items or no documents give an empty result; repeated
-    rows give repeated rows. Other columns are ignored. The items must fit the driver's memory in rounds of
-    ITEMS_PER_ROUND; the documents are read once a round and never shuffled.
+    rows give repeated rows. Other columns are ignored. Counts of words are taken over
+    all items, which are then indexed in rounds of ITEMS_PER_ROUND (how they fall into rounds changes no row); the documents are read once a round and never shuffled.
     """
     spark = documents.sparkSession
     schema = f"`{doc_id}` {documents.schema[doc_id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}, words_in_order int, item_words int, first_word int"
+    known = Words()
+    for r in items.select(item_text).toLocalIterator():
+        known.add(r[0])
     rows = items.select(item_id, item_text).where(f"`{item_text}` is not null").sort(item_id).toLocalIterator()
     out, batch, more = None, [], True
     while more:
         batch = [tuple(r) for _, r in zip(range(ITEMS_PER_ROUND), rows)]  # noqa: B905
         more = len(batch) == ITEMS_PER_ROUND
-        index = spark.sparkContext.broadcast(Index(batch))
+        index = spark.sparkContext.broadcast(Index(batch, known))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix: Index = index.value
