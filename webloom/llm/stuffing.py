@@ -2,8 +2,9 @@
 
 The main body is cut into blocks (paragraphs, runs of list items). Each block is compressed, one byte a character
 so that scripts compare, and its ratio is held against what blocks of its language and length have over the whole
-corpus. A block that is far more redundant, or as redundant and without sentences, counts as stuffed, as does one
-made of links; a page is spam if stuffed blocks are the greater part of its main body.
+corpus. A block that is extremely redundant, or more redundant than usual and confirmed by next to no sentence
+punctuation, counts as stuffed, as does one made of links; a page is spam if stuffed blocks are the greater part of
+its main body.
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.blocks import LINK, Line, classifier, labelled
-from webloom.llm.language import FUNCTION_WORDS, guess, scores
+from webloom.llm.language import FUNCTION_WORDS, guess
 from webloom.session import materialize
 
-#: A body of fewer words is too short to judge. Redundancy that alone is proof, redundancy that is proof where
-#: sentences are missing (both as ratio to the usual one), sentence ends a word below which they are missing.
-MIN_WORDS, EXTREME, USUAL, FEW_ENDS, LINKED, SHARE = 25, 0.7, 1.0, 0.025, 0.5, 0.5
+#: A body of fewer words is too short to judge. Redundancy that alone is proof (phrases that each end with a mark),
+#: redundancy that is proof where sentences are missing (both as ratio to the usual one), sentence ends a word below
+#: which they are missing, and between which a block counts as prose when the usual ratio is taken.
+MIN_WORDS, EXTREME, HIGH, FEW_ENDS, LINKED, SHARE = 25, 0.7, 0.9, 0.01, 0.5, 0.5
+PROSE_ENDS = (0.02, 0.2)
 #: Usual ratio before anything is seen, blocks that count for it and for the line of all languages, and their sizes
 #: (half octaves of length, 32 to 16,384 characters).
 START, PRIOR_ALL, PRIOR, SPREAD = 0.55, 1, 100, range(12, 30)
-#: Share of function words from which a block reads as language.
-FUNCTION = 0.2
 END = re.compile(r"[.!?…。](?=[\s\"”»)]|$)")
 #: An item that gives a quantity: "3 cups of …", "…: 12.5 km", a time, a date, a price.
 QUANTITY = re.compile(r"^\W*\d[\d.,/]*\s?[^\W\d]+\b|:\s*[\d(]|\b\d{1,2}[:.h]\d\d\b|\b\d+([.,]\d+)?\s?(kg|g|mg|km|m|cm|mm|ml|l|cl|h|min|s|kw|v|hours?|volts?|%|°)\b|[€$£]\s?\d", re.I)
@@ -56,8 +57,8 @@ def body_blocks(lines: list[Line]) -> list[tuple[str, list[Line]]]:
     return out
 
 
-def measure(kind: str, lines: list[Line]) -> tuple[int, int, float, float, float, float]:
-    """(words, characters, compression ratio, sentence ends a word, share of links, share of function words) of a block; ratio -1 where a list gives quantities."""
+def measure(kind: str, lines: list[Line]) -> tuple[int, int, float, float, float]:
+    """(words, characters, compression ratio, sentence ends a word, share of links) of a block; ratio -1 where a list gives quantities."""
     text = "\n".join(LINK.sub(r"\1", x.text) if x.linked else x.text for x in lines)
     words = max(1, sum(x.words for x in lines))
     raw = one_byte(text.lower())
@@ -68,12 +69,11 @@ def measure(kind: str, lines: list[Line]) -> tuple[int, int, float, float, float
     if links and kind != "plain":
         pieces = [p for x in lines for p in re.split(r"\s[|·/,]\s|\s{2,}", x.text) if p.strip()]
         links = max(links, sum("](" in p for p in pieces) / max(1, len(pieces)))
-    hits, n = scores(text)
-    return words, len(raw), ratio, len(END.findall(text)) / words, links, max(hits.values(), default=0) / max(1, n)
+    return words, len(raw), ratio, len(END.findall(text)) / words, links
 
 
-FIELDS = (("row", pa.int64()), ("lang", pa.string()), ("size", pa.int32()), ("words", pa.int32()), ("ratio", pa.float32()), ("ends", pa.float32()), ("links", pa.float32()), ("function", pa.float32()))
-SCHEMA = "row long, lang string, size int, words int, ratio float, ends float, links float, function float"
+FIELDS = (("row", pa.int64()), ("lang", pa.string()), ("size", pa.int32()), ("words", pa.int32()), ("ratio", pa.float32()), ("ends", pa.float32()), ("links", pa.float32()))
+SCHEMA = "row long, lang string, size int, words int, ratio float, ends float, links float"
 
 
 def page_rows(row: int, lines: list[Line]) -> list[tuple]:
@@ -83,8 +83,8 @@ def page_rows(row: int, lines: list[Line]) -> list[tuple]:
         return []
     lang, out = guess(" ".join(x.text for _, part in blocks for x in part if x.kind == "plain")), []
     for kind, part in blocks:
-        words, chars, ratio, ends, links, function = measure(kind, part)
-        out.append((row, lang, chars.bit_length() * 2 + (chars >> max(0, chars.bit_length() - 2) & 1), words, ratio, ends, links, function))
+        words, chars, ratio, ends, links = measure(kind, part)
+        out.append((row, lang, chars.bit_length() * 2 + (chars >> max(0, chars.bit_length() - 2) & 1), words, ratio, ends, links))
     return out
 
 
@@ -135,13 +135,13 @@ def find_stuffed(pages: DataFrame, page_id: str = "page_id", html: str = "html",
 
 def decide(blocks: DataFrame) -> DataFrame:
     """(row, stuffed, words) of the cases among page_rows."""
-    sentences = (F.col("ratio") > 0) & (F.col("function") >= FUNCTION) & (F.col("links") < 0.2)
+    sentences = (F.col("ratio") > 0) & F.col("ends").between(*PROSE_ENDS) & (F.col("links") < 0.2)
     seen = blocks.where(sentences).groupBy("lang", "size").agg(F.percentile_approx("ratio", 0.7, 1000).alias("usual"), F.count(F.lit(1)).alias("n"))
     spark = blocks.sparkSession
     expected = spark.createDataFrame(usual_ratios([tuple(r) for r in seen.collect()]), "lang string, size int, expect double")
     known = blocks.join(F.broadcast(expected), ["lang", "size"])
     expect = F.col("expect")
     relative = F.col("ratio") / expect
-    stuffed = (F.col("links") >= LINKED) | ((F.col("ratio") > 0) & ((relative < EXTREME) | ((relative < USUAL) & (F.col("function") < FUNCTION) & (F.col("ends") < FEW_ENDS))))
+    stuffed = (F.col("links") >= LINKED) | ((F.col("ratio") > 0) & ((relative < EXTREME) | ((relative < HIGH) & (F.col("ends") < FEW_ENDS))))
     per = known.groupBy("row").agg(F.sum(F.when(stuffed, F.col("words")).otherwise(0)).alias("stuffed"), F.sum("words").alias("words"))
     return per.where((F.col("words") >= MIN_WORDS) & (F.col("stuffed") > F.col("words") * SHARE))
