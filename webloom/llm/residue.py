@@ -153,11 +153,11 @@ def mined(rows: DataFrame) -> DataFrame:
     often = placed.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("often"))
     # each message of a leaf has one first token, which is the leaf's own
     size = often.where("place = 0").groupBy("leaf").agg(F.sum("often").alias("all"))
-    kept = often.join(size, "leaf").select("leaf", "place", "token", (F.col("often") >= F.greatest(F.least(F.col("all"), F.lit(2)), F.col("all") * RECURS)).alias("keep"))
-    told = placed.join(kept, ["leaf", "place", "token"]).groupBy("message").agg(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("keep"), F.col("token")).otherwise("*").alias("token")))).alias("t"))
+    kept = often.join(size.hint("merge"), "leaf").select("leaf", "place", "token", (F.col("often") >= F.greatest(F.least(F.col("all"), F.lit(2)), F.col("all") * RECURS)).alias("keep"))
+    told = placed.join(kept.hint("merge"), ["leaf", "place", "token"]).groupBy("message").agg(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("keep"), F.col("token")).otherwise("*").alias("token")))).alias("t"))
     keeps = F.size(F.filter("t", lambda x: x["token"] != "*")) >= F.size("t") * SIMILAR
     template = F.when(keeps, F.array_join(F.transform("t", lambda x: x["token"]), " ")).otherwise(F.col("message"))
-    return told.select("message", template.alias("template")).join(distinct, "message")
+    return told.select("message", template.alias("template")).join(distinct.hint("merge"), "message")
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -170,12 +170,12 @@ def judged(rows: DataFrame) -> DataFrame:
             got = model.verdicts([t.split(" ") for t in b.column(0).to_pylist()], b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["template", "verdict"])
 
-    return messages.join(per.mapInArrow(run, "template string, verdict string"), "template")
+    return messages.join(per.mapInArrow(run, "template string, verdict string").hint("merge"), "template")
 
 
 def decide(rows: DataFrame) -> DataFrame:
     """(row) of the cases among page_rows; rows of one id count together."""
-    known = rows.join(judged(rows).select("message", "verdict"), "message", "left")
+    known = rows.join(judged(rows).select("message", "verdict").hint("merge"), "message", "left")
     bad = F.coalesce(F.sum(F.when(F.col("verdict") == "bad", F.col("length"))), F.lit(0)).alias("bad")
     other = F.sum(F.col("base") + F.when(F.col("message").isNotNull() & F.col("verdict").isNull() & ~F.col("heading"), F.col("length")).otherwise(0)).alias("other")
     return known.groupBy("row").agg(F.max("sure").alias("sure"), bad, other).where("sure or (bad > 0 and bad >= other)").select("row")
