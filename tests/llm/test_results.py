@@ -293,6 +293,23 @@ def test_markup_trees_on_held_out_blocks() -> None:
         assert ((tree.predict(x) >= 0.5) == y[kind].astype(bool)).mean() > 0.97, kind
 
 
+#: Written apart from the training table: running text with markup, and look-alikes that carry the same signs.
+MARKED = {
+    "html": ["See the <em>old</em> mill.", "Fish &amp; chips at noon", "It cost &pound;5 in all", "First line<br/>second line", "<div class='note'>The gate is shut.</div>", "the 5<sup>th</sup> of May", "Caf&eacute; by the river", 'an <a href="https://x.example">address</a> to keep'],
+    "latex": [r"We cite \textbf{Smith} here.", r"where $\sum_i x_i$ is finite", r"see \ref{fig:one} for more", r"the bound \(n \geq 2\) holds", r"\begin{quote}A word.\end{quote}", "so $e^{x}$ grows fast"],
+    "wiki": ["The [[River Ouse|river]] is wide.", "== Early life ==", "He was '''born''' in spring.", "{{citation needed|date=May 2019}} they say", "See [https://x.example/a the archive] for more.", "[[Category:Mills]]"],
+    "markdown": ["This is **very** important.", "Read [the report](https://x.example/r) first.", "## A second heading", "Call `open()` at once.", "It was ~~red~~ blue."],
+}
+PLAIN = ["It fell from $12.50 to $9 in May.", "if a < b and b > c then stop", "AT&T and R&D; then B&B", r"C:\Users\anna\notes.txt", "Dear {{ first.name }}, see [[ORDER]]", "the array[3] (and its tail)", "a List<Integer> of sums", "3 * 4 * 5 = 60", "the #1 song", "5'' of snow and 6' of mud", "x == y but not =====", "<no name given>", "issue #12 is open", "snake_case and __init__", "write to <anna@x.example>", "tom's 'old' coat"]
+
+
+def test_markup_of_lines_apart_from_the_table() -> None:
+    forest = markup.trees()
+    wrong = [(kind, t, k) for kind, lines in MARKED.items() for t, k in zip(lines, markup.kinds_of(lines, forest), strict=True) if k != {kind}]
+    false = [(t, k) for t, k in zip(PLAIN, markup.kinds_of(PLAIN, forest), strict=True) if k]
+    assert len(wrong) <= 2 and len(false) <= 1, (wrong, false)
+
+
 def test_clean_text_keeps_structure() -> None:
     assert markup.clean("<h2>Head</h2><p>One&nbsp;&amp; two<ul><li>a<li>b</ul><pre>x = 1</pre>", {"html"}) == "## Head\n\nOne & two\n\n* a\n* b\n\n```\nx = 1\n```"
     assert markup.clean("== Head ==\n'''Bold''' [[page|link]] {{cite|a|b=1}}[[Category:X]]", {"wiki"}) == "## Head\n\nBold link"

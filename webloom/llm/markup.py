@@ -1,10 +1,11 @@
 """Markup residue in text documents (problem 6).
 
-A field is cut into flat text blocks (its lines, long lines at sentence ends). Each block is described by how many
-signs of each markup it holds, its word count and link density and those of its neighbours; one decision tree a
-kind of markup, trained on a small table of labelled blocks written here, tells markup from look-alikes (prices,
-paths, template fields, comparison signs). Affected fields can be turned into clean text that keeps headings,
-lists, code and formulas.
+A field is cut into flat text blocks (its lines, long lines at sentence ends). Each block is described by how often
+bare signs stand in it and in what shape (angle brackets before a name, an element or a digit, dollars before digits
+or in pairs, backslashes before braces or in paths, and so on), by its word count and link density and by those of
+its neighbours. No sign is proof: one decision tree a kind of markup, trained on a small labelled table written here
+in which look-alikes (prices, paths, template fields, generic types, sums, comparison signs) carry the same signs,
+tells what is markup. Affected fields can be turned into clean text that keeps headings, lists, code and formulas.
 """
 
 from __future__ import annotations
@@ -34,27 +35,54 @@ KINDS = ("html", "latex", "markdown", "wiki")
 ELEMENTS = "a abbr address article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data dd del details dfn dialog div dl dt em embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video wbr"
 _TAG = re.compile(r"<(?:/(?:" + ELEMENTS.replace(" ", "|") + r")\s*|(?:" + ELEMENTS.replace(" ", "|") + r")(?:\s[^<>\n]*?)?/?|!--[^\n]{0,200}?--)>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
-#: Signs of each markup; the first letter of a name is its kind (h html, l latex, m markdown, w wiki, n none of them).
+#: Bare signs and their shapes, counted in each block; a shape includes look-alikes of the markup that it also serves.
 SIGNS: dict[str, re.Pattern] = {
-    "h tag": _TAG,
-    "h entity": _ENTITY,
-    "l command": re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{"),
-    "l math": re.compile(r"(?<![\\\w$])\$(?=[^$\n]*(?:\\[a-zA-Z]|[\^_][\w{]))[^$\s][^$\n]*\$|\\\([^\n]{1,200}?\\\)|\\\[[^\n]{1,400}?\\\]"),
-    "m strong": re.compile(r"\*\*(?=\S)[^*\n]+?(?<=\S)\*\*|(?<![\w_])__(?=[a-z0-9])[^_\n]+ [^_\n]*__(?![\w_])|~~(?=\S)[^~\n]+~~"),
-    "m link": re.compile(r"!?\[[^\[\]\n]*\]\((?:https?:|/|\.|#|mailto:|www\.)[^()\s]*(?:\s+\"[^\"\n]*\")?\)"),
-    "m heading": re.compile(r"(?:^|(?<=\s))#{1,6} (?=\w)"),
-    "m code": re.compile(r"(?<!`)`(?=[^`\s])[^`\n]*`(?!`)|```"),
-    "m quote": re.compile(r"(?:^|(?<=\s))> (?=[^\W\d_]+\s+[^\W_])"),
-    "m table": re.compile(r"\|\s?:?-{3,}:?\s?\|"),
-    "w link": re.compile(r"\[\[(?![A-Z][A-Z0-9_.]+\]\])[^\[\]\n]+\]\]"),
-    "w template": re.compile(r"\{\{[^{}|\n]+\|[^{}\n]*\}\}|\{\|[^\n]*|^\|-"),
-    "w emphasis": re.compile(r"(?<!')('{2,3}|'{5})(?=[^'\s])[^\n]*?[^'\s]\1(?!')"),
-    "w heading": re.compile(r"(?:^|(?<=\s))(={2,6}) [^=\n]+ \1(?=\s|$)"),
-    "w address": re.compile(r"(?<!\[)\[https?://[^\s\]]+ [^\]\n]+\](?!\()|<ref[ >]|</ref>"),
-    "n slot": SLOT,
-    "n path": re.compile(r"\b[A-Za-z]:\\[\w\\.]+|\\\\\w+\\"),
-    "n price": re.compile(r"\$\d"),
-    "n compare": re.compile(r"\s[<>]=? ?\d"),
+    "angle name": re.compile(r"</?[a-zA-Z][\w-]*"),
+    "angle element": re.compile(r"</?(?:" + ELEMENTS.replace(" ", "|") + r")(?=[\s/>]|$)", re.I),
+    "angle closed": re.compile(r"</?[a-zA-Z][^<>\n]*>"),
+    "angle alone": re.compile(r"<(?![a-zA-Z/!])"),
+    "angle after letter": re.compile(r"\w<[A-Za-z]"),
+    "angle ref": re.compile(r"<ref[ >/]|</ref>", re.I),
+    "comment": re.compile(r"<!--[^\n]{0,200}?-->"),
+    "amp closed": re.compile(r"&#?\w{1,32};"),
+    "amp known": _ENTITY,
+    "amp alone": re.compile(r"&(?!#?\w{1,32};)"),
+    "backslash name": re.compile(r"\\[a-zA-Z]+"),
+    "backslash brace": re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{"),
+    "backslash bracket": re.compile(r"\\[()\[\]]"),
+    "backslash pair": re.compile(r"\\\([^\n]{1,200}?\\\)|\\\[[^\n]{1,400}?\\\]"),
+    "backslash path": re.compile(r"\b[A-Za-z]:\\|\\\\\w|\w\\\w+\\"),
+    "dollar": re.compile(r"\$"),
+    "dollar digit": re.compile(r"\$\d"),
+    "dollar pair": re.compile(r"(?<![\\\w$])\$(?=[^\s$])[^$\n]*\$"),
+    "dollar formula": re.compile(r"(?<![\\\w$])\$(?=[^$\n]*(?:\\[a-zA-Z]|[\^_][\w{]))[^$\s][^$\n]*\$"),
+    "stars": re.compile(r"\*\*"),
+    "stars pair": re.compile(r"\*\*(?=\S)[^*\n]+?(?<=\S)\*\*"),
+    "star": re.compile(r"(?<!\*)\*(?!\*)"),
+    "tildes pair": re.compile(r"~~(?=\S)[^~\n]+~~"),
+    "lines": re.compile(r"__"),
+    "lines pair": re.compile(r"(?<![\w_])__(?=[a-z0-9])[^_\n]+ [^_\n]*__(?![\w_])"),
+    "hash": re.compile(r"#"),
+    "hash heading": re.compile(r"(?:^|(?<=\s))#{1,6} (?=\w)"),
+    "tick": re.compile(r"`"),
+    "tick pair": re.compile(r"(?<!`)`(?=[^`\s])[^`\n]*`(?!`)|```"),
+    "square": re.compile(r"\[[^\[\]\n]*\]"),
+    "square round": re.compile(r"\]\("),
+    "square link": re.compile(r"!?\[[^\[\]\n]*\]\((?:https?:|/|\.|#|mailto:|www\.)[^()\s]*"),
+    "square address": re.compile(r"(?<!\[)\[https?://[^\s\]]+ [^\]\n]+\](?!\()"),
+    "squares": re.compile(r"\[\[[^\[\]\n]+\]\]"),
+    "squares other": re.compile(r"\[\[(?![A-Z][A-Z0-9_.]+\]\])[^\[\]\n]+\]\]"),
+    "squares capital": re.compile(r"\[\[[A-Z][A-Z0-9_.]+\]\]"),
+    "curlies": re.compile(r"\{\{"),
+    "curlies bar": re.compile(r"\{\{[^{}|\n]+\|[^{}\n]*\}\}"),
+    "curly table": re.compile(r"\{\|[^\n]*|^\|-"),
+    "bar rule": re.compile(r"\|\s?:?-{3,}:?\s?\|"),
+    "apostrophes": re.compile(r"''"),
+    "apostrophes pair": re.compile(r"(?<!')('{2,3}|'{5})(?=[^'\s])[^\n]*?[^'\s]\1(?!')"),
+    "equals": re.compile(r"=="),
+    "equals pair": re.compile(r"(?:^|(?<=\s))(={2,6}) [^=\n]+ \1(?=\s|$)"),
+    "greater": re.compile(r">"),
+    "greater quote": re.compile(r"(?:^|(?<=\s))> (?=[^\W\d_]+\s+[^\W_])"),
 }
 NAMES = tuple(SIGNS)
 #: Characters without at least one of which a text holds no markup.
@@ -86,11 +114,11 @@ def enclosed(text: str, start: str, end: str, over: bool) -> list[tuple[int, int
 
 def wide_signs(text: str) -> list[tuple[int, int, str]]:
     """(start, end, name) of the signs that go over a line end or are longer than SIGNS takes."""
-    out = [(a, b, "h tag") for a, b in enclosed(text, "<!--", "-->", True) if b - a > 207 or "\n" in text[a:b]]
+    out = [(a, b, "comment") for a, b in enclosed(text, "<!--", "-->", True) if b - a > 207 or "\n" in text[a:b]]
     for start, end, longest in (("\\(", "\\)", 204), ("\\[", "\\]", 404)):
-        out += [(a, b, "l math") for a, b in enclosed(text, start, end, False) if b - a > longest or "\n" in text[a:b]]
+        out += [(a, b, "backslash pair") for a, b in enclosed(text, start, end, False) if b - a > longest or "\n" in text[a:b]]
     if "\n" in text:
-        for name, pattern, sign in (("h tag", _WIDE_TAG, "<"), ("w template", _WIDE_TEMPLATE, "{{"), ("l math", _WIDE_MATH, "$")):
+        for name, pattern, sign in (("angle closed", _WIDE_TAG, "<"), ("curlies bar", _WIDE_TEMPLATE, "{{"), ("dollar formula", _WIDE_MATH, "$")):
             if sign in text:
                 out += [(*m.span(), name) for m in pattern.finditer(text)]
     return out
@@ -138,7 +166,7 @@ def features(blocks: list[str]) -> np.ndarray:
         if HINT.search(b):
             for j, name in enumerate(NAMES):
                 found = SIGNS[name].findall(b)
-                if name == "h entity":
+                if name == "amp known":
                     found = [e for e in found if e[1] == "#" or e[1:] in html.entities.html5]
                 x[i, j] = min(len(found), 9)
         words = len(b.split())
@@ -151,24 +179,30 @@ def features(blocks: list[str]) -> np.ndarray:
 _WORDS = "the garden near old bridge was open again after long winter many visitors came from valley school house river paper market teacher evening une maison der alte fluss el camino".split()
 
 
-def training_blocks(rows: int = 1200, seed: int = 5) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def training_blocks(rows: int = 6000, seed: int = 5) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Features and, by kind, labels of the small labelled table; `rows` bounds it."""
     rng = random.Random(seed)
     some = lambda a, b: " ".join(rng.choice(_WORDS) for _ in range(rng.randint(a, b)))
     w = lambda: rng.choice(_WORDS)
     num = lambda: rng.randint(2, 900)
+    cap = lambda: w().capitalize()
     make = {
-        "html": [lambda: f"<p>{some(2, 6)}", lambda: f"{w()}<br>", lambda: f'<span class="x{num()}">{some(1, 5)}</span>', lambda: f"{w()}&nbsp;{w()}", lambda: f"{w()} &amp; {w()}", lambda: f"{w()}&#8217;s", lambda: f'<a href="/{w()}">{w()}</a>', lambda: f"<sup>{num()}</sup>", lambda: f"&copy; {w()}"],
-        "latex": [lambda: f"\\emph{{{w()}}}", lambda: f"\\section{{{some(1, 3)}}}", lambda: f"~\\cite{{{w()}{num()}}}", lambda: f"$\\frac{{{num()}}}{{{num()}}}$", lambda: f"\\(a^{{{num()}}} \\leq b_n\\)", lambda: "\\begin{equation} y_i = \\alpha x_i \\end{equation}", lambda: f"$x_{{{num()}}}$", lambda: f"\\footnote{{{w()}}}"],
-        "markdown": [lambda: f"**{some(1, 2)}**", lambda: f"[{some(1, 2)}](https://x.example/{num()})", lambda: f"## {some(2, 4)}", lambda: f"`{w()}`", lambda: f"~~{w()}~~", lambda: f"![{w()}](/img/{num()}.png)", lambda: f"> {some(4, 8)}"],
-        "wiki": [lambda: f"[[{w()}]]", lambda: f"[[{w()}|{some(1, 2)}]]", lambda: f"'''{w()}'''", lambda: f"== {some(1, 3)} ==", lambda: f"{{{{cite|{w()}|year={num()}}}}}", lambda: f"[[Category:{w()}]]", lambda: f"''{w()}'' [http://x.example {w()}]"],
-        "": [lambda: f"from ${num()} to ${num()}", lambda: f"{num()} < {num()} crates", lambda: f"x > 0.{num()} & y < {num()}", lambda: f"C:\\{w()}\\{w()}", lambda: f"my_{w()}_{w()}", lambda: f"{{{{ {w()} }}}}", lambda: f"#{num()}", lambda: f"{num()} * {num()} = {num()}", lambda: f"[{w()}]", lambda: f"{w()}/{w()}", lambda: f"%%{w().upper()}%%", lambda: f"[[{w().upper()}]]", lambda: f"<<{w()}>>", lambda: f"${{{w()}}}", lambda: f"{w()} - {w()}", lambda: f"it’s '{w()}' {w()}", lambda: f"a*b and c_d, {w()} = {num()}"],
+        "html": [lambda: f"<p>{some(2, 6)}", lambda: f"{w()}<br>", lambda: f'<span class="x{num()}">{some(1, 5)}</span>', lambda: f"{w()}&nbsp;{w()}", lambda: f"{w()} &amp; {w()}", lambda: f"{w()}&#8217;s", lambda: f'<a href="/{w()}">{w()}</a>', lambda: f"<sup>{num()}</sup>", lambda: f"&copy; {w()}", lambda: f"<b>{w()}</b> {num()}", lambda: f"{w()}<!-- {w()} -->", lambda: f"{w()} <div\n", lambda: f"&lt;{w()}&gt;", lambda: f"<li>{w()}", lambda: f"</td><td>{w()}"],
+        "latex": [lambda: f"\\emph{{{w()}}}", lambda: f"\\section{{{some(1, 3)}}}", lambda: f"~\\cite{{{w()}{num()}}}", lambda: f"$\\frac{{{num()}}}{{{num()}}}$", lambda: f"\\(a^{{{num()}}} \\leq b_n\\)", lambda: "\\begin{equation} y_i = \\alpha x_i \\end{equation}", lambda: f"$x_{{{num()}}}$", lambda: f"\\footnote{{{w()}}}", lambda: f"$a_{w()[0]} + b^{num()}$", lambda: f"\\[ {w()[0]} = {num()} \\]", lambda: f"\\( {w()[0]} + {w()[0]} = {num()} \\)", lambda: f"\\begin{{itemize}} \\item {w()}"],
+        "markdown": [lambda: f"**{some(1, 2)}**", lambda: f"[{some(1, 2)}](https://x.example/{num()})", lambda: f"## {some(2, 4)}", lambda: f"`{w()}`", lambda: f"~~{w()}~~", lambda: f"![{w()}](/img/{num()}.png)", lambda: f"> {some(4, 8)}", lambda: f"__{w()} {w()}__", lambda: "| --- | --- |", lambda: f"# {cap()} {w()}", lambda: f"```{w()}"],
+        "wiki": [lambda: f"[[{w()}]]", lambda: f"[[{w()}|{some(1, 2)}]]", lambda: f"'''{w()}'''", lambda: f"== {some(1, 3)} ==", lambda: f"{{{{cite|{w()}|year={num()}}}}}", lambda: f"[[Category:{w()}]]", lambda: f"''{w()}'' [http://x.example {w()}]", lambda: f"[http://x.example/{num()} {w()}]", lambda: f"<ref>{w()}</ref>", lambda: f"''{some(1, 3)}''", lambda: '{| class="wikitable"', lambda: f"{{{{{cap()} {w()}|{num()}}}}}", lambda: f"[[{cap()} {w()}]]"],
+        # look-alikes with the same signs
+        "": [
+            lambda: f"from ${num()} to ${num()}", lambda: f"${num()}.{num()}, not ${num()}", lambda: f"{num()} < {num()} crates", lambda: f"x > 0.{num()} & y < {num()}", lambda: f"C:\\{w()}\\{w()}", lambda: f"D:\\{w()}", lambda: f"\\\\{w()}\\{w()}", lambda: f"my_{w()}_{w()}", lambda: f"{{{{ {w()} }}}}", lambda: f"{{{{{w()}.{w()}}}}}", lambda: f"[[{w().upper()}]] {{{{ {w()} }}}} [[{w().upper()}_{w().upper()}]]", lambda: f"#{num()}", lambda: f"{num()} * {num()} = {num()}", lambda: f"[{w()}]", lambda: f"{w()}/{w()}", lambda: f"%%{w().upper()}%%", lambda: f"[[{w().upper()}]]", lambda: f"[[{w().upper()}.{w().upper()}]]", lambda: f"<<{w()}>>", lambda: f"${{{w()}}}", lambda: f"#{{{w()}.{w()}}}", lambda: f"{w()} - {w()}", lambda: f"it’s '{w()}' {w()}", lambda: f"a*b and c_d, {w()} = {num()}",
+            lambda: f"List<{cap()}>", lambda: f"Map<{cap()}, {cap()}>", lambda: f"<{w()}@x.example>", lambda: f"<{w()}_{w()}>", lambda: f"<% {w()} %>", lambda: f"a <- {num()}", lambda: f"{cap()}&{cap()};", lambda: f"{cap()[0]}&{cap()[0]}", lambda: f"{w()} & {w()};", lambda: f"\\{w()}", lambda: f"{num()}**{num()}", lambda: f"{w()} ** {w()}", lambda: f"__{w()}__", lambda: f"__{w().upper()}__", lambda: f"{w()}__{w()}", lambda: f"C# {num()}", lambda: f"{w()} #{w()}", lambda: f"[{num()}] ({w()})", lambda: f"[{w()}]({w()})", lambda: f"{num()}''", lambda: f"{num()}'{num()}''", lambda: f"'' {w()}", lambda: f"{w()} == {num()}", lambda: "=====", lambda: f"-> {w()}", lambda: f"{w()} > {num()}", lambda: f"|{w()}| = {num()}", lambda: f"it`s {w()}", lambda: f"@@{w()}@@", lambda: f"{{% {w()} %}}", lambda: f"US${num()} or ${num()}m",
+            lambda: f"[Your {w()} here]", lambda: f"\\( {w()}", lambda: f"{w()} \\)", lambda: f"{num()} <!-- {w()}", lambda: f"* {w()}", lambda: f"\\n and \\t", lambda: f"~{num()}",
+        ],
     }
     blocks, kinds = [], []
     for _ in range(rows):
-        has = set(rng.sample(KINDS, 1 if rng.random() < 0.8 else 2)) if rng.random() < 0.55 else set()
+        has = set(rng.sample(KINDS, rng.choice([1, 1, 1, 1, 2, 3]))) if rng.random() < 0.55 else set()
         parts = [make[k][rng.randrange(len(make[k]))]() for k in sorted(has) for _ in range(rng.randint(1, 2))]
-        parts += [rng.choice(make[""])() for _ in range(rng.choice([0, 1, 1, 2]))]
+        parts += [rng.choice(make[""])() for _ in range(rng.choice([0, 1, 1, 2, 3, 5]))]
         rng.shuffle(parts)
         text = some(0, 12)
         for p in parts:
@@ -179,9 +213,9 @@ def training_blocks(rows: int = 1200, seed: int = 5) -> tuple[np.ndarray, dict[s
 
 
 @lru_cache(1)
-def trees(rows: int = 1200) -> dict[str, Tree]:
+def trees(rows: int = 6000) -> dict[str, Tree]:
     x, y = training_blocks(rows)
-    return {k: Tree(depth=8, leaf=2).fit(x, y[k]) for k in KINDS}
+    return {k: Tree(depth=14, leaf=2).fit(x, y[k]) for k in KINDS}
 
 
 def kinds_of(texts: list[str], forest: dict[str, Tree], allowed: tuple[str, ...] = KINDS) -> list[set[str]]:
