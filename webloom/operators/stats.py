@@ -119,3 +119,23 @@ def saturation(df: DataFrame, text: str, order: str) -> DataFrame:
 def converged(covered: float, steady: float, saturated: float, docs: int, bound: float = 0.85, least: int = 5) -> bool:
     """Whether a crawl knows enough: weighted coverage, consistency and saturation beyond the bound after enough texts."""
     return docs >= least and 0.4 * covered + 0.3 * steady + 0.3 * saturated > bound
+
+
+def token_usage(calls: DataFrame, key: str, prompt: str, completion: str) -> DataFrame:
+    """(key, calls, prompt_tokens, completion_tokens, total_tokens); null counts are 0."""
+    p, c = F.coalesce(F.col(prompt), F.lit(0)), F.coalesce(F.col(completion), F.lit(0))
+    return calls.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), F.sum(p).cast("long").alias("prompt_tokens"), F.sum(c).cast("long").alias("completion_tokens"), F.sum(p + c).cast("long").alias("total_tokens"))
+
+
+def coverage_stats(df: DataFrame, text: str) -> DataFrame:
+    """(pages, characters, distinct_terms, total_terms) over all texts; terms are combined before they are shuffled."""
+    rows = df.where(F.col(text).isNotNull()).select(F.length(text).alias("n"), F.filter(words(F.col(text)), lambda w: F.octet_length(w) >= 2).alias("w"))
+    pages = rows.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("total_terms"))
+    terms = rows.select(F.explode("w").alias("t")).agg(F.countDistinct("t").alias("distinct_terms"))
+    return pages.crossJoin(terms).select("pages", "characters", "distinct_terms", "total_terms")  # one row each
+
+
+def queue_summary(tasks: DataFrame, status: str, queued_at: str, memory: str, now) -> DataFrame:  # noqa: ANN001
+    """(status, tasks, longest_wait, mean_wait, peak_memory) of queued tasks at the time `now`, waits in whole seconds."""
+    wait = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(queued_at)).cast("double")
+    return tasks.groupBy(F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("tasks"), F.round(F.max(wait), 3).alias("longest_wait"), F.round(F.avg(wait), 3).alias("mean_wait"), F.round(F.max(memory), 3).alias("peak_memory"))

@@ -44,3 +44,8 @@ def first_config(candidates: DataFrame, configs: list[tuple[str, str]], url: str
             ok = ok | F.lower(url).rlike(f"^{rx}$")
         chosen = F.when(ok, name).otherwise(chosen)
     return candidates.withColumn("config", chosen)
+
+
+def survivors(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """The rows whose key a filter kept."""
+    return rows.join(kept.select(key).where(F.col(key).isNotNull()), key, "left_semi")

@@ -756,3 +756,6 @@ def r20_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def h4_semantic(spark: SparkSession, d: str) -> DataFrame:
     return chunks.semantic_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), "markdown", 1000).drop("markdown")
+
+
+from webloom import queries_links  # noqa: E402, F401  (registers its queries)
