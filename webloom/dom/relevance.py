@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 from webloom.dom.tree import Node
+from webloom.functions.stem import stem
 from webloom.functions.text import STOP_WORDS
 
 #: Elements that make a chunk, those whose text is none, and weights of elements.
@@ -16,9 +17,9 @@ _STOP = set(STOP_WORDS)
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case words of at least two bytes that are no stop words, unstemmed."""
+    """Stems of the lower-case words of at least two bytes that are no stop words."""
     cut = (w.strip(".,;:!?\"'()[]{}") for w in text.lower().split())
-    return [w for w in cut if len(w.encode()) >= 2 and w not in _STOP]
+    return [stem(w) for w in cut if len(w.encode()) >= 2 and w not in _STOP]
 
 
 def text_chunks(doc: Node) -> list[tuple[str, str]]:
@@ -49,9 +50,10 @@ def page_query(doc: Node) -> str:
 def relevant(chunks: list[tuple[str, str]], query: str, threshold: float = 0.0, k1: float = 2.0, b: float = 0.75) -> list[tuple[int, str, str, float]]:
     """(index, tag, text, score) of the chunks that reach the threshold, in their order; all without a query.
 
-    The page's chunks are the corpus; repeated query words count once.
+    The page's chunks are the corpus; a query word counts as often as it is repeated.
     """
-    wanted = sorted(set(tokens(query)))
+    asked = tokens(query)
+    wanted = sorted(set(asked))
     if not wanted:
         return [(i, t, x, 0.0) for i, (t, x) in enumerate(chunks)]
     counts = [Counter(tokens(x)) for _, x in chunks]
@@ -60,7 +62,7 @@ def relevant(chunks: list[tuple[str, str]], query: str, threshold: float = 0.0,
     idf = {q: math.log((n - df + 0.5) / (df + 0.5) + 1) for q in wanted for df in (sum(q in c for c in counts),)}
     out = []
     for i, ((tag, text), c, size) in enumerate(zip(chunks, counts, sizes, strict=True)):
-        score = sum(idf[q] * c[q] * (k1 + 1) / (c[q] + k1 * (1 - b + b * size / mean)) for q in wanted if c[q]) * WEIGHTS.get(tag, 1.0)
+        score = sum(asked.count(q) * idf[q] * c[q] * (k1 + 1) / (c[q] + k1 * (1 - b + b * size / mean)) for q in wanted if c[q]) * WEIGHTS.get(tag, 1.0)
         if score >= threshold:
             out.append((i, tag, text, score))
     return out

@@ -87,9 +87,9 @@ def adaptive(links: DataFrame, texts: DataFrame, seeds: DataFrame, query: str, m
     """
     from webloom.functions.urls import keyword_score
     from webloom.operators import stats
-    from webloom.operators.rank import query_tokens
+    from webloom.operators.rank import query_words
 
-    words = sorted(set(query_tokens(query)))
+    words = sorted(set(query_words(query)))
     edges = materialize(links.where("src_url is not null and dst_url is not null").select("src_url", "dst_url").distinct(), "links")
     score = keyword_score(F.col("url"), words)
     waiting = materialize(seeds.select("url").where("url is not null").distinct().withColumn("score", score), "waiting")

@@ -383,19 +383,51 @@ def a13_new_terms(spark: SparkSession, d: str) -> DataFrame:
 _QUERY = "river museum winter schedule"
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL),
-n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM t), q AS (SELECT unnest(['{"', '".join(sorted(_QUERY.split()))}']) AS term),
-h AS (SELECT doc_id, len(t) AS l, term, len(list_filter(t, lambda x: x = term)) AS tf FROM t, q), d AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY term)
-SELECT doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * l / mean))), 6) AS score FROM h JOIN d USING (term), n WHERE tf > 0 GROUP BY doc_id""")
+_ASKED = "rivers museum winter schedules river"
+
+
+def _stemmed(columns: str = "doc_id") -> str:
+    """CTEs: w (columns, w), tf (doc_id, term, tf) of stems, q (term, times) of the query."""
+    from webloom.functions import stem
+
+    asked = ", ".join(f"'{t}'" for t in rank.query_tokens(_ASKED))
+    return f"""w AS (SELECT {columns}, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS w FROM documents WHERE text IS NOT NULL),
+{stem.sql('SELECT DISTINCT unnest(w) AS t FROM w')},
+tf AS (SELECT doc_id, stem AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM w) JOIN stem_of USING (t) GROUP BY ALL), q AS (SELECT term, count(*) AS times FROM (SELECT unnest([{asked}]) AS term) GROUP BY term)"""
+
+
+_BM25 = "n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w), d AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT doc_id, round(sum(times * ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * len(w) / mean))), 6) AS score FROM tf JOIN q USING (term) JOIN d USING (term) JOIN w USING (doc_id), n GROUP BY doc_id)"
+
+
+@query(f"WITH {_stemmed()}, {_BM25} SELECT * FROM s")
 def r1_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return rank.bm25(_docs(spark, d), "doc_id", "text", _QUERY)
+    return rank.bm25(_docs(spark, d), "doc_id", "text", _ASKED)
+
 
+@query(f"WITH {_stemmed()}, {_BM25}, m AS (SELECT min(score) AS lo, max(score) AS hi FROM s) SELECT doc_id, round((score - lo) / (hi - lo), 6) AS score FROM s, m")
+def r5_scaled_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return rank.scaled(rank.bm25(_docs(spark, d), "doc_id", "text", _ASKED), "score")
 
-@query(f"""WITH t AS (SELECT doc_id, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL),
-q AS (SELECT unnest(['{"', '".join(_QUERY.split())}']) AS term), h AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = term)) AS tf FROM t, q)
-SELECT doc_id, round(sum(CASE WHEN tf > 0 THEN ln(2.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / 100.0)) ELSE 0 END), 6) AS score FROM h GROUP BY doc_id""")
+
+_RELEVANT = "r AS (SELECT doc_id, round(coalesce(sum(times * ln(2.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / 100.0))), 0), 6) AS score FROM w LEFT JOIN (SELECT * FROM tf JOIN q USING (term)) USING (doc_id) GROUP BY doc_id)"
+
+
+@query(f"WITH {_stemmed()}, {_RELEVANT} SELECT doc_id, score, score >= 0.5 AS kept FROM r")
 def f24_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", rank.relevance(F.col("text"), _QUERY).alias("score"))
+    return rank.relevant_texts(_docs(spark, d), "text", _ASKED).select("doc_id", "score", "kept")
+
+
+@query(f"""WITH {_stemmed()}, {_RELEVANT}, c AS (SELECT doc_id, len(text) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, score, score >= 0.5 AS kept FROM r JOIN c USING (doc_id) WHERE n >= 500""")
+def f25_filter_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    long_enough = lambda df: df.withColumn("score", F.lit(1.0)).withColumn("kept", F.length("text") >= 500)
+    return rank.run_filters(_docs(spark, d).select("doc_id", "text"), [long_enough, lambda df: rank.relevant_texts(df, "text", _ASKED)]).drop("text")
+
+
+@query(f"""WITH {_stemmed('doc_id, source')}, n AS (SELECT source, count(*) AS docs, avg(len(w)) AS mean FROM w GROUP BY source), d AS (SELECT source, term, count(*) AS df FROM tf JOIN w USING (doc_id) GROUP BY ALL),
+s AS (SELECT doc_id, sum(times * ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * len(w) / mean))) AS score FROM tf JOIN q USING (term) JOIN w USING (doc_id) JOIN n ON n.source IS NOT DISTINCT FROM w.source JOIN d ON d.source IS NOT DISTINCT FROM w.source AND d.term = tf.term GROUP BY doc_id)
+SELECT doc_id, coalesce(score, 0) >= 1.0 AS kept, CASE WHEN coalesce(score, 0) >= 1.0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM w LEFT JOIN s USING (doc_id)""")
+def f23_bm25_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return rank.bm25_blocks(_docs(spark, d).select("doc_id", "source", "text"), "source", "doc_id", "text", _ASKED).select("doc_id", "score", "kept")
 
 
 @query()
@@ -571,14 +603,11 @@ def w3_time_to_live(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).where("cached_at is not null").agg(F.count(F.lit(1)).alias("rows"), F.count_if(old).alias("expired"), F.count_if(~old).alias("live"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, source, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL),
-n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM t), q AS (SELECT unnest(['{"', '".join(sorted(_QUERY.split()))}']) AS term),
-h AS (SELECT doc_id, source, len(t) AS l, term, len(list_filter(t, lambda x: x = term)) AS tf FROM t, q), d AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY term),
-s AS (SELECT doc_id, source, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * l / mean))), 6) AS score FROM h JOIN d USING (term), n WHERE tf > 0 GROUP BY ALL),
-g AS (SELECT * FROM s WHERE score > (SELECT avg(score) + 0.25 * stddev_pop(score) FROM s)), p AS (SELECT source, count(*) AS matches, round(sum(score), 4) AS score FROM g GROUP BY source)
+@query(f"""WITH {_stemmed('doc_id, source')}, {_BM25}, x AS (SELECT doc_id, source, score FROM s JOIN w USING (doc_id)),
+g AS (SELECT * FROM x WHERE score > (SELECT avg(score) + 0.25 * stddev_pop(score) FROM x)), p AS (SELECT source, count(*) AS matches, round(sum(score), 4) AS score FROM g GROUP BY source)
 SELECT * FROM p ORDER BY matches * 1.5 + score DESC, source NULLS LAST LIMIT 10""")
 def r23_search_sources(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.search_sources(_docs(spark, d), _QUERY)
+    return pipelines.search_sources(_docs(spark, d), _ASKED)
 
 
 @query(f"WITH w AS (SELECT doc_id, list_distinct(list_filter({_words('text')}, lambda x: strlen(x) >= 2)) AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(list_intersect(w, ['river', 'museum', 'winter', 'schedule'])) AS INTEGER) AS shared FROM w ORDER BY shared DESC, doc_id LIMIT 20")
