@@ -89,6 +89,12 @@ def _rows(table: Node) -> list[Node]:
     return [r for r in table.elements("tr") if next((a for a in r.ancestors() if a.tag == "table"), None) is table]
 
 
+def _markup_size(cell: Node) -> int:
+    """Bytes of a cell's content with its tags and attributes, no sign escaped."""
+    tags = [n for n in cell.walk() if n.tag and n is not cell]
+    return sum(len(n.data.encode()) for n in cell.walk() if not n.tag) + sum(5 + 2 * len(n.tag) + sum(4 + len(f"{k}{v}".encode()) for k, v in n.attrs.items()) for n in tags)
+
+
 def tables(doc: Node) -> list[dict]:
     """[{headers, rows, caption, score, is_data_table}] of the outermost tables."""
     out = []
@@ -109,10 +115,11 @@ def tables(doc: Node) -> list[dict]:
                 rows.append(values)
         nested = any(n.tag == "table" for c in t.children for n in c.walk())
         widths = [len(r) for r in rows]
-        ref = len(headers) or (widths[0] if widths else 0)
+        ref = len(headers) or max(set(widths), key=widths.count, default=0)
         steady = bool(widths) and sum(w == ref for w in widths) >= 0.8 * len(widths)
-        cells = [v for r in rows for v in r]
-        dense = bool(cells) and sum(bool(v) for v in cells) / len(cells) > 0.7
+        cells = [c for _, cs in parsed for c in cs]
+        inner = sum(_markup_size(c) for c in cells)
+        dense = not inner or sum(len(c.text().encode()) for c in cells) / inner > 0.7
         score = 0.3 * has_th + 0.2 * bool(caption) + 0.3 * steady + 0.1 * (len(rows) > 1) + 0.1 * (not nested) + 0.1 * dense
         out.append({"headers": headers, "rows": rows, "caption": caption, "score": round(score, 6), "is_data_table": score >= 0.5 - 1e-9})
     return out
@@ -158,16 +165,34 @@ def structure(doc: Node) -> dict:
 
 
 def prune(doc: Node, threshold: float = 0.48) -> str:
-    """HTML of the body without boilerplate: from the top down, elements that score below their threshold go."""
+    """HTML of the body without boilerplate: from the top down, elements that score below their threshold go.
+
+    Sizes of markup, text and link text are summed once from the leaves up; what is dropped inside an element later
+    doesn't change its own score.
+    """
     body = doc.first("body") or doc
+    sizes: dict[int, tuple[int, str, int]] = {}
+
+    def measure(n: Node) -> tuple[int, str, int]:
+        """(bytes of markup, text, bytes of link text)."""
+        if not n.tag:
+            return len(n.html().encode()), n.data, 0
+        parts = [measure(c) for c in n.children]
+        shell = Node(n.tag, n.attrs)
+        text = "".join(p[1] for p in parts)
+        linked = sum(p[2] for p in parts) + (len(text.strip().encode()) if n.tag == "a" else 0)
+        sizes[id(n)] = len(shell.html().encode()) + sum(p[0] for p in parts), text, linked
+        return sizes[id(n)]
+
+    measure(body)
 
     def score(n: Node) -> tuple[float, float]:
         """(score, threshold) of an element; -1 if it is empty."""
-        t = n.raw_text().strip()
+        size, raw, linked = sizes[id(n)]
+        t = raw.strip()
         if not t:
             return -1.0, threshold
-        size = len(n.html().encode())
-        text, linked = len(t.encode()), sum(len(a.raw_text().strip().encode()) for a in n.elements("a"))
+        text = len(t.encode())
         density, link = text / size if size else 0.0, linked / text
         weight = TAG_WEIGHT.get(n.tag, 0.5)
         marks = n.attrs.get("class", "") + " " + n.attrs.get("id", "")
@@ -189,8 +214,8 @@ def prune(doc: Node, threshold: float = 0.48) -> str:
     return "".join(c.html() for c in body.children).strip()
 
 
-def markdown(doc: Node, base: str = "") -> str:
-    """Markdown of the body, links as numbered references at the end."""
+def markdown(doc: Node, base: str = "", inline_links: bool = False) -> str:
+    """Markdown of the body, links as numbered references at the end, or where they stand if inline_links."""
     refs: list[str] = []
 
     def inline(n: Node) -> str:
@@ -201,6 +226,8 @@ def markdown(doc: Node, base: str = "") -> str:
             return "\n"
         if n.tag == "a" and n.attrs.get("href") and inner.strip():
             url = urljoin(base, n.attrs["href"])
+            if inline_links:
+                return f"[{inner.strip()}]({url})"
             if url not in refs:
                 refs.append(url)
             return f"{inner} [{refs.index(url) + 1}]"

@@ -72,3 +72,70 @@ def blocked_reason(status: Column, html: Column) -> Column:
     bare = ~html.rlike(CONTENT_TAGS)
     signals = (~html.rlike("(?i)<body")).cast("int") + (visible < 50).cast("int") + bare.cast("int") + (html.rlike(r"(?i)<script[\s>]") & bare & (visible < 100)).cast("int")
     return reason.when((size < MEDIUM) & (signals >= 2), "structural integrity failure").when((size < MEDIUM) & (signals >= 1) & (size < 5000), "structural integrity failure (small page)")
+
+
+#: Labels of the classic catalog, read without regard to case.
+CLASSIC: dict[str, str] = {
+    "email": r"[\w.+-]+@[\w-]+\.[\w.-]+", "phone_intl": r"\+?\d[\d .()-]{7,}\d", "phone_us": r"\(?\d{3}\)?[ -. ]?\d{3}[ -. ]?\d{4}", "url": r"https?://[^\s\"'<>]+",
+    "ipv4": r"(?:\d{1,3}\.){3}\d{1,3}", "ipv6": r"[A-F0-9]{1,4}(?::[A-F0-9]{1,4}){7}", "uuid": r"[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}",
+    "currency": r"(?:USD|EUR|RM|\$|€|£)\s?\d+(?:[.,]\d{2})?", "percentage": r"\d+(?:\.\d+)?%", "number": r"\b\d{1,3}(?:[,.\s]\d{3})*(?:\.\d+)?\b", "date_iso": r"\d{4}-\d{2}-\d{2}", "date_us": r"\d{1,2}/\d{1,2}/\d{2,4}",
+    "time_24h": r"\b(?:[01]?\d|2[0-3]):[0-5]\d(?:[:.][0-5]\d)?\b", "postal_us": r"\b\d{5}(?:-\d{4})?\b", "postal_uk": r"\b[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}\b", "html_color_hex": r"#[0-9A-Fa-f]{6}\b",
+    "twitter_handle": r"@[\w]{1,15}", "hashtag": r"#[\w-]+", "mac_addr": r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}", "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", "credit_card": r"\b(?:4\d{12}(?:\d{3})?|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d{2})\d{12})\b",
+}
+
+
+def extract_groups(df: DataFrame, text: str, wanted: list[tuple[str, str, int]]) -> DataFrame:
+    """df with (pattern, pos, value, named), one row a match of each (name, regular expression, group).
+
+    value is the chosen group (the whole match if there is none of that number); named maps each (?<name>…) group of
+    the pattern to what it holds.
+    """
+    import re
+
+    def rows(name: str, pattern: str, group: int) -> Column:
+        python = pattern.replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!").replace("(?PP<", "(?P<")
+        java = pattern.replace("(?P<", "(?<")
+        found = re.compile(python)
+        group = group if 0 <= group <= found.groups else 0
+        whole = F.regexp_extract_all(F.col(text), F.lit(java), F.lit(group))
+        names = {k: F.regexp_extract_all(F.col(text), F.lit(java), F.lit(i)) for k, i in found.groupindex.items()}
+
+        def one(v: Column, i: Column) -> Column:
+            named = F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[F.get(c, i) for c in names.values()])) if names else F.create_map().cast("map<string,string>")
+            return F.struct(F.lit(name).alias("pattern"), i.alias("pos"), v.alias("value"), named.alias("named"))
+
+        return F.transform(whole, one)
+
+    each = F.flatten(F.array(*[rows(*w) for w in wanted]))
+    return df.withColumn("_m", F.explode(each)).select(*df.columns, "_m.pattern", "_m.pos", "_m.value", "_m.named")
+
+
+def classic_values(df: DataFrame, text: str, labels: list[str] | None = None) -> DataFrame:
+    """df with (label, pos, value), one row a match of the classic catalog."""
+    each = [_labelled(text, n) for n in labels or list(CLASSIC)]
+    return df.withColumn("_m", F.explode(F.flatten(F.array(*each)))).select(*df.columns, "_m.label", "_m.pos", "_m.value")
+
+
+def _labelled(text: str, name: str) -> Column:
+    found = F.regexp_extract_all(F.col(text), F.lit(f"(?im){CLASSIC[name]}"), F.lit(0))
+    return F.transform(found, lambda v, i: F.struct(F.lit(name).alias("label"), i.alias("pos"), v.alias("value")))
+
+
+def classic_spans(df: DataFrame, key: str, text: str, labels: list[str] | None = None) -> DataFrame:
+    """(key, label, value, start, stop) of all matches, with their places in characters."""
+    import re
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    made = {n: re.compile(CLASSIC[n], re.I | re.M) for n in labels or list(CLASSIC)}
+    types = (to_arrow_type(df.schema[key].dataType), pa.string(), pa.string(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, n, m[0], m.start(), m.end()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for n, r in made.items() for m in r.finditer(t)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[key, "label", "value", "start", "stop"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, label string, value string, start int, stop int")

@@ -178,3 +178,56 @@ def strip_fences(text: Column) -> Column:
 def tag_contents(text: Column, tag: str) -> Column:
     """What stands between each <tag> and </tag>, trimmed."""
     return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), lambda x: F.btrim(x, F.lit(" \t\r\n")))
+
+
+#: Elements taken out of HTML before its structure is read, and attributes that are kept.
+BULK = ("script", "style", "noscript", "svg", "header", "footer", "nav")
+ATTRIBUTES = "href src alt title class id type name content property rel".split()
+
+
+def preprocess(html: Column, strict: bool = False, most: int = 0) -> Column:
+    """HTML with its structure but without bulk: no scripts, styles, comments, drawings, page heads and feet, other attributes.
+
+    strict also takes asides, forms, images and empty elements, and cuts the result at `most` characters if that is
+    above 0. White space runs of two and more become one space.
+    """
+    for tag in BULK[:2]:
+        html = F.regexp_replace(html, rf"(?i)<{tag}[\s>][\s\S]*?</{tag}>", "")
+    html = F.regexp_replace(html, r"<!--[\s\S]*?-->", "")
+    for tag in BULK[2:]:
+        html = F.regexp_replace(html, rf"(?i)<{tag}[\s>][\s\S]*?</{tag}>", "")
+    # cut each start tag's attributes: the tags between the text pieces are rewritten one by one
+    pieces = F.regexp_extract_all(html, F.lit(r"[^<]+|<[a-zA-Z][a-zA-Z0-9]*(?:\s+[^>]*?)?>|<"), F.lit(0))
+
+    def rewrite(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)
+        found = F.regexp_extract_all(p, F.lit(r"""\s+([a-zA-Z][\w-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?)"""), F.lit(1))
+        kept = F.filter(found, lambda a: F.lower(F.regexp_extract(a, r"^([a-zA-Z][\w-]*)", 1)).isin(ATTRIBUTES))
+        return F.when(p.rlike(r"^<[a-zA-Z][a-zA-Z0-9]*\s+[^>]*>$"), F.concat(F.lit("<"), name, F.when(F.size(kept) > 0, F.concat(F.lit(" "), F.array_join(kept, " "))).otherwise(""), F.lit(">"))).otherwise(p)
+
+    html = F.array_join(F.transform(pieces, rewrite), "")
+    html = F.btrim(F.regexp_replace(html, r"\s{2,}", " "), F.lit(" \t\r\n\x0b\f"))
+    if strict:
+        for tag in ("aside", "form"):
+            html = F.regexp_replace(html, rf"(?i)<{tag}[\s>][\s\S]*?</{tag}>", "")
+        html = F.regexp_replace(F.regexp_replace(html, r"<img[^>]*>", ""), r"<[a-z][a-z0-9]*[^>]*>\s*</[a-z][a-z0-9]*>", "")
+        html = F.btrim(F.regexp_replace(html, r"\s{2,}", " "), F.lit(" \t\r\n\x0b\f"))
+        html = F.substring(html, 1, most) if most > 0 else html
+    return html
+
+
+def json_objects(text: Column) -> Column:
+    """The parts of a text that are flat JSON objects and can be read; what stands between them is left out."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: F.try_parse_json(x).isNotNull())
+
+
+def escaped_json(text: Column) -> Column:
+    """A text as it stands inside a JSON string."""
+    for sign, code in (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(sign), F.lit(code))
+    return F.regexp_replace(text, r"[\x00-\x1f]", "")
+
+
+def shortened(text: Column, most: int) -> Column:
+    """At most so many characters, the last three of them dots where something is cut."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, max(0, most - 3)), F.lit("...")))

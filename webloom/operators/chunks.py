@@ -258,3 +258,50 @@ def semantic_chunks(df: DataFrame, text: str, max_chars: int = 1000) -> DataFram
             yield rows
 
     return df.mapInPandas(run, schema)
+
+
+def whole(text: Column) -> Column:
+    """The text as its only chunk."""
+    return F.array(text)
+
+
+def text_blocks(html: Column, least: int = 20) -> Column:
+    """Visible text cut at double spaces, blocks of more than `least` bytes; as visible text has none, that is one block or none."""
+    from webloom.functions.text import html_to_text
+
+    return F.filter(F.transform(F.split(html_to_text(html), "  "), trimmed), lambda b: F.octet_length(b) > least)
+
+
+def queued_words(text: Column, tokens: int, overlap: int = 0, rate: float = 0.75) -> Column:
+    """Runs of words worth `tokens` less those worth `overlap`, while that much is left, and then the rest."""
+    size, back = max(1, int(tokens / rate + 1e-9)), int(overlap / rate + 1e-9)
+    step = max(1, size - back)
+    w = fields(text)
+    full = F.greatest(F.lit(0), F.floor((F.size(w) - tokens / rate) / step + 1e-9) + 1).cast("int")
+    runs = F.when(full > 0, F.transform(F.sequence(F.lit(0), full - 1), lambda i: F.array_join(F.slice(w, i * step + 1, step), " "))).otherwise(F.array().cast("array<string>"))
+    rest = F.array_join(F.slice(w, full * step + 1, F.greatest(F.lit(0), F.size(w) - full * step)), " ")
+    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.filter(F.concat(runs, F.array(rest)), lambda x: x != ""))
+
+
+def merged_to_size(texts: Column, target: int, overlap: int = 0) -> Column:
+    """The words of all texts in runs of `target`, each after the first beginning with the last `overlap` of the one before; the last run takes the rest."""
+    w = F.flatten(F.transform(texts, fields))
+    n = F.size(w)
+    runs = F.ceil(n / target).cast("int")
+    step = max(1, target - overlap)
+    cut = F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.array_join(F.slice(w, i * step + 1, F.when(i == runs - 1, F.greatest(n - i * step, F.lit(0))).otherwise(target)), " "))
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(cut, lambda x: x != ""))
+
+
+def merged_below(chunks: Column, tokens: float, factor: float = 1.3) -> Column:
+    """Adjacent chunks joined by an empty line while their words times the factor stay below `tokens`."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"), F.lit(0.0).alias("sum"), F.lit(False).alias("any"))
+
+    def step(acc: Column, c: Column) -> Column:
+        n = F.size(fields(c)) * factor
+        fits = acc["sum"] + n < tokens
+        joined = F.when(acc["any"], F.concat(acc["now"], F.lit("\n\n"), c)).otherwise(c)
+        return F.struct(F.when(fits | ~acc["any"], acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))).alias("out"), F.when(fits, joined).otherwise(c).alias("now"), F.when(fits, acc["sum"] + n).otherwise(n).alias("sum"), F.lit(True).alias("any"))
+
+    done = F.aggregate(chunks, start, step)
+    return F.when(F.size(chunks) == 0, F.array().cast("array<string>")).otherwise(F.concat(done["out"], F.array(done["now"])))

@@ -35,33 +35,37 @@ def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 3, keep:
     return visited
 
 
-def best_first(links: DataFrame, seeds: DataFrame, score: Column, max_pages: int = 100, batch: int = 10, keep: Column | None = None) -> DataFrame:
-    """(url, step, score): the best-scored waiting urls first, `batch` at a time, up to max_pages; ties by url.
+def best_first(links: DataFrame, seeds: DataFrame, score: Column, max_pages: int = 100, batch: int = 10, keep: Column | None = None, classic: bool = False) -> DataFrame:
+    """(url, step, score): the best-scored waiting urls first, `batch` at a time, up to max_pages; ties by url (if classic by depth, then url).
 
     score is a condition-free expression on a column url. The batches are a feature of the crawl, not a cap on data.
     """
     edges = links.select("src_url", "dst_url") if keep is None else links.where(keep).select("src_url", "dst_url")
     edges = materialize(edges.where("src_url is not null and dst_url is not null").distinct(), "links")
-    waiting = materialize(seeds.select("url").where("url is not null").distinct().withColumn("score", score.cast("double")), "waiting")
+    waiting = materialize(seeds.select("url").where("url is not null").distinct().withColumn("score", score.cast("double")).withColumn("depth", F.lit(0)), "waiting")
+    order = [F.desc("score"), *(["depth"] if classic else []), "url"]
     done, left, step = None, max_pages, -1
     while left > 0:
         step += 1
-        chosen = materialize(waiting.orderBy(F.desc("score"), "url").limit(min(batch, left)).withColumn("step", F.lit(step)), "chosen")
+        chosen = materialize(waiting.orderBy(*order).limit(min(batch, left)).withColumn("step", F.lit(step)), "chosen")
         n = chosen.count()
         if not n:
             break
         left -= n
         done = chosen if done is None else done.unionByName(chosen)
-        new = edges.join(chosen.select(F.col("url").alias("src_url")), "src_url", "left_semi").select(F.col("dst_url").alias("url")).distinct().withColumn("score", score.cast("double"))
-        waiting = materialize(waiting.unionByName(new).dropDuplicates(["url"]).join(done.select("url"), "url", "left_anti"), "waiting")
+        new = edges.join(chosen.select(F.col("url").alias("src_url"), "depth"), "src_url").groupBy(F.col("dst_url").alias("url")).agg((F.min("depth") + 1).alias("depth")).withColumn("score", score.cast("double"))
+        # a url keeps the depth at which it was met first
+        waiting = materialize(waiting.unionByName(new.select("url", "score", "depth")).groupBy("url").agg(F.first("score").alias("score"), F.min("depth").alias("depth")).join(done.select("url"), "url", "left_anti"), "waiting")
     if done is None:
         return links.sparkSession.createDataFrame([], "url string, step int, score double")
     return done.select("url", "step", F.round("score", 6).alias("score"))
 
 
-def depth_first(links: DataFrame, seeds: DataFrame, max_pages: int = 50, max_depth: int = 3) -> DataFrame:
+def depth_first(links: DataFrame, seeds: DataFrame, max_pages: int = 50, max_depth: int = 3, fetched: DataFrame | None = None) -> DataFrame:
     """(url, step, depth) in depth-first order: a page's links wait in their order (pos), the first is followed first.
 
+    With `fetched` (url), only urls it holds count as pages, are given back and lead on, as in the classic crawl.
+
     The order is sequential by nature, so each step is one small look-up in the written link table, at most max_pages
     of them; what is held on the driver is the stack of those pages' links. Urls are met once, at discovery.
     """
@@ -71,6 +75,8 @@ def depth_first(links: DataFrame, seeds: DataFrame, max_pages: int = 50, max_dep
     stack, seen, out = [(u, 0) for u in reversed(start)], set(start), []
     while stack and len(out) < max_pages:
         url, depth = stack.pop()
+        if fetched is not None and fetched.where(F.col("url") == url).isEmpty():
+            continue
         out.append((url, len(out), depth))
         if depth < max_depth:
             new = [r.dst_url for r in edges.where(F.col("src_url") == url).orderBy("pos", "dst_url").select("dst_url").collect() if r.dst_url not in seen]
@@ -135,3 +141,40 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
+
+
+def crawl_levels(links: DataFrame, seeds: DataFrame, fetched: DataFrame | None = None, score: Column | None = None, max_depth: int = 3, max_pages: int | None = None, visited: DataFrame | None = None, stop=None):  # noqa: ANN001, ANN201
+    """Levels of a crawl as they are done: yields (url, parent_url, depth, ok) tables, each written.
+
+    Only urls that `fetched` (url) holds count as pages and lead on (all do without it); what is found on a level is
+    cut to the pages that are left, the best by `score` (a column on url) first, else by url. A crawl is resumed by
+    giving its front as seeds and what it met as `visited`; `stop`, asked before each level, ends it early.
+    """
+    edges = materialize(links.where("src_url is not null and dst_url is not null").select("src_url", "dst_url").distinct(), "links")
+    front = materialize(seeds.where("url is not null").groupBy("url").agg(F.lit(None).cast("string").alias("parent_url")).withColumn("depth", F.lit(0)), "front")
+    met = front.select("url") if visited is None else front.select("url").unionByName(visited.select("url"))
+    pages = 0
+    for depth in range(max_depth + 1):
+        if (stop is not None and stop()) or (max_pages is not None and pages >= max_pages) or front.isEmpty():
+            return
+        ok = fetched.select("url").distinct().withColumn("ok", F.lit(True)) if fetched is not None else None
+        level = front.withColumn("ok", F.lit(True)) if ok is None else front.join(ok, "url", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+        level = materialize(level, "level")
+        yield level
+        pages += level.where("ok").count()
+        if depth == max_depth:
+            return
+        found = edges.join(level.where("ok").select(F.col("url").alias("src_url")), "src_url", "left_semi")
+        new = found.groupBy(F.col("dst_url").alias("url")).agg(F.min("src_url").alias("parent_url")).join(met, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
+        front = materialize(new, "front")
+        if max_pages is not None and front.count() > max_pages - pages:  # the crawl's capacity, a feature
+            front = materialize(front.orderBy(*([score.desc()] if score is not None else []), "url").limit(max(0, max_pages - pages)), "front")
+        met = materialize(met.unionByName(front.select("url")), "met")
+
+
+def classic_breadth_first(links: DataFrame, seeds: DataFrame, fetched: DataFrame, score: Column | None = None, max_depth: int = 3, max_pages: int = 100) -> DataFrame:
+    """(url, parent_url, depth, ok) of a whole crawl by levels (see crawl_levels)."""
+    out = None
+    for level in crawl_levels(links, seeds, fetched, score, max_depth, max_pages):
+        out = level if out is None else out.unionByName(level)
+    return out if out is not None else links.sparkSession.createDataFrame([], "url string, parent_url string, depth int, ok boolean")

@@ -139,3 +139,8 @@ def queue_summary(tasks: DataFrame, status: str, queued_at: str, memory: str, no
     """(status, tasks, longest_wait, mean_wait, peak_memory) of queued tasks at the time `now`, waits in whole seconds."""
     wait = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(queued_at)).cast("double")
     return tasks.groupBy(F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("tasks"), F.round(F.max(wait), 3).alias("longest_wait"), F.round(F.avg(wait), 3).alias("mean_wait"), F.round(F.max(memory), 3).alias("peak_memory"))
+
+
+def width_stats(rows: DataFrame, keys: list[str], width: str) -> DataFrame:
+    """(keys, rows, mean, variance) of the rows' numbers of columns, by table."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(width), 6).alias("mean"), F.round(F.var_pop(width), 6).alias("variance"))

@@ -386,12 +386,12 @@ _QUERY = "river museum winter schedule"
 _ASKED = "rivers museum winter schedules river"
 
 
-def _stemmed(columns: str = "doc_id") -> str:
+def _stemmed(columns: str = "doc_id", source: str = "documents") -> str:
     """CTEs: w (columns, w), tf (doc_id, term, tf) of stems, q (term, times) of the query."""
     from webloom.functions import stem
 
     asked = ", ".join(f"'{t}'" for t in rank.query_tokens(_ASKED))
-    return f"""w AS (SELECT {columns}, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS w FROM documents WHERE text IS NOT NULL),
+    return f"""w AS (SELECT {columns}, list_filter({_words('text', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS w FROM {source} WHERE text IS NOT NULL),
 {stem.sql('SELECT DISTINCT unnest(w) AS t FROM w')},
 tf AS (SELECT doc_id, stem AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM w) JOIN stem_of USING (t) GROUP BY ALL), q AS (SELECT term, count(*) AS times FROM (SELECT unnest([{asked}]) AS term) GROUP BY term)"""
 
@@ -787,4 +787,4 @@ def h4_semantic(spark: SparkSession, d: str) -> DataFrame:
     return chunks.semantic_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), "markdown", 1000).drop("markdown")
 
 
-from webloom import queries_links  # noqa: E402, F401  (registers its queries)
+from webloom import queries_links, queries_pages  # noqa: E402, F401  (register their queries)

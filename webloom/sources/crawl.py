@@ -118,3 +118,9 @@ def export_jsonl(df: DataFrame, path: str) -> None:
 
 def import_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def json_items(rows: DataFrame, column: str, path: str) -> DataFrame:
+    """rows with `pos` and `item` (JSON) for each item of an array inside a JSON column; rows without one are left out."""
+    items = F.from_json(F.get_json_object(column, path), "array<string>")
+    return rows.select("*", F.posexplode(items).alias("pos", "item"))
