@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.text import let
+
 #: Name -> (pattern, least and greatest length in bytes).
 CATALOG: dict[str, tuple[str, int, int]] = {
     "email": (r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", 5, 254),
@@ -51,27 +53,38 @@ def extract_patterns(df: DataFrame, text: str, names: list[str] | None = None) -
     return df.withColumn("_m", F.explode(F.flatten(F.array(*each)))).select(*df.columns, "_m.pattern", "_m.pos", "_m.value")
 
 
+def _first_sign(text: Column, signs: tuple) -> Column:
+    """Name of the first sign in a text, else null; one search for any of them spares sound texts the single ones."""
+    name = F.when(F.lit(False), "")
+    for pattern, label in signs:
+        name = name.when(text.rlike(pattern), label)
+    return F.when(text.rlike("|".join(f"(?:{p})" for p, _ in signs)), name)
+
+
 def blocked_reason(status: Column, html: Column) -> Column:
-    """Why a response is a block page, or null if it is none. Null html counts as empty, null status as 0."""
+    """Why a response is a block page, or null if it is none. Null html counts as empty, null status as 0.
+
+    What costs a pass over the page is computed once: the page without code, and its visible size.
+    """
     html, status = F.coalesce(html, F.lit("")), F.coalesce(status, F.lit(0))
-    size = F.octet_length(html)
-    start = F.regexp_extract(html, r"^[\t\n\f\r ]*(\{|\[|<\?xml)", 1)
-    reason = F.when(status == 429, "rate limited (429)").when(status.isin(403, 503) & (start == ""), F.concat(F.lit("blocked ("), status.cast("string"), F.lit(")")))
     no_code = html
     for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<noscript[^>]*>.*?</noscript>"):
         no_code = F.regexp_replace(no_code, pattern, " ")
-    head = F.substring(html, 1, HEAD)
-    for pattern, name in BLOCK_ANY:
-        reason = reason.when(head.rlike(pattern), name)
-    for pattern, name in BLOCK_ANY:
-        reason = reason.when((size > HEAD) & no_code.rlike(pattern), name)
-    for pattern, name in BLOCK_SMALL:
-        reason = reason.when((size < SMALL) & html.rlike(pattern), name)
-    reason = reason.when((status == 200) & (size < 100), "near-empty response")
-    visible = F.octet_length(F.btrim(F.regexp_replace(F.regexp_replace(no_code, "<[^>]*>", ""), r"[\t\n\f\r ]+", " "), F.lit(" ")))
-    bare = ~html.rlike(CONTENT_TAGS)
-    signals = (~html.rlike("(?i)<body")).cast("int") + (visible < 50).cast("int") + bare.cast("int") + (html.rlike(r"(?i)<script[\s>]") & bare & (visible < 100)).cast("int")
-    return reason.when((size < MEDIUM) & (signals >= 2), "structural integrity failure").when((size < MEDIUM) & (signals >= 1) & (size < 5000), "structural integrity failure (small page)")
+
+    def decide(f: Column) -> Column:
+        size, code = F.octet_length(f["html"]), f["status"]
+        start = F.regexp_extract(f["html"], r"^[\t\n\f\r ]*(\{|\[|<\?xml)", 1)
+        visible = F.octet_length(F.btrim(F.regexp_replace(F.regexp_replace(f["no_code"], "<[^>]*>", ""), r"[\t\n\f\r ]+", " "), F.lit(" ")))
+        bare = ~f["html"].rlike(CONTENT_TAGS)
+        signals = (~f["html"].rlike("(?i)<body")).cast("int") + (visible < 50).cast("int") + bare.cast("int") + (f["html"].rlike(r"(?i)<script[\s>]") & bare & (visible < 100)).cast("int")
+        broken = F.when(size < MEDIUM, let(signals, lambda n: F.when(n >= 2, "structural integrity failure").when((n >= 1) & (size < 5000), "structural integrity failure (small page)")))
+        first = F.when(code == 429, "rate limited (429)").when(code.isin(403, 503) & (start == ""), F.concat(F.lit("blocked ("), code.cast("string"), F.lit(")")))
+        return F.coalesce(
+            first, _first_sign(F.substring(f["html"], 1, HEAD), BLOCK_ANY), F.when(size > HEAD, _first_sign(f["no_code"], BLOCK_ANY)),
+            F.when(size < SMALL, _first_sign(f["html"], BLOCK_SMALL)), F.when((code == 200) & (size < 100), "near-empty response"), broken,
+        )
+
+    return let(F.struct(status.alias("status"), html.alias("html"), no_code.alias("no_code")), decide)
 
 
 #: Labels of the classic catalog, read without regard to case.

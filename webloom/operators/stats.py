@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from webloom.functions.text import STOP_WORDS, content_words, let, paragraphs, sentence_marks, words
 from webloom.session import materialize
@@ -17,23 +24,42 @@ def word_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     return one.select(key, "c.word_count", "c.unique_words", "char_count", "sentence_count", "paragraph_count")
 
 
-def top_terms(df: DataFrame, key: str, text: str, n: int = 20, bigrams: bool = False) -> DataFrame:
-    """(key, term, count, rank) of the n commonest words or word pairs of each text; ties go by the alphabet.
+def top_terms(df: DataFrame, key: str, text: str, n: int = 10, bigrams: bool = False) -> DataFrame:
+    """(key, term, count, rank) of the n commonest content words, or pairs of them, of each text; ties by name.
 
-    Terms of one row are counted before the shuffle; a group is one text's different terms.
+    A text's words never leave its row: they are cut in generated code and counted, a batch of texts at a time, by
+    numbers in place of words. Null texts have no rows; repeated rows give repeated rows.
     """
-    w = df.where(F.col(text).isNotNull()).select(F.col(key), words(F.col(text)).alias("_w"))
+    w = words(F.col(text))
     if bigrams:
         # a pair has no stop word and no word of one byte
-        pairs = F.arrays_zip(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))).alias("a"), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("b"))
-        each = w.select(key, F.explode(pairs).alias("p")).select(key, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-        good = (F.octet_length("a") >= 2) & (F.octet_length("b") >= 2) & ~F.col("a").isin(STOP_WORDS) & ~F.col("b").isin(STOP_WORDS)
-        each = each.where(good).select(key, F.concat_ws(" ", "a", "b").alias("term"))
+        good = lambda x: (F.octet_length(x) >= 2) & ~x.isin(STOP_WORDS)
+        pairs = let(w, lambda t: F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull() & good(a) & good(b), F.concat_ws(" ", a, b))))
+        terms = F.filter(pairs, lambda p: p.isNotNull())
     else:
-        each = w.select(key, F.explode("_w").alias("term")).where((F.octet_length("term") >= 3) & ~F.col("term").isin(STOP_WORDS))
-    counts = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "term"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= n)
+        terms = F.filter(w, lambda x: (F.octet_length(x) >= 3) & ~x.isin(STOP_WORDS))
+    id_type = to_arrow_type(df.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(1).flatten().dictionary_encode()
+            if not len(flat):
+                continue
+            order = np.empty(len(flat.dictionary), np.int64)
+            order[pc.sort_indices(flat.dictionary).to_numpy()] = np.arange(len(flat.dictionary))
+            row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            seen, count = np.unique(row * len(order) + order[flat.indices.to_numpy()], return_counts=True)
+            row, term = seen // len(order), seen % len(order)
+            best = np.lexsort((term, -count, row))
+            row, term, count = row[best], term[best], count[best]
+            first = np.searchsorted(row, row)
+            rank = np.arange(len(row)) - first + 1
+            keep = rank <= n
+            names = flat.dictionary.take(pc.sort_indices(flat.dictionary))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), names.take(pa.array(term[keep])), pa.array(count[keep].astype(np.int64)), pa.array(rank[keep].astype(np.int32))], names=[key, "term", "count", "rank"])
+
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, term string, count long, rank int"
+    return df.where(F.col(text).isNotNull()).select(key, terms.alias("_t")).mapInArrow(run, schema)
 
 
 def term_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,50 +94,154 @@ def new_terms(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
     return w.groupBy("term").agg(F.min(order).alias(order)).groupBy(order).agg(F.count(F.lit(1)).alias("terms"))
 
 
+def _folded(df: DataFrame, domain: str, order: str, columns: list[str], start, step, finish, fields: str) -> DataFrame:  # noqa: ANN001
+    """One row of `fields` for each run of a domain's rows in a range partition, rows taken in order; memory is that of one state.
+
+    Partitions are ranges of (domain, order), so a domain with a large share of the rows spreads over many of them.
+    """
+    ranged = df.select(domain, F.col(order).alias("_o"), *columns).repartitionByRange(F.col(domain), F.col("_o")).sortWithinPartitions(domain, "_o")
+    placed = ranged.select(F.spark_partition_id().alias("_p"), domain, *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, state = None, 0, None
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * len(target.names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, target.types, strict=True)], names=target.names)
+
+        for b in batches:
+            for p, key, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if state is None or key != now:
+                    if state is not None:
+                        out.append((now, part, *finish(state)))
+                    now, part, state = key, p, start()
+                state = step(state, *values)
+            if len(out) > 10_000:
+                yield batch()
+        if state is not None:
+            out.append((now, part, *finish(state)))
+        yield batch()
+
+    schema = f"`{domain}` {df.schema[domain].dataType.simpleString()}, part int, {fields}"
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    return placed.mapInArrow(run, schema)
+
+
 def delay_after(seq: DataFrame, domain: str, order: str, status: str, base: float = 1000.0, low: float = 100.0, high: float = 30000.0) -> DataFrame:
     """(domain, delay_ms, fails) after all responses of a domain in order: doubled by 429 and 503, cut by a quarter by 2xx.
 
-    A fold over the domain's responses without jitter; a domain's responses are folded in one row, so bound them by
-    a time window first where a domain may hold a large share of all responses.
+    Without jitter. Any run of responses turns a delay d into min(max(a·d, lo), hi), and such functions compose, so
+    runs are folded where they lie, in ranges of (domain, order), and then one function a range is put together: a
+    domain with a large share of the responses is never in one task. Null domains are one domain.
     """
-    per = seq.groupBy(domain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(status).alias("s")))).alias("r"))
-    start = F.struct(F.lit(base).alias("d"), F.lit(0).alias("f"))
 
-    def step(acc, x):  # noqa: ANN001, ANN202
-        worse, better = x["s"].isin(429, 503), (x["s"] >= 200) & (x["s"] < 300)
-        return F.struct(F.when(worse, F.least(acc["d"] * 2, F.lit(high))).when(better, F.greatest(acc["d"] * 0.75, F.lit(low))).otherwise(acc["d"]).alias("d"), F.when(worse, acc["f"] + 1).when(better, F.lit(0)).otherwise(acc["f"]).alias("f"))
+    def step(s: tuple, code: int | None) -> tuple:
+        a, lo, hi, fails, reset = s
+        if code in (429, 503):
+            return a * 2, min(lo * 2, high), min(hi * 2, high), fails + 1, reset
+        if code is not None and 200 <= code < 300:
+            return a * 0.75, max(lo * 0.75, low), max(hi * 0.75, low), 0, True
+        return s
 
-    state = F.aggregate("r", start, step)
-    return per.select(domain, F.round(state["d"], 6).alias("delay_ms"), state["f"].alias("fails"))
+    per = _folded(seq, domain, order, [status], lambda: (1.0, 0.0, float("inf"), 0, False), step, lambda s: s, "a double, lo double, hi double, fails int, reset boolean")
+    runs = per.groupBy(domain).agg(F.array_sort(F.collect_list(F.struct("part", "a", "lo", "hi", "fails", "reset"))).alias("r"))  # at most one a range
+    start = F.struct(F.lit(base).alias("d"), F.lit(0).alias("f"))
+    done = F.aggregate("r", start, lambda s, x: F.struct(F.least(F.greatest(s["d"] * x["a"], x["lo"]), x["hi"]).alias("d"), F.when(x["reset"], x["fails"]).otherwise(s["f"] + x["fails"]).alias("f")))
+    return runs.select(domain, F.round(done["d"], 6).alias("delay_ms"), done["f"].alias("fails"))
 
 
 def dispatch_stats(log: DataFrame, domain: str, order: str, ok: str, latency: str) -> DataFrame:
     """(domain, crawled, failed, failing, latency_ms): counts, failures since the last success, and a running mean.
 
-    The mean takes a quarter of each new latency above 0, in whole milliseconds, starting with the first. It depends
-    on the order, so a domain's responses are folded in one row: bound them by a time window where one is large.
+    The mean takes a quarter of each new latency above 0, in whole milliseconds, starting with the first. Rounding
+    makes it depend on the whole order, but it grows with what it starts from: a run of responses that gives the same
+    mean from 0 and from the greatest start gives it from any. Runs are folded so in ranges of (domain, order); one
+    that doesn't forget its start keeps the two, and is folded again only if they matter.
     """
-    rows = log.select(F.col(domain), F.struct(F.col(order).alias("o"), F.col(ok).alias("k"), F.col(latency).cast("long").alias("l")).alias("x"))
-    per = rows.groupBy(domain).agg(F.array_sort(F.collect_list("x")).alias("r"), F.count_if(F.col("x.k")).alias("crawled"), F.count_if(~F.col("x.k")).alias("failed"))
-    start = F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).alias("f"))
-
-    def step(acc, x):  # noqa: ANN001, ANN202
-        mean = F.when(~x["k"] | (x["l"] <= 0), acc["m"]).when(acc["m"] == 0, x["l"]).otherwise(F.floor((acc["m"] * 3 + x["l"]) / 4).cast("long"))
-        return F.struct(mean.alias("m"), F.when(x["k"], 0).otherwise(acc["f"] + 1).alias("f"))
-
-    state = F.aggregate("r", start, step)
-    return per.select(domain, "crawled", "failed", state["f"].alias("failing"), state["m"].alias("latency_ms"))
+    top = 1 << 50
+
+    def step(s: tuple, good: bool | None, ms: int | None) -> tuple:
+        n, bad, failing, reset, lo, hi, first = s
+        if not good:
+            return n, bad + 1, failing + 1, reset, lo, hi, first
+        if ms is None or ms <= 0:
+            return n + 1, bad, 0, True, lo, hi, first
+        # from nothing (first), from the least and from the greatest mean
+        return n + 1, bad, 0, True, (lo * 3 + ms) // 4, (hi * 3 + ms) // 4, ms if first == 0 else (first * 3 + ms) // 4
+
+    rows = log.withColumn("_l", F.col(latency).cast("long"))
+    per = materialize(_folded(rows, domain, order, [ok, "_l"], lambda: (0, 0, 0, False, 1, top, 0), step, lambda s: s, "crawled long, failed long, failing long, reset boolean, lo long, hi long, first long"), "runs")
+    runs = per.groupBy(domain).agg(F.sum("crawled").alias("crawled"), F.sum("failed").alias("failed"), F.array_sort(F.collect_list(F.struct("part", "failing", "reset", "lo", "hi", "first"))).alias("r"))
+
+    def put(s: Column, x: Column) -> Column:
+        mean = F.when(x["first"] == 0, s["m"]).when(s["m"] == 0, x["first"]).when(x["lo"] == x["hi"], x["lo"]).otherwise(F.lit(None).cast("long"))
+        return F.struct(mean.alias("m"), F.when(x["reset"], x["failing"]).otherwise(s["f"] + x["failing"]).alias("f"))
+
+    done = F.aggregate("r", F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("f")), put)
+    out = materialize(runs.select(domain, "crawled", "failed", done["f"].cast("int").alias("failing"), done["m"].alias("latency_ms")), "dispatch")
+    unsure = out.where("latency_ms is null").select(domain)
+    if unsure.isEmpty():
+        return out
+    # some run of these domains was too short to forget its start: one state walks through their responses in order
+    again = rows.join(unsure, domain, "left_semi").select(domain, F.col(order).alias("_o"), ok, "_l").repartition(domain).sortWithinPartitions(domain, "_o").select(domain, ok, "_l")
+    schema = f"`{domain}` {log.schema[domain].dataType.simpleString()}, exact long"
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mean, out = None, None, []
+        for b in batches:
+            for key, good, ms in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if mean is None or key != now:
+                    if mean is not None:
+                        out.append((now, mean))
+                    now, mean = key, 0
+                if good and ms and ms > 0:
+                    mean = ms if mean == 0 else (mean * 3 + ms) // 4
+        if mean is not None:
+            out.append((now, mean))
+        cols = list(zip(*out, strict=True)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, target.types, strict=True)], names=target.names)
+
+    exact = again.mapInArrow(walk, schema)
+    return out.join(exact, domain, "left").select(domain, "crawled", "failed", "failing", F.coalesce("latency_ms", "exact").alias("latency_ms"))
+
+
+def middle_of(rows: DataFrame, order: str, small: int = 100_000):  # noqa: ANN201
+    """The lower middle value of a column, exactly: bounds around it are estimated and counted until few rows lie between them."""
+    values = rows.where(F.col(order).isNotNull()).select(F.col(order).alias("o"))
+    n = values.count()
+    if not n:
+        return None
+    rank, inside, width = (n + 1) // 2, values, 0.05
+    while True:
+        held = inside.count()
+        if held <= small:
+            return inside.orderBy("o").select("o").limit(rank).agg(F.max("o")).first()[0] if held else None
+        at = rank / held
+        lo, hi = inside.agg(F.percentile_approx("o", [max(0.0, at - width), min(1.0, at + width)], 10000).alias("q")).first().q
+        below = inside.where(F.col("o") < F.lit(lo)).count()
+        upto = inside.where(F.col("o") <= F.lit(hi)).count()
+        if lo == hi:
+            return lo if below < rank <= upto else inside.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o)")).first()[0]
+        if not below < rank <= upto:
+            width = min(1.0, width * 4)
+            continue
+        narrower = inside.where((F.col("o") >= F.lit(lo)) & (F.col("o") <= F.lit(hi)))
+        if upto - below == held:
+            return inside.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o)")).first()[0]
+        inside, rank = narrower, rank - below
 
 
 def saturation(df: DataFrame, text: str, order: str) -> DataFrame:
     """(saturation): 1 less the mean number of different terms of the later half of the texts over that of all, at least 0.
 
-    The halves are told apart by the middle of the order's distinct values, an exact percentile, not by numbering all
-    rows in one place.
+    The halves are told apart by the middle value of the order, found exactly by narrowing estimated bounds.
     """
     per = df.where(F.col(text).isNotNull()).select(F.col(order).alias("o"), let(words(F.col(text)), lambda w: F.size(F.array_distinct(content_words(w, 2)))).alias("n"))
     per = materialize(per, "counts")
-    middle = per.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o)").alias("m")).first().m
+    middle = middle_of(per, "o")
     both = per.agg(F.avg(F.when(F.col("o") > F.lit(middle), F.col("n"))).alias("late"), F.avg("n").alias("all"))
     return both.select(F.coalesce(F.round(F.greatest(F.lit(0.0), 1 - F.col("late") / F.col("all")), 6), F.lit(0.0)).alias("saturation"))
 

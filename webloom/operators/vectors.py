@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,12 +80,22 @@ def spread(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFra
     return per.select(group, F.col("n").alias("vectors"), F.when(F.col("n") > 1, F.round(1 - (F.col("q") - F.col("n")) / pairs, 6)).otherwise(0.0).alias("spread"))
 
 
-def similar(vectors: DataFrame, threshold: float = 0.6, key: str = "vec_id", vector: str = "embedding", bands: int = 64, bits: int = 8, seed: int = 17) -> DataFrame:
+def projection(n: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(signs a band, bands) for n vectors: between 8 and 20 signs, and as many bands as the recall at the threshold needs."""
+    bits = min(20, max(8, math.ceil(math.log2(max(2, n))) - 2))
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(meet, 1 - 1e-12))))
+
+
+def similar(vectors: DataFrame, threshold: float = 0.6, key: str = "vec_id", vector: str = "embedding", recall: float = 0.98, seed: int = 17) -> DataFrame:
     """(a, b, similarity), a < b: pairs of at least the threshold, found by signs of random projections and then checked.
 
-    Vectors meet if all signs of one band agree, so at 0.6 about 98 of 100 pairs are found, and more above. A band's
-    bucket is a join key; skewed ones are split at run time. Vectors of different lengths don't meet.
+    Vectors meet if all signs of one band agree. The signs of a band grow with the logarithm of the number of vectors,
+    so that its buckets stay small, and the bands with them, so that at the threshold the share `recall` of the pairs
+    is found, and more above. A band's bucket is a join key; skewed ones are split at run time. Vectors of different
+    lengths don't meet.
     """
+    bits, bands = projection(vectors.where(F.col(vector).isNotNull()).count(), threshold, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}

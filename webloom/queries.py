@@ -430,7 +430,7 @@ def f23_bm25_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rank.bm25_blocks(_docs(spark, d).select("doc_id", "source", "text"), "source", "doc_id", "text", _ASKED).select("doc_id", "score", "kept")
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, round(list_cosine_similarity(q.v, e.v), 9) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbour_id) AS rank FROM p) SELECT query_id, neighbour_id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def r19_nearest(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     return vectors.nearest(v, v.where("vec_id % 50 = 0"), 5)
@@ -476,7 +476,9 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", "ts", "event_id", status.alias("status"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'error' THEN 429 WHEN value < 20 THEN 404 ELSE 200 END AS s FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, 1000.0::DOUBLE AS d, 0 AS f FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT e.user_id, e.i, CASE WHEN s IN (429, 503) THEN least(d * 2, 30000) WHEN s BETWEEN 200 AND 299 THEN greatest(d * 0.75, 100) ELSE d END, CASE WHEN s IN (429, 503) THEN f + 1 WHEN s BETWEEN 200 AND 299 THEN 0 ELSE f END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, round(arg_max(d, i), 6) AS delay_ms, arg_max(f, i) AS fails FROM r GROUP BY user_id""")
 def w2_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return stats.delay_after(_responses(spark, d).withColumn("o", F.struct("ts", "event_id")), "user_id", "o", "status")
 
@@ -742,7 +744,9 @@ def a10_saturation(spark: SparkSession, d: str) -> DataFrame:
     return stats.saturation(_docs(spark, d), "text", "doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type <> 'error' AS ok, CAST(trunc(value) AS BIGINT) AS l FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS m, 0 AS f, 0::BIGINT AS crawled, 0::BIGINT AS failed FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT e.user_id, e.i, CASE WHEN NOT ok OR l <= 0 THEN m WHEN m = 0 THEN l ELSE (m * 3 + l) // 4 END, CASE WHEN ok THEN 0 ELSE f + 1 END, crawled + CAST(ok AS INTEGER), failed + CAST(NOT ok AS INTEGER) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, max(crawled) AS crawled, max(failed) AS failed, arg_max(f, i) AS failing, arg_max(m, i) AS latency_ms FROM r GROUP BY user_id""")
 def a4_dispatch(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("o"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("l"))
     return stats.dispatch_stats(log, "user_id", "o", "ok", "l")
