@@ -34,9 +34,9 @@ def test_page_queries_take_every_page(spark, tmp_path) -> None:  # noqa: ANN001
         (3, None, None), (4, "https://a.example/4", ""),
     ]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/crawled_data.parquet")
-    meta = {tuple(r) for r in QUERIES["d10_metadata_all"](spark, str(tmp_path)).collect()}
+    meta = {(r.page_id, r.title, r.language) for r in QUERIES["d10_metadata"](spark, str(tmp_path)).collect()}
     assert meta == {(1, "Salt & Pepper é – 5 < 6", "en"), (2, "Code", "de"), (3, "", ""), (4, "", "")}
-    parts = {tuple(r) for r in QUERIES["d21_structure_all"](spark, str(tmp_path)).collect()}
+    parts = {(r.page_id, r.links, r.scripts, r.navs, r.has_main, r.has_article) for r in QUERIES["d21_structure"](spark, str(tmp_path)).collect()}
     assert parts == {(1, 1, 0, 1, True, False), (2, 1, 1, 0, False, True), (3, 0, 0, 0, False, False), (4, 0, 0, 0, False, False)}
 
 

@@ -31,6 +31,14 @@ def normalize(href: str, base: str) -> str:
     return urlunsplit((u.scheme, u.netloc.lower(), u.path.rstrip("/") or "/", query, ""))
 
 
+def absolute(base: str, href: str) -> str:
+    """href made absolute, or as it is if it can't be read."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
 def base_domain(url: str) -> str:
     try:
         return (urlsplit(url).hostname or "").lower().removeprefix("www.")
@@ -135,7 +143,7 @@ def images(doc: Node, base: str) -> list[dict]:
     out, seen = [], set()
 
     def put(url: str, tag: str, n: Node, score: float) -> None:
-        url = urljoin(base, url.strip())
+        url = absolute(base, url.strip())
         if url and url not in seen:
             seen.add(url)
             out.append({"url": url, "alt": n.attrs.get("alt", ""), "width": n.attrs.get("width", ""), "height": n.attrs.get("height", ""), "source_tag": tag, "score": round(score, 6)})
@@ -225,7 +233,7 @@ def markdown(doc: Node, base: str = "", inline_links: bool = False) -> str:
         if n.tag == "br":
             return "\n"
         if n.tag == "a" and n.attrs.get("href") and inner.strip():
-            url = urljoin(base, n.attrs["href"])
+            url = absolute(base, n.attrs["href"])
             if inline_links:
                 return f"[{inner.strip()}]({url})"
             if url not in refs:
@@ -238,7 +246,7 @@ def markdown(doc: Node, base: str = "", inline_links: bool = False) -> str:
         if n.tag == "code" and inner.strip():
             return f"`{inner.strip()}`"
         if n.tag == "img":
-            return f"![{n.attrs.get('alt', '')}]({urljoin(base, n.attrs.get('src', ''))})"
+            return f"![{n.attrs.get('alt', '')}]({absolute(base, n.attrs.get('src', ''))})"
         return "" if n.tag in ("script", "style", "noscript", "head") else inner
 
     out: list[str] = []

@@ -6,7 +6,7 @@ import json
 import re
 from urllib.parse import parse_qs, urlencode, urljoin, urlsplit, urlunsplit
 
-from webloom.dom.extract import base_domain, normalize
+from webloom.dom.extract import absolute, base_domain, normalize
 from webloom.dom.tree import Node, parse
 
 #: Elements above which an image counts as noise, marks of icons, query parameters the classic links lose,
@@ -250,7 +250,7 @@ def cited(markdown: str, base: str = "") -> tuple[str, str]:
     def put(m: re.Match) -> str:
         text, url, title = m[1], m[2], m[3]
         if base and not url.startswith(("http://", "https://", "mailto:")):
-            url = urljoin(base, url)
+            url = absolute(base, url)
         said = [x for x in (title, text if text != title else None) if x]
         n, _ = numbers.setdefault(url, (len(numbers) + 1, ": " + " - ".join(said) if said else ""))
         return f"![{text}⟨{n}⟩]" if m[0].startswith("!") else f"{text}⟨{n}⟩"

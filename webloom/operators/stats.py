@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -274,3 +274,25 @@ def queue_summary(tasks: DataFrame, status: str, queued_at: str, memory: str, no
 def width_stats(rows: DataFrame, keys: list[str], width: str) -> DataFrame:
     """(keys, rows, mean, variance) of the rows' numbers of columns, by table."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(width), 6).alias("mean"), F.round(F.var_pop(width), 6).alias("variance"))
+
+
+def monitor(log: DataFrame, domain: str, event: str, ts: str, failed: Column, value: str, last: int = 5) -> DataFrame:
+    """(domain, events, errors, total, last, last_errors): counts, a sum, the latest time, and the newest `last` failed events.
+
+    The newest errors are picked by a bound on their rank, which is pushed below the shuffle; only they are gathered.
+    """
+    counts = log.groupBy(domain).agg(F.count(F.lit(1)).alias("events"), F.count_if(failed).alias("errors"), F.round(F.sum(value), 4).alias("total"), F.max(ts).alias("last"))
+    rank = F.row_number().over(Window.partitionBy(domain).orderBy(F.desc(ts), F.desc(event)))
+    newest = log.where(failed).select(domain, event, ts).withColumn("k", rank).where(F.col("k") <= last)
+    joined = newest.groupBy(domain).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", event))), lambda x: x[event].cast("string")), ",").alias("last_errors"))
+    return counts.join(joined, domain, "left").withColumn("last_errors", F.coalesce("last_errors", F.lit("")))
+
+
+def live_entries(cache: DataFrame, key: str, ts: str, now, ttl_seconds: int, most: int | None = None) -> DataFrame:  # noqa: ANN001
+    """(key, ts) of the entries, the newest of each key, that aren't older than the time to live; above `most` the oldest are evicted.
+
+    The capacity is a feature of the cache; ties go by key. Null keys and times are no entries.
+    """
+    newest = cache.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key).agg(F.max(ts).alias(ts))
+    live = newest.where(F.unix_timestamp(F.lit(now)) - F.unix_timestamp(ts) <= ttl_seconds)
+    return live.orderBy(F.desc(ts), key).limit(most) if most else live

@@ -206,9 +206,9 @@ def _patterns_sql(names: list[str]) -> str:
     return f"WITH a AS ({' UNION ALL '.join(parts)}) SELECT doc_id, pattern, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS value FROM a"
 
 
-@query(_patterns_sql(["email", "phone", "ipv4", "date_iso", "price"]))
+@query(_patterns_sql(list(patterns.CATALOG)))
 def x6_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.extract_patterns(_docs(spark, d).select("doc_id", "text"), "text", ["email", "phone", "ipv4", "date_iso", "price"]).drop("text")
+    return patterns.extract_patterns(_docs(spark, d).select("doc_id", "text"), "text").drop("text")
 
 
 def _blocked_sql() -> str:
@@ -330,10 +330,10 @@ def j8_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawl_cache").select("cache_id", "url").join(newest, "url", "left").select("cache_id", "url", "page_id", "success")
 
 
-@query("SELECT url, max_by(cache_id, (fetched_at, cache_id)) AS cache_id, max(fetched_at) AS fetched_at, count(*) AS versions FROM crawl_cache WHERE url IS NOT NULL AND fetched_at IS NOT NULL GROUP BY url")
+@query("SELECT url, max(cache_id) AS cache_id, 'cache' AS origin FROM crawl_cache WHERE url IS NOT NULL GROUP BY url UNION ALL SELECT url, max(page_id), 'pages' FROM crawled_data WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM crawl_cache WHERE url IS NOT NULL) GROUP BY url")
 def s15_cache_upsert(spark: SparkSession, d: str) -> DataFrame:
-    cache = table(spark, d, "crawl_cache").where("url is not null and fetched_at is not null")
-    return cache.groupBy("url").agg(F.max(F.struct("fetched_at", "cache_id")).alias("m"), F.count(F.lit(1)).alias("versions")).select("url", "m.cache_id", "m.fetched_at", "versions")
+    per = lambda t, i, o: table(spark, d, t).where("url is not null").groupBy("url").agg(F.max(i).alias("cache_id")).withColumn("origin", F.lit(o))
+    return crawl.upsert(per("crawled_data", "page_id", "pages"), per("crawl_cache", "cache_id", "cache"), "url")
 
 
 # ---- aggregates ---------------------------------------------------------------------------------------------
@@ -347,15 +347,15 @@ def a3_crawl_stats(spark: SparkSession, d: str) -> DataFrame:
     return per_url.groupBy("host").agg(F.sum("n").alias("pages"), F.sum("f").alias("failed"), F.count("url").alias("urls"), F.sum("b").alias("bytes"), F.max("t").alias("last"))
 
 
-@query(f"WITH a AS (SELECT {_BASE.format(_host())} AS domain, CASE WHEN success THEN 1.0 ELSE 0.2 END AS q FROM crawled_data WHERE url IS NOT NULL) SELECT domain, count(q) AS pages, round(avg(q), 6) AS mean, round(avg(q) * (1 + 0.1 * log2(count(q) + 1)), 6) AS score FROM a GROUP BY ALL")
+@query(f"WITH a AS (SELECT {_BASE.format(_host())} AS domain, CASE WHEN success THEN 1.0 ELSE 0.2 END AS q FROM crawled_data WHERE url IS NOT NULL) SELECT domain, count(q) AS pages, round(avg(q), 6) AS mean, round(avg(q) * (1 + 0.1 * log2(count(q) + 1)), 6) AS score FROM a GROUP BY ALL ORDER BY score DESC, domain LIMIT 20")
 def a5_domain_authority(spark: SparkSession, d: str) -> DataFrame:
     p = _pages(spark, d).where("url is not null").select(urls.base_domain(F.col("url")).alias("domain"), F.when(F.col("success"), 1.0).otherwise(0.2).alias("q"))
-    return stats.domain_authority(p, "domain", "q")
+    return stats.domain_authority(p, "domain", "q").orderBy(F.desc("score"), "domain").limit(20)
 
 
-@query("SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value), 4) AS total, max(ts) AS last FROM events GROUP BY user_id")
+@query("WITH e AS (SELECT user_id, event_id, ts, event_type, value, CASE WHEN event_type = 'error' THEN row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts DESC, event_id DESC) END AS k FROM events) SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value), 4) AS total, max(ts) AS last, coalesce(array_to_string(list(event_id ORDER BY k) FILTER (WHERE k <= 5), ','), '') AS last_errors FROM e GROUP BY user_id")
 def a6_monitor(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("total"), F.max("ts").alias("last"))
+    return stats.monitor(table(spark, d, "events"), "user_id", "event_id", "ts", F.col("event_type") == "error", "value")
 
 
 _TERMS = f"SELECT doc_id, unnest({_words('text')}) AS term FROM documents WHERE text IS NOT NULL"
@@ -495,28 +495,34 @@ def d8_links(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d, "links").select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "l.href", "l.text", "l.is_external")
 
 
-@query("SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM crawled_data WHERE html NOT LIKE '%&%' OR regexp_extract(html, '(?s)<title>(.*?)</title>', 1) NOT LIKE '%&%'")
-def d10_metadata(spark: SparkSession, d: str) -> DataFrame:
-    plain = _pages(spark, d).where(~F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).contains("&"))
-    return pages.crawl_pages(plain, ["metadata"]).select("page_id", "metadata.title", "metadata.language")
+def _unescaped(column: str) -> str:
+    for code, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        column = f"replace({column}, '{code}', '{sign}')"
+    return column
 
 
-@query()
-def d10_metadata_all(spark: SparkSession, d: str) -> DataFrame:
-    """d10_metadata of every page; its SQL can't decode the entities of titles."""
-    return _parsed(spark, d, "metadata").select("page_id", "metadata.title", "metadata.language")
+def _meta_of(name: str) -> str:
+    return _unescaped(f"regexp_extract(html, '(?i)<meta\\s+name=\"{name}\"\\s+content=\"([^\"]*)\"', 1)")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a[ >]')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '<script[ >]')) AS INTEGER) AS scripts, CAST(len(regexp_extract_all(html, '<nav[ >]')) AS INTEGER) AS navs, html LIKE '%<main>%' AS has_main, html LIKE '%<article>%' AS has_article FROM crawled_data WHERE html NOT LIKE '%<pre>%'")
-def d21_structure(spark: SparkSession, d: str) -> DataFrame:
-    plain = _pages(spark, d).where("html not like '%<pre>%'")
-    return pages.crawl_pages(plain, ["structure"]).select("page_id", "structure.links", "structure.scripts", "structure.navs", "structure.has_main", "structure.has_article")
+_TITLE = _unescaped("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+_CANONICAL = _unescaped("regexp_extract(html, '<link rel=.canonical. href=.([^ >]*?).>', 1)")
 
 
-@query()
-def d21_structure_all(spark: SparkSession, d: str) -> DataFrame:
-    """d21_structure of every page; its SQL can't tell tags from code that shows tags."""
-    return _parsed(spark, d, "structure").select("page_id", "structure.links", "structure.scripts", "structure.navs", "structure.has_main", "structure.has_article")
+@query(f"""SELECT page_id, trim({_TITLE}, chr(32) || chr(9) || chr(10) || chr(13)) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, {_meta_of('description')} AS description, {_meta_of('keywords')} AS keywords, {_meta_of('author')} AS author, {_CANONICAL} AS canonical,
+CAST(len(list_distinct(regexp_extract_all(html, '<meta [^>]*property="og:([^"]*)"', 1))) AS INTEGER) AS open_graph, CAST(len(list_distinct(regexp_extract_all(html, '<meta [^>]*name="twitter:([^"]*)"', 1))) AS INTEGER) AS twitter, CAST(len(regexp_extract_all(html, '<script type="application/ld.json"')) AS INTEGER) AS json_ld FROM crawled_data""")
+def d10_metadata(spark: SparkSession, d: str) -> DataFrame:
+    m = pages.crawl_pages(_pages(spark, d), ["metadata"])
+    return m.select("page_id", "metadata.title", "metadata.language", "metadata.description", "metadata.keywords", "metadata.author", "metadata.canonical", F.size("metadata.open_graph").alias("open_graph"), F.size("metadata.twitter_card").alias("twitter"), F.size("metadata.json_ld").alias("json_ld"))
+
+
+_COUNTS = {"forms": "form", "links": "a", "images": "img", "scripts": "script", "styles": "style", "iframes": "iframe", "navs": "nav", "h1": "h1", "h2": "h2", "h3": "h3"}
+
+
+@query("SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '<{t}[ >]')) AS INTEGER) AS {n}" for n, t in _COUNTS.items()) + ", " + ", ".join(f"regexp_matches(html, '<{t}[ >]') AS has_{t}" for t in ("main", "article", "aside", "header", "footer")) + " FROM crawled_data")
+def d21_structure(spark: SparkSession, d: str) -> DataFrame:
+    one = pages.crawl_pages(_pages(spark, d), ["structure"])
+    return one.select("page_id", *[F.size(f"structure.{h}").alias(h) for h in ("h1", "h2", "h3")], *[f"structure.{n}" for n in ("forms", "links", "images", "scripts", "styles", "iframes", "navs")], *[f"structure.has_{t}" for t in ("main", "article", "aside", "header", "footer")])
 
 
 @query()
@@ -599,10 +605,11 @@ def c10_freshness(spark: SparkSession, d: str) -> DataFrame:
     return one.select("page_id", F.when(F.col("f").isNull() | F.col("b").isNull(), "unknown").when(F.col("f") == F.col("b"), "fresh").otherwise("stale").alias("state"))
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (WHERE cached_at < 1700000000) AS expired, count(*) FILTER (WHERE cached_at >= 1700000000) AS live FROM crawled_data WHERE cached_at IS NOT NULL")
+@query("WITH l AS (SELECT url, max(fetched_at) AS t FROM crawl_cache WHERE url IS NOT NULL AND fetched_at IS NOT NULL GROUP BY url), n AS (SELECT max(t) AS now FROM l), v AS (SELECT url, t, epoch(date_trunc('second', now)) - epoch(date_trunc('second', t)) <= 30 * 86400 AS live FROM l, n), r AS (SELECT url, live, row_number() OVER (PARTITION BY live ORDER BY t DESC, url) AS k FROM v) SELECT url FROM r WHERE live AND k <= 100")
 def w3_time_to_live(spark: SparkSession, d: str) -> DataFrame:
-    old = F.col("cached_at") < 1700000000
-    return _pages(spark, d).where("cached_at is not null").agg(F.count(F.lit(1)).alias("rows"), F.count_if(old).alias("expired"), F.count_if(~old).alias("live"))
+    cache = table(spark, d, "crawl_cache")
+    now = cache.agg(F.max("fetched_at").alias("m")).first().m
+    return stats.live_entries(cache, "url", "fetched_at", now, 30 * 86400, 100).select("url")
 
 
 @query(f"""WITH {_stemmed('doc_id, source')}, {_BM25}, x AS (SELECT doc_id, source, score FROM s JOIN w USING (doc_id)),
@@ -628,11 +635,6 @@ def s3_source_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).where("url is not null").groupBy(crawl.source_kind(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, max(event_id) AS last_id, count(DISTINCT event_type) AS types FROM events GROUP BY user_id")
-def a25_task_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.countDistinct("event_type").alias("types"))
-
-
 @query("SELECT DISTINCT url FROM (SELECT url FROM crawled_data UNION ALL SELECT url FROM crawl_cache UNION ALL SELECT dst_url FROM site_links) WHERE url IS NOT NULL AND regexp_matches(url, '^https?://[^/?#]*\\.')")
 def u1_seeds(spark: SparkSession, d: str) -> DataFrame:
     every = _pages(spark, d).select("url").unionByName(table(spark, d, "crawl_cache").select("url")).unionByName(table(spark, d, "site_links").select(F.col("dst_url").alias("url")))
@@ -704,10 +706,11 @@ def f11_seo_scores(spark: SparkSession, d: str) -> DataFrame:
     return one.select("page_id", F.round(score, 6).alias("score"))
 
 
-@query(f"WITH b AS (SELECT page_id, unnest(string_split(markdown, chr(10) || chr(10))) AS t, generate_subscripts(string_split(markdown, chr(10) || chr(10)), 1) - 1 AS pos FROM crawled_data WHERE markdown IS NOT NULL), n AS (SELECT *, strlen(t) AS size, len(list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '')) AS n, {' + '.join(f'CAST(contains(lower(t), {p!r}) AS INTEGER)' for p in scoring.BOILERPLATE)} AS hits FROM b) SELECT page_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN size < 25 OR n < 3 THEN 0.0 ELSE greatest(0.0, least(0.3, ln(size + 1.0) / 20.0) + least(0.2, n / 100.0) + 0.3 - hits * 0.15) END, 6) AS score FROM n")
+@query(f"WITH b AS (SELECT page_id, unnest(string_split(markdown, chr(10) || chr(10))) AS t, generate_subscripts(string_split(markdown, chr(10) || chr(10)), 1) - 1 AS pos FROM crawled_data WHERE markdown IS NOT NULL), n AS (SELECT *, strlen(t) AS size, strlen(array_to_string(regexp_extract_all(t, '\\[([^\\]]*)\\]\\(', 1), '')) AS linked, len(list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '')) AS n, {' + '.join(f'CAST(contains(lower(t), {p!r}) AS INTEGER)' for p in scoring.BOILERPLATE)} AS hits FROM b) SELECT page_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN size < 25 OR n < 3 OR linked / size > 0.7 THEN 0.0 ELSE greatest(0.0, least(0.3, ln(size + 1.0) / 20.0) + least(0.2, n / 100.0) + 0.3 * (1 - linked / size) - hits * 0.15) END, 6) AS score FROM n")
 def f21_block_scores(spark: SparkSession, d: str) -> DataFrame:
     one = _pages(spark, d).where("markdown is not null").select("page_id", F.posexplode(F.split("markdown", "\n\n")).alias("pos", "t"))
-    return one.select("page_id", "pos", F.round(scoring.block_score(F.col("t"), F.lit(0)), 6).alias("score"))
+    linked = F.octet_length(F.array_join(F.regexp_extract_all("t", F.lit(r"\[([^\]]*)\]\("), F.lit(1)), ""))
+    return one.select("page_id", "pos", F.round(scoring.block_score(F.col("t"), linked), 6).alias("score"))
 
 
 # ---- heads, batches, adaptive measures ----------------------------------------------------------------------
@@ -731,9 +734,7 @@ def c9_head_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT u.url, p.page_id, CASE WHEN p.page_id IS NULL THEN 'not found' WHEN NOT p.success THEN 'failed' END AS error FROM (SELECT DISTINCT url FROM crawl_cache WHERE url IS NOT NULL) u LEFT JOIN (SELECT url, max(page_id) AS page_id, max_by(success, page_id) AS success FROM crawled_data GROUP BY url) p ON u.url = p.url")
 def s4_batch_crawl(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "crawl_cache").where("url is not null").select("url").distinct()
-    newest = _latest(_pages(spark, d).where("url is not null"), ["page_id"], ["page_id", "success"])
-    return wanted.join(newest, "url", "left").select("url", "page_id", F.when(F.col("page_id").isNull(), "not found").when(~F.col("success"), "failed").alias("error"))
+    return pipelines.batch_crawl(table(spark, d, "crawl_cache").select("url"), _pages(spark, d))
 
 
 _TEXTS = f"SELECT doc_id, len(list_distinct(list_filter({_words('text')}, lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})))) AS n FROM documents WHERE text IS NOT NULL"

@@ -262,3 +262,19 @@ def u5_maybe_member(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "site_links").select(F.col("dst_url").alias("url"))
     cache = table(spark, d, "crawl_cache")
     return frontier.maybe_member(links.distinct(), "url", cache, "url", items=max(1000, cache.count()))
+
+
+@query(f"WITH {_URLS} SELECT url FROM a WHERE url <> '' AND (url GLOB '*gazette*' OR regexp_replace(url, '^.*?://', '') GLOB '*gazette*') ORDER BY url LIMIT 500")
+def s10_seeding(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.plans import pipelines
+
+    sources = [_pages(spark, d).select("url"), table(spark, d, "site_links").select(F.col("dst_url").alias("url"))]
+    return pipelines.seed(sources, pipelines.Seeding("*gazette*", sound_only=False, most=500)).select("url")
+
+
+@query()
+def s10_scored_seeding(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.plans import pipelines
+
+    sources = [_pages(spark, d).select("url"), table(spark, d, "site_links").select(F.col("dst_url").alias("url"))]
+    return pipelines.seed(sources, pipelines.Seeding(query="museum garden news", least=0.1))
