@@ -93,7 +93,7 @@ class Index:
         self.vocab = {w: k for k, w in enumerate(sorted(df))}
         rare = max(1, int(0.02 * n_items))
         self.words, self.is_name, self.masks = [], [], []
-        posts: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
+        posts: list[list[tuple[int, float, float]]] = [[] for _ in self.vocab]
         for k, (_, text, ws) in enumerate(own):
             capital = {c for x in WORD.findall(text) if x[:1].isupper() for c in words(x)}
             tf = Counter(ws)
@@ -102,12 +102,13 @@ class Index:
             per = {x: impact[x] / tf[x] for x in tf}  # of one occurrence; a passage that has some occurrences has the word's whole impact
             least = sum(sorted(per[x] for x in ws)[: math.floor(MIN_WORDS * len(ws)) + 1])
             for x, v in impact.items():
-                posts[self.vocab[x]].append((k, v / least))
+                # of what the verification asks for: impact, and occurrences
+                posts[self.vocab[x]].append((k, v / least, tf[x] / (math.floor(MIN_WORDS * len(ws)) + 1)))
             self.words.append(ws)
             self.is_name.append([x.isdigit() or (x in capital and df[x] <= rare) for x in ws])
             self.masks.append(masks(ws))
-        self.post_items = [np.array([k for k, _ in p], np.int32) for p in posts]
-        self.post_impact = [np.array([v for _, v in p]) for p in posts]
+        self.post_items = [np.array([p[0] for p in ps], np.int32) for ps in posts]
+        self.post_impact, self.post_share = ([np.array([p[j] for p in ps]) for ps in posts] for j in (1, 2))
         self.n_blocks = -(-len(own) // ITEMS_PER_BLOCK)
         self.block_ids, self.block_max = [], []
         for its, imp in zip(self.post_items, self.post_impact, strict=True):
@@ -123,12 +124,13 @@ class Index:
         alive = upper >= 1 - 1e-9
         if not alive.any():
             return []
-        its, impact = np.concatenate([self.post_items[t] for t in terms]), np.concatenate([self.post_impact[t] for t in terms])
+        its, impact, share = (np.concatenate([post[t] for t in terms]) for post in (self.post_items, self.post_impact, self.post_share))
         if not alive.all():
             keep = alive[its // ITEMS_PER_BLOCK]
-            its, impact = its[keep], impact[keep]
+            its, impact, share = its[keep], impact[keep], share[keep]
         score = np.bincount(its, impact)
-        return [(int(k), float(score[k])) for k in np.flatnonzero(score >= 1 - 1e-9)]
+        # an item's words may all be there and still be too few occurrences, or the other way round
+        return [(int(k), float(score[k])) for k in np.flatnonzero((score >= 1 - 1e-9) & (np.bincount(its, share) >= 1 - 1e-9))]
 
     def verify(self, k: int, seq: list[str], have: set[str]) -> tuple[int, int] | None:
         """(words in order, place of the stretch) if the passage holds the item, else None."""

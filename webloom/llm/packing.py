@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import materialize
+
 #: Buckets of a window, histogram bins of a window, and documents a hash part holds while they are numbered.
 BUCKETS, BINS, PART = 128, 8192, 200_000
 
@@ -105,7 +107,8 @@ def pack(documents: DataFrame, windows: DataFrame, buckets: int = BUCKETS, doc_i
     schema = f"window_name string, `{doc_id}` {documents.schema[doc_id].dataType.simpleString()}, size long, piece long, pieces long, piece_size long, container_id long, place long"
     if not caps:
         return spark.createDataFrame([], schema)
-    sized = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), token_estimate(F.col(text)).alias("size"))
+    # texts are cut once; histogram, offsets and places are of the written sizes
+    sized = materialize(documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), token_estimate(F.col(text)).alias("size")), "sizes")
     each = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c).cast("long").alias("cap")) for w, c in sorted(caps.items())]))
 
     def pieces(df: DataFrame) -> DataFrame:
