@@ -87,7 +87,7 @@ def projection(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(meet, 1 - 1e-12))))
 
 
-def similar(vectors: DataFrame, threshold: float = 0.6, key: str = "vec_id", vector: str = "embedding", recall: float = 0.98, seed: int = 17) -> DataFrame:
+def similar(vectors: DataFrame, threshold: float = 0.6, key: str = "vec_id", vector: str = "embedding", recall: float = 0.999, seed: int = 17) -> DataFrame:
     """(a, b, similarity), a < b: pairs of at least the threshold, found by signs of random projections and then checked.
 
     Vectors meet if all signs of one band agree. The signs of a band grow with the logarithm of the number of vectors,

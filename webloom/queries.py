@@ -20,6 +20,7 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _WS = r"[\t\n\v\f\r ]"
 _WIDE = r"""^[.,;:!?"''()\[\]{}<>\-_/\\@#$%^&*+=~`]+|[.,;:!?"''()\[\]{}<>\-_/\\@#$%^&*+=~`]+$"""
 _EDGE = r"""^[.,;:!?"''()\[\]{}]+|[.,;:!?"''()\[\]{}]+$"""
+_EDGES = "^[\\t\\n\\v\\f\\r ]+|[\\t\\n\\v\\f\\r ]+$"
 _PART = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
 
 
@@ -274,7 +275,14 @@ def h12_sections(spark: SparkSession, d: str) -> DataFrame:
     return chunks.explode_chunks(_docs(spark, d).select("doc_id", "text"), chunks.word_windows(F.col("text"), 50)).drop("text")
 
 
-@query()
+def _rfind(sign: str) -> str:
+    return f"CASE WHEN contains(w, {sign}) THEN length(w) - length(string_split(w, {sign})[-1]) - length({sign}) ELSE -1 END"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, text, n, 0::BIGINT AS start, 0::BIGINT AS stop, ''::VARCHAR AS piece, -1::BIGINT AS k, 0::BIGINT AS next FROM d UNION ALL
+SELECT doc_id, text, n, start, stop, regexp_replace(substr(text, start + 1, stop - start), '{_EDGES}', '', 'g'), k + 1, CASE WHEN stop >= n THEN n ELSE greatest(stop - 50, start + 1) END FROM (
+SELECT *, CASE WHEN start + 500 >= n THEN n WHEN c > 0 THEN start + c + 1 ELSE start + 500 END AS stop FROM (SELECT *, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE e END AS c FROM (SELECT *, {_rfind("chr(10) || chr(10)")} AS a, greatest({_rfind("'. '")}, {_rfind("'! '")}, {_rfind("'? '")}) AS b, greatest({_rfind("' '")}, {_rfind("chr(10)")}) AS e FROM (SELECT doc_id, text, n, next AS start, k, substr(text, next + 1, 500) AS w FROM r WHERE next < n)))))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, piece AS chunk FROM r WHERE k >= 0 AND piece <> ''""")
 def h2_fixed_size(spark: SparkSession, d: str) -> DataFrame:
     return chunks.greedy_chunks(_docs(spark, d).select("doc_id", "text"), "text", "fixed_size", size=500, overlap=50).drop("text")
 
@@ -290,7 +298,10 @@ def h5_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     return chunks.greedy_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), "markdown", "markdown", max_chars=1500, split=True).drop("markdown")
 
 
-@query()
+@query(f"""WITH p AS (SELECT page_id, list_filter(list_transform(string_split(markdown, chr(10) || chr(10)), lambda x: regexp_replace(x, '{_EDGES}', '', 'g')), lambda x: x <> '') AS p FROM crawled_data WHERE markdown IS NOT NULL),
+e AS (SELECT page_id, generate_subscripts(p, 1) AS i, unnest(p) AS t FROM p), w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(t), '{_WS}+'), lambda x: x <> '')) AS w FROM e), l AS (SELECT *, lag(w) OVER (PARTITION BY page_id ORDER BY i) AS b FROM w),
+f AS (SELECT *, CASE WHEN b IS NULL OR least(len(w), len(b)) = 0 OR len(list_intersect(w, b)) / least(len(w), len(b)) < 0.1 THEN 1 ELSE 0 END AS fresh FROM l), g AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY i) - 1 AS g FROM f)
+SELECT page_id, CAST(g AS INTEGER) AS chunk_index, string_agg(t, chr(10) || chr(10) ORDER BY i) AS chunk FROM g GROUP BY page_id, g""")
 def h9_topics(spark: SparkSession, d: str) -> DataFrame:
     return chunks.explode_chunks(_pages(spark, d).where("markdown is not null").select("page_id", "markdown"), chunks.topics(F.col("markdown"))).drop("markdown")
 
@@ -782,7 +793,8 @@ def t5_adaptive(spark: SparkSession, d: str) -> DataFrame:
     return graph.adaptive(table(spark, d, "site_links"), _pages(spark, d).where("url is not null").select("url", F.col("markdown").alias("text")), seeds, "museum garden", 20, 10)
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.e IS NOT NULL AND b.e IS NOT NULL AND round(list_cosine_similarity(a.e, b.e), 6) >= 0.6),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.vec_id) SELECT vec_id, min(root) AS cluster, (SELECT count(*) FROM p WHERE p.a = r.vec_id) AS links FROM r GROUP BY vec_id""")
 def r20_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.clusters(table(spark, d, "embeddings"), 0.6)
 
