@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 WS = r"[\t\n\x0B\f\r ]"
 #: Characters cut from the ends of words.
@@ -231,3 +234,29 @@ def escaped_json(text: Column) -> Column:
 def shortened(text: Column, most: int) -> Column:
     """At most so many characters, the last three of them dots where something is cut."""
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, max(0, most - 3)), F.lit("...")))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Struct (jaccard, smaller): what two word sets share of their union and of the smaller one; 0 where that is empty."""
+
+    def measure(x: Column) -> Column:
+        both, least = F.size(F.array_intersect(x["a"], x["b"])), F.least(F.size(x["a"]), F.size(x["b"]))
+        union = F.size(x["a"]) + F.size(x["b"]) - both
+        return F.struct(F.when(union > 0, both / union).otherwise(0.0).alias("jaccard"), F.when(least > 0, both / least).otherwise(0.0).alias("smaller"))
+
+    return let(F.struct(F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b")), measure)
+
+
+def most_relevant(df: DataFrame, key: str, text: str, query: str, k: int) -> DataFrame:
+    """(key, shared): the k texts that share most words with the query, a report; ties by key, null texts left out."""
+    wanted = sorted(set(w.strip(EDGE_WIDE) for w in query.lower().split()) - {""})
+    shared = F.size(F.array_intersect(F.array_distinct(words(F.col(text))), literals(wanted)))
+    return df.where(F.col(text).isNotNull()).select(key, shared.alias("shared")).orderBy(F.desc("shared"), key).limit(k)
+
+
+@arrow_udf(StringType())
+def xxh64(text: pa.Array) -> pa.Array:
+    """The 64-bit xxHash of a text (seed 0) in hexadecimal, null for null."""
+    import xxhash
+
+    return pa.array([None if t is None else xxhash.xxh64_hexdigest(t) for t in text.to_pylist()], pa.string())

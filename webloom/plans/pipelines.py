@@ -140,3 +140,11 @@ def discover_sitemaps(files: DataFrame, roots: DataFrame, depth: int = 3) -> Dat
         level = crawl.sitemap_children(bodies).select(F.col("url").alias("source")).distinct().join(seen, "source", "left_anti")
     empty = crawl.sitemap_urls(files.where("false"))
     return (found if found is not None else empty).dropDuplicates(["url"])
+
+
+def search_entries(entries: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """The entries one of whose columns holds the query, in either case; null columns hold nothing."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(c).contains(query.lower()), F.lit(False))
+    return entries.where(hit)

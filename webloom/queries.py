@@ -551,7 +551,13 @@ def f19_pruned(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d, "fit_html")
 
 
-@query()
+_LI_LABEL = _unescaped("regexp_replace(regexp_extract(x, '(?s)<a[^>]*>(.*?)</a>', 1), '<[^>]*>', '', 'g')")
+_LI_TARGET = _unescaped("coalesce(nullif(regexp_extract(x, '(?s)<a[^>]*\\shref=\"([^\"]*)\"', 1), ''), regexp_extract(x, '(?s)<a[^>]*\\shref=''?([^\"'' >]*)', 1))")
+
+
+@query(f"""WITH u AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, '(?s)<ul[^>]*>.*?</ul>'), 1) AS i, unnest(regexp_extract_all(html, '(?s)<ul[^>]*>(.*?)</ul>', 1)) AS u FROM crawled_data WHERE html IS NOT NULL), l AS (SELECT page_id, i, generate_subscripts(regexp_extract_all(u, '(?s)<li[^>]*>.*?(?:</li>|$)'), 1) AS j, unnest(regexp_extract_all(u, '(?s)<li[^>]*>(.*?)(?:</li>|$)', 1)) AS x FROM u),
+r AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS INTEGER) AS record_index, trim({_LI_LABEL}, ' ' || chr(9) || chr(10) || chr(13)) AS label, {_LI_TARGET} AS target FROM l)
+SELECT page_id, record_index, '{{"label": "' || replace(replace(label, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '", "target": "' || replace(replace(target, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"}}' AS record FROM r""")
 def x2_css_records(spark: SparkSession, d: str) -> DataFrame:
     schema = {"base": "ul > li", "fields": [{"name": "label", "selector": "a", "type": "text"}, {"name": "target", "selector": "a", "type": "attribute", "attribute": "href"}]}
     return pages.extract_records(_pages(spark, d), schema)
@@ -632,8 +638,7 @@ def r23_search_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH w AS (SELECT doc_id, list_distinct(list_filter({_words('text')}, lambda x: strlen(x) >= 2)) AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(list_intersect(w, ['river', 'museum', 'winter', 'schedule'])) AS INTEGER) AS shared FROM w ORDER BY shared DESC, doc_id LIMIT 20")
 def r18_most_relevant(spark: SparkSession, d: str) -> DataFrame:
-    shared = F.size(F.array_intersect(F.array_distinct(text.words(F.col("text"))), text.literals(_QUERY.split())))
-    return _docs(spark, d).select("doc_id", shared.alias("shared")).orderBy(F.desc("shared"), "doc_id").limit(20)
+    return text.most_relevant(_docs(spark, d), "doc_id", "text", _QUERY, 20)
 
 
 @query(f"WITH w AS ({_TERMS}), t AS (SELECT DISTINCT term FROM w) SELECT round(count(*) / 5.0, 6) AS coverage FROM t WHERE term IN ('river', 'museum', 'winter', 'schedule', 'zeppelin')")
@@ -669,13 +674,13 @@ def _link_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in scoring.ANCHOR_STOP)
     return f"""WITH a AS (SELECT src_url, pos, dst_url AS url, coalesce(text, '') AS t FROM site_links WHERE src_url IS NOT NULL AND dst_url IS NOT NULL),
 s AS (SELECT src_url, pos, url, ({depth} + 1.0 / (1.0 + {params} * 0.1) + {ext}) / 3.0 AS i, list_filter({_words('t', _EDGE)}, lambda x: strlen(x) >= 2 AND x NOT IN ({stop})) AS w FROM a)
-SELECT src_url, pos, url, round(i, 6) AS intrinsic, round(ln(1.5) * (len(list_filter(w, lambda x: x = 'museum')) * 3.0 / (len(list_filter(w, lambda x: x = 'museum')) + 2.0) + len(list_filter(w, lambda x: x = 'garden')) * 3.0 / (len(list_filter(w, lambda x: x = 'garden')) + 2.0)), 6) AS contextual FROM s"""
+SELECT src_url, pos, url, round(i, 6) AS intrinsic, round(c, 6) AS contextual, round(0.4 * i + 0.6 * c, 6) AS total FROM (SELECT *, ln(1.5) * (len(list_filter(w, lambda x: x = 'museum')) * 3.0 / (len(list_filter(w, lambda x: x = 'museum')) + 2.0) + len(list_filter(w, lambda x: x = 'garden')) * 3.0 / (len(list_filter(w, lambda x: x = 'garden')) + 2.0)) AS c FROM s)"""
 
 
 @query(_link_sql())
 def r13_link_scores(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "site_links").where("src_url is not null and dst_url is not null").select("src_url", "pos", F.col("dst_url").alias("url"), F.coalesce("text", F.lit("")).alias("t"))
-    return links.select("src_url", "pos", "url", F.round(scoring.intrinsic_link_score(F.col("url")), 6).alias("intrinsic"), F.round(scoring.contextual_link_score(F.col("t"), "museum garden"), 6).alias("contextual"))
+    return links.select("src_url", "pos", "url", F.round(scoring.intrinsic_link_score(F.col("url")), 6).alias("intrinsic"), F.round(scoring.contextual_link_score(F.col("t"), "museum garden"), 6).alias("contextual"), F.round(scoring.link_score(F.col("url"), F.col("t"), "museum garden"), 6).alias("total"))
 
 
 def _classic_link_sql() -> str:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from webloom.functions import filters, patterns, text, urls
 from webloom.operators import chunks, graph, knowledge, pages, rank, stats
-from webloom.queries import _ASKED, _BM25, _WS, _docs, _pages, _stemmed, query
+from webloom.plans import pipelines
+from webloom.queries import _ASKED, _BM25, _WS, _docs, _pages, _stemmed, _words, query
 from webloom.session import table
+from webloom.sources import crawl
+from webloom.streaming import crawl as streaming
 
 
 def _html(spark: SparkSession, d: str) -> DataFrame:
@@ -342,3 +345,68 @@ _PREVIEWS = "(SELECT page_id AS doc_id, coalesce(json_extract_string(metadata, '
 def r3_previews(spark: SparkSession, d: str) -> DataFrame:
     get = lambda k: F.coalesce(F.get_json_object("metadata", f"$.{k}"), F.lit(""))
     return rank.bm25(_pages(spark, d).select("page_id", F.concat(get("title"), F.lit(" "), get("description")).alias("preview")), "page_id", "preview", _ASKED)
+
+
+# ---- sources, streams and small functions -------------------------------------------------------------------
+
+
+@query("SELECT url, CAST(page_id AS VARCHAR) AS timestamp FROM (SELECT url, min(page_id) AS page_id FROM (SELECT rtrim(url, '/') AS url, page_id FROM crawled_data WHERE url IS NOT NULL AND url LIKE 'https://%.html') GROUP BY url)")
+def s9_capture_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pages(spark, d).where("url like 'https://%.html'").select("url", F.lpad(F.col("page_id").cast("string"), 20, "0").alias("timestamp"), F.lit("text/html; charset=utf-8").alias("mime"), F.lit("200").alias("status"))
+    found = crawl.capture_index(rows.select(F.to_json(F.struct("url", "timestamp", "mime", "status")).alias("value")))
+    return found.select("url", F.col("timestamp").cast("long").cast("string").alias("timestamp"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS source, page_id % 10 / 10.0 AS priority, count(*) AS entries FROM crawled_data WHERE url IS NOT NULL GROUP BY ALL")
+def s7_sitemap_entries(spark: SparkSession, d: str) -> DataFrame:
+    body = F.concat(F.lit("<urlset><url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2024-05-06</lastmod><priority>"), (F.col("page_id") % 10 / 10.0).cast("string"), F.lit("</priority></url></urlset>"))
+    files = _pages(spark, d).where("url is not null").select(F.col("page_id").cast("string").alias("source"), body.alias("body"))
+    return crawl.sitemap_urls(files).groupBy("source", "priority").agg(F.count("lastmod").alias("entries"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS host, 'https://h.example/' || page_id || '.xml' AS url FROM crawled_data")
+def s8_robots_sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    body = F.concat(F.lit("User-agent: *\nDisallow: /x\n siteMAP: https://h.example/"), F.col("page_id").cast("string"), F.lit(".xml \nSitemap:\n"))
+    return crawl.robots_sitemaps(_pages(spark, d).select(F.col("page_id").cast("string").alias("host"), body.alias("body")))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def w4_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    events = streaming.bounded_stream(spark, f"{d}/events*.parquet", table(spark, d, "events")._jdf.schema().toDDL(), 10)
+    urls_of = events.select(F.concat_ws(" ", "user_id", "event_type").alias("url"), "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return streaming.drain(streaming.first_seen(urls_of, delay="3650 days"), "first").select("user_id", "event_type")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'error'")
+def w1_emitted(spark: SparkSession, d: str) -> DataFrame:
+    events = streaming.bounded_stream(spark, f"{d}/events*.parquet", table(spark, d, "events")._jdf.schema().toDDL(), 10)
+    return streaming.drain(events.where("event_type = 'error'").select("event_id", "event_type", "value"), "emitted")
+
+
+@query(f"WITH p AS (SELECT url, max(markdown) AS a FROM crawled_data WHERE url IS NOT NULL AND markdown IS NOT NULL GROUP BY url), c AS (SELECT url, max(markdown) AS b FROM crawl_cache WHERE url IS NOT NULL AND markdown IS NOT NULL GROUP BY url), w AS (SELECT url, list_distinct({_words('a')}) AS a, list_distinct({_words('b')}) AS b FROM p JOIN c USING (url)), i AS (SELECT *, len(list_intersect(a, b)) AS i FROM w) SELECT url, round(CASE WHEN len(a) + len(b) - i > 0 THEN i / (len(a) + len(b) - i) ELSE 0 END, 6) AS jaccard, round(CASE WHEN least(len(a), len(b)) > 0 THEN i / least(len(a), len(b)) ELSE 0 END, 6) AS smaller FROM i")
+def u3_overlap(spark: SparkSession, d: str) -> DataFrame:
+    per = lambda t, n: table(spark, d, t).where("url is not null and markdown is not null").groupBy("url").agg(F.max("markdown").alias(n))
+    both = per("crawled_data", "a").join(per("crawl_cache", "b"), "url").select("url", text.overlap(text.words(F.col("a")), text.words(F.col("b"))).alias("o"))
+    return both.select("url", F.round("o.jaccard", 6).alias("jaccard"), F.round("o.smaller", 6).alias("smaller"))
+
+
+@query(f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, w, CASE WHEN len(w) <= 100 THEN [1::BIGINT] ELSE list_concat(range(1, len(w) - 100 + 2, 60), CASE WHEN (len(w) - 100) % 60 <> 0 THEN [len(w) - 100 + 1] ELSE [] END) END AS starts FROM w), e AS (SELECT doc_id, w, generate_subscripts(starts, 1) - 1 AS pos, unnest(starts) AS a FROM s) SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha256(array_to_string(w[a : a + 99], ' ')) AS hash FROM e")
+def h11_aligned_windows(spark: SparkSession, d: str) -> DataFrame:
+    c = _docs(spark, d).select("doc_id", F.posexplode(chunks.aligned_word_windows(F.col("text"), 100, 60)).alias("pos", "c"))
+    return c.select("doc_id", "pos", F.sha2("c", 256).alias("hash"))
+
+
+@query("SELECT page_id, CAST(len(list_filter(regexp_extract_all(media, '\\{[^{}]*\\}'), lambda x: json_valid(x))) AS INTEGER) AS objects FROM crawled_data WHERE media IS NOT NULL")
+def x14_json_objects(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).where("media is not null").select("page_id", F.size(text.json_objects(F.col("media"))).alias("objects"))
+
+
+@query()
+def c8_xxh64(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.xxh64(F.col("text")).alias("hash"))
+
+
+@query("WITH q AS (SELECT page_id, lower(coalesce(json_extract_string(metadata, '$.title'), '')) AS t FROM crawled_data) SELECT page_id FROM q WHERE contains(t, 'garden')")
+def f29_search_entries(spark: SparkSession, d: str) -> DataFrame:
+    entries = _pages(spark, d).select("page_id", F.get_json_object("metadata", "$.title").alias("title"), F.lit("").alias("summary"))
+    return pipelines.search_entries(entries, "Garden", ["title", "summary"]).select("page_id")

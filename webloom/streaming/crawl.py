@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from webloom.session import shared_dir
+
 
 def monitor(log: DataFrame, domain: str = "domain", ts: str = "ts", delay: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """(window, domain, events, errors): counts by domain and time window; late rows beyond the delay are left out."""
@@ -44,3 +47,30 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFr
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def bounded_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
+    """Parquet files of a folder or pattern as a stream that takes at most so many a micro-batch, so that a backlog can't flood it."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Results as they come, appended to a table in the shared folder until the source holds no more, and that table.
+
+    The checkpoint lies beside it, so a lost driver goes on where it was; nothing is gathered on the driver.
+    """
+    spark = stream.sparkSession
+    where = f"{shared_dir(spark)}/webloom-{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", where).option("checkpointLocation", where + "-state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(where)
+
+
+def deliver(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Each micro-batch handed to `send` with its number, as server-sent results would be, until the source holds no more."""
+    stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def as_events(results: DataFrame, kind: str = "result") -> DataFrame:
+    """(value): results as the lines of an event stream."""
+    return results.select(F.concat(F.lit(f"event: {kind}\ndata: "), F.to_json(F.struct(*results.columns)), F.lit("\n\n")).alias("value"))
