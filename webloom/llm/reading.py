@@ -1,7 +1,7 @@
 """Reading level of each document (problem 1).
 
 The English running prose of a page's main body is cut into sentences and words; syllables are counted by
-hyphenation-style rules; the grade is the median of several classic readability formulas.
+hyphenation patterns (see hyphens.py); the grade is the median of several classic readability formulas.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import html as html_lib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from statistics import median
 
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import residue, stuffing
 from webloom.llm.blocks import LINK, Line, classifier, labelled
+from webloom.llm.hyphens import syllables
 from webloom.llm.language import scores
 from webloom.llm.notices import notices
 from webloom.session import materialize
@@ -79,21 +79,6 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-@lru_cache(200_000)
-def syllables(word: str) -> int:
-    """Vowel groups, with the breaks and silent endings at which a hyphenator would or wouldn't divide."""
-    w = re.sub(r"[^a-z]", "", word.lower())
-    if len(w) <= 3:
-        return 1
-    w = re.sub(r"(?<=[^aeiouy])(es|ed)$", lambda m: m[0] if re.search(r"([sxz]|ch|sh|[^aeiou]c|[^aeiou]g|ss)es$|[td]ed$|[cg]es$", w) else "", w)
-    if w.endswith("e") and not re.search(r"[^aeiouy]le$", w):
-        w = w[:-1]
-    n = len(re.findall(r"[aeiouy]+", w))
-    n += len(re.findall(r"i[ao](?!u)|eo(?!p)|(?<=cr)eat|ience|ua(?!r)|io(?!n|u)|[aeiouy]ing$|uou|ea(?=tion|te)|(?<=[^aeiouq])ua", w))
-    n -= len(re.findall(r"(?<=[csgtxl])i(?=[ao][nlur])|(?<=[sct])io(?=us)", w))
-    return max(1, n)
-
-
 def grades(text_words: int, n_sentences: int, letters: int, syl: int, poly: int) -> list[float]:
     """School grades by Flesch-Kincaid, Gunning fog, SMOG, Coleman-Liau and the automated readability index.
 
