@@ -318,7 +318,7 @@ def test_clean_text_keeps_structure() -> None:
 
 def test_sentences_and_syllables() -> None:
     assert reading.sentences("See fig. 3.5 on p. 9. Dr. Who came at 5 p.m. yesterday! Really? Yes.") == ["See fig. 3.5 on p. 9.", "Dr. Who came at 5 p.m. yesterday!", "Really?", "Yes."]
-    for word, n in {"the": 1, "table": 2, "baked": 1, "wanted": 2, "people": 2, "official": 3, "delivery": 4, "create": 2, "boxes": 2, "change": 1, "samples": 2, "museum": 3, "curious": 3, "station": 2, "idea": 3, "science": 2, "called": 1, "played": 1, "little": 2, "strength": 1, "differentiation": 6}.items():
+    for word, n in {"the": 1, "table": 2, "baked": 1, "wanted": 2, "people": 2, "official": 3, "delivery": 4, "create": 2, "boxes": 2, "change": 1, "samples": 2, "museum": 3, "curious": 3, "station": 2, "idea": 3, "science": 2, "called": 1, "played": 1, "little": 2, "strength": 1, "differentiation": 6, "useful": 2, "hopeless": 2, "likely": 2, "elementary": 5}.items():
         assert reading.syllables(word) == n, word
 
 

@@ -56,6 +56,9 @@ def patterns() -> dict[str, tuple[int, ...]]:
         add(f"8{c}e.")
         add(f"8{c}es.")
         add(f"8{c}ed.")
+        # and before endings of their own
+        for end in ("fu", "less", "ness", "ly.", "some."):
+            add(f"8{c}e{end}")
     for c in "bcdfgkpstz":
         for end in ("le.", "les.", "led."):
             add(f"9{c}8{end}")
