@@ -138,18 +138,20 @@ class Index:
         n, need = len(ws), math.floor(MIN_WORDS * len(ws)) + 1
         if sum(x in have for x in ws) < need:
             return None
-        places, size, able = [p for p, w in enumerate(seq) if w in mask], stretch(n), []
-        step, last, reach = max(1, n // 10), -1, False
+        places, size = [p for p, w in enumerate(seq) if w in mask], stretch(n)
+        step, last, reach, able = max(1, n // 4), -1, False, []
         for a, p in enumerate(places):
             if a + need > len(places) or places[a + need - 1] - p >= size:
                 continue  # too few of the item's words in this stretch
             if last < 0 or p - last >= step:
                 # no stretch that begins in the next `step` words holds more than this wider one
                 last, reach = p, in_order(mask, n, seq[p : p + size + step]) >= need
-            if reach and (got := in_order(mask, n, seq[p : p + size])) >= need:
-                able.append((-got, p))
-        # the best stretch may lack names or hold a gap where another doesn't
-        return next((x for _, p in sorted(able) if (x := self.aligned(k, seq, p, size, need))), None)
+                if reach:
+                    able.append((0, p))
+            if reach and (got := in_order(mask, n, seq[p : p + size])) > -able[-1][0]:
+                able[-1] = (-got, p)
+        # the best stretch may lack names or hold a gap where another doesn't; what is aligned reaches further than `step`
+        return next((x for g, p in sorted(able) if -g >= need and (x := self.aligned(k, seq, p, size, need))), None)
 
     def aligned(self, k: int, seq: list[str], start: int, size: int, need: int) -> tuple[int, int] | None:
         """The longest chain of matches without a wide gap, if it has enough words and the names that belong in it."""
