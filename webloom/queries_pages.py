@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import filters, patterns, text, urls
 from webloom.operators import chunks, graph, knowledge, pages, rank, stats
 from webloom.plans import pipelines
-from webloom.queries import _ASKED, _BM25, _WS, _docs, _pages, _stemmed, _words, query
+from webloom.queries import _ASKED, _BM25, _TITLE, _WS, _docs, _meta_of, _pages, _stemmed, _unescaped, _words, query
 from webloom.session import table
 from webloom.sources import crawl
 from webloom.streaming import crawl as streaming
@@ -18,6 +18,11 @@ def _html(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).where("html is not null")
 
 
+_TRIM = "chr(32) || chr(9) || chr(10) || chr(13)"
+_DESCRIPTION = _meta_of("description")
+_IMG = "regexp_extract(html, '<img[^>]*src=\"([^\"]*)\"', 1)"
+
+
 # ---- page parts: of HTML that SQL can't read, so held to hand-made pages in the tests -----------------------
 
 
@@ -43,27 +48,27 @@ def d9_quick_links(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["quick_links"]).select("page_id", F.posexplode("quick_links").alias("pos", "l")).select("page_id", "pos", "l.*")
 
 
-@query()
+@query(f"SELECT page_id, 'title' AS name, trim({_TITLE}, {_TRIM}) AS value FROM crawled_data WHERE trim({_TITLE}, {_TRIM}) <> '' UNION ALL SELECT page_id, 'description', trim({_DESCRIPTION}, {_TRIM}) FROM crawled_data WHERE regexp_matches(html, '<meta name=\"description\" content=')")
 def d11_classic_metadata(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["classic_metadata"]).select("page_id", F.explode("classic_metadata").alias("name", "value"))
 
 
-@query()
+@query(f"SELECT page_id, coalesce(nullif(regexp_extract(html, '<meta property=\"og:title\" content=\"([^\"]*)\"', 1), ''), trim({_TITLE}, {_TRIM})) AS title, {_DESCRIPTION} AS description, {_IMG} AS image, '' AS site_name, '' AS type FROM crawled_data")
 def m3_preview(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["preview"]).select("page_id", "preview.*")
 
 
-@query()
+@query(f"SELECT page_id, trim({_TITLE}, {_TRIM}) AS title, lower(regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1)) AS charset, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(len(list_distinct(regexp_extract_all(html, '<meta (?:name|property|http-equiv)=\"([^\"]*)\"', 1))) AS INTEGER) AS metas, CAST(len(list_distinct(regexp_extract_all(html, '<link rel=\"([^\" ]*)\"', 1))) AS INTEGER) AS relations, CAST(len(regexp_extract_all(html, '<script type=\"application/ld.json\"')) AS INTEGER) AS jsonld FROM crawled_data")
 def m5_head_facts(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["head"]).select("page_id", "head.title", "head.charset", "head.lang", F.size("head.meta").alias("metas"), F.size("head.link").alias("relations"), F.size("head.jsonld").alias("jsonld"))
 
 
-@query()
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<img[^>]*src=\"([^\"]*)\"', 1)) AS INTEGER) AS variants FROM crawled_data")
 def d20_classic_images(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["classic_images"]).select("page_id", F.size("classic_images").alias("variants"))
 
 
-@query()
+@query("SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<img[^>]*src=\"([^\"]*)\"', 1))) AS INTEGER) AS images, 0 AS good FROM crawled_data")
 def d18_good_images(spark: SparkSession, d: str) -> DataFrame:
     some = pages.crawl_pages(_pages(spark, d), ["images"])
     return some.select("page_id", F.size("images").alias("images"), F.size(pages.good_media("images", 0.5)).alias("good"))
@@ -74,7 +79,11 @@ def d25_reduced_html(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["reduced_html"]).select("page_id", F.sha2("reduced_html", 256).alias("hash"), F.length("reduced_html").alias("size"))
 
 
-@query()
+_H1 = _unescaped("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")
+_LONG = _unescaped("regexp_replace(coalesce(list_filter(regexp_extract_all(html, '(?s)<p(?: [^>]*)?>(.*?)</p>', 1), lambda x: length(regexp_replace(x, '<[^>]*>', '', 'g')) > 150)[1], ''), '<[^>]*>', '', 'g')")
+
+
+@query(f"SELECT page_id, array_to_string(list_filter([{_TITLE}, {_H1}, CASE WHEN {_DESCRIPTION} <> '' THEN {_DESCRIPTION} ELSE substr({_LONG}, 1, 150) END], lambda x: x <> ''), ' ') AS classic_query FROM crawled_data")
 def d27_classic_query(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["classic_query"])
 
