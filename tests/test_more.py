@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.dom import extract, schema, scrape
+from webloom.dom import extract, relevance, schema, scrape
 from webloom.dom.tree import parse
 from webloom.functions import filters, patterns, stem, text
 from webloom.operators import chunks, frontier, graph, knowledge, pages, rank, stats, vectors
 from webloom.plans import pipelines
+from webloom.sources import crawl
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PAGE = (
     '<html lang="en"><head><title>T &amp; x</title><meta name="description" content="D"><meta charset="UTF-8"><link rel="icon me" href="/i"><meta property="og:title" content="OG"></head>'
     '<body><nav>n</nav><div class="a"><p>Hello <a href="/x?utm_source=1&b=2#f">link</a> 12.50</p><span>s</span></div><div class="b">next</div><img src="/a.jpg" alt="z" width="300"></body></html>'
@@ -185,3 +188,27 @@ def test_seeding_and_sitemaps(spark) -> None:  # noqa: ANN001
     assert pipelines.extraction("none")(urls) is urls
     with pytest.raises(KeyError):
         pipelines.extraction("other")
+
+
+def test_okapi_and_classic_relevance() -> None:
+    scores = relevance.okapi([["river", "mill"], ["river", "river", "road"], ["hill"], ["hill", "tree"], ["sea"]], ["river"])
+    assert scores[1] > scores[0] > 0 == scores[2]
+    page = parse("<html><head><title>river</title></head><body>" + "".join(f"<p>{t}</p>" for t in ["the rivers run", "the hill", "a road", "the sea", "one tree", "the rivers run"]) + "</body></html>")
+    assert [t for _, t, _ in relevance.classic_relevant(page, threshold=0.1)] == ["the rivers run"]
+
+
+def test_classic_robots(spark) -> None:  # noqa: ANN001
+    files = spark.createDataFrame([("a.example", "User-agent: *\nDisallow: /private\nUser-agent: goodbot\nAllow: /\n")], "host string, body string")
+    asked = spark.createDataFrame([("https://a.example/private/x",), ("https://A.example/open",), ("https://b.example/private",), (None,)], "url string")
+    got = {r.url: r.allowed for r in crawl.classic_robots(asked, files, "otherbot").collect()}
+    assert got == {"https://a.example/private/x": False, "https://A.example/open": True, "https://b.example/private": True, None: True}
+    assert all(r.allowed for r in crawl.classic_robots(asked, files, "goodbot").collect())
+    assert crawl.classic_robots(asked.limit(0), files, "x").count() == 0
+
+
+def test_classic_values_equal_the_spans(spark) -> None:  # noqa: ANN001
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("text is not null")
+    odd = spark.createDataFrame([(10**9, "日本671 a@b.co #тег @имя 12:30 GB33BUKB20201555555555 AA:bb:CC:dd:EE:ff 4111111111111 €5 ½")], "doc_id long, text string")
+    both = docs.unionByName(odd)
+    values = sorted((r.doc_id, r.label, r.value) for r in patterns.classic_values(both, "text").collect())
+    assert values == sorted((r.doc_id, r.label, r.value) for r in patterns.classic_spans(both, "doc_id", "text").collect()) and values

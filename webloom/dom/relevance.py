@@ -66,3 +66,36 @@ def relevant(chunks: list[tuple[str, str]], query: str, threshold: float = 0.0,
         if score >= threshold:
             out.append((i, tag, text, score))
     return out
+
+
+def okapi(corpus: list[list[str]], query: list[str], k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> list[float]:
+    """Okapi BM25 of each text: a word in more than half of them counts by `floor` times the mean weight, not below 0."""
+    n = len(corpus)
+    counts = [Counter(t) for t in corpus]
+    df = Counter(w for c in counts for w in c)
+    idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    mean_idf = sum(idf.values()) / max(1, len(idf))
+    idf = {w: v if v >= 0 else floor * mean_idf for w, v in idf.items()}
+    mean = sum(map(len, corpus)) / max(1, n)
+    return [sum(idf.get(q, 0.0) * c[q] * (k1 + 1) / (c[q] + k1 * (1 - b + b * len(t) / (mean or 1.0))) for q in query if c[q]) for c, t in zip(counts, corpus, strict=True)]
+
+
+def classic_relevant(doc: Node, query: str | None = None, threshold: float = 1.0, least_words: int = 0) -> list[tuple[str, str, float]]:
+    """(kind, text, score) of the page's text runs that reach the threshold, in their order, each text once.
+
+    Words are cut at white space and stemmed; stop words don't count. Without a query the page's own is taken; a page
+    without one has none.
+    """
+    from webloom.dom.scrape import page_query, text_runs
+
+    asked = [stem(w) for w in (query or page_query(doc)).lower().split()]
+    asked = [w for w in asked if w not in _STOP and len(w) > 1]
+    runs = text_runs(doc, least_words)
+    if not asked or not runs:
+        return []
+    corpus = [[w for w in (stem(x) for x in t.lower().split()) if w not in _STOP and len(w) > 1] for _, t in runs]
+    out: dict[str, tuple[str, str, float]] = {}
+    for (kind, text), score in zip(runs, okapi(corpus, asked), strict=True):
+        if score >= threshold:
+            out.setdefault(text, (kind, text, score))
+    return list(out.values())

@@ -87,7 +87,7 @@ def blocked_reason(status: Column, html: Column) -> Column:
     return let(F.struct(status.alias("status"), html.alias("html"), no_code.alias("no_code")), decide)
 
 
-#: Labels of the classic catalog, read without regard to case.
+#: Labels of the classic catalog, read without regard to case, with letters and digits of all scripts.
 CLASSIC: dict[str, str] = {
     "email": r"[\w.+-]+@[\w-]+\.[\w.-]+", "phone_intl": r"\+?\d[\d .()-]{7,}\d", "phone_us": r"\(?\d{3}\)?[ -. ]?\d{3}[ -. ]?\d{4}", "url": r"https?://[^\s\"'<>]+",
     "ipv4": r"(?:\d{1,3}\.){3}\d{1,3}", "ipv6": r"[A-F0-9]{1,4}(?::[A-F0-9]{1,4}){7}", "uuid": r"[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}",
@@ -130,7 +130,7 @@ def classic_values(df: DataFrame, text: str, labels: list[str] | None = None) ->
 
 
 def _labelled(text: str, name: str) -> Column:
-    found = F.regexp_extract_all(F.col(text), F.lit(f"(?im){CLASSIC[name]}"), F.lit(0))
+    found = F.regexp_extract_all(F.col(text), F.lit(f"(?imU){CLASSIC[name]}"), F.lit(0))
     return F.transform(found, lambda v, i: F.struct(F.lit(name).alias("label"), i.alias("pos"), v.alias("value")))
 
 

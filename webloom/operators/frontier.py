@@ -67,7 +67,7 @@ def cache_stats(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     known = cache.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
     hit = requests.select(key).join(known.withColumn("_hit", F.lit(True)), key, "left")
     counts = hit.agg(F.count(F.lit(1)).alias("requests"), F.count("_hit").alias("hits"))
-    return counts.select("requests", "hits", (F.col("requests") - F.col("hits")).alias("misses")).crossJoin(known.agg(F.count(F.lit(1)).alias("entries")))  # one row each
+    return counts.select("requests", "hits", (F.col("requests") - F.col("hits")).alias("misses"), F.lit(known.count()).alias("entries"))
 
 
 def head_by_url(links: DataFrame, heads: DataFrame, url: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from webloom.dom import classic, extract, scrape
+from webloom.dom import classic, extract, relevance, scrape
 from webloom.dom.tree import parse
 
 _S, _B, _I, _D = T.StringType(), T.BooleanType(), T.IntegerType(), T.DoubleType()
@@ -38,6 +38,7 @@ PARTS: dict[str, T.DataType] = {
     "classic_images": T.ArrayType(_struct(src=_S, alt=_S, score=_I, group_id=_I, format=_S, width=_S)),
     "classic_query": _S,
     "text_runs": T.ArrayType(_struct(kind=_S, text=_S)),
+    "classic_relevant": T.ArrayType(_struct(kind=_S, text=_S, score=_D)),
     "table_markdown": _S,
     "table_json": _S,
     "data_tables": T.ArrayType(_struct(headers=T.ArrayType(_S), rows=T.ArrayType(T.ArrayType(_S)), caption=_S, score=_D)),
@@ -76,6 +77,7 @@ _MAKE = {
     "classic_images": lambda doc, base: scrape.classic_images(doc),
     "classic_query": lambda doc, base: scrape.page_query(doc),
     "text_runs": lambda doc, base: [{"kind": k, "text": t} for k, t in scrape.text_runs(doc)],
+    "classic_relevant": lambda doc, base: [{"kind": k, "text": t, "score": round(v, 6)} for k, t, v in relevance.classic_relevant(doc)],
     "table_markdown": lambda doc, base: scrape.table_markdown(extract.tables(doc)),
     "table_json": lambda doc, base: json.dumps(extract.tables(doc), ensure_ascii=False, sort_keys=True),
     "data_tables": lambda doc, base: classic.data_tables(doc.html()),
@@ -122,8 +124,6 @@ def link_table(pages: DataFrame) -> DataFrame:
 
 def relevant_chunks(pages: DataFrame, query: str | None = None, threshold: float = 1.0, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, chunk_index, tag, text, score) of each page's chunks that fit the query, by default the page's own."""
-    from webloom.dom import relevance
-
     id_type = to_arrow_type(pages.schema[key].dataType)
     types = (id_type, pa.int32(), pa.string(), pa.string(), pa.float64())
 

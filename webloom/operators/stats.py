@@ -261,8 +261,8 @@ def coverage_stats(df: DataFrame, text: str) -> DataFrame:
     """(pages, characters, distinct_terms, total_terms) over all texts; terms are combined before they are shuffled."""
     rows = df.where(F.col(text).isNotNull()).select(F.length(text).alias("n"), F.filter(words(F.col(text)), lambda w: F.octet_length(w) >= 2).alias("w"))
     pages = rows.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("total_terms"))
-    terms = rows.select(F.explode("w").alias("t")).agg(F.countDistinct("t").alias("distinct_terms"))
-    return pages.crossJoin(terms).select("pages", "characters", "distinct_terms", "total_terms")  # one row each
+    terms = rows.select(F.explode("w").alias("t")).distinct().count()
+    return pages.select("pages", "characters", F.lit(terms).alias("distinct_terms"), "total_terms")
 
 
 def queue_summary(tasks: DataFrame, status: str, queued_at: str, memory: str, now) -> DataFrame:  # noqa: ANN001

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import filters, patterns, text, urls
 from webloom.operators import chunks, graph, knowledge, pages, rank, stats
 from webloom.plans import pipelines
-from webloom.queries import _ASKED, _BM25, _TITLE, _WS, _docs, _meta_of, _pages, _stemmed, _unescaped, _words, query
+from webloom.queries import SQL, _ASKED, _BM25, _TITLE, _WS, _docs, _meta_of, _pages, _stemmed, _unescaped, _words, query
 from webloom.session import table
 from webloom.sources import crawl
 from webloom.streaming import crawl as streaming
@@ -93,6 +93,11 @@ def d29_text_runs(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["text_runs"]).select("page_id", F.posexplode("text_runs").alias("pos", "r")).select("page_id", "pos", "r.*")
 
 
+@query()
+def r4_classic_relevant(spark: SparkSession, d: str) -> DataFrame:
+    return pages.crawl_pages(_pages(spark, d), ["classic_relevant"]).select("page_id", F.posexplode("classic_relevant").alias("pos", "r")).select("page_id", "pos", "r.*")
+
+
 @query()
 def d14_data_tables(spark: SparkSession, d: str) -> DataFrame:
     return pages.crawl_pages(_pages(spark, d), ["data_tables"]).select("page_id", F.posexplode("data_tables").alias("pos", "t")).select("page_id", "pos", F.size("t.headers").alias("columns"), F.size("t.rows").alias("rows"), "t.score")
@@ -175,18 +180,25 @@ def x5_groups(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "pattern", "pos", "value", F.element_at("named", "second").alias("second"))
 
 
-_LABELS = ["email", "url", "ipv4", "uuid", "percentage", "date_iso", "date_us", "time_24h", "postal_us", "html_color_hex", "twitter_handle", "mac_addr", "credit_card"]
+_BOUNDED = [n for n, p in patterns.CLASSIC.items() if r"\b" in p]
+_UNBOUNDED = [n for n in patterns.CLASSIC if n not in _BOUNDED]
 
 
 def _classic_sql() -> str:
-    ascii_word = {n: patterns.CLASSIC[n] for n in _LABELS}
-    parts = [f"SELECT doc_id, '{n}' AS label, regexp_extract_all(text, '(?im){p.replace(chr(39), chr(39) * 2)}') AS m FROM documents WHERE text IS NOT NULL" for n, p in ascii_word.items()]
+    # DuckDB's classes are those of ASCII, the catalog's of all scripts
+    wide = lambda p: p.replace(r"[\w]", r"[\p{L}\p{M}\p{N}_]").replace(r"[\w", r"[\p{L}\p{M}\p{N}_").replace(r"\d", r"\p{Nd}").replace(chr(39), chr(39) * 2)
+    parts = [f"SELECT doc_id, '{n}' AS label, regexp_extract_all(text, '(?im){wide(patterns.CLASSIC[n])}') AS m FROM documents WHERE text IS NOT NULL" for n in _UNBOUNDED]
     return f"WITH a AS ({' UNION ALL '.join(parts)}) SELECT doc_id, label, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS value FROM a"
 
 
 @query(_classic_sql())
 def x7_classic_values(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.classic_values(_docs(spark, d).select("doc_id", "text"), "text", _LABELS).drop("text")
+    return patterns.classic_values(_docs(spark, d).select("doc_id", "text"), "text", _UNBOUNDED).drop("text")
+
+
+@query()
+def x7_bounded_values(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.classic_values(_docs(spark, d).select("doc_id", "text"), "text", _BOUNDED).drop("text")
 
 
 @query()
@@ -359,9 +371,9 @@ def r3_previews(spark: SparkSession, d: str) -> DataFrame:
 # ---- sources, streams and small functions -------------------------------------------------------------------
 
 
-@query("SELECT url, CAST(page_id AS VARCHAR) AS timestamp FROM (SELECT url, min(page_id) AS page_id FROM (SELECT rtrim(url, '/') AS url, page_id FROM crawled_data WHERE url IS NOT NULL AND url LIKE 'https://%.html') GROUP BY url)")
+@query(f"SELECT normal AS url, CAST(min(page_id) AS VARCHAR) AS timestamp FROM crawled_data JOIN ({SQL['c1_normalize_content']}) USING (url) WHERE url <> '' GROUP BY normal")
 def s9_capture_index(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pages(spark, d).where("url like 'https://%.html'").select("url", F.lpad(F.col("page_id").cast("string"), 20, "0").alias("timestamp"), F.lit("text/html; charset=utf-8").alias("mime"), F.lit("200").alias("status"))
+    rows = _pages(spark, d).where("url is not null").select("url", F.lpad(F.col("page_id").cast("string"), 20, "0").alias("timestamp"), F.lit("text/html; charset=utf-8").alias("mime"), F.lit("200").alias("status"))
     found = crawl.capture_index(rows.select(F.to_json(F.struct("url", "timestamp", "mime", "status")).alias("value")))
     return found.select("url", F.col("timestamp").cast("long").cast("string").alias("timestamp"))
 

@@ -124,3 +124,37 @@ def json_items(rows: DataFrame, column: str, path: str) -> DataFrame:
     """rows with `pos` and `item` (JSON) for each item of an array inside a JSON column; rows without one are left out."""
     items = F.from_json(F.get_json_object(column, path), "array<string>")
     return rows.select("*", F.posexplode(items).alias("pos", "item"))
+
+
+def classic_robots(candidates: DataFrame, files: DataFrame, agent: str, url: str = "url") -> DataFrame:
+    """candidates with `allowed`, as the standard library reads robots files (host, body): the first rule that fits decides.
+
+    Hosts without a file allow everything. A file comes to its host's urls by a join and is read once a batch.
+    """
+    from collections.abc import Iterator
+    from urllib.robotparser import RobotFileParser
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    one = files.groupBy(F.lower("host").alias("_host")).agg(F.min("body").alias("_body"))
+    joined = candidates.withColumn("_host", urls.host(F.col(url))).join(one, "_host", "left").drop("_host")
+    at = candidates.columns.index(url)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str, RobotFileParser] = {}
+        for b in batches:
+            ok = []
+            for u, body in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if body is None or u is None:
+                    ok.append(True)
+                    continue
+                if body not in read:
+                    if len(read) > 1000:
+                        read.clear()
+                    read[body] = RobotFileParser()
+                    read[body].parse(body.splitlines())
+                ok.append(read[body].can_fetch(agent, u))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ok)], names=[*b.schema.names[:-1], "allowed"])
+
+    return joined.select(*candidates.columns, "_body").mapInArrow(run, T.StructType([*candidates.schema.fields, T.StructField("allowed", T.BooleanType())]))
