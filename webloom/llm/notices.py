@@ -84,7 +84,7 @@ _FILLER_ELSE = "tbd|tba|todo|coming soon|under construction|test|test test|test
 _HELPER = "try our search|use the search|back to the start page|go to the home page|go back|return to the front page|contact us|contact support|contact the webmaster|if you think this is a mistake tell the webmaster|check the spelling of the address|check the address|please check the address and try again|request id <id>|reference <id>|ticket <id>|ray id <id>|incident <id>|error code <num>|code <num>|time <time>|date <time>|title|home|retour à l’accueil|vérifiez l’adresse|zurück zur startseite|prüfen sie die adresse|volver al inicio|compruebe la dirección|voltar ao início|verifique o endereço|powrót do strony głównej|sprawdź adres|на главную|проверьте адрес".split("|")
 _TRACES = "traceback most recent call last|<trace> line <num> in main|at <trace>|<exception>|<exception> not set|caused by <exception>|warning <trace>|fatal error uncaught <exception> in <trace>|parse error on line <num>|notice undefined index in <path> on line <num>|<exception> at <path>|exception in thread main <exception>|<code>|error <code>|http <code>|error <num>|status <code>|<code> error|fehler <code>|erreur <code>|error <code> not found|#<num> <path> <trace>|<id> general error|segmentation fault".split("|")
 #: Ordinary short lines; {} stands for an invented name, # for a number.
-_ORDINARY = "by {} {}|text and pictures {} {}|last updated #|updated on # at #|published # by {}|{}|{} {}|{} and the red door|the local library of {}|notes from the garden in {}|why {} changed its market|{} # km|# g of fine {}|# cups of {}|{} # volts|{} <time> #|# days at the station of {}|a quick letter for {}|the annual report of {}|cheap {} lamp|best {}|buy {} online|{} size #|{} hotel|sale {}|old town|river|in winter|questions|sources|results|how it began|the way back|no one bought the shy lake|it was hot|the dog ran home|we came too late|the door would not open|he could not find the road|the boat was gone|they found the file in a drawer|a page of the old book was missing|the address was on the letter|the school requires a uniform|the bridge was closed for maintenance for # weeks|the mill no longer exists|please bring your own cup|turn on the oven|allow it to rest for # minutes|the server brought the soup|she tried again later|the session lasted # hours|the text was written in #|the title was hers|your ticket is valid for # days|the café is not available on mondays|opening hours # to #|members only|entry is free|wet paint|mind the step|parking # euros|la bibliothèque de {}|le vieux moulin|l’école du village|mis à jour le #|die bücherei in {}|der höhenweg|aktualisiert am #|von {} {}|la casa de {}|una tarde en el río|actualizado el #|o armazém de {}|a canção do rio|atualizado em #|stara biblioteka|łódź rybacka|autor {} {}|старая библиотека|школа у реки|автор {} {}|береговая служба {}|{} {} {}|{} # {}|# {}|* {}|menu of the week|soup and bread|main line to {}|platform # {}|sunday <time>|tickets from #|the story so far|a test of patience|the sample was taken in {}|the copy hangs in the museum|her own heading|the document lies in the archive|the link between {} and {}|an error of the pilot|the request of the council".split("|")
+_ORDINARY = "by {} {}|text and pictures {} {}|last updated #|updated on # at #|published # by {}|{}|{} {}|{} and the red door|the local library of {}|notes from the garden in {}|why {} changed its market|{} # km|# g of fine {}|# cups of {}|{} # volts|{} <time> #|# days at the station of {}|a quick letter for {}|the annual report of {}|cheap {} lamp|best {}|buy {} online|{} size #|{} hotel|sale {}|old town|river|in winter|questions|sources|results|how it began|the way back|no one bought the shy lake|it was hot|the dog ran home|we came too late|the door would not open|he could not find the road|the boat was gone|they found the file in a drawer|a page of the old book was missing|the address was on the letter|the school requires a uniform|the bridge was closed for maintenance for # weeks|the mill no longer exists|please bring your own cup|turn on the oven|allow it to rest for # minutes|the server brought the soup|she tried again later|the session lasted # hours|the text was written in #|the title was hers|your ticket is valid for # days|the café is not available on mondays|opening hours # to #|members only|entry is free|wet paint|mind the step|parking # euros|la bibliothèque de {}|le vieux moulin|l’école du village|mis à jour le #|die bücherei in {}|der höhenweg|aktualisiert am #|von {} {}|la casa de {}|una tarde en el río|actualizado el #|o armazém de {}|a canção do rio|atualizado em #|stara biblioteka|łódź rybacka|autor {} {}|старая библиотека|школа у реки|автор {} {}|береговая служба {}|{} {} {}|{} # {}|# {}|* {}|menu of the week|soup and bread|main line to {}|platform # {}|sunday <time>|tickets from #|the story so far|a test of patience|the sample was taken in {}|the copy hangs in the museum|her own heading|the document lies in the archive|the link between {} and {}|an error of the pilot|the text is an example of how it is written|this is an example of the way a page is made|a sample of such a text stands in the archive|how such a page is written|the title of the page was written by {}|an example of good writing|this text tells of {}|the description is that of a mill|her text is a good example|the content of the box was sold|it is a page of the diary of {}|here goes the road to {}|the request of the council".split("|")
 _LATIN, _VOWELS = "bcdfghjklmnprstvwz", "aeiou"
 
 

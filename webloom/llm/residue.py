@@ -59,7 +59,7 @@ def has_slot(line: Line) -> bool:
     if line.kind in ("code", "fence", "quote"):
         return False
     t = line.text
-    if not any(s in t for s in ("{", "[", "%", "@@", "__", "<<", "undefined", "null", "NaN", "None")):
+    if not any(s in t for s in ("{", "[", "%", "@@", "__", "<<", "<?", "*|", "undefined", "null", "NaN", "None")):
         return False
     t = QUOTED.sub(" ", CODE_SPAN.sub(" ", t)).replace("\\_", "_")
     return SLOT.search(t) is not None
