@@ -21,7 +21,7 @@ def test_no_query_compares_everything_with_everything(spark, name) -> None:  # n
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-@pytest.mark.parametrize(("name", "columns", "filters"), [("w3_time_to_live", {"cached_at"}, "IsNotNull(cached_at)"), ("s3_source_kinds", {"url"}, "IsNotNull(url)"), ("c7", {"doc_id", "text"}, "IsNotNull(text)")])
+@pytest.mark.parametrize(("name", "columns", "filters"), [("w3_time_to_live", {"url", "fetched_at"}, "IsNotNull(url)"), ("s3_source_kinds", {"url"}, "IsNotNull(url)"), ("c7", {"doc_id", "text"}, "IsNotNull(text)")])
 def test_scans_read_only_what_is_asked(spark, name, columns, filters) -> None:  # noqa: ANN001
     p = plan(QUERIES["c15_tokens_and_hash" if name == "c7" else name](spark, DATA))
     schema = p.split("ReadSchema: struct<", 1)[1].split(">", 1)[0]
