@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -13,6 +14,7 @@ import pytest
 from tests.oracle import connect, differences
 from webloom.llm import blocks, encoding, leaks, markup, neardup, notices, packing, reading, repeats, residue, shingles, stuffing
 from webloom.llm.queries import QUERIES, SQL
+from webloom.session import shared_dir
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -60,6 +62,29 @@ def test_neardup_pairs_equal_brute_force(spark) -> None:  # noqa: ANN001
         assert {tuple(r) for r in neardup.find_pairs(found).collect()} == want and want
 
 
+def test_neardup_meets_in_rounds_and_leaves_only_what_is_read_again(spark, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(neardup, "ROUND", 1000, raising=False)
+    rng = random.Random(5)
+    texts: dict[int, tuple[str, str]] = {}
+    for i in range(40):
+        w = rng.choices([f"w{k}" for k in range(60)], k=rng.randint(85, 300))
+        for c in range(3):
+            v = list(w)
+            for _ in range(int(len(v) * rng.choice([0.0, 0.03, 0.08]))):
+                v[rng.randrange(len(v))] = f"w{rng.randrange(60)}"
+            texts[i * 10 + c] = (f"u{i}-{c}", " ".join(v))
+    pages = spark.createDataFrame([(i, u, t) for i, (u, t) in texts.items()], "page_id long, url string, markdown string")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    blocks_of = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {p for p in blocks_of.getAllFiles().mkString("|").split("|") if "shuffle_" in p}
+    tables, before = set(folder.iterdir()), shuffles()
+    found = neardup.classes(pages, spark.createDataFrame([], "cache_id long, url string, markdown string"))
+    assert {p.name.split("-")[1] for p in set(folder.iterdir()) - tables} == {"members", "classes", "edges"}
+    assert sum(os.path.getsize(p) for p in shuffles() - before) < 10_000  # the count of all shingles
+    want = jaccard_pairs(texts, 3, 0.6)
+    assert {tuple(r) for r in neardup.find_pairs(found, whole=True).collect()} == want and want
+
+
 def test_neardup_on_test_pages_equals_brute_force(spark) -> None:  # noqa: ANN001
     texts = {r["page_id"]: (r["url"], r["markdown"]) for r in pq.read_table(f"{DATA}/crawled_data.parquet", columns=["page_id", "url", "markdown"]).to_pylist() if r["markdown"] is not None}
     texts |= {r["cache_id"]: (r["url"], r["markdown"]) for r in pq.read_table(f"{DATA}/crawl_cache.parquet", columns=["cache_id", "url", "markdown"]).to_pylist() if r["markdown"] is not None}
