@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tests.oracle import connect, differences
@@ -45,3 +49,14 @@ def test_entry_has_columns(spark) -> None:  # noqa: ANN001
 
     assert e.entry(spark).columns == ["doc_id", "term", "count", "rank"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_quality_is_rounded_as_in_sql_to_the_last_place(spark, tmp_path) -> None:  # noqa: ANN001
+    values = [*(k / 10 for k in range(-50, 2600)), None, math.nan, math.inf, -math.inf, 1e305, -1e305]
+    rows = [(10 * k + v, kind, x) for k, x in enumerate(values) for v, kind in ((5, "view"), (2, "view"), (9, "error"), (7, None))]
+    ids, kinds, marks = zip(*rows, strict=True)
+    pq.write_table(pa.table({"event_id": pa.array(ids, pa.int64()), "event_type": kinds, "value": pa.array(marks, pa.float64(), from_pandas=False)}), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = {i: repr(c) for i, c in con.execute(SQL["a17_quality"]).fetchall()}
+    assert {r.event_id: repr(r.confidence) for r in QUERIES["a17_quality"](spark, str(tmp_path)).collect()} == want and len(want) == len(rows)

@@ -325,6 +325,16 @@ def quality(learning: Column, validation: Column, passed: Column, validation_min
     return F.when(passed & (validation > validation_min), good).otherwise(learning * 0.8)
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """x as SQL rounds doubles: scaled, half away from zero, scaled back; x itself where scaling is beyond a double.
+
+    Spark's round goes by the shortest decimal, so that 0.7054144999999999 is rounded down where its millionfold is
+    705414.5 and SQL rounds up.
+    """
+    scaled = F.round(x * 10.0**places) / 10.0**places
+    return F.when(F.abs(scaled) == math.inf, x).otherwise(scaled)
+
+
 def covered(df: Column, tf: Column, docs: int, max_tf: int) -> Column:
     """Share of the documents that hold a term, raised by up to half for frequent terms."""
     return F.when(df > 0, df / docs * (1 + 0.5 * F.log1p(tf) / math.log1p(max_tf))).otherwise(0.0)

@@ -254,7 +254,7 @@ def f18_classic_blocked(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN validated AND validation > 0.4 THEN CASE WHEN learning < 0.4 THEN 0.7 WHEN learning > 0.7 THEN 0.95 ELSE round(0.7 + (learning - 0.4) * 0.833, 6) END ELSE round(learning * 0.8, 6) END AS confidence FROM (SELECT event_id, value / 200.0 AS learning, (event_id % 10) / 10.0 AS validation, event_type <> 'error' AS validated FROM events)")
 def a17_quality(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", (F.col("value") / 200.0).alias("learning"), ((F.col("event_id") % 10) / 10.0).alias("validation"), (F.col("event_type") != "error").alias("passed"))
-    return rows.select("event_id", F.round(filters.quality(F.col("learning"), F.col("validation"), F.col("passed")), 6).alias("confidence"))
+    return rows.select("event_id", filters.rounded(filters.quality(F.col("learning"), F.col("validation"), F.col("passed"))).alias("confidence"))
 
 
 @query()
