@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import random
 import re
 from pathlib import Path
@@ -14,7 +15,7 @@ import pytest
 from tests.oracle import connect, differences
 from webloom.llm import blocks, encoding, leaks, markup, neardup, notices, packing, reading, repeats, residue, shingles, stuffing
 from webloom.llm.queries import QUERIES, SQL
-from webloom.session import shared_dir
+from webloom.session import materialize, shared_dir
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -85,6 +86,52 @@ def test_neardup_meets_in_rounds_and_leaves_only_what_is_read_again(spark, monke
     assert {tuple(r) for r in neardup.find_pairs(found, whole=True).collect()} == want and want
 
 
+def test_neardup_drops_each_share_of_the_lists_and_writes_sets_once(spark, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(neardup, "ROUND", 1000)
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(85, 300))] for _ in range(60)]
+    pages = spark.createDataFrame([(i, f"u{i}", " ".join(w)) for i, w in enumerate(texts)], "page_id long, url string, markdown string")
+    written, left, wide, write = [], [], [], neardup.materialize
+
+    def watch(df, name, *args, **kwargs):  # noqa: ANN001, ANN002, ANN003, ANN202
+        out = write(df, name, *args, **kwargs)
+        written.append((name, "tokens" in out.columns, out))
+        lists = next((o for n, _, o in written if n == "lists"), None)
+        if name == "lists":
+            wide.append(out.selectExpr("max(key) hi", "min(key) lo").first())
+        if name == "met":
+            left.append(sorted(int(p.name[6:]) for p in Path(lists._webloom_path.removeprefix("file:")).glob("round=*")))
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", watch)
+    neardup.classes(pages, spark.createDataFrame([], "cache_id long, url string, markdown string"))
+    assert [n for n, tokens, _ in written if tokens] == ["classes"]
+    assert len(left) > 5 and left == [list(range(r, len(left))) for r in range(len(left))]
+    assert 0 <= wide[0].lo and wide[0].hi < 1 << 8 * shingles.WIDTH
+
+
+def test_shares_are_written_without_a_sort(spark) -> None:  # noqa: ANN001
+    df = spark.range(200).selectExpr("id", "cast(id % 16 as int) share")  # as many as neardup.ROUNDS
+    out = materialize(df, "shares", by="share")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [done.apply(k).physicalPlanDescription() for k in range(done.size())]
+    assert "Sort" not in next(p for p in reversed(plans) if "webloom-shares-" in p)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert {(r.id, r.share) for r in out.collect()} == {(i, i % 16) for i in range(200)}
+
+
+def test_neardup_keys_travel_packed() -> None:
+    rng = np.random.default_rng(2)
+    sketch = np.zeros(1 << 20, np.uint8)
+    sketch[rng.integers(0, 1 << 20, 5000)] = 4
+    keys = shingles.Keys(sketch, 0.6, 3, 32, 4)
+    raw = pickle.dumps(keys)
+    tokens = np.unique(rng.integers(0, 1 << 40, 300, dtype=np.uint64))
+    assert len(raw) < 1 << 17
+    assert all((a == b).all() for a, b in zip(keys.of(tokens), pickle.loads(raw).of(tokens), strict=True))
+
+
 def test_neardup_on_test_pages_equals_brute_force(spark) -> None:  # noqa: ANN001
     texts = {r["page_id"]: (r["url"], r["markdown"]) for r in pq.read_table(f"{DATA}/crawled_data.parquet", columns=["page_id", "url", "markdown"]).to_pylist() if r["markdown"] is not None}
     texts |= {r["cache_id"]: (r["url"], r["markdown"]) for r in pq.read_table(f"{DATA}/crawl_cache.parquet", columns=["cache_id", "url", "markdown"]).to_pylist() if r["markdown"] is not None}
